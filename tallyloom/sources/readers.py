@@ -72,12 +72,15 @@ def read_delimited(
         spark.read.schema(full)
         .options(
             sep=sep, quote=quote, escape=quote, header=header, encoding=encoding, multiLine=multiline,
-            nullValue=null_value, mode="PERMISSIVE", columnNameOfCorruptRecord=REJECT, enforceSchema=True, **options,
+            # every column is parsed whatever is selected, so a line fits or does not fit regardless of the query
+            columnPruning=False, nullValue=null_value, mode="PERMISSIVE", columnNameOfCorruptRecord=REJECT, enforceSchema=True, **options,
         )
         .csv(path)
     )
     good = raw.filter(F.col(REJECT).isNull()).select(*declared.names)
-    return good, raw.filter(F.col(REJECT).isNotNull()).select(F.col(REJECT).alias("line"))
+    # the reader refuses queries on the reject column alone, so the data columns are asked for as well
+    touched = F.length(F.concat_ws("", *[F.col(c).cast("string") for c in declared.names])) >= 0
+    return good, raw.filter(F.col(REJECT).isNotNull() & touched).select(F.col(REJECT).alias("line"))
 
 
 def read_lines(spark: SparkSession, path: str, column: str = "line", with_file: bool = False) -> DataFrame:
