@@ -193,56 +193,58 @@ def running(
 
     NULL values do not change the running value.
     """
-    op = {"avg": "average", "max": "maximum", "min": "minimum"}.get(op.lower(), op.lower())
-    if op not in RUNNING_OPS:
-        raise ValueError(f"running {op!r} is not supported; use one of {RUNNING_OPS}")
-    keys, by = names(reset_by), sort_keys(order, "running")
-    value, kept = fresh(df, "value"), df.columns
-    src = df.withColumn(value, F.col(col) if isinstance(col, str) else col)
+    return running_values(df, [(op, col, out)], order, reset_by, hot_rows, block_rows)
+
+
+def running_values(
+    df: DataFrame,
+    specs: Sequence[tuple[str, str | Column, str]],
+    order,
+    reset_by=None,
+    hot_rows: int | None = None,
+    block_rows: int | None = None,
+) -> DataFrame:
+    """Several running values ``(op, column, output)`` over one order and reset group: one cut, one window, one carry."""
+    keys, by, kept = names(reset_by), sort_keys(order, "running"), df.columns
+    ops = []
+    for op, _, _ in specs:
+        op = {"avg": "average", "max": "maximum", "min": "minimum"}.get(op.lower(), op.lower())
+        if op not in RUNNING_OPS:
+            raise ValueError(f"running {op!r} is not supported; use one of {RUNNING_OPS}")
+        ops.append(op)
+    values = [fresh(df, f"value{i}_") for i in range(len(specs))]
+    src = df.withColumns({v: F.col(c) if isinstance(c, str) else c for v, (_, c, _) in zip(values, specs, strict=True)})
     cut = cut_hot_groups(src, keys, by, hot_rows, block_rows)
     local = (
         Window.partitionBy(*keys, cut.block)
         .orderBy(*order_columns(by))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    v = F.col(value)
+    outs = [out for _, _, out in specs]
+    plain = {"sum": F.sum, "count": F.count, "average": F.avg, "maximum": F.max, "minimum": F.min}
     if not cut.split:
-        plain = {"sum": F.sum, "count": F.count, "average": F.avg, "maximum": F.max, "minimum": F.min}[op]
-        return cut.df.withColumn(out, plain(v).over(local)).select(*kept, out)
-
-    partials = {
-        "sum": [F.sum(v).alias("__p")],
-        "count": [F.count(v).alias("__p")],
-        "average": [F.sum(v).alias("__p"), F.count(v).alias("__q")],
-        "maximum": [F.max(v).alias("__p")],
-        "minimum": [F.min(v).alias("__p")],
-    }[op]
-    p, q = F.col("__p"), F.col("__q")
-    carries = {
-        "sum": {"__cp": F.sum(p)},
-        "count": {"__cp": F.sum(p)},
-        "average": {"__cp": F.sum(p), "__cq": F.sum(q)},
-        "maximum": {"__cp": F.max(p)},
-        "minimum": {"__cp": F.min(p)},
-    }[op]
+        cells = {o: plain[op](F.col(v)).over(local) for o, op, v in zip(outs, ops, values, strict=True)}
+        return cut.df.withColumns(cells).select(*kept, *outs)
+
+    # an average travels between blocks as a sum and a count
+    basic = {**plain, "average": F.sum}
+    fold = {"sum": F.sum, "count": F.sum, "average": F.sum, "maximum": F.max, "minimum": F.min}
+    partials, carries, here, cells = [], {}, {}, {}
+    for i, (op, v, out) in enumerate(zip(ops, values, outs, strict=True)):
+        partials.append(basic[op](v).alias(f"__p{i}"))
+        carries[f"__c{i}"] = fold[op](f"__p{i}")
+        here[f"__l{i}"] = basic[op](v).over(local)
+        before, now = F.col(f"__c{i}"), F.col(f"__l{i}")
+        joint = F.when(before.isNull(), now).when(now.isNull(), before).otherwise(before + now)
+        if op == "average":
+            partials.append(F.count(v).alias(f"__q{i}"))
+            carries[f"__d{i}"] = F.sum(f"__q{i}")
+            here[f"__n{i}"] = F.count(v).over(local)
+            cells[out] = F.try_divide(joint.cast("double"), F.coalesce(F.col(f"__d{i}"), F.lit(0)) + F.col(f"__n{i}"))
+        else:
+            cells[out] = {"maximum": F.greatest(before, now), "minimum": F.least(before, now)}.get(op, joint)
     carried = with_carry(cut, keys, partials, carries)
-
-    functions = {"sum": F.sum, "count": F.count, "average": F.sum, "maximum": F.max, "minimum": F.min}
-    here = carried.withColumns(
-        {"__l": functions[op](v).over(local), **({"__n": F.count(v).over(local)} if op == "average" else {})}
-    )
-    before, now = F.col("__cp"), F.col("__l")
-    joint = F.when(before.isNull(), now).when(now.isNull(), before).otherwise(before + now)
-    result = {
-        "sum": joint,
-        "count": joint,
-        "average": F.try_divide(joint.cast("double"), F.coalesce(F.col("__cq"), F.lit(0)) + F.col("__n"))
-        if op == "average"
-        else None,
-        "maximum": F.greatest(before, now),
-        "minimum": F.least(before, now),
-    }[op]
-    return here.withColumn(out, result).select(*kept, out)
+    return carried.withColumns(here).withColumns(cells).select(*kept, *outs)
 
 
 def running_distinct(df: DataFrame, col: str, out: str, order, reset_by=None, **limits) -> DataFrame:

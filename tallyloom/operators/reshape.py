@@ -30,7 +30,7 @@ def normalize(
         stripped = F.regexp_replace(F.col(col), f"(?:{re.escape(sep)})+$", "")
         items = F.split(stripped, re.escape(sep))
     if trim:
-        items = F.transform(items, F.trim)
+        items = F.transform(items, lambda item: F.trim(item))
     if dedupe:
         items = F.array_distinct(items)
     return df.withColumn(out or col, F.explode(items))

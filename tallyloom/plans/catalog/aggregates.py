@@ -197,8 +197,8 @@ def denormalize_keys(spark, sf):
 
 
 @query("""
-select l_shipmode as l_returnflag, series, value from (
-  select l_returnflag as l_shipmode, 'quantity' as series, round(sum(l_quantity), 2) as value from lineitem group by 1
+select flag as l_returnflag, series, value from (
+  select l_returnflag as flag, 'quantity' as series, round(sum(l_quantity), 2) as value from lineitem group by 1
   union all select l_returnflag, 'price', round(sum(l_extendedprice), 2) from lineitem group by 1)
 """)
 def category_series(spark, sf):

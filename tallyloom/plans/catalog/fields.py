@@ -58,7 +58,7 @@ def read_delimited_reject(spark, sf):
 
 
 @query("""
-select length(line) as line_length, count(*) as lines
+select length(line)::int as line_length, count(*) as lines
 from (select unnest(string_split(text, chr(10))) as line from documents) group by 1
 """)
 def read_lines(spark, sf):

@@ -1 +1,108 @@
-"""Queries."""
+"""Paged text: documents cut into pages of a few lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyloom.operators import paged_text as pt
+from tallyloom.plans.catalog import query, table
+
+PAGE = 6
+VALUES = ["the", "and", "there", "Customer", "worthless", "le", "de"]
+
+
+def _pages(spark, sf):
+    return pt.cut_pages(table(spark, sf, "documents"), "doc_id", "text", PAGE)
+
+
+def _conversion(spark, sf):
+    """A re-wrapped copy: every third line break is gone, one word is lost, and a line is put before each text."""
+    text = F.regexp_replace("text", r"(?s)([^\n]*\n[^\n]*\n[^\n]*)\n", "$1 ")
+    text = F.concat(F.lit("Converted copy\n"), F.regexp_replace(text, r"\bthis\b", ""))
+    return pt.cut_pages(table(spark, sf, "documents").withColumn("text", text), "doc_id", "text", PAGE)
+
+
+MONTH_RE = r"\b(Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t|tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\b"
+
+
+def _norm(x: str) -> str:
+    line = rf"trim(regexp_replace({x}, '[\s\x0b\x1c-\x1f\x85\p{{Z}}]+', ' ', 'g'))"
+    masked = rf"replace(regexp_replace({line}, '[\d,.]+', '#', 'g'), '$ #', '$#')"
+    return f"case when length({masked}) >= 6 then {masked} else '' end"
+
+
+_LINES = f"""
+l as (select doc_id, ((ord - 1) // {PAGE})::int as page_no, ((ord - 1) % {PAGE})::int as line_no, line from (
+  select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as ord from documents)),
+n as (select doc_id, page_no, line_no, {_norm('line')} as norm from l),
+d as (select distinct doc_id, page_no, norm from n where norm <> ''),
+f as (select doc_id, page_no from d group by 1, 2 having count(*) >= 3),
+p as (select doc_id, count(*) as pages from f group by 1),
+b as (select doc_id, norm from (select d.doc_id, d.norm, count(*) as c from d join f using (doc_id, page_no) group by 1, 2) join p using (doc_id)
+  where c >= greatest(2, floor(pages * 0.6::double)))
+"""
+
+
+@query("select doc_id, page_no, line_no, length(line)::int as chars from (with " + _LINES + " select * from l)")
+def cut_pages(spark, sf):
+    return _pages(spark, sf).select("doc_id", "page_no", "line_no", F.length("line").alias("chars"))
+
+
+@query("with " + _LINES + " select doc_id, norm from b")
+def boilerplate(spark, sf):
+    return pt.boilerplate(_pages(spark, sf), "doc_id")
+
+
+@query("with " + _LINES + """, c as (select doc_id, page_no, count(*) as content from n where norm <> '' and (doc_id, norm) not in (select doc_id, norm from b) group by 1, 2)
+select g.doc_id, g.page_no, coalesce(content, 0) as content from (select distinct doc_id, page_no from l) g left join c using (doc_id, page_no)
+where coalesce(content, 0) <= 3
+""")
+def sparse_pages(spark, sf):
+    return pt.sparse_pages(_pages(spark, sf), "doc_id")
+
+
+_VALUES = ", ".join(f"('{v}')" for v in VALUES)
+_SPANS = _LINES + f""",
+v(value) as (values {_VALUES}),
+h as (select distinct doc_id, page_no, value from l join v on contains(line, value)),
+o as (select * from h where not exists (select 1 from h g where g.doc_id = h.doc_id and g.page_no = h.page_no and g.value <> h.value and contains(g.value, h.value))),
+i as (select *, page_no - row_number() over (partition by doc_id, value order by page_no) as island from o),
+r as (select doc_id, value, min(page_no) as first_pos, max(page_no) as last_pos, count(*) as run_length from i group by doc_id, value, island),
+s as (select * from (select *, row_number() over (partition by doc_id, value order by run_length desc, first_pos) as rn from r) where rn = 1)
+"""
+
+
+@query("with " + _SPANS + " select doc_id, value, first_pos, last_pos, run_length from s")
+def group_spans(spark, sf):
+    return pt.group_spans(_pages(spark, sf), "doc_id", VALUES)
+
+
+@query("with " + _SPANS + """, k as (select o.doc_id, o.value, o.page_no from o join s on o.doc_id = s.doc_id and o.value = s.value
+  where o.page_no >= first_pos and o.page_no < last_pos),
+m as (select doc_id, page_no, arg_max(norm, line_no) as mark from n where norm <> '' and (doc_id, norm) not in (select doc_id, norm from b) group by 1, 2)
+select k.doc_id, value, k.page_no, coalesce(mark, '') as mark from k left join m on k.doc_id = m.doc_id and k.page_no = m.page_no
+""")
+def group_breaks(spark, sf):
+    return pt.group_breaks(_pages(spark, sf), "doc_id", VALUES)
+
+
+@query()
+def orphan_totals(spark, sf):
+    """Totals are planted: a statement line on every third line, the total on the line after."""
+    n = F.pmod(F.xxhash64("doc_id"), F.lit(9000)).cast("string")
+    planted = F.concat(
+        F.regexp_replace("text", r"(?s)^((?:[^\n]*\n){5})", F.concat(F.lit("$1Invoices totalling \\$"), n, F.lit(".50 are due.\n"))),
+        F.lit("\nTotal: $"), n, F.lit(".50"),
+    )
+    lines = pt.cut_pages(table(spark, sf, "documents").withColumn("text", planted), "doc_id", "text", PAGE)
+    return pt.orphan_totals(lines, "doc_id", VALUES)
+
+
+@query()
+def line_parity(spark, sf):
+    return pt.line_parity(_pages(spark, sf), _conversion(spark, sf), "doc_id")
+
+
+@query()
+def pair_pages(spark, sf):
+    return pt.pair_pages(_pages(spark, sf), _conversion(spark, sf), "doc_id")

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 
 from tallyloom.operators.aggregate import Summary, group_totals, percent_of_sum, spread_columns
-from tallyloom.operators.ordered import running
+from tallyloom.operators.ordered import running_values
 from tallyloom.operators.select import Clause, Parameter, record_selection
 from tallyloom.operators.sets import report_order
 from tallyloom.operators.topn import TopN, top_n_others
@@ -71,9 +71,11 @@ def grouped_report(df: DataFrame, report: Report, values: Mapping[str, Any] | No
         outer = group_names[: group_names.index(s.group) + 1] if s.group else []
         out = spread_columns(out, s.field, outer, s.fns)
     order = [*report.groups, *[s for s in report.sorts if s[0] not in group_names]]
-    for r in report.running:
-        reset = group_names[: group_names.index(r.reset_by) + 1] if r.reset_by else []
-        out = running(out, r.op, r.field, r.out, order, reset, **report.limits)
+    for reset_by in dict.fromkeys(r.reset_by for r in report.running):
+        # running values of one reset group share a window
+        reset = group_names[: group_names.index(reset_by) + 1] if reset_by else []
+        specs = [(r.op, r.field, r.out) for r in report.running if r.reset_by == reset_by]
+        out = running_values(out, specs, order, reset, **report.limits)
     if report.summaries:
         out = group_totals(out, group_names, report.summaries)
     for p in report.percent:
