@@ -135,7 +135,7 @@ def repair_byteswapped(c: Column) -> Column:
 
 # fixed value: whole month names and their usual abbreviations, shortened to three letters
 MONTHS = (
-    r"\b(?:(Jan)(?:uary)?|(Feb)(?:ruary)?|(Mar)(?:ch)?|(Apr)(?:il)?|(May)|(Jun)e?|(Jul)y?|(Aug)(?:ust)?"
+    r"\b(?=[JFMASOND])(?:(Jan)(?:uary)?|(Feb)(?:ruary)?|(Mar)(?:ch)?|(Apr)(?:il)?|(May)|(Jun)e?|(Jul)y?|(Aug)(?:ust)?"
     r"|(Sep)(?:t|tember)?|(Oct)(?:ober)?|(Nov)(?:ember)?|(Dec)(?:ember)?)\b"
 )
 MIN_LINE = 6

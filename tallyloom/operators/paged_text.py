@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.core import join_back
+from tallyloom.core import cut_lineage
 from tallyloom.functions.text import normal_line
 from tallyloom.operators.ordered import longest_run, running
 
@@ -42,9 +42,8 @@ def normal_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("norm", normal_line(F.col("line"))).filter(F.col("norm") != "")
 
 
-def boilerplate(lines: DataFrame, doc: str) -> DataFrame:
-    """Page furniture (doc, norm): lines on most of the pages that have at least three different lines."""
-    distinct = normal_lines(lines).select(doc, "page_no", "norm").distinct()
+def _furniture(norm: DataFrame, doc: str) -> DataFrame:
+    distinct = norm.select(doc, "page_no", "norm").distinct()
     full = distinct.groupBy(doc, "page_no").agg(F.count(F.lit(1)).alias("__k")).filter(F.col("__k") >= POPULATED_LINES)
     populated = full.groupBy(doc).agg(F.count(F.lit(1)).alias("__pages"))
     on = distinct.join(full.select(doc, "page_no"), [doc, "page_no"], "left_semi")
@@ -53,9 +52,16 @@ def boilerplate(lines: DataFrame, doc: str) -> DataFrame:
     return seen.filter(F.col("__n") >= least).select(doc, "norm")
 
 
+def boilerplate(lines: DataFrame, doc: str) -> DataFrame:
+    """Page furniture (doc, norm): lines on most of the pages that have at least three different lines."""
+    # normalising is the expensive part and its result is read three times
+    return _furniture(cut_lineage(normal_lines(lines).select(doc, "page_no", "norm").distinct()), doc)
+
+
 def content_lines(lines: DataFrame, doc: str) -> DataFrame:
     """Normalised lines that are not furniture."""
-    return normal_lines(lines).join(boilerplate(lines, doc), [doc, "norm"], "left_anti")
+    norm = cut_lineage(normal_lines(lines))
+    return norm.join(_furniture(norm, doc), [doc, "norm"], "left_anti")
 
 
 def sparse_pages(lines: DataFrame, doc: str) -> DataFrame:
@@ -83,51 +89,48 @@ def _page_texts(lines: DataFrame, doc: str, line: Column) -> DataFrame:
     )
 
 
-def _stream(lines: DataFrame, doc: str, squeezed: bool) -> DataFrame:
-    """Normalised page texts placed in the character stream of their document: (doc, page_no, start, text).
+def _squeeze(text: Column) -> Column:
+    return F.replace(text, F.lit(" "), F.lit(""))
+
+
+def _stream(lines: DataFrame, doc: str) -> DataFrame:
+    """Normalised page texts without blanks, placed in the character stream of their document: (doc, start, text).
 
     ``text`` carries GRAM - 1 characters of the following page, so that every gram of the stream starts on some page.
     """
     words = F.filter(F.split(F.trim(F.col("line")), r"(?U)\s+"), lambda w: w != "")
-    joined = F.array_join(F.flatten("a"), " ")
-    text = _page_texts(lines, doc, words).select(doc, "page_no", normal_line(joined).alias("text"))
-    if squeezed:
-        text = text.withColumn("text", F.replace("text", F.lit(" "), F.lit(""))).filter(F.col("text") != "")
-        body = F.col("text")
-    else:
-        body = F.concat(F.lit(" "), F.col("text"))
-    sized = text.withColumn("__body", body).withColumn(
-        "__len", (F.length(F.encode("__body", "UTF-16BE")) / 2).cast("long")
+    page = _page_texts(lines, doc, words)
+    text = page.select(doc, "page_no", _squeeze(normal_line(F.array_join(F.flatten("a"), " "))).alias("text"))
+    sized = text.filter(F.col("text") != "").withColumn(
+        "__len", (F.length(F.encode("text", "UTF-16BE")) / 2).cast("long")
     )
-    placed = running(sized, "sum", "__len", "__end", "page_no", doc)
-    # the next page is a shift of the page number by one position, found by an equi-join on the start offset
-    nxt = placed.select(
-        F.col(doc).alias("__d"), (F.col("__end") - F.col("__len")).alias("__at"), F.left("__body", F.lit(GRAM - 1)).alias("__more")
-    )
-    with_next = placed.join(nxt, (placed[doc] == nxt["__d"]) & (placed["__end"] == nxt["__at"]), "left")
-    closing = F.coalesce("__more", F.lit("" if squeezed else " "))
-    return with_next.select(
-        placed[doc], "page_no", (F.col("__end") - F.col("__len")).alias("start"),
-        F.concat("__body", closing).alias("text"),
+    placed = cut_lineage(running(sized, "sum", "__len", "__end", "page_no", doc))
+    start = F.col("__end") - F.col("__len")
+    following = placed.select(
+        F.col(doc).alias("__d"), start.alias("__at"), F.left("text", F.lit(GRAM - 1)).alias("__more")
     )
+    both = placed.join(following, (F.col(doc) == F.col("__d")) & (F.col("__end") == F.col("__at")), "left")
+    return both.select(doc, start.alias("start"), F.concat("text", F.coalesce("__more", F.lit(""))).alias("text"))
 
 
-def _found_in_stream(wanted: DataFrame, lines: DataFrame, doc: str, squeezed: bool) -> DataFrame:
-    """Those (doc, norm) of ``wanted`` that occur anywhere in the document's stream.
+def _found_in_stream(wanted: DataFrame, lines: DataFrame, doc: str) -> DataFrame:
+    """Those (doc, norm) of ``wanted`` that occur in the document's stream, blanks aside.
 
     Every wanted text is cut into grams. Its rarest gram in the document proposes start offsets by an equi-join;
     the other grams confirm them by (document, offset). Only documents with something wanted are looked at.
     """
-    needle = F.replace(F.col("norm"), F.lit(" "), F.lit("")) if squeezed else F.col("norm")
-    needles = wanted.select(doc, "norm", needle.alias("__t")).distinct()
-    grams = needles.select(
-        doc, "norm", (F.length("__t") - (GRAM - 1)).alias("__need"), F.posexplode(_grams(F.col("__t"))).alias("__i", "__gram")
-    )
-    stream = _stream(lines.join(wanted.select(doc).distinct(), doc, "left_semi"), doc, squeezed)
+    needles = wanted.select(doc, "norm", _squeeze(F.col("norm")).alias("__t")).distinct()
+    # every GRAM-th gram and the last one cover all characters of a needle
+    last = F.length("__t") - GRAM
+    pieces = needles.select(doc, "norm", last.alias("__last"), F.posexplode(_grams(F.col("__t"))).alias("__i", "__gram"))
+    pieces = pieces.filter((F.col("__i") % GRAM == 0) | (F.col("__i") == F.col("__last")))
+    need = F.floor(F.col("__last") / GRAM) + F.when(F.col("__last") % GRAM == 0, 1).otherwise(2)
+    grams = cut_lineage(pieces.select(doc, "norm", need.alias("__need"), "__i", "__gram"))
+    stream = _stream(lines.join(grams.select(doc).distinct(), doc, "left_semi"), doc)
     spots = stream.select(doc, "start", F.posexplode(_grams(F.col("text"))).alias("__p", "__gram")).select(
         doc, "__gram", (F.col("start") + F.col("__p")).alias("__at")
     )
-    spots = spots.join(grams.select(doc, "__gram").distinct(), [doc, "__gram"], "left_semi")
+    spots = cut_lineage(spots.join(grams.select(doc, "__gram").distinct(), [doc, "__gram"], "left_semi"))
     frequency = spots.groupBy(doc, "__gram").agg(F.count(F.lit(1)).alias("__f"))
     rated = grams.join(frequency, [doc, "__gram"], "left").withColumn("__f", F.coalesce("__f", F.lit(0)))
     seed = rated.groupBy(doc, "norm").agg(
@@ -149,16 +152,14 @@ def line_parity(original: DataFrame, converted: DataFrame, doc: str) -> DataFram
     """Lines of the original and what became of them: (doc, norm, page_no, state, new_page).
 
     ``same`` and ``moved`` lines exist in the conversion (first pages compared), ``wrapped`` ones only inside its text
-    stream, with or without blanks, ``missing`` ones nowhere.
+    stream, ``missing`` ones nowhere. The stream is compared without blanks: whatever matches with them also matches
+    without.
     """
     a = normal_lines(original).groupBy(doc, "norm").agg(F.min("page_no").alias("page_no"))
     b = normal_lines(converted).groupBy(doc, "norm").agg(F.min("page_no").alias("new_page"))
-    both = a.join(b, [doc, "norm"], "left")
+    both = cut_lineage(a.join(b, [doc, "norm"], "left"))
     residue = both.filter(F.col("new_page").isNull()).select(doc, "norm")
-    plain = _found_in_stream(residue, converted, doc, squeezed=False)
-    rest = residue.join(plain, [doc, "norm"], "left_anti")
-    tight = _found_in_stream(rest, converted, doc, squeezed=True)
-    inside = plain.unionByName(tight).distinct().withColumn("__in", F.lit(True))
+    inside = _found_in_stream(residue, converted, doc).withColumn("__in", F.lit(True))
     state = (
         F.when(F.col("new_page") == F.col("page_no"), "same").when(F.col("new_page").isNotNull(), "moved")
         .when(F.col("__in"), "wrapped").otherwise("missing")
@@ -199,8 +200,8 @@ def group_spans(lines: DataFrame, doc: str, values: Sequence[str]) -> DataFrame:
 
 def _owned_pages(lines: DataFrame, doc: str, values: Sequence[str]) -> DataFrame:
     """(doc, value, page_no) for the pages of each value's run; a run has as many pages as it has rows here."""
-    spans = group_spans(lines, doc, values)
-    hits = _value_hits(lines, doc, values)
+    hits = cut_lineage(_value_hits(lines, doc, values))
+    spans = longest_run(hits, [doc, "value"], "page_no")
     return (
         hits.join(spans, [doc, "value"]).filter(F.col("page_no").between(F.col("first_pos"), F.col("last_pos")))
         .select(doc, "value", "page_no", "last_pos")
@@ -274,10 +275,11 @@ def pair_pages(original: DataFrame, converted: DataFrame, doc: str, least: float
             F.sum(F.xxhash64("norm").cast("decimal(38,0)")).alias("__h1"),
             F.bit_xor(F.xxhash64("norm", F.lit(1))).alias("__h2"), F.count(F.lit(1)).alias("__size"),
         ).withColumn("sig", F.concat_ws(":", "__h1", "__h2", "__size"))
-        numbered = running(sig, "count", F.lit(1), "copy", "page_no", [doc, "sig"])
+        numbered = cut_lineage(running(sig, "count", F.lit(1), "copy", "page_no", [doc, "sig"]))
         members = numbered.select(doc, "sig", "copy", F.col("page_no").alias(page))
         heads = numbered.filter(F.col("copy") == 1).select(doc, "page_no", "sig", "__size")
-        return distinct.join(heads, [doc, "page_no"]).select(doc, "sig", "__size", "norm", F.col("page_no").alias("first")), members
+        kept = distinct.join(heads, [doc, "page_no"]).select(doc, "sig", "__size", "norm", F.col("page_no").alias("first"))
+        return cut_lineage(kept), members
 
     a, a_pages = pages(original, "page_a")
     b, b_pages = pages(converted, "page_b")
@@ -300,6 +302,7 @@ def pair_pages(original: DataFrame, converted: DataFrame, doc: str, least: float
         .groupBy(*ids).agg(F.count(F.lit(1)).alias("__shared"))
         .withColumn("overlap", F.col("__shared") / F.least("size_a", "size_b")).filter(F.col("overlap") >= least)
     )
+    shared = cut_lineage(shared)
     # best partner each way: highest overlap, then most shared lines, then the earliest page
     rank_a = F.struct("overlap", "__shared", -F.col("first_b"))
     rank_b = F.struct("overlap", "__shared", -F.col("first_a"))

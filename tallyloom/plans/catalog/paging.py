@@ -17,8 +17,10 @@ def _pages(spark, sf):
 
 def _conversion(spark, sf):
     """A re-wrapped copy: every third line break is gone, one word is lost, and a line is put before each text."""
-    text = F.regexp_replace("text", r"(?s)([^\n]*\n[^\n]*\n[^\n]*)\n", "$1 ")
-    text = F.concat(F.lit("Converted copy\n"), F.regexp_replace(text, r"\bthis\b", ""))
+    lines = F.transform(
+        F.split("text", "\n"), lambda line, i: F.concat(line, F.when(i % 3 == 2, F.lit(" ")).otherwise(F.lit("\n")))
+    )
+    text = F.concat(F.lit("Converted copy\n"), F.regexp_replace(F.array_join(lines, ""), r"\bthis\b", ""))
     return pt.cut_pages(table(spark, sf, "documents").withColumn("text", text), "doc_id", "text", PAGE)
 
 
@@ -88,11 +90,14 @@ def group_breaks(spark, sf):
 
 @query()
 def orphan_totals(spark, sf):
-    """Totals are planted: a statement line on every third line, the total on the line after."""
+    """Totals are planted: the last line of the first page states one, the next page begins with it."""
     n = F.pmod(F.xxhash64("doc_id"), F.lit(9000)).cast("string")
-    planted = F.concat(
-        F.regexp_replace("text", r"(?s)^((?:[^\n]*\n){5})", F.concat(F.lit("$1Invoices totalling \\$"), n, F.lit(".50 are due.\n"))),
-        F.lit("\nTotal: $"), n, F.lit(".50"),
+    lines = F.split("text", "\n")
+    letter = F.concat(F.lit("Invoices totalling $"), n, F.lit(".50 are due."))
+    planted = F.array_join(
+        F.concat(F.slice(lines, 1, PAGE - 1), F.array(letter), F.array(F.concat(F.lit("Total: $"), n, F.lit(".50"))),
+                 F.slice(lines, F.lit(PAGE), F.size(lines))),
+        "\n",
     )
     lines = pt.cut_pages(table(spark, sf, "documents").withColumn("text", planted), "doc_id", "text", PAGE)
     return pt.orphan_totals(lines, "doc_id", VALUES)

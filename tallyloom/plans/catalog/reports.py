@@ -1 +1,135 @@
-"""Queries."""
+"""The composite report and the user-code surface."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+
+from tallyloom.operators import joins, usercode
+from tallyloom.operators.aggregate import Summary
+from tallyloom.operators.select import Clause, Parameter
+from tallyloom.operators.topn import TopN
+from tallyloom.plans import report
+from tallyloom.plans.catalog import query, table
+
+
+@query("""
+with base as (select n_name, c_mktsegment, o_orderdate, o_orderkey, o_totalprice from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
+  where o_orderstatus in ('F', 'O') and o_totalprice > 50000),
+x as (select *, round(stddev_samp(o_totalprice) over (partition by n_name), 2) as price_sd,
+  row_number() over (partition by n_name, c_mktsegment order by o_orderdate, o_orderkey) as nth,
+  round(sum(o_totalprice) over (partition by n_name), 2) as total_g1, round(sum(o_totalprice) over (partition by n_name, c_mktsegment), 2) as total_g2,
+  round(sum(o_totalprice) over (partition by n_name, c_mktsegment) * 100 / sum(o_totalprice) over (partition by n_name), 4) as share from base),
+r as (select n_name, dense_rank() over (order by round(sum(o_totalprice), 6) desc) as rk from base group by 1)
+select case when rk <= 5 then x.n_name else 'Others' end as n_name, c_mktsegment, o_orderdate, o_orderkey, o_totalprice, price_sd, nth, total_g1, total_g2, share
+from x join r on x.n_name = r.n_name
+""")
+def grouped_report(spark, sf):
+    """Flagship: orders by nation and segment, selected by parameters, with totals, shares and the best five nations."""
+    tables = {n: table(spark, sf, n) for n in ("orders", "customer", "nation")}
+    links = [(("orders", "o_custkey"), ("customer", "c_custkey")), (("customer", "c_nationkey"), ("nation", "n_nationkey"))]
+    rows = joins.link_tables(tables, links)
+    definition = report.Report(
+        select={c: c for c in ("n_name", "c_mktsegment", "o_orderdate", "o_orderkey", "o_totalprice")},
+        where=[Clause("o_orderstatus", "=", param="status"), Clause("o_totalprice", ">", param="least")],
+        parameters=[Parameter("status", multi_value=True), Parameter("least", 50000)],
+        groups=[("n_name", False), ("c_mktsegment", False)],
+        sorts=[("o_orderdate", False), ("o_orderkey", False)],
+        summaries=[Summary("total", "Sum", "o_totalprice")],
+        running=[report.Running("nth", "Count", "o_orderkey", "c_mktsegment")],
+        spread=[report.Spread("o_totalprice", {"price_sd": "StdDev"}, "n_name")],
+        percent=[report.Percent("share", "o_totalprice", "c_mktsegment", "n_name")],
+        top_n=[TopN("n_name", "o_totalprice", n=5)],
+    )
+    out = report.grouped_report(rows, definition, {"status": ["F", "O"]})
+    return out.withColumns(
+        {"price_sd": F.round("price_sd", 2), "total_g1": F.round("total_g1", 2), "total_g2": F.round("total_g2", 2), "share": F.round("share", 4)}
+    )
+
+
+@query("select o_orderkey, upper(left(o_orderpriority, 1)) || '-' || o_orderstatus as code, o_totalprice / 100 as hundreds from orders")
+def row_script(spark, sf):
+    import pandas as pd
+
+    def script(frame: pd.DataFrame) -> pd.DataFrame:
+        code = frame["o_orderpriority"].str[:1].str.upper() + "-" + frame["o_orderstatus"]
+        return pd.DataFrame({"code": code, "hundreds": frame["o_totalprice"] / 100})
+
+    out = usercode.row_script(
+        table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice"), script,
+        ["o_orderpriority", "o_orderstatus", "o_totalprice"], "code string, hundreds double",
+    )
+    return out.select("o_orderkey", "code", "hundreds")
+
+
+@query("select count(*) as rows, round(sum(l_quantity), 2) as quantity from lineitem")
+def flow_script(spark, sf):
+    """Start, main and end script: every partition counts its rows and reports once at its end."""
+    import pandas as pd
+
+    def main(state, frame):
+        state["rows"] += len(frame)
+        state["quantity"] += float(frame["l_quantity"].sum())
+        return pd.DataFrame({"rows": [], "quantity": []}).astype({"rows": "int64", "quantity": "float64"})
+
+    parts = usercode.flow_script(
+        table(spark, sf, "lineitem").select("l_quantity"), main, "rows bigint, quantity double", lambda: {"rows": 0, "quantity": 0.0},
+        lambda state: pd.DataFrame({"rows": [state["rows"]], "quantity": [state["quantity"]]}),
+    )
+    return parts.agg(F.sum("rows").alias("rows"), F.round(F.sum("quantity"), 2).alias("quantity"))
+
+
+@query("select user_id, max(value) - min(value) as spread from events group by 1")
+def group_script(spark, sf):
+    import pandas as pd
+
+    def spread(frames):
+        low, high, user = None, None, None
+        for f in frames:
+            user = f["user_id"].iloc[0]
+            low = f["value"].min() if low is None else min(low, f["value"].min())
+            high = f["value"].max() if high is None else max(high, f["value"].max())
+        yield pd.DataFrame({"user_id": [user], "spread": [high - low]})
+
+    return usercode.group_script(table(spark, sf, "events").select("user_id", "value"), "user_id", spread, "user_id bigint, spread double")
+
+
+@query("""
+select p_partkey, unnest(generate_series(1, p_size % 4)) as copy_no from part
+""")
+def row_generator(spark, sf):
+    @udtf(returnType="copy_no: bigint")
+    class Copies:
+        def eval(self, n: int):
+            for i in range(1, n + 1):
+                yield (i,)
+
+    parts = table(spark, sf, "part").select("p_partkey", (F.col("p_size") % 4).alias("n"))
+    return usercode.row_generator(parts, Copies, F.col("n").outer()).select("p_partkey", "copy_no")
+
+
+@query("select l_returnflag, round(ln(sum(exp(l_tax))), 6) as log_sum from lineitem group by 1")
+def custom_aggregate(spark, sf):
+    """Log-sum-exp, reduced over salted slices of a group and then over the slices."""
+    import numpy as np
+    import pandas as pd
+
+    def reduce_slice(v: pd.Series) -> float:
+        top = v.max()
+        return float(top + np.log(np.exp(v - top).sum()))
+
+    out = usercode.custom_aggregate(table(spark, sf, "lineitem"), "l_returnflag", "log_sum", reduce_slice, "l_tax", merge=reduce_slice)
+    return out.withColumn("log_sum", F.round("log_sum", 6))
+
+
+@query("""
+select c_nationkey, count(*) as customers, round(sum(c_acctbal), 2) as balance from customer where c_acctbal > 0 group by 1
+""")
+def sub_flow(spark, sf):
+    def positive(df):
+        return df.filter("c_acctbal > 0")
+
+    def by_nation(df):
+        return df.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+    return usercode.sub_flow(table(spark, sf, "customer"), positive, by_nation)
