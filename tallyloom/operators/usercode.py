@@ -17,8 +17,13 @@ from tallyloom.core import names
 
 def row_script(df: DataFrame, fn: Callable, columns, outputs: str | StructType) -> DataFrame:
     """Vectorised per-row script: ``fn(pandas frame of columns) -> pandas frame of outputs``."""
-    cols = names(columns)
-    run = F.pandas_udf(fn, outputs)
+    import pandas as pd
+
+    def script(frame):
+        return fn(frame)
+
+    script.__annotations__ = {"frame": pd.DataFrame, "return": pd.DataFrame}
+    cols, run = names(columns), F.pandas_udf(script, outputs)
     out = df.withColumn("__script", run(F.struct(*cols)))
     return out.select(*df.columns, "__script.*")
 
@@ -58,6 +63,16 @@ def row_generator(df: DataFrame, udtf, *args: Column) -> DataFrame:
     return df.lateralJoin(udtf(*args))
 
 
+def _grouped(fn: Callable, kind: str):
+    import pandas as pd
+
+    def reduce(values):
+        return fn(values)
+
+    reduce.__annotations__ = {"values": pd.Series, "return": float}
+    return F.pandas_udf(reduce, kind)
+
+
 def custom_aggregate(df: DataFrame, keys, out: str, fn: Callable, column: str | Column, kind: str = "double",
                      merge: Callable | None = None) -> DataFrame:
     """Aggregate written in Python.
@@ -67,12 +82,12 @@ def custom_aggregate(df: DataFrame, keys, out: str, fn: Callable, column: str |
     """
     keys = names(keys)
     c = F.col(column) if isinstance(column, str) else column
-    one = F.pandas_udf(fn, kind)
+    one = _grouped(fn, kind)
     if merge is None:
         return df.groupBy(*keys).agg(one(c).alias(out))
     slices = df.select(*keys, c.alias("__v"), F.pmod(F.xxhash64(*df.columns), F.lit(64)).alias("__slice"))
     partial = slices.groupBy(*keys, "__slice").agg(one(F.col("__v")).alias("__p"))
-    return partial.groupBy(*keys).agg(F.pandas_udf(merge, kind)(F.col("__p")).alias(out))
+    return partial.groupBy(*keys).agg(_grouped(merge, kind)(F.col("__p")).alias(out))
 
 
 def sub_flow(df: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:

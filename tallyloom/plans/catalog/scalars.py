@@ -50,7 +50,7 @@ def text_functions(spark, sf):
 
 
 @query("""
-select p_partkey, array_to_string(list_transform(string_split(p_name, ' '), w -> upper(w[1]) || lower(w[2:])), ' ') as proper from part
+select p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') as proper from part
 """)
 def proper_case(spark, sf):
     return table(spark, sf, "part").select("p_partkey", text.proper_case(F.col("p_name")).alias("proper"))

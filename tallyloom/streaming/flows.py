@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from tallyloom.core import match_on, names, scratch_path
+from tallyloom.core import join_back, match_on, names, scratch_path
 from tallyloom.operators import load
 from tallyloom.operators.aggregate import Agg, agg_column
+from tallyloom.operators.ordered import running_values
 from tallyloom.operators.select import is_true, route
 
 
@@ -103,71 +104,77 @@ def stream_aggregate(
     return cells.select(*names(keys), F.col("__w.start").alias("window_start"), F.col("__w.end").alias("window_end"), *out)
 
 
-def stream_running(stream: DataFrame, key: str, time: str, value: str, op: str = "sum") -> DataFrame:
-    """Running value per key over an unbounded flow: (key, time, value, running).
+def _drain(query: StreamingQuery, wait: bool) -> StreamingQuery:
+    if wait:
+        query.awaitTermination()
+    return query
 
-    Rows of one micro-batch are taken in time order; the state is one number pair per key. A batch of a key arrives
-    in Arrow chunks, so a busy key is streamed through, not loaded whole.
-    """
-    import pandas as pd
-    from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-    if op not in ("sum", "count", "average", "maximum", "minimum"):
+def stream_running(
+    stream: DataFrame,
+    keys,
+    order,
+    value: str,
+    op: str,
+    out: str,
+    base: str,
+    checkpoint: str,
+    wait: bool = True,
+) -> StreamingQuery:
+    """Running value per key over an unbounded flow; rows go to ``base/rows``.
+
+    Each micro-batch runs the batch operator, which spreads hot keys over tasks, and adds what earlier batches left
+    in the totals table ``base/totals/v=<batch>``. Totals and rows are written per batch id, so a replayed batch
+    rewrites the same files and counts once. Rows are ordered within a batch; batches follow each other.
+    """
+    keys = names(keys)
+    fold = {"sum": "s", "count": "n", "average": "s", "maximum": "hi", "minimum": "lo"}
+    if op not in fold:
         raise ValueError(f"unsupported running operation {op!r}")
-    key_type = stream.schema[key].dataType.simpleString()
-    time_type = stream.schema[time].dataType.simpleString()
-
-    class Running(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.total = handle.getValueState("total", "acc double, n bigint")
-
-        def handleInputRows(self, group, rows, timer_values):
-            seen = self.total.get() if self.total.exists() else None
-            acc, n = (seen[0], seen[1]) if seen else (None, 0)
-            frames = [f for f in rows]
-            if not frames:
-                return
-            frame = pd.concat(frames).sort_values([time, value], kind="stable")
-            v = frame[value].astype("float64")
-            counts = v.notna().cumsum() + n
-            if op in ("maximum", "minimum"):
-                run = (v.cummax() if op == "maximum" else v.cummin()).ffill()
-                if acc is not None:
-                    run = run.fillna(acc).clip(lower=acc) if op == "maximum" else run.fillna(acc).clip(upper=acc)
-                last = run.iloc[-1]
-            else:
-                run = v.fillna(0.0).cumsum() + (acc or 0.0)
-                last = run.iloc[-1]
-            shown = {"count": counts.astype("float64"), "average": run / counts.where(counts > 0)}.get(op, run)
-            self.total.update((None if pd.isna(last) else float(last), int(counts.iloc[-1])))
-            yield pd.DataFrame({key: group[0], time: frame[time], value: v, "running": shown})
-
-        def close(self) -> None:
-            pass
-
-    return stream.select(key, time, value).groupBy(key).transformWithStateInPandas(
-        statefulProcessor=Running(),
-        outputStructType=f"{key} {key_type}, {time} {time_type}, {value} double, running double",
-        outputMode="Append",
-        timeMode="None",
+    totals = [F.sum(value).alias("s"), F.count(value).alias("n"), F.max(value).alias("hi"), F.min(value).alias("lo")]
+
+    def feed(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        batch = batch.persist()
+        ran = running_values(
+            batch, [("count" if op == "count" else "sum" if op == "average" else op, value, "__l"), ("count", value, "__n")],
+            order, keys,
+        )
+        now, new = F.col("__l"), batch.groupBy(*keys).agg(*totals)
+        if batch_id > 0:
+            before = session.read.parquet(f"{base}/totals/v={batch_id - 1}")
+            ran = join_back(ran, before, keys)
+            had, n = F.col(fold[op]), F.coalesce(F.col("n"), F.lit(0)) + F.col("__n")
+            joint = F.when(had.isNull(), now).when(now.isNull(), had).otherwise(had + now)
+            new = before.unionByName(new).groupBy(*keys).agg(
+                F.sum("s").alias("s"), F.sum("n").alias("n"), F.max("hi").alias("hi"), F.min("lo").alias("lo")
+            )
+        else:
+            had, n, joint = F.lit(None), F.col("__n"), now
+        shown = {"maximum": F.greatest(now, had), "minimum": F.least(now, had), "average": F.try_divide(joint, n)}.get(op, joint)
+        ran.select(*batch.columns, shown.alias(out)).write.mode("overwrite").parquet(f"{base}/rows/batch={batch_id}")
+        new.write.mode("overwrite").parquet(f"{base}/totals/v={batch_id}")
+        batch.unpersist()
+
+    return _drain(
+        stream.writeStream.foreachBatch(feed).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), wait
     )
 
 
 def stream_apply_changes(
     changes: DataFrame,
-    spark: SparkSession,
     base: str,
     keys,
     seq,
     op: str,
     checkpoint: str,
     deletes: Sequence[str] = ("delete",),
-    available_now: bool = True,
+    wait: bool = True,
 ) -> StreamingQuery:
     """Change subscriber feeding a table of Parquet versions below ``base``.
 
     Each micro-batch writes the version of its batch id from the version before, so a replayed batch rewrites the same
-    version and counts once. ``base/v=-1`` is the starting table.
+    version and counts once. ``start_table`` puts the table there that the first batch changes.
     """
 
     def feed(batch: DataFrame, batch_id: int) -> None:
@@ -176,8 +183,19 @@ def stream_apply_changes(
         after = load.apply_changes(before, batch, keys, seq, op, deletes)
         after.write.mode("overwrite").parquet(f"{base}/v={batch_id}")
 
-    writer = changes.writeStream.foreachBatch(feed).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    return _drain(
+        changes.writeStream.foreachBatch(feed).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), wait
+    )
+
+
+def start_table(table: DataFrame, base: str) -> None:
+    table.write.parquet(f"{base}/v=-1")
+
+
+def newest_version(spark: SparkSession, base: str, query: StreamingQuery) -> DataFrame:
+    """Table as of the last finished batch of ``query``."""
+    done = [p["batchId"] for p in query.recentProgress]
+    return spark.read.parquet(f"{base}/v={max(done)}")
 
 
 class FlowMeter(StreamingQueryListener):
