@@ -30,6 +30,9 @@ MAX_BLOCKS = 10_000
 
 SAMPLE_PER_BLOCK = 20
 
+TREE_NODES = 63
+"""Borders compared in generated code; a larger method would not be compiled by the JVM."""
+
 
 @dataclass
 class Blocks:
@@ -74,39 +77,66 @@ def _order_struct(df: DataFrame, order: Sequence[tuple[str, bool]]) -> Column:
     return F.struct(*[p.alias(f"s{i}") for i, p in enumerate(parts)])
 
 
+def _at_or_above(parts: Sequence[Column], border: Sequence) -> Column:
+    """Is the sort key at or above the border? Columns are compared in turn; NULL sorts first."""
+    test = None
+    for part, value in reversed(list(zip(parts, border, strict=True))):
+        above = part.isNotNull() if value is None else F.coalesce(part > F.lit(value), F.lit(False))
+        equal = part.isNull() if value is None else F.coalesce(part == F.lit(value), F.lit(False))
+        test = above | equal if test is None else above | (equal & test)
+    return test
+
+
 def _block_expression(df: DataFrame, order: Sequence[tuple[str, bool]], rows: int, blocks: int) -> Column:
     """Block number of a row: how many sampled borders are at or below its sort key.
 
-    The borders are at most ``blocks - 1`` sort keys; they are embedded as one literal array and looked up by
-    binary search, so the expression costs O(log blocks) per row and needs neither join nor shuffle.
+    There are at most ``blocks - 1`` borders, cut to the leading sort columns that tell them apart. They are looked
+    up by binary search, as generated code for the upper levels and in a literal array below, so the expression needs
+    neither join nor shuffle.
     """
     key = _order_struct(df, order)
     sample = df.select(key.alias("s"))
     every = max(1, rows // (blocks * SAMPLE_PER_BLOCK))
     if every > 1:
         sample = sample.filter(F.pmod(F.xxhash64("s"), F.lit(every)) == 0)
-    borders = (
+    found = (
         sample.agg(F.sort_array(F.collect_set("s")).alias("a"))
         .select(
             F.expr(
-                f"array_distinct(transform(sequence(1, {blocks - 1}), "
-                f"i -> get(a, cast(i * cast(size(a) as bigint) div {blocks} as int))))"
+                f"transform(sequence(1, {blocks - 1}), i -> get(a, cast(i * cast(size(a) as bigint) div {blocks} as int)))"
             ).alias("b")
         )
-        .select(F.filter("b", lambda x: x.isNotNull()).alias("b"))
+        .first()["b"]
     )
-    kind = borders.schema["b"].dataType.simpleString()
-    found = borders.select(F.size("b").alias("n"), F.to_json("b").alias("j")).first()
-    count = found["n"] or 0
-    if count < 1:
+    borders = list(dict.fromkeys(tuple(row) for row in found if row is not None))
+    if not borders:
         return F.lit(0)
-    table = F.from_json(F.lit(found["j"]), kind)
-    steps = [1 << bit for bit in reversed(range(count.bit_length()))]
+    width = next(w for w in range(1, len(borders[0]) + 1) if len({b[:w] for b in borders}) == len(borders))
+    borders = [b[:width] for b in borders]
+    parts = [p for column, desc in order for p in _comparable(df, column, desc)][:width]
+
+    def tree(spots: Sequence[int], low: int, high: int) -> Column:
+        """Number of borders at or below the key, counted in steps of ``spots``."""
+        if low == high:
+            return F.lit(0 if low == 0 else spots[low - 1] + 1)
+        mid = (low + high) // 2
+        return F.when(_at_or_above(parts, borders[spots[mid]]), tree(spots, mid + 1, high)).otherwise(tree(spots, low, mid))
+
+    stride = -(-len(borders) // TREE_NODES)
+    spots = range(stride - 1, len(borders), stride)
+    coarse = tree(spots, 0, len(spots))
+    if stride == 1:
+        return coarse
+    kind = ", ".join(f"s{i}: {df.select(p.alias('s')).schema['s'].dataType.simpleString()}" for i, p in enumerate(parts))
+    literal = F.array(*[F.struct(*[F.lit(v).alias(f"s{i}") for i, v in enumerate(b)]) for b in borders])
+    table = F.lit(literal).cast(f"array<struct<{kind}>>")
+    short = F.struct(*[p.alias(f"s{i}") for i, p in enumerate(parts)])
+    steps = [1 << bit for bit in reversed(range((stride - 1).bit_length()))]
     return F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
+        coarse,
         lambda low, step: F.when(
-            (low + step <= count) & (F.get(table, low + step - 1) <= key), low + step
+            (low + step <= len(borders)) & (F.get(table, low + step - 1) <= short), low + step
         ).otherwise(low),
     )
 

@@ -101,16 +101,18 @@ def _stream(lines: DataFrame, doc: str) -> DataFrame:
     words = F.filter(F.split(F.trim(F.col("line")), r"(?U)\s+"), lambda w: w != "")
     page = _page_texts(lines, doc, words)
     text = page.select(doc, "page_no", _squeeze(normal_line(F.array_join(F.flatten("a"), " "))).alias("text"))
-    sized = text.filter(F.col("text") != "").withColumn(
-        "__len", (F.length(F.encode("text", "UTF-16BE")) / 2).cast("long")
+    text = cut_lineage(text.filter(F.col("text") != ""))
+    # positions are worked out without carrying the texts along
+    sized = text.select(
+        doc, "page_no", (F.length(F.encode("text", "UTF-16BE")) / 2).cast("long").alias("__len"), F.left("text", F.lit(GRAM - 1)).alias("__head")
     )
-    placed = cut_lineage(running(sized, "sum", "__len", "__end", "page_no", doc))
+    placed = running(sized, "sum", "__len", "__end", "page_no", doc)
     start = F.col("__end") - F.col("__len")
-    following = placed.select(
-        F.col(doc).alias("__d"), start.alias("__at"), F.left("text", F.lit(GRAM - 1)).alias("__more")
+    following = placed.select(F.col(doc).alias("__d"), start.alias("__at"), F.col("__head").alias("__more"))
+    spot = placed.join(following, (F.col(doc) == F.col("__d")) & (F.col("__end") == F.col("__at")), "left").select(
+        doc, "page_no", start.alias("start"), F.coalesce("__more", F.lit("")).alias("__more")
     )
-    both = placed.join(following, (F.col(doc) == F.col("__d")) & (F.col("__end") == F.col("__at")), "left")
-    return both.select(doc, start.alias("start"), F.concat("text", F.coalesce("__more", F.lit(""))).alias("text"))
+    return text.join(spot, [doc, "page_no"]).select(doc, "start", F.concat("text", "__more").alias("text"))
 
 
 def _found_in_stream(wanted: DataFrame, lines: DataFrame, doc: str) -> DataFrame:

@@ -20,7 +20,7 @@ def _conversion(spark, sf):
     lines = F.transform(
         F.split("text", "\n"), lambda line, i: F.concat(line, F.when(i % 3 == 2, F.lit(" ")).otherwise(F.lit("\n")))
     )
-    text = F.concat(F.lit("Converted copy\n"), F.regexp_replace(F.array_join(lines, ""), r"\bthis\b", ""))
+    text = F.concat(F.lit("Converted copy\n"), F.replace(F.array_join(lines, ""), F.lit(" this "), F.lit(" ")))
     return pt.cut_pages(table(spark, sf, "documents").withColumn("text", text), "doc_id", "text", PAGE)
 
 
@@ -103,11 +103,45 @@ def orphan_totals(spark, sf):
     return pt.orphan_totals(lines, "doc_id", VALUES)
 
 
-@query()
+_BOTH = _LINES + f""",
+ct as (select doc_id, 'Converted copy' || chr(10) || replace(array_to_string(list_transform(string_split(text, chr(10)),
+  lambda x, i: x || case when i % 3 = 0 then ' ' else chr(10) end), ''), ' this ', ' ') as text from documents),
+cl as (select doc_id, ((ord - 1) // {PAGE})::int as page_no, ((ord - 1) % {PAGE})::int as line_no, line from (
+  select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as ord from ct)),
+cn as (select doc_id, page_no, line_no, {_norm('line')} as norm from cl)
+"""
+
+
+@query("with " + _BOTH + f""",
+pg as (select doc_id, page_no, {_norm("string_agg(line, ' ' order by line_no)")} as t from cl group by 1, 2),
+st as (select doc_id, replace(string_agg(t, '' order by page_no), ' ', '') as stream from pg group by 1),
+a as (select doc_id, norm, min(page_no) as page_no from n where norm <> '' group by 1, 2),
+c as (select doc_id, norm, min(page_no) as new_page from cn where norm <> '' group by 1, 2)
+select a.doc_id, a.norm, a.page_no, case when new_page = a.page_no then 'same' when new_page is not null then 'moved'
+  when contains(stream, replace(a.norm, ' ', '')) then 'wrapped' else 'missing' end as state, new_page
+from a left join c on a.doc_id = c.doc_id and a.norm = c.norm join st on st.doc_id = a.doc_id
+""")
 def line_parity(spark, sf):
     return pt.line_parity(_pages(spark, sf), _conversion(spark, sf), "doc_id")
 
 
-@query()
+def _page_sets(lines: str, page: str) -> str:
+    return f"""select doc_id, page_no as {page}, sig, len(sig) as size, row_number() over (partition by doc_id, sig order by page_no) as copy
+  from (select doc_id, page_no, list_sort(list(distinct norm)) as sig from {lines} where norm <> '' group by 1, 2)"""
+
+
+@query("with " + _BOTH + f""",
+pa as ({_page_sets('n', 'page_a')}), pb as ({_page_sets('cn', 'page_b')}),
+la as (select doc_id, page_a, size, sig, unnest(sig) as norm from pa where copy = 1),
+lb as (select doc_id, page_b, size, sig, unnest(sig) as norm from pb where copy = 1),
+sh as (select la.doc_id, la.sig as sig_a, lb.sig as sig_b, page_a, page_b, count(*) as shared, count(*) / least(min(la.size), min(lb.size)) as overlap
+  from la join lb on la.doc_id = lb.doc_id and la.norm = lb.norm group by 1, 2, 3, 4, 5),
+ok as (select * from sh where overlap >= 0.4::double),
+ba as (select doc_id, sig_a, arg_max(sig_b, (overlap, shared, -page_b)) as sig_b from ok group by 1, 2),
+bb as (select doc_id, sig_b, arg_max(sig_a, (overlap, shared, -page_a)) as sig_a from ok group by 1, 2),
+mu as (select ok.doc_id, sig_a, sig_b, overlap from ok join ba using (doc_id, sig_a, sig_b) join bb using (doc_id, sig_a, sig_b))
+select mu.doc_id, pa.page_a, pb.page_b, round(overlap, 4) as overlap from mu join pa on pa.doc_id = mu.doc_id and pa.sig = mu.sig_a
+  join pb on pb.doc_id = mu.doc_id and pb.sig = mu.sig_b and pb.copy = pa.copy
+""")
 def pair_pages(spark, sf):
     return pt.pair_pages(_pages(spark, sf), _conversion(spark, sf), "doc_id")
