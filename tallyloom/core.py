@@ -124,3 +124,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def written(df: DataFrame, stem: str = "step") -> DataFrame:
+    """An intermediate that several later steps read, as a Parquet table in the shared folder.
+
+    It is computed once, survives lost executors, and each reader scans only the columns it needs.
+    """
+    path = scratch_path(df.sparkSession, stem)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.core import cut_lineage
+from tallyloom.core import written
 from tallyloom.functions.text import normal_line
 from tallyloom.operators.ordered import longest_run, running
 
@@ -55,12 +55,12 @@ def _furniture(norm: DataFrame, doc: str) -> DataFrame:
 def boilerplate(lines: DataFrame, doc: str) -> DataFrame:
     """Page furniture (doc, norm): lines on most of the pages that have at least three different lines."""
     # normalising is the expensive part and its result is read three times
-    return _furniture(cut_lineage(normal_lines(lines).select(doc, "page_no", "norm").distinct()), doc)
+    return _furniture(written(normal_lines(lines).select(doc, "page_no", "norm").distinct()), doc)
 
 
 def content_lines(lines: DataFrame, doc: str) -> DataFrame:
     """Normalised lines that are not furniture."""
-    norm = cut_lineage(normal_lines(lines))
+    norm = written(normal_lines(lines))
     return norm.join(_furniture(norm, doc), [doc, "norm"], "left_anti")
 
 
@@ -101,7 +101,7 @@ def _stream(lines: DataFrame, doc: str) -> DataFrame:
     words = F.filter(F.split(F.trim(F.col("line")), r"(?U)\s+"), lambda w: w != "")
     page = _page_texts(lines, doc, words)
     text = page.select(doc, "page_no", _squeeze(normal_line(F.array_join(F.flatten("a"), " "))).alias("text"))
-    text = cut_lineage(text.filter(F.col("text") != ""))
+    text = written(text.filter(F.col("text") != ""))
     # positions are worked out without carrying the texts along
     sized = text.select(
         doc, "page_no", (F.length(F.encode("text", "UTF-16BE")) / 2).cast("long").alias("__len"), F.left("text", F.lit(GRAM - 1)).alias("__head")
@@ -127,12 +127,12 @@ def _found_in_stream(wanted: DataFrame, lines: DataFrame, doc: str) -> DataFrame
     pieces = needles.select(doc, "norm", last.alias("__last"), F.posexplode(_grams(F.col("__t"))).alias("__i", "__gram"))
     pieces = pieces.filter((F.col("__i") % GRAM == 0) | (F.col("__i") == F.col("__last")))
     need = F.floor(F.col("__last") / GRAM) + F.when(F.col("__last") % GRAM == 0, 1).otherwise(2)
-    grams = cut_lineage(pieces.select(doc, "norm", need.alias("__need"), "__i", "__gram"))
+    grams = written(pieces.select(doc, "norm", need.alias("__need"), "__i", "__gram"))
     stream = _stream(lines.join(grams.select(doc).distinct(), doc, "left_semi"), doc)
     spots = stream.select(doc, "start", F.posexplode(_grams(F.col("text"))).alias("__p", "__gram")).select(
         doc, "__gram", (F.col("start") + F.col("__p")).alias("__at")
     )
-    spots = cut_lineage(spots.join(grams.select(doc, "__gram").distinct(), [doc, "__gram"], "left_semi"))
+    spots = written(spots.join(grams.select(doc, "__gram").distinct(), [doc, "__gram"], "left_semi"))
     frequency = spots.groupBy(doc, "__gram").agg(F.count(F.lit(1)).alias("__f"))
     rated = grams.join(frequency, [doc, "__gram"], "left").withColumn("__f", F.coalesce("__f", F.lit(0)))
     seed = rated.groupBy(doc, "norm").agg(
@@ -159,7 +159,7 @@ def line_parity(original: DataFrame, converted: DataFrame, doc: str) -> DataFram
     """
     a = normal_lines(original).groupBy(doc, "norm").agg(F.min("page_no").alias("page_no"))
     b = normal_lines(converted).groupBy(doc, "norm").agg(F.min("page_no").alias("new_page"))
-    both = cut_lineage(a.join(b, [doc, "norm"], "left"))
+    both = written(a.join(b, [doc, "norm"], "left"))
     residue = both.filter(F.col("new_page").isNull()).select(doc, "norm")
     inside = _found_in_stream(residue, converted, doc).withColumn("__in", F.lit(True))
     state = (
@@ -202,7 +202,7 @@ def group_spans(lines: DataFrame, doc: str, values: Sequence[str]) -> DataFrame:
 
 def _owned_pages(lines: DataFrame, doc: str, values: Sequence[str]) -> DataFrame:
     """(doc, value, page_no) for the pages of each value's run; a run has as many pages as it has rows here."""
-    hits = cut_lineage(_value_hits(lines, doc, values))
+    hits = written(_value_hits(lines, doc, values))
     spans = longest_run(hits, [doc, "value"], "page_no")
     return (
         hits.join(spans, [doc, "value"]).filter(F.col("page_no").between(F.col("first_pos"), F.col("last_pos")))
@@ -277,11 +277,11 @@ def pair_pages(original: DataFrame, converted: DataFrame, doc: str, least: float
             F.sum(F.xxhash64("norm").cast("decimal(38,0)")).alias("__h1"),
             F.bit_xor(F.xxhash64("norm", F.lit(1))).alias("__h2"), F.count(F.lit(1)).alias("__size"),
         ).withColumn("sig", F.concat_ws(":", "__h1", "__h2", "__size"))
-        numbered = cut_lineage(running(sig, "count", F.lit(1), "copy", "page_no", [doc, "sig"]))
+        numbered = written(running(sig, "count", F.lit(1), "copy", "page_no", [doc, "sig"]))
         members = numbered.select(doc, "sig", "copy", F.col("page_no").alias(page))
         heads = numbered.filter(F.col("copy") == 1).select(doc, "page_no", "sig", "__size")
         kept = distinct.join(heads, [doc, "page_no"]).select(doc, "sig", "__size", "norm", F.col("page_no").alias("first"))
-        return cut_lineage(kept), members
+        return written(kept), members
 
     a, a_pages = pages(original, "page_a")
     b, b_pages = pages(converted, "page_b")
@@ -304,7 +304,7 @@ def pair_pages(original: DataFrame, converted: DataFrame, doc: str, least: float
         .groupBy(*ids).agg(F.count(F.lit(1)).alias("__shared"))
         .withColumn("overlap", F.col("__shared") / F.least("size_a", "size_b")).filter(F.col("overlap") >= least)
     )
-    shared = cut_lineage(shared)
+    shared = written(shared)
     # best partner each way: highest overlap, then most shared lines, then the earliest page
     rank_a = F.struct("overlap", "__shared", -F.col("first_b"))
     rank_b = F.struct("overlap", "__shared", -F.col("first_a"))

@@ -8,12 +8,12 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 
+from tallyloom.core import join_back, written
 from tallyloom.operators.aggregate import Summary, group_totals, percent_of_sum, spread_columns
 from tallyloom.operators.ordered import running_values
 from tallyloom.operators.select import Clause, Parameter, record_selection
 from tallyloom.operators.sets import report_order
 from tallyloom.operators.topn import TopN, top_n_others
-from tallyloom.core import join_back
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,8 @@ class Percent:
 @dataclass
 class Report:
     """A report query, applied in this order: selection, columns, spread, running values, group totals, percents,
-    Top-N, order. ``groups`` are (column, descending) from the outermost inwards."""
+    Top-N, order. ``groups`` are (column, descending) from the outermost inwards. ``stage`` writes the selected rows to
+    the shared folder first; switch it off when the input is a plain table scan."""
 
     select: Mapping[str, str | Column] | None = None
     where: Sequence[Clause] = ()
@@ -57,6 +58,7 @@ class Report:
     percent: Sequence[Percent] = ()
     top_n: Sequence[TopN] = ()
     limits: Mapping[str, int] = field(default_factory=dict)
+    stage: bool = True
 
 
 def grouped_report(df: DataFrame, report: Report, values: Mapping[str, Any] | None = None) -> DataFrame:
@@ -66,6 +68,9 @@ def grouped_report(df: DataFrame, report: Report, values: Mapping[str, Any] | No
     out = record_selection(df, report.where, report.parameters, values)
     if report.select:
         out = out.select(*[(F.expr(e) if isinstance(e, str) else e).alias(n) for n, e in report.select.items()])
+    if report.stage:
+        # totals, ranks and running values all read these rows: join and filter them once
+        out = written(out, "report")
     group_names = [g for g, _ in report.groups]
     for s in report.spread:
         outer = group_names[: group_names.index(s.group) + 1] if s.group else []
