@@ -305,9 +305,10 @@ def pair_pages(original: DataFrame, converted: DataFrame, doc: str, least: float
         .withColumn("overlap", F.col("__shared") / F.least("size_a", "size_b")).filter(F.col("overlap") >= least)
     )
     shared = written(shared)
-    # best partner each way: highest overlap, then most shared lines, then the earliest page
-    rank_a = F.struct("overlap", "__shared", -F.col("first_b"))
-    rank_b = F.struct("overlap", "__shared", -F.col("first_a"))
+    # best partner each way: highest overlap, most shared lines, nearest size, earliest page
+    near = -F.abs(F.col("size_a") - F.col("size_b"))
+    rank_a = F.struct("overlap", "__shared", near.alias("near"), -F.col("first_b"))
+    rank_b = F.struct("overlap", "__shared", near.alias("near"), -F.col("first_a"))
     best_a = shared.groupBy(doc, "sig_a").agg(F.max_by("sig_b", rank_a).alias("sig_b"))
     best_b = shared.groupBy(doc, "sig_b").agg(F.max_by("sig_a", rank_b).alias("sig_a"))
     mutual = best_a.join(best_b, [doc, "sig_a", "sig_b"])

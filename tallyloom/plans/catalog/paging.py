@@ -134,11 +134,12 @@ def _page_sets(lines: str, page: str) -> str:
 pa as ({_page_sets('n', 'page_a')}), pb as ({_page_sets('cn', 'page_b')}),
 la as (select doc_id, page_a, size, sig, unnest(sig) as norm from pa where copy = 1),
 lb as (select doc_id, page_b, size, sig, unnest(sig) as norm from pb where copy = 1),
-sh as (select la.doc_id, la.sig as sig_a, lb.sig as sig_b, page_a, page_b, count(*) as shared, count(*) / least(min(la.size), min(lb.size)) as overlap
+sh as (select la.doc_id, la.sig as sig_a, lb.sig as sig_b, page_a, page_b, count(*) as shared, count(*) / least(min(la.size), min(lb.size)) as overlap,
+  -abs(min(la.size) - min(lb.size)) as near
   from la join lb on la.doc_id = lb.doc_id and la.norm = lb.norm group by 1, 2, 3, 4, 5),
 ok as (select * from sh where overlap >= 0.4::double),
-ba as (select doc_id, sig_a, arg_max(sig_b, (overlap, shared, -page_b)) as sig_b from ok group by 1, 2),
-bb as (select doc_id, sig_b, arg_max(sig_a, (overlap, shared, -page_a)) as sig_a from ok group by 1, 2),
+ba as (select doc_id, sig_a, arg_max(sig_b, (overlap, shared, near, -page_b)) as sig_b from ok group by 1, 2),
+bb as (select doc_id, sig_b, arg_max(sig_a, (overlap, shared, near, -page_a)) as sig_a from ok group by 1, 2),
 mu as (select ok.doc_id, sig_a, sig_b, overlap from ok join ba using (doc_id, sig_a, sig_b) join bb using (doc_id, sig_a, sig_b))
 select mu.doc_id, pa.page_a, pb.page_b, round(overlap, 4) as overlap from mu join pa on pa.doc_id = mu.doc_id and pa.sig = mu.sig_a
   join pb on pb.doc_id = mu.doc_id and pb.sig = mu.sig_b and pb.copy = pa.copy
