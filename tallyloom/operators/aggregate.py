@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.core import join_back, names, sort_keys
-from tallyloom.operators.ordered import _order_struct, sequence
+from tallyloom.operators.ordered import _order_struct, running, sequence
 
 
 @dataclass(frozen=True)
@@ -21,7 +21,7 @@ class Agg:
     """``out = fn(arg)`` with an optional row condition; ``arg`` is a column, an expression or a Column.
 
     Functions: sum, count, count_rows, average, minimum, maximum, first, last (both need ``order``), count_distinct
-    (also spelled distinct), approx_distinct, std_dev, std_dev_pop, variance, variance_pop, median.
+   (also spelled distinct), approx_distinct, std_dev, std_dev_pop, variance, variance_pop.
     """
 
     out: str
@@ -55,11 +55,13 @@ def agg_column(df: DataFrame, spec: Agg) -> Column:
         return (F.min_by if fn == "first" else F.max_by)(arg, at).alias(spec.out)
     simple = {
         "sum": F.sum, "count": F.count, "average": F.avg, "minimum": F.min, "maximum": F.max,
-        "count_distinct": F.countDistinct, "approx_distinct": F.approx_count_distinct, "median": F.median,
+        "count_distinct": F.countDistinct, "approx_distinct": F.approx_count_distinct,
         "std_dev": F.stddev_samp, "std_dev_pop": F.stddev_pop, "variance": F.var_samp, "variance_pop": F.var_pop,
     }
     if fn == "list":
         raise ValueError("a list of unbounded length does not fit one cell; use list_values")
+    if fn == "median":
+        raise ValueError("an exact median needs the whole group in order; use median_values")
     if fn not in simple:
         raise ValueError(f"unknown aggregate {spec.fn!r}")
     return simple[fn](arg).alias(spec.out)
@@ -99,8 +101,6 @@ def list_values(
     elif order is None:
         # equal values are counted first, so sorting needs no tie break and repeats travel once
         counted = src.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("__n"))
-        from tallyloom.operators.ordered import running
-
         upto = running(counted, "sum", "__n", "__upto", col, keys, **limits)
         first_part = F.floor((F.col("__upto") - F.col("__n")) / part_items).cast("int") + 1
         last_part = F.floor((F.col("__upto") - 1) / part_items).cast("int") + 1
@@ -123,6 +123,24 @@ def list_values(
     )
 
 
+def median_values(df: DataFrame, keys, col: str, out: str = "median", **limits) -> DataFrame:
+    """Exact median per group, the mean of the two middle values for an even count.
+
+    Values are counted first and the counts run along the value order; a group is never held in one task.
+    """
+    keys = names(keys)
+    counted = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).cast("double").alias("__v")).agg(
+        F.count(F.lit(1)).alias("__n")
+    )
+    upto = running(counted, "sum", "__n", "__upto", "__v", keys, **limits)
+    total = counted.groupBy(*keys).agg(F.sum("__n").alias("__all"))
+    both = join_back(upto, total, keys) if keys else upto.join(F.broadcast(total), F.lit(True), "left")
+    before, low = F.col("__upto") - F.col("__n"), F.floor((F.col("__all") + 1) / 2)
+    high = F.floor(F.col("__all") / 2) + 1
+    middle = [F.max(F.when((before < at) & (F.col("__upto") >= at), F.col("__v"))) for at in (low, high)]
+    return both.groupBy(*keys).agg(((middle[0] + middle[1]) / 2).alias(out))
+
+
 def denormalize_list(df: DataFrame, keys, col: str, delim: str = ",", merge: bool = False, out: str | None = None,
                      **options) -> DataFrame:
     """Group values into delimited text; ``merge`` keeps each value once."""

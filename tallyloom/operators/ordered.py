@@ -403,6 +403,18 @@ def sample_lines(df: DataFrame, spec: str, order, **limits) -> DataFrame:
     return lines.filter(hits).drop(seq)
 
 
+GROUP_LIMIT = 1000
+"""Up to this n Spark drops rows beyond the n-th of a group before they are shuffled."""
+
+
+def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], n: int, out: str) -> DataFrame:
+    """First ``n`` rows per group numbered along a total order; no group is brought together in one task."""
+    if n <= GROUP_LIMIT:
+        w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order_columns(order))
+        return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= n)
+    return sequence(df, out, order, by=keys).filter(F.col(out) <= n).withColumn(out, F.col(out).cast("int"))
+
+
 def rank_n(df: DataFrame, group, by: str, n: int, out: str = "rank_index", top: bool = True, ties: str = "rank",
            order=None) -> DataFrame:
     """Top or bottom ``n`` per group with its rank; ``ties`` is ``rank``, ``dense`` or ``row`` (needs ``order``).
@@ -410,21 +422,16 @@ def rank_n(df: DataFrame, group, by: str, n: int, out: str = "rank_index", top:
     ``rank`` and ``dense`` are decided on the distinct values of a group, so rows that tie never meet in a
     window: their ranks are joined back. NULL measures are not ranked.
     """
-    keys = names(group)
+    keys, measured = names(group), df.filter(F.col(by).isNotNull())
     if ties == "row":
-        tie_break = sort_keys(order, "rank_n with ties='row'")
-        w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(
-            F.col(by).desc_nulls_last() if top else F.col(by).asc_nulls_last(), *order_columns(tie_break)
-        )
-        return df.filter(F.col(by).isNotNull()).withColumn(out, F.row_number().over(w)).filter(F.col(out) <= n)
+        return first_n(measured, keys, [(by, top), *sort_keys(order, "rank_n with ties='row'")], n, out)
     if ties not in ("rank", "dense"):
         raise ValueError("ties must be 'rank', 'dense' or 'row'")
-    values = df.filter(F.col(by).isNotNull()).groupBy(*keys, by).agg(F.count(F.lit(1)).alias("__rows"))
-    best = F.col(by).desc() if top else F.col(by).asc()
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(best)
-    kept = values.withColumn("__nth", F.row_number().over(w)).filter(F.col("__nth") <= n)
+    values = measured.groupBy(*keys, by).agg(F.count(F.lit(1)).alias("__rows"))
+    kept = first_n(values, keys, [(by, top)], n, "__nth")
     if ties == "rank":
-        earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+        # at most n distinct values per group are left
+        earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__nth").rowsBetween(Window.unboundedPreceding, -1)
         kept = kept.withColumn("__nth", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)) + 1)
         kept = kept.filter(F.col("__nth") <= n)
     ranks = kept.select(*keys, by, F.col("__nth").cast("int").alias(out))

@@ -23,11 +23,18 @@ def _sort_column(df: DataFrame, column: str, desc: bool, kind: str | None, case_
     return c.desc_nulls_last() if desc else c.asc_nulls_first()
 
 
+def _tie_break(df: DataFrame) -> list[Column]:
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return [F.xxhash64(*plain)] if plain else []
+
+
 def sort_rows(df: DataFrame, keys: Sequence[tuple], case_sensitive: bool = False) -> DataFrame:
-    """Sort by ``(column, "asc"|"desc"[, "alpha"|"num"|"date"])``; text ignores case unless told otherwise."""
-    return df.orderBy(
-        *[_sort_column(df, k[0], k[1] == "desc", k[2] if len(k) > 2 else None, case_sensitive) for k in keys]
-    )
+    """Sort by ``(column, "asc"|"desc"[, "alpha"|"num"|"date"])``; text ignores case unless told otherwise.
+
+    Rows that tie are told apart by a hash, so that a key value many rows share is still sorted by many tasks.
+    """
+    sorts = [_sort_column(df, k[0], k[1] == "desc", k[2] if len(k) > 2 else None, case_sensitive) for k in keys]
+    return df.orderBy(*sorts, *_tie_break(df))
 
 
 def report_order(df: DataFrame, groups: Sequence[tuple[str, bool]], record_sorts: Sequence[tuple[str, bool]] = (),
@@ -35,7 +42,7 @@ def report_order(df: DataFrame, groups: Sequence[tuple[str, bool]], record_sorts
     """Group keys with their direction, then record sorts that are not group keys; ``first`` goes before both."""
     grouped = {c for c, _ in groups}
     tail = [(c, d) for c, d in record_sorts if c not in grouped]
-    return df.orderBy(*order_columns([*[(c, False) for c in first], *groups, *tail]))
+    return df.orderBy(*order_columns([*[(c, False) for c in first], *groups, *tail]), *_tie_break(df))
 
 
 def sort_distinct(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.core import fresh, join_back
+from tallyloom.operators.ordered import first_n
 
 OTHERS_LAST = 2_147_483_647
 
@@ -46,10 +47,10 @@ def top_n_others(df: DataFrame, groups: Sequence[str], specs: Sequence[TopN]) ->
             # sums of doubles depend on the order of addition; equal totals must stay equal
             totals = totals.withColumn("__total", F.round(F.col("__total").cast("double"), 6))
         steps = totals.select(*parents, "__total").distinct()
-        best = F.col("__total").desc_nulls_last() if spec.desc else F.col("__total").asc_nulls_last()
-        w = Window.partitionBy(*(parents or [F.lit(0)])).orderBy(best)
         rank = fresh(df, f"rank_{spec.group}")
-        ladder = steps.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= spec.n)
+        # groups without any measure come last either way
+        gap = steps.withColumn("__gap", F.col("__total").isNull())
+        ladder = first_n(gap, parents, [("__gap", False), ("__total", spec.desc)], spec.n, rank).drop("__gap")
         kept = join_back(totals, ladder, [*parents, "__total"], "inner").select(*parents, spec.group, rank)
         labelled = join_back(df, kept, [*parents, spec.group])
         key = F.when(F.col(rank).isNotNull(), F.col(spec.group).cast("string")).otherwise(F.lit(spec.others_label))

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallyloom.core import names
+from tallyloom.core import names, shuffle_width
+from tallyloom.operators.ordered import sequence
 
 
 def row_script(df: DataFrame, fn: Callable, columns, outputs: str | StructType) -> DataFrame:
@@ -44,18 +45,23 @@ def flow_script(df: DataFrame, main: Callable, schema, start: Callable | None =
     return df.mapInPandas(run, schema)
 
 
-def group_script(df: DataFrame, keys, fn: Callable, schema) -> DataFrame:
-    """Script over batches of a group: ``fn(iterator of frames) -> iterator of frames``; a group is streamed, not
-    loaded as one frame."""
+def group_script(df: DataFrame, keys, fn: Callable, schema, order, part_rows: int = 100_000, **limits) -> DataFrame:
+    """Ordered script per group: ``fn(frame) -> frame``, called for parts of at most ``part_rows`` consecutive rows.
 
-    def run(batches):
-        yield from fn(batches)
-
-    # typed as Iterator[DataFrame] -> Iterator[DataFrame] so that Spark hands the group over in batches
+    Frames come sorted along ``order`` and carry their number in ``part``. Ordinary groups are one part; a group of
+    any size is spread over tasks, and the script's results per part are merged by an ordinary aggregate.
+    """
     import pandas as pd
 
-    run.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
-    return df.groupBy(*names(keys)).applyInPandas(run, schema)
+    keys = names(keys)
+    numbered = sequence(df, "__nth", order, by=keys, **limits)
+    parts = numbered.withColumn("part", F.floor((F.col("__nth") - 1) / part_rows).cast("int") + 1)
+
+    def run(frame):
+        return fn(frame.sort_values("__nth").drop(columns="__nth").reset_index(drop=True))
+
+    run.__annotations__ = {"frame": pd.DataFrame, "return": pd.DataFrame}
+    return parts.groupBy(*keys, "part").applyInPandas(run, schema)
 
 
 def row_generator(df: DataFrame, udtf, *args: Column) -> DataFrame:
@@ -73,20 +79,14 @@ def _grouped(fn: Callable, kind: str):
     return F.pandas_udf(reduce, kind)
 
 
-def custom_aggregate(df: DataFrame, keys, out: str, fn: Callable, column: str | Column, kind: str = "double",
-                     merge: Callable | None = None) -> DataFrame:
-    """Aggregate written in Python.
-
-    With ``merge`` it runs in two steps: ``fn`` reduces salted slices of a group to ``kind`` values and ``merge``
-    reduces those, so a hot group is spread over tasks. Without ``merge`` the group has to fit one task.
-    """
+def custom_aggregate(df: DataFrame, keys, out: str, reduce: Callable, merge: Callable, column: str | Column,
+                     kind: str = "double") -> DataFrame:
+    """Aggregate written in Python, in two steps: ``reduce`` turns salted slices of a group into ``kind`` values and
+    ``merge`` turns those into the result, so a hot group is spread over tasks."""
     keys = names(keys)
     c = F.col(column) if isinstance(column, str) else column
-    one = _grouped(fn, kind)
-    if merge is None:
-        return df.groupBy(*keys).agg(one(c).alias(out))
-    slices = df.select(*keys, c.alias("__v"), F.pmod(F.xxhash64(*df.columns), F.lit(64)).alias("__slice"))
-    partial = slices.groupBy(*keys, "__slice").agg(one(F.col("__v")).alias("__p"))
+    slices = df.select(*keys, c.alias("__v"), F.pmod(F.xxhash64(*df.columns), F.lit(shuffle_width(df.sparkSession))).alias("__slice"))
+    partial = slices.groupBy(*keys, "__slice").agg(_grouped(reduce, kind)(F.col("__v")).alias("__p"))
     return partial.groupBy(*keys).agg(_grouped(merge, kind)(F.col("__p")).alias(out))
 
 

@@ -67,6 +67,18 @@ def diff_positional(spark, sf):
     return compare.diff_positional(rows, rows.filter("c_custkey <> 1000"), "c_custkey").report
 
 
+@query("""
+select o_orderkey, o_orderkey % 3 <> 0 or o_totalprice = 0 as same, case when o_orderkey % 3 <> 0 then 'PASS' else 'FAIL' end as verdict from orders
+""")
+def values_equal(spark, sf):
+    """Padded text with trailing zeros against the number; every third one is off by a cent."""
+    price = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice") + 0.01).otherwise(F.col("o_totalprice"))
+    same = compare.values_equal(F.col("o_totalprice"), F.concat(F.lit("  "), price.cast("decimal(18,4)").cast("string")))
+    return table(spark, sf, "orders").select(
+        "o_orderkey", same.alias("same"), compare.verdict(same.cast("int").cast("double"), F.lit(True)).alias("verdict")
+    )
+
+
 _NUMBERS = r"""
 with t as (select lang, 'ref' as side, unnest(regexp_extract_all(text, '\(?-?[$€£]?\s?\d[\d,]*(?:\.\d+)?\)?')) as tok from documents
   union all select lang, 'ren', unnest(regexp_extract_all(replace(text, '7', '8'), '\(?-?[$€£]?\s?\d[\d,]*(?:\.\d+)?\)?')) from documents),

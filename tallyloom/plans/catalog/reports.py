@@ -83,15 +83,14 @@ def flow_script(spark, sf):
 def group_script(spark, sf):
     import pandas as pd
 
-    def spread(frames):
-        low, high, user = None, None, None
-        for f in frames:
-            user = f["user_id"].iloc[0]
-            low = f["value"].min() if low is None else min(low, f["value"].min())
-            high = f["value"].max() if high is None else max(high, f["value"].max())
-        yield pd.DataFrame({"user_id": [user], "spread": [high - low]})
+    def bounds(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": [frame["user_id"].iloc[0]], "low": [frame["value"].min()], "high": [frame["value"].max()]})
 
-    return usercode.group_script(table(spark, sf, "events").select("user_id", "value"), "user_id", spread, "user_id bigint, spread double")
+    parts = usercode.group_script(
+        table(spark, sf, "events").select("user_id", "event_id", "value"), "user_id", bounds, "user_id bigint, low double, high double",
+        "event_id", part_rows=1000,
+    )
+    return parts.groupBy("user_id").agg((F.max("high") - F.min("low")).alias("spread"))
 
 
 @query("""
@@ -118,7 +117,7 @@ def custom_aggregate(spark, sf):
         top = v.max()
         return float(top + np.log(np.exp(v - top).sum()))
 
-    out = usercode.custom_aggregate(table(spark, sf, "lineitem"), "l_returnflag", "log_sum", reduce_slice, "l_tax", merge=reduce_slice)
+    out = usercode.custom_aggregate(table(spark, sf, "lineitem"), "l_returnflag", "log_sum", reduce_slice, reduce_slice, "l_tax")
     return out.withColumn("log_sum", F.round("log_sum", 6))
 
 

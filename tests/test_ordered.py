@@ -103,6 +103,24 @@ def test_rank_n_with_ties(data, listed, ties, fn, top):
     assert listed(got) == listed(want)
 
 
+def test_rank_n_beyond_the_group_limit(data, listed, monkeypatch):
+    near = ordered.rank_n(data, "g", "v", 5, "r"), ordered.rank_n(data, "g", "v", 5, "r", ties="row", order="id")
+    want = [listed(df) for df in near]
+    monkeypatch.setattr(ordered, "GROUP_LIMIT", 1)
+    monkeypatch.setattr(ordered, "HOT_ROWS", 20)
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 10)
+    far = ordered.rank_n(data, "g", "v", 5, "r"), ordered.rank_n(data, "g", "v", 5, "r", ties="row", order="id")
+    assert [listed(df) for df in far] == want
+
+
+def test_median(data):
+    from tallyloom.operators.aggregate import median_values
+
+    want = {r.g: r.m for r in data.groupBy("g").agg(F.median("v").alias("m")).collect()}
+    got = {r.g: r.median for r in median_values(data, "g", "v", hot_rows=5, block_rows=4).collect()}
+    assert got == want
+
+
 def test_rank_by_aggregate(data, listed):
     got = ordered.rank_by_aggregate(data, "word", F.count("v"), "n", block_rows=2)
     w = Window.orderBy(F.col("n").desc())
