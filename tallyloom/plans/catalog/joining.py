@@ -199,8 +199,18 @@ def diff_rows(spark, sf):
     return joins.diff_rows(old, new, "c_custkey")
 
 
-@query("select n_name, r_name from nation, region")
+@query("""
+select n_name, p.o_orderpriority, count(o_orderkey) as orders from nation cross join (select distinct o_orderpriority from orders) p
+left join (select c_nationkey, o_orderpriority, o_orderkey from orders join customer on o_custkey = c_custkey where o_totalprice > 480000) o
+  on o.c_nationkey = n_nationkey and o.o_orderpriority = p.o_orderpriority group by 1, 2
+""")
 def cross(spark, sf):
-    nation, region = table(spark, sf, "nation").select("n_name"), table(spark, sf, "region").select("r_name")
-    # both are fixed reference tables: 25 nations and 5 regions at any scale
-    return joins.cross(nation, region, allow_pairs=True)
+    """Zero-filled grid: every nation with every priority (25 x 5 at any scale), counted orders joined to it."""
+    nation, orders = table(spark, sf, "nation").select("n_nationkey", "n_name"), table(spark, sf, "orders")
+    grid = joins.cross(nation, orders.select("o_orderpriority").distinct(), allow_pairs=True)
+    counts = (
+        orders.filter("o_totalprice > 480000").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy(F.col("c_nationkey").alias("n_nationkey"), "o_orderpriority").agg(F.count(F.lit(1)).alias("orders"))
+    )
+    filled = grid.join(counts, ["n_nationkey", "o_orderpriority"], "left")
+    return filled.select("n_name", "o_orderpriority", F.coalesce("orders", F.lit(0)).alias("orders"))

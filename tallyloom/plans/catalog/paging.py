@@ -33,9 +33,10 @@ def _norm(x: str) -> str:
     return f"case when length({masked}) >= 6 then {masked} else '' end"
 
 
-_LINES = f"""
+def _paged(source: str) -> str:
+    return f"""
 l as (select doc_id, ((ord - 1) // {PAGE})::int as page_no, ((ord - 1) % {PAGE})::int as line_no, line from (
-  select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as ord from documents)),
+  select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as ord from {source})),
 n as (select doc_id, page_no, line_no, {_norm('line')} as norm from l),
 d as (select distinct doc_id, page_no, norm from n where norm <> ''),
 f as (select doc_id, page_no from d group by 1, 2 having count(*) >= 3),
@@ -45,6 +46,9 @@ b as (select doc_id, norm from (select d.doc_id, d.norm, count(*) as c from d jo
 """
 
 
+_LINES = _paged("documents")
+
+
 @query("select doc_id, page_no, line_no, length(line)::int as chars from (with " + _LINES + " select * from l)")
 def cut_pages(spark, sf):
     return _pages(spark, sf).select("doc_id", "page_no", "line_no", F.length("line").alias("chars"))
@@ -64,7 +68,7 @@ def sparse_pages(spark, sf):
 
 
 _VALUES = ", ".join(f"('{v}')" for v in VALUES)
-_SPANS = _LINES + f""",
+_OWNED = f""",
 v(value) as (values {_VALUES}),
 h as (select distinct doc_id, page_no, value from l join v on contains(line, value)),
 o as (select * from h where not exists (select 1 from h g where g.doc_id = h.doc_id and g.page_no = h.page_no and g.value <> h.value and contains(g.value, h.value))),
@@ -72,6 +76,7 @@ i as (select *, page_no - row_number() over (partition by doc_id, value order by
 r as (select doc_id, value, min(page_no) as first_pos, max(page_no) as last_pos, count(*) as run_length from i group by doc_id, value, island),
 s as (select * from (select *, row_number() over (partition by doc_id, value order by run_length desc, first_pos) as rn from r) where rn = 1)
 """
+_SPANS = _LINES + _OWNED
 
 
 @query("with " + _SPANS + " select doc_id, value, first_pos, last_pos, run_length from s")
@@ -88,19 +93,43 @@ def group_breaks(spark, sf):
     return pt.group_breaks(_pages(spark, sf), "doc_id", VALUES)
 
 
-@query()
+def _found(pattern: str) -> str:
+    bare = f"list_transform(regexp_extract_all(t, '{pattern}', 1), lambda m: regexp_replace(m, '[^\\d.]', '', 'g'))"
+    return f"list_distinct(list_filter({bare}, lambda m: m <> ''))"
+
+
+@query(f"""
+with q as (select doc_id, string_split(text, chr(10)) as a, ((doc_id * 7919) % 9000)::varchar || '.50' as amount from documents),
+ot as (select doc_id, array_to_string(list_concat(list_concat(a[1:{PAGE - 1}], ['Invoices totalling $' || amount || ' are due.', 'Total: $' || amount]),
+  a[{PAGE}:]), chr(10)) as text from q),""" + _paged("ot") + _OWNED + f""",
+pt as (select doc_id, page_no, string_agg(line, chr(10) order by line_no) as t from l group by 1, 2),
+am as (select doc_id, page_no, {_found(pt.STATED_TOTAL)} as stated, {_found(pt.TOTAL_AMOUNT)} as totals, {_found(pt.ANY_MONEY)} as money from pt),
+ow as (select o.doc_id, o.page_no, arg_max(o.value, list_position({VALUES!r}, o.value)) as owner from o join s on o.doc_id = s.doc_id and o.value = s.value
+  where o.page_no between first_pos and last_pos group by 1, 2),
+co as (select doc_id, page_no, count(*) as content, bool_or(regexp_matches(norm, '{pt.TOTAL_MARKER}')) as marked from n
+  where norm <> '' and (doc_id, norm) not in (select doc_id, norm from b) group by 1, 2),
+pg as (select am.*, owner, content, marked, case when len(stated) > 0 then stated else money end as claims
+  from am left join ow using (doc_id, page_no) left join co using (doc_id, page_no)),
+j as (select c.doc_id, c.page_no, c.owner, c.content, c.marked, c.totals, e.owner as e_owner, e.claims as e_claims, e.stated as e_stated,
+  len(e.stated) > 0 and not list_has_any(e.stated, e.totals) and list_has_any(e.stated, c.totals) as declared
+  from pg c join pg e on c.doc_id = e.doc_id and c.page_no = e.page_no + 1)
+select doc_id, case when declared then coalesce(e_owner, list_min(e_stated)) else e_owner end as owner, page_no from j
+where declared or (content between 1 and 8 and marked and owner is null and e_owner is not null
+  and not (len(totals) > 0 and len(e_claims) > 0 and not list_has_any(e_claims, totals)))
+""")
 def orphan_totals(spark, sf):
     """Totals are planted: the last line of the first page states one, the next page begins with it."""
-    n = F.pmod(F.xxhash64("doc_id"), F.lit(9000)).cast("string")
+    amount = F.concat(((F.col("doc_id") * 7919) % 9000).cast("string"), F.lit(".50"))
     lines = F.split("text", "\n")
-    letter = F.concat(F.lit("Invoices totalling $"), n, F.lit(".50 are due."))
     planted = F.array_join(
-        F.concat(F.slice(lines, 1, PAGE - 1), F.array(letter), F.array(F.concat(F.lit("Total: $"), n, F.lit(".50"))),
-                 F.slice(lines, F.lit(PAGE), F.size(lines))),
+        F.concat(
+            F.slice(lines, 1, PAGE - 1), F.array(F.concat(F.lit("Invoices totalling $"), amount, F.lit(" are due."))),
+            F.array(F.concat(F.lit("Total: $"), amount)), F.slice(lines, F.lit(PAGE), F.size(lines)),
+        ),
         "\n",
     )
-    lines = pt.cut_pages(table(spark, sf, "documents").withColumn("text", planted), "doc_id", "text", PAGE)
-    return pt.orphan_totals(lines, "doc_id", VALUES)
+    paged = pt.cut_pages(table(spark, sf, "documents").withColumn("text", planted), "doc_id", "text", PAGE)
+    return pt.orphan_totals(paged, "doc_id", VALUES)
 
 
 _BOTH = _LINES + f""",

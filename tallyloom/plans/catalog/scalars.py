@@ -108,7 +108,7 @@ def canonical_number(spark, sf):
         "c_custkey", numbers.canonical_number(F.concat(F.when(bal < 0, "").otherwise("$ "), grouped)).alias("plain"),
         numbers.canonical_number(F.concat(F.lit("("), F.format_number(F.abs(bal), 2), F.lit(")"))).alias("wrapped"),
         numbers.canonical_number(F.lpad(F.col("c_custkey").cast("string"), 12, "0")).alias("padded"),
-        numbers.canonical_number(F.concat(F.lit("CSCU-"), F.col("c_custkey"))).alias("code"),
+        numbers.canonical_number(F.concat(F.lit("ACC-"), F.col("c_custkey"))).alias("code"),
     )
 
 

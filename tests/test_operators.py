@@ -237,7 +237,7 @@ def test_diff(spark, people, listed):
 
 
 def test_number_texts(spark):
-    texts = ["$ 1,234.50", "(42.00)", "007", "CSCU-100501", "-3.10", "", None]
+    texts = ["$ 1,234.50", "(42.00)", "007", "ACC-100501", "-3.10", "", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(numbers.canonical_number(F.col("t"))).collect()] == ["1234.5", "-42", "7", None, "-3.1", None, None]
     ref = spark.createDataFrame([("Total 10 of 12 on 2002/04/3",)], "t string")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import paged_text as pt
 
-WORDS = ["alpha", "beta", "gamma", "delta", "total", "totals", "Sporting", "Wheels", "amount"]
+WORDS = ["alpha", "beta", "gamma", "delta", "total", "totals", "Northern", "Cycles", "amount"]
 
 
 def document(rng, pages):
@@ -16,7 +16,7 @@ def document(rng, pages):
     for p in range(pages):
         body = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 12))]
         if rng.random() < 0.5:
-            body.append(rng.choice(["Sporting Wheels Inc.", "Wheels Inc.", "Acme"]))
+            body.append(rng.choice(["Northern Cycles Ltd", "Cycles Ltd", "Acme"]))
         if rng.random() < 0.5:
             body.append(f"invoices totalling ${rng.choice([10, 20, 30])}.50 are due")
         if rng.random() < 0.6:
@@ -62,7 +62,7 @@ def run_of(pages, value, values):
     return best
 
 
-VALUES = ["Wheels Inc.", "Sporting Wheels Inc.", "Acme"]
+VALUES = ["Cycles Ltd", "Northern Cycles Ltd", "Acme"]
 
 
 def money(pattern, text):
