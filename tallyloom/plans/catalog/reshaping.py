@@ -19,13 +19,13 @@ def normalize(spark, sf):
 
 
 @query("""
-with n as (select *, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as gk from lineitem)
+with n as (select *, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) as gk from lineitem)
 select gk, l_orderkey, 1 as gcid, l_discount as rate from n union all select gk, l_orderkey, 2, l_tax from n
 """)
 def normalizer(spark, sf):
     return reshape.normalizer(
         table(spark, sf, "lineitem"), {"rate": ["l_discount", "l_tax"]}, ["l_orderkey"], generated_key="gk",
-        order=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
+        order=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"],
     )
 
 
