@@ -147,7 +147,7 @@ def multi_lookup(df: DataFrame, lookups: Sequence[Lookup], outputs: Mapping[str,
         if output.catch_rejects:
             flow = catch_output_reject(df, accepted)
         else:
-            flow = df if output.condition is None else df.filter(is_true(output.condition))
+            flow = df if output.condition is None else df.filter(output.condition)
         flows[name] = flow.select(
             *[(F.expr(e) if isinstance(e, str) else e).alias(c) for c, e in output.columns.items()]
         )

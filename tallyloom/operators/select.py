@@ -68,8 +68,8 @@ def _left(condition: Condition) -> Column:
 
 def condition_column(condition: Condition) -> Column:
     if condition.function == "matches":
-        hit = is_true(F.col(condition.column).rlike(f"^(?:{condition.value})$"))
-        return ~hit if condition.op == "!=" else hit
+        hit = F.col(condition.column).rlike(f"^(?:{condition.value})$")
+        return ~is_true(hit) if condition.op == "!=" else hit
     left = _left(condition)
     if condition.value is None or condition.value == "":
         if condition.op not in ("==", "!="):
@@ -85,8 +85,8 @@ def condition_column(condition: Condition) -> Column:
     }
     if condition.op not in tests:
         raise ValueError(f"unknown operator {condition.op!r}")
-    # NULL on the left is false
-    return is_true(tests[condition.op])
+    # NULL on the left is never true; left as it is, the test can be pushed into the scan
+    return tests[condition.op]
 
 
 def filter_condition(conditions: Sequence[Condition], logical: str = "and") -> Column:
@@ -101,15 +101,13 @@ def filter_rows(df: DataFrame, conditions: Sequence[Condition], logical: str = "
 
 def split_filter(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
     """(pass, reject); a NULL condition goes to reject."""
-    hit = is_true(condition)
-    return df.filter(hit), df.filter(~hit)
+    return df.filter(condition), df.filter(~is_true(condition))
 
 
 def route(df: DataFrame, groups: Mapping[str, Column], default: str = "default") -> dict[str, DataFrame]:
     """Router: a row goes to every group whose condition holds, to ``default`` when none does."""
-    tests = {name: is_true(c) for name, c in groups.items()}
-    flows = {name: df.filter(t) for name, t in tests.items()}
-    flows[default] = df.filter(~any_of(tests.values()))
+    flows = {name: df.filter(c) for name, c in groups.items()}
+    flows[default] = df.filter(~any_of([is_true(c) for c in groups.values()]))
     return flows
 
 
@@ -329,7 +327,7 @@ def assert_rows(df: DataFrame, condition: Column, action: str = "fail", message:
     if action == "fail":
         return df.filter(F.when(good, F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
     if action == "drop":
-        return df.filter(good)
+        return df.filter(condition)
     if action == "count":
         seen = Observation()
         return df.observe(seen, F.count_if(~good).alias("bad_rows"), F.count(F.lit(1)).alias("rows")), seen

@@ -13,7 +13,7 @@ from tallyloom.core import join_back, match_on, names, scratch_path
 from tallyloom.operators import load
 from tallyloom.operators.aggregate import Agg, agg_column
 from tallyloom.operators.ordered import running_values
-from tallyloom.operators.select import is_true, route
+from tallyloom.operators.select import route
 
 
 def stream_files(spark: SparkSession, path: str, schema, format: str = "parquet", glob: str | None = None,
@@ -51,7 +51,7 @@ def encode_messages(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
 
 
 def stream_filter(stream: DataFrame, condition: Column) -> DataFrame:
-    return stream.filter(is_true(condition))
+    return stream.filter(condition)
 
 
 def stream_route(stream: DataFrame, groups: Mapping[str, Column], default: str = "default") -> dict[str, DataFrame]:
