@@ -24,7 +24,8 @@ def _sort_column(df: DataFrame, column: str, desc: bool, kind: str | None, case_
 
 
 def _tie_break(df: DataFrame) -> list[Column]:
-    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    # maps and variants cannot be hashed, wherever they are nested
+    plain = [f.name for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
     return [F.xxhash64(*plain)] if plain else []
 
 
