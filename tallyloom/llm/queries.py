@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tallyloom.llm import bpe_tree, dac
+from tallyloom.llm import bpe_tree, dac, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,3 +74,12 @@ def op4_directly_addressable(spark: SparkSession, folder: str) -> DataFrame:
     return dac.read(stored).select(
         "doc_id", "start", F.col("n_tokens"), F.crc32("ids").alias("ids_crc32"),
     )
+
+
+@query()
+def op2_divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts and verdict of every document, judged by references of the same documents."""
+    docs = table(spark, folder, "documents")
+    scored = quality.score(docs, quality.references(docs))
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return scored.select(*first, "nearest", "class_distance", "word_distance")
