@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tallyloom.llm import bpe_tree, dac, quality
+from tallyloom.llm import bpe_tree, dac, langid, licenses, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,3 +83,19 @@ def op2_divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
     scored = quality.score(docs, quality.references(docs))
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return scored.select(*first, "nearest", "class_distance", "word_distance")
+
+
+@query()
+def op8_language_bitmasks(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document, learned from those that aren't held out."""
+    docs = table(spark, folder, "documents")
+    found = langid.identify(docs, langid.train(docs))
+    return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op10_positional_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Places of licence phrases and licence labels of every document."""
+    docs = table(spark, folder, "documents")
+    found = licenses.find_licenses(docs, licenses.weigh(docs, licenses.template_index()))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
