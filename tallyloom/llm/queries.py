@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tallyloom.llm import bpe_tree, dac, langid, licenses, quality
+from tallyloom.llm import bpe_tree, dac, langid, licenses, mixing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -99,3 +99,11 @@ def op10_positional_licenses(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = licenses.find_licenses(docs, licenses.weigh(docs, licenses.template_index()))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query()
+def op9_entropy_balancing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    found = mixing.plan(table(spark, folder, "documents"))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return found.select("doc_id", "size", "source_size", "target", taken, "rate", "copies")
