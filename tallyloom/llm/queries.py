@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tallyloom.llm import bpe_tree, dac, langid, licenses, mixing, quality
+from tallyloom.llm import bpe_tree, chunks, dac, langid, licenses, mixing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,3 +107,10 @@ def op9_entropy_balancing(spark: SparkSession, folder: str) -> DataFrame:
     found = mixing.plan(table(spark, folder, "documents"))
     taken = (F.col("copies") * F.col("size")).alias("taken")
     return found.select("doc_id", "size", "source_size", "target", taken, "rate", "copies")
+
+
+@query()
+def op1_gear_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """What content-defined chunking removes from every document."""
+    found = chunks.dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
