@@ -26,27 +26,68 @@ from tallyloom.llm.arrow import documents, id_lists, parts, record
 from tallyloom.llm.words import WordCoder, coder
 
 #: Code points that are encoded at once.
-LEAF = 16_384
+LEAF = 32_768
 #: Code points next to a cut whose tokens are not trusted: longer than any special token or contraction.
 MARGIN = 16
 #: First width of a window on each side.
 WINDOW = 96
+#: Code points at the ends of a part whose tokens are placed ahead of the joins; a join that needs more places all.
+BORDER = 1024
 
 
 @dataclass
 class Tokens:
-    """Tokens of text[low:high]: ids, first and last code points within the whole text."""
+    """Neighbouring tokens: ids, first and last code points within the whole text."""
 
-    low: int
-    high: int
     ids: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
 
 
-def encode_part(words: WordCoder, text: str, low: int, high: int) -> Tokens:
+@dataclass
+class Part:
+    """The ids of text[low:high], and its first and last tokens with their places."""
+
+    low: int
+    high: int
+    ids: np.ndarray
+    head: Tokens
+    tail: Tokens
+
+
+def placed(words: WordCoder, text: str, low: int, high: int) -> Tokens:
     ids, starts, ends = words.encode_spans(text[low:high])
-    return Tokens(low, high, ids, starts + low, ends + low)
+    return Tokens(ids, starts + low, ends + low)
+
+
+def _equal_run(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def head_of(words: WordCoder, text: str, low: int, high: int, ids: np.ndarray) -> Tokens:
+    end = min(high, low + BORDER)
+    t = placed(words, text, low, end)
+    n = _equal_run(t.ids, ids)
+    if end < high:
+        n = min(n, int(np.searchsorted(t.ends, end - MARGIN, side="right")))
+    return Tokens(t.ids[:n], t.starts[:n], t.ends[:n])
+
+
+def tail_of(words: WordCoder, text: str, low: int, high: int, ids: np.ndarray) -> Tokens:
+    start = max(low, high - BORDER)
+    t = placed(words, text, start, high)
+    n = _equal_run(t.ids[::-1], ids[::-1])
+    if start > low:
+        n = min(n, len(t.ids) - int(np.searchsorted(t.starts, start + MARGIN)))
+    at = len(t.ids) - n
+    return Tokens(t.ids[at:], t.starts[at:], t.ends[at:])
+
+
+def part_of(words: WordCoder, text: str, low: int, high: int, ids: np.ndarray) -> Part:
+    return Part(low, high, ids, head_of(words, text, low, high, ids), tail_of(words, text, low, high, ids))
 
 
 def _whole(t: Tokens) -> np.ndarray:
@@ -80,37 +121,43 @@ def _common(part: Tokens, window: Tokens, low: int, high: int, last: bool) -> tu
     return here[key], there[key]
 
 
-def join_parts(words: WordCoder, text: str, left: Tokens, right: Tokens) -> Tokens:
-    """Tokens of two neighbouring parts as if their text had been encoded at once."""
-    cut, width = left.high, WINDOW
-    left_own = _whole(left)
+def join_parts(words: WordCoder, text: str, left: Part, right: Part) -> Part:
+    """The ids of two neighbouring parts as if their text had been encoded at once."""
+    cut, width, tail, head = left.high, WINDOW, left.tail, right.head
     while True:
+        if len(tail.ids) < len(left.ids) and (not len(tail.ids) or cut - width < tail.starts[0]):
+            tail = placed(words, text, left.low, left.high)
+        if len(head.ids) < len(right.ids) and (not len(head.ids) or cut + width > head.ends[-1]):
+            head = placed(words, text, right.low, right.high)
         low, first = left.low, 0
         if cut - width > left.low:
-            first = int(np.searchsorted(left.starts, cut - width))
-            while first > 0 and not (
-                first < len(left.ids) and left_own[first] and left.starts[first] <= cut - MARGIN
-                and _stands_alone(text, int(left.starts[first]))
-            ):
+            own, first = _whole(tail), min(int(np.searchsorted(tail.starts, cut - width)), len(tail.ids) - 1)
+            while first > 0 and not (own[first] and tail.starts[first] <= cut - MARGIN and _stands_alone(text, int(tail.starts[first]))):
                 first -= 1
-            low = int(left.starts[first]) if first else left.low
+            if first > 0:
+                low = int(tail.starts[first])
+            elif len(tail.ids) < len(left.ids):
+                width *= 4
+                continue
         high = min(right.high, cut + width)
-        window = encode_part(words, text, low, high)
-        from_left = (0, 0) if low == left.low else _common(left, window, low, cut - MARGIN, last=False)
+        window = placed(words, text, low, high)
+        from_left = (-len(tail.ids), 0) if low == left.low else _common(tail, window, low, cut - MARGIN, last=False)
         to_right = (
             (len(right.ids), len(window.ids)) if high == right.high
-            else _common(right, window, cut + MARGIN, high - MARGIN, last=True)
+            else _common(head, window, cut + MARGIN, high - MARGIN, last=True)
         )
         if from_left and to_right and from_left[1] <= to_right[1]:
-            (u, x), (v, y) = from_left, to_right
-            pick = lambda name: np.concatenate(
-                [getattr(left, name)[:u], getattr(window, name)[x:y], getattr(right, name)[v:]]
+            u = 0 if low == left.low else len(left.ids) - len(tail.ids) + from_left[0]
+            ids = np.concatenate([left.ids[:u], window.ids[from_left[1] : to_right[1]], right.ids[to_right[0] :]])
+            return Part(
+                left.low, right.high, ids,
+                left.head if len(left.head.ids) <= u else head_of(words, text, left.low, right.high, ids),
+                right.tail if len(right.tail.ids) <= len(right.ids) - to_right[0] else tail_of(words, text, left.low, right.high, ids),
             )
-            return Tokens(left.low, right.high, pick("ids"), pick("starts"), pick("ends"))
         width *= 4
 
 
-def join_tree(words: WordCoder, text: str, leaves: list[Tokens]) -> np.ndarray:
+def join_tree(words: WordCoder, text: str, leaves: list[Part]) -> np.ndarray:
     while len(leaves) > 1:
         pairs = [join_parts(words, text, a, b) for a, b in zip(leaves[::2], leaves[1::2])]
         leaves = pairs + leaves[len(pairs) * 2 :]
@@ -152,22 +199,17 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def leaves(batches):
         words = coder(tokenizer)
         for batch in parts(batches, "part"):
-            found = [words.encode_spans(x) for x in batch.column("part").to_pylist()]
-            offsets = np.cumsum([0, *(len(x[0]) for x in found)])
-            made = {n: id_lists(np.concatenate([x[k] for x in found]), offsets) for k, n in enumerate(("ids", "starts", "ends"))}
-            yield record({n: batch.column(n) for n in ("id", "key", "leaf", "part", "copies")} | made)
+            found = [words.encode(x) for x in documents(batch.column("part"))]
+            yield record({n: batch.column(n) for n in ("id", "key", "leaf", "part", "copies")} | {"ids": pa.array(found, pa.binary())})
 
     def together(table: pa.Table) -> pa.Table:
         rows = sorted(table.drop_columns(["id"]).to_pylist(), key=lambda r: r["leaf"])
-        low, tokens = 0, []
+        words, text, low, made = coder(tokenizer), "".join(r["part"] for r in rows), 0, []
         for r in rows:
             high = low + len(r["part"])
-            spans = (np.array(r[n], np.int64) for n in ("ids", "starts", "ends"))
-            ids, starts, ends = spans
-            tokens.append(Tokens(low, high, ids, starts + low, ends + low))
+            made.append(part_of(words, text, low, high, np.frombuffer(r["ids"], "<u4").astype(np.int64)))
             low = high
-        ids = join_tree(coder(tokenizer), "".join(r["part"] for r in rows), tokens)
-        n = rows[0]["copies"]
+        ids, n = join_tree(words, text, made), rows[0]["copies"]
         lists = id_lists(np.tile(ids, n), np.arange(n + 1) * len(ids))
         return pa.table({"id": table.column("id").combine_chunks().take(pa.array([0] * n)), "ids": lists})
 
@@ -178,7 +220,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     pieces = (
         base.filter(long).mapInArrow(cut, row(*leaf_row)).groupBy("id", "key", "leaf")
         .agg(F.any_value("part").alias("part"), F.count("*").alias("copies"))
-        .mapInArrow(leaves, row(*leaf_row, ("copies", T.LongType()), *((n, kinds["ids"]) for n in ("ids", "starts", "ends"))))
+        .mapInArrow(leaves, row(*leaf_row, ("copies", T.LongType()), ("ids", T.BinaryType())))
     )
     return whole.unionByName(pieces.groupBy("id", "key").applyInArrow(together, out)).withColumnRenamed("id", id_col)
 
