@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tallyloom.llm import bpe_tree, chunks, dac, langid, licenses, mixing, quality
+from tallyloom.llm import bpe_tree, chunks, dac, langid, licenses, mixing, pivots, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,3 +114,9 @@ def op1_gear_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """What content-defined chunking removes from every document."""
     found = chunks.dedup(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query()
+def op7_pivot_permutations(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return pivots.near_duplicates(table(spark, folder, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
