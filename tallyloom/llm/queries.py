@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tallyloom.llm import bpe_tree, chunks, dac, langid, licenses, mixing, pivots, quality
+from tallyloom.llm import bpe_tree, chunks, dac, jaccard, langid, licenses, mixing, pivots, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,3 +120,9 @@ def op1_gear_chunks(spark: SparkSession, folder: str) -> DataFrame:
 def op7_pivot_permutations(spark: SparkSession, folder: str) -> DataFrame:
     """Links and components of all vectors."""
     return pivots.near_duplicates(table(spark, folder, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+@query()
+def op5_prefix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document under links of similar shingle sets."""
+    return jaccard.similar_components(table(spark, folder, "documents"))
