@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tallyloom.llm import bpe_tree, chunks, dac, jaccard, langid, licenses, mixing, pivots, quality
+from tallyloom.llm import bpe_tree, chunks, dac, jaccard, langid, licenses, mixing, pivots, quality, suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -126,3 +126,10 @@ def op7_pivot_permutations(spark: SparkSession, folder: str) -> DataFrame:
 def op5_prefix_tree(spark: SparkSession, folder: str) -> DataFrame:
     """Component of every document under links of similar shingle sets."""
     return jaccard.similar_components(table(spark, folder, "documents"))
+
+
+@query()
+def op6_deep_shallow(spark: SparkSession, folder: str) -> DataFrame:
+    """What the removal of strings that occur again leaves of every document."""
+    found = suffix.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
