@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import functools
-import os
-import shutil
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 import public_tokenizers
 from tallyloom.llm import bpe_tree, chunks, dac, jaccard, langid, licenses, mixing, pivots, quality, suffix
+from tallyloom.llm.ship import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,19 +21,6 @@ SQL: dict[str, str] = {}
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, for sessions that were not started with it."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        _shipped.add(context.applicationId)
-        top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        name = os.path.join(tempfile.mkdtemp(), "tallyloom")
-        context.addPyFile(shutil.make_archive(name, "zip", top, "tallyloom"))
-
-
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its function name, with its equivalent SQL if there is one."""
 
@@ -133,3 +119,9 @@ def op6_deep_shallow(spark: SparkSession, folder: str) -> DataFrame:
     """What the removal of strings that occur again leaves of every document."""
     found = suffix.remove_repeats(table(spark, folder, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """All stages of the corpus pipeline on the documents."""
+    return corpus_pipeline.run(spark, folder)
