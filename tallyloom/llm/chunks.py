@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.core import fresh
 from tallyloom.llm.arrow import documents, parts, record, utf8
 
 #: Least and most bytes of a chunk; a border is found every 2**BORDER_BITS bytes on average once the least is reached.
@@ -134,21 +135,23 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, prefix: str = "") -> DataFrame:
-    """``docs`` with repeated passages removed from the text, and n_bytes, n_removed, n_spans (names after ``prefix``)."""
-    keyed = docs.withColumn(f"{prefix}key", F.xxhash64(text_col))
-    given = [F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("id"), F.col(f"{prefix}key").alias("key")]
-    found = repeats(keyed.select(*given, F.col(text_col).alias("text")))
-    found = found.select(F.col("id").alias(f"{prefix}id"), F.col("key").alias(f"{prefix}other"), F.col("spans").alias(f"{prefix}spans"))
-    same = (F.coalesce(keyed[id_col].cast("long"), F.lit(_LOWEST)) == found[f"{prefix}id"]) & (keyed[f"{prefix}key"] == found[f"{prefix}other"])
-    joined = keyed.join(found, same, "left").select(*(keyed[c] for c in docs.columns), f"{prefix}spans")
-    counts = [f"{prefix}{n}" for n in ("n_bytes", "n_removed", "n_spans")]
-    out = T.StructType([*docs.schema, *(T.StructField(n, T.LongType()) for n in counts)])
+    """``docs`` with repeated passages removed from the text, and n_bytes, n_removed, n_spans (names after ``prefix``).
 
-    names = docs.columns
+    A column of ``docs`` that has the name of one of these is replaced.
+    """
+    counts = [f"{prefix}{n}" for n in ("n_bytes", "n_removed", "n_spans")]
+    names = [c for c in docs.columns if c not in counts]
+    key, same_id, spans_col = (fresh(docs, n) for n in ("key", "id", "spans"))
+    given = F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST))
+    keyed = docs.select(*names, F.xxhash64(text_col).alias(key), given.alias(same_id))
+    found = repeats(keyed.select(F.col(same_id).alias("id"), F.col(key).alias("key"), F.col(text_col).alias("text")))
+    found = found.select(F.col("id").alias(same_id), F.col("key").alias(key), F.col("spans").alias(spans_col))
+    joined = keyed.join(found, [same_id, key], "left").select(*names, spans_col)
+    out = T.StructType([*docs.select(names).schema, *(T.StructField(n, T.LongType()) for n in counts)])
 
     def cut(batches):
         for batch in parts(batches, text_col):
-            column, spans = batch.column(text_col), batch.column(f"{prefix}spans")
+            column, spans = batch.column(text_col), batch.column(spans_col)
             offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(spans), 0).to_numpy())])
             flat = spans.flatten()
             starts, lengths = flat.field("start").to_numpy(), flat.field("length").to_numpy()

@@ -25,7 +25,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.core import written
+from tallyloom.core import fresh, written
 
 #: Weights of sources in order of their names, repeating, and the most copies of a document.
 WEIGHTS, MOST_COPIES = (5, 2, 1), 3
@@ -213,8 +213,9 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed documents, each as often as it is taken, with all their columns."""
-    plans = plan(docs, id_col, text_col, source_col).select(
-        F.col(id_col).alias("__id"), F.col("key").alias("__key"), F.col("copies").alias("__copies")).filter("__copies > 0").distinct()
-    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[id_col], docs[text_col]) == F.col("__key"))
-    many = F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))
-    return docs.join(plans, same).withColumn("__copy", many).select(*docs.columns)
+    same_id, key, copies, copy = (fresh(docs, n) for n in ("id", "key", "copies", "copy"))
+    plans = plan(docs, id_col, text_col, source_col).filter("copies > 0")
+    plans = plans.select(F.col(id_col).alias(same_id), F.col("key").alias(key), F.col("copies").cast("int").alias(copies)).distinct()
+    same = docs[id_col].eqNullSafe(plans[same_id]) & (F.xxhash64(docs[id_col], docs[text_col]) == plans[key])
+    many = F.explode(F.array_repeat(F.lit(1), F.col(copies)))
+    return docs.join(plans, same).withColumn(copy, many).select(*docs.columns)
