@@ -76,16 +76,24 @@ def diff(unit: str, start: Column, end: Column) -> Column:
 
 
 def elapsed(unit: str, start: Column, end: Column) -> Column:
-    """Completed days, months or years."""
+    """Completed days, months or years, negative backwards.
+
+    A month is complete when the day of month and the time of day it began at are reached: from 31 January none is complete
+    before March, and from 29 February no year before 1 March.
+    """
     if unit == "d":
         return F.datediff(end, start)
-    months = F.months_between(end, start, False)
-    whole = F.signum(months) * F.floor(F.abs(months))
+    if unit not in ("m", "yyyy"):
+        raise ValueError("unit must be d, m or yyyy")
+
+    def into_month(c: Column) -> Column:
+        return F.dayofmonth(c) * 86_400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+
+    borders, left = diff("m", start, end), into_month(end) - into_month(start)
+    whole = borders - F.when((borders > 0) & (left < 0), 1).when((borders < 0) & (left > 0), -1).otherwise(0)
     if unit == "m":
         return whole.cast("int")
-    if unit == "yyyy":
-        return (F.signum(whole) * F.floor(F.abs(whole) / 12)).cast("int")
-    raise ValueError("unit must be d, m or yyyy")
+    return (F.signum(whole) * F.floor(F.abs(whole) / 12)).cast("int")
 
 
 def add(unit: str, c: Column, n: Column | int) -> Column:

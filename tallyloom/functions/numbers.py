@@ -145,3 +145,11 @@ def random_date(low: str, high: str, seed: int, *ids: Column) -> Column:
     """Date in [low, high]."""
     days = F.datediff(F.lit(high).cast("date"), F.lit(low).cast("date"))
     return F.date_add(F.lit(low).cast("date"), F.pmod(hashed(seed, *ids), days + 1).cast("int"))
+
+
+def address_number(c: Column) -> Column:
+    """A dotted IPv4 address as a number, so that address ranges are number ranges; NULL for anything else."""
+    parts = F.split(F.trim(c), r"\.")
+    part = lambda i: F.get(parts, F.lit(i)).try_cast("long")
+    valid = F.trim(c).rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$") & F.forall(parts, lambda x: x.try_cast("int") <= 255)
+    return F.when(valid, ((part(0) * 256 + part(1)) * 256 + part(2)) * 256 + part(3))

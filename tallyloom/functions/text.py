@@ -135,14 +135,14 @@ def repair_byteswapped(c: Column) -> Column:
 
 # fixed value: whole month names and their usual abbreviations, shortened to three letters
 MONTHS = (
-    r"\b(?=[JFMASOND])(?:(Jan)(?:uary)?|(Feb)(?:ruary)?|(Mar)(?:ch)?|(Apr)(?:il)?|(May)|(Jun)e?|(Jul)y?|(Aug)(?:ust)?"
+    r"\b(?:(Jan)(?:uary)?|(Feb)(?:ruary)?|(Mar)(?:ch)?|(Apr)(?:il)?|(May)|(Jun)e?|(Jul)y?|(Aug)(?:ust)?"
     r"|(Sep)(?:t|tember)?|(Oct)(?:ober)?|(Nov)(?:ember)?|(Dec)(?:ember)?)\b"
 )
 MIN_LINE = 6
 
 
 def normal_line(c: Column) -> Column:
-    """Comparison form of a text line: blanks collapsed, months shortened, digits masked; short lines become ''."""
+    """A line as it is compared: single blanks, three-letter months, ``#`` for numbers; '' below MIN_LINE characters."""
     line = F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
     line = F.regexp_replace(line, MONTHS, "$1$2$3$4$5$6$7$8$9$10$11$12")
     line = F.regexp_replace(line, r"[\d,.]+", "#")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.core import join_back, names, sort_keys
+from tallyloom.core import all_of, join_back, names, sort_keys
 from tallyloom.operators.ordered import _order_struct, running, sequence
 
 
@@ -273,13 +273,14 @@ def crosstab(
     rows: Sequence[str],
     cols: Sequence[str],
     measures: Sequence[Measure],
-    values: Sequence[str] | None = None,
+    values: Sequence[str | tuple] | None = None,
     label_sep: str = "|",
 ) -> DataFrame:
     """Pivot with several row and column dimensions and measures Sum, Count, Average, Maximum, Minimum.
 
-    A level named twice counts once. Column labels join the column dimensions; pass ``values`` to fix them and save
-    a pass. Without them the labels are read first, and more than MAX_PIVOT_VALUES is an error, not a cut.
+    A level named twice counts once. Column labels join the column dimensions, NULL as ''; pass ``values``, labels or
+    tuples of the dimensions' values, to fix them and save a pass. Without them the dimensions are read first, and more
+    than MAX_PIVOT_VALUES is an error, not a cut. Different cells under one label are an error, never one of them.
     """
     rows, cols = list(dict.fromkeys(rows)), list(dict.fromkeys(cols))
     fns = {"sum": F.sum, "count": F.count, "average": F.avg, "maximum": F.max, "minimum": F.min}
@@ -293,18 +294,30 @@ def crosstab(
         [Agg(f"__m{i}", m.op, F.col(m.field)) for i, m in enumerate(measures)],
     ).withColumn("__label", label)
     if values is None:
-        found = [r["__label"] for r in cells.select("__label").distinct().limit(MAX_PIVOT_VALUES + 1).collect()]
+        found = cells.select(*cols).distinct().limit(MAX_PIVOT_VALUES + 1).collect()
         if len(found) > MAX_PIVOT_VALUES:
             raise ValueError(f"more than {MAX_PIVOT_VALUES} column labels; pass values=[...] or use the long form")
-        values = sorted(found)
+        shown = cells.select(F.struct(*cols).alias("v"), "__label").distinct().collect()
+        values = [tuple(v) for v, _ in sorted(shown, key=lambda r: r["__label"])]
+        labels = [r["__label"] for r in sorted(shown, key=lambda r: r["__label"])]
+    else:
+        labels = [v if isinstance(v, str) else label_sep.join("" if x is None else str(x) for x in v) for v in values]
+    if len(set(labels)) < len(labels):
+        raise ValueError("different column values have the same label; use another label_sep or replace NULLs")
 
     def name(value: str, m: Measure) -> str:
         return value if len(measures) == 1 else f"{value}_{m.label or m.op + '_' + m.field}"
 
+    def cell(value: str | tuple, measure: str) -> Column:
+        if isinstance(value, str):
+            hit = F.col("__label") == value
+        else:
+            hit = all_of(F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(cols, value, strict=True))
+        several = F.raise_error(F.lit(f"different column values have the label {value!r}"))
+        return F.when(F.count_if(hit) > 1, several).otherwise(F.max(F.when(hit, F.col(measure))))
+
     spread = [
-        F.max(F.when(F.col("__label") == v, F.col(f"__m{i}"))).alias(name(v, m))
-        for v in values
-        for i, m in enumerate(measures)
+        cell(v, f"__m{i}").alias(name(label, m)) for v, label in zip(values, labels, strict=True) for i, m in enumerate(measures)
     ]
     return cells.groupBy(*rows).agg(*spread)
 

@@ -19,11 +19,16 @@ MAX_SAMPLES = 20
 PASS_PARITY, NEAR_PARITY, NEAR_NUMBERS = 0.999, 0.95, 0.9
 
 
+def number_of(c: Column) -> Column:
+    """Text of a plain number as a double, else NULL: a cast alone would also take type suffixes such as ``1d``."""
+    return F.when(c.rlike(r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), c.try_cast("double"))
+
+
 def values_equal(expected: Column, actual: Column, tolerance: float = TOLERANCE) -> Column:
     """Equal as trimmed text, or both numbers within the tolerance; NULL counts as empty text."""
     e = F.trim(F.coalesce(expected.cast("string"), F.lit("")))
     a = F.trim(F.coalesce(actual.cast("string"), F.lit("")))
-    near = F.abs(e.try_cast("double") - a.try_cast("double")) <= tolerance
+    near = F.abs(number_of(e) - number_of(a)) <= tolerance
     return (e == a) | F.coalesce(near, F.lit(False))
 
 

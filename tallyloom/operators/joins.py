@@ -7,13 +7,15 @@ Reference sides are made unique by map-side combined aggregates, never by window
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyloom.core import any_of, fresh, is_true, join_back, match_on, names, sort_keys
+from tallyloom.core import all_of, any_of, fresh, is_true, join_back, match_on, names, sort_keys
 from tallyloom.operators.ordered import _order_struct, sequence
 
 HOW = {"normal": "inner", "left": "left", "right": "right", "full": "full"}
@@ -186,6 +188,16 @@ def simple_join(
     return main, inner_reject(df, ref, keys) if inner else df.limit(0)
 
 
+def _on_scale(df: DataFrame, col: str) -> Column:
+    """A number, date (days) or timestamp (seconds) as a double."""
+    kind = df.schema[col].dataType
+    if isinstance(kind, T.DateType):
+        return F.unix_date(col).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(col).cast("timestamp")) / F.lit(1e6)
+    return F.col(col).cast("double")
+
+
 def interval_match(
     df: DataFrame,
     col: str,
@@ -199,6 +211,9 @@ def interval_match(
 ) -> DataFrame:
     """Range lookup: every interval of ``ref`` that contains ``col``; strict bounds exclude their end.
 
+    Values and bounds are numbers, dates or timestamps, and of one kind; addresses in dotted text become numbers by
+    ``functions.numbers.address_number`` first.
+
     Each interval is filed under the power of two next above its length, in the two cells of that width it can
     touch. A value looks into one cell per width in use, so the range condition becomes an equi-join and only the
     bounds are left to check. Intervals of one width overlap a cell only if they cover much of it, so candidates
@@ -208,8 +223,8 @@ def interval_match(
         raise ValueError("how must be 'left' or 'inner'")
     low, high, v = F.col("__lo"), F.col("__hi"), F.col("__v")
     spans = ref.select(
-        F.col(lo).cast("double").alias("__dlo"),
-        F.col(hi).cast("double").alias("__dhi"),
+        _on_scale(ref, lo).alias("__dlo"),
+        _on_scale(ref, hi).alias("__dhi"),
         F.col(lo).alias("__lo"),
         F.col(hi).alias("__hi"),
         *[F.col(c).alias(o) for c, o in values.items()],
@@ -227,9 +242,9 @@ def interval_match(
     filed = spans.withColumn(
         "__cell", F.explode(F.sequence(cell(F.col("__dlo"), F.col("__w")), cell(F.col("__dhi"), F.col("__w"))))
     )
-    seen = df.select(F.col(col).alias("__v")).filter(F.col(col).isNotNull()).distinct()
+    seen = df.select(F.col(col).alias("__v"), _on_scale(df, col).alias("__dv")).filter(F.col(col).isNotNull()).distinct()
     probes = seen.withColumn("__w", F.explode(F.array(*[F.lit(w) for w in widths]).cast("array<int>"))).withColumn(
-        "__cell", cell(v.cast("double"), F.col("__w"))
+        "__cell", cell(F.col("__dv"), F.col("__w"))
     )
     inside = (v > low if lo_strict else v >= low) & (v < high if hi_strict else v <= high)
     hits = probes.join(filed, ["__w", "__cell"]).filter(inside).select("__v", *values.values())
@@ -241,33 +256,35 @@ def link_tables(
     links: Sequence[tuple[tuple[str, str], tuple[str, str]]],
     allow_pairs: bool = False,
 ) -> DataFrame:
-    """Join named tables along declared links, starting with the first table.
+    """Join named tables along declared links, breadth first from the first table.
 
-    A link is followed once one of its ends is placed. Tables no link reaches would need every pair of rows; that is
-    refused unless ``allow_pairs`` is set. A second link between placed tables is applied as a filter.
+    A table is joined on all links between it and the tables joined so far, so a second link between two tables is one
+    more condition, and a link of a table to itself filters it. Links that name other tables are passed over. A table
+    that no link reaches would need every pair of rows; that is refused unless ``allow_pairs`` is set.
     """
-    order = list(tables)
-    placed, joined = [order[0]], tables[order[0]]
-    todo, progress = list(links), True
-    while progress and todo:
-        progress = False
-        for link in list(todo):
-            (st, sc), (dt, dc) = link
-            if st in placed and dt in placed:
-                joined = joined.filter(tables[st][sc] == tables[dt][dc])
-            elif st in placed and dt in tables:
-                joined = joined.join(tables[dt], tables[st][sc] == tables[dt][dc])
-                placed.append(dt)
-            elif dt in placed and st in tables:
-                joined = joined.join(tables[st], tables[dt][dc] == tables[st][sc])
-                placed.append(st)
-            else:
-                continue
-            todo.remove(link)
-            progress = True
-    for name in order:
-        if name not in placed:
-            joined = cross(joined, tables[name], allow_pairs)
+    near: dict[str, list[tuple[str, str, str]]] = {name: [] for name in tables}
+    sources = dict(tables)
+    for (a, a_column), (b, b_column) in links:
+        if a == b and a in sources:
+            sources[a] = sources[a].filter(F.col(a_column) == F.col(b_column))
+        elif a in near and b in near:
+            near[a].append((a_column, b, b_column))
+            near[b].append((b_column, a, a_column))
+    joined: DataFrame | None = None
+    reached: set[str] = set()
+    for root in sources:
+        if root in reached:
+            continue
+        joined = sources[root] if joined is None else cross(joined, sources[root], allow_pairs)
+        reached.add(root)
+        waiting = deque([root])
+        while waiting:
+            for _, name, _ in near[waiting.popleft()]:
+                if name not in reached:
+                    matches = [sources[name][own] == sources[to][column] for own, to, column in near[name] if to in reached]
+                    joined = joined.join(sources[name], all_of(matches))
+                    reached.add(name)
+                    waiting.append(name)
     return joined
 
 

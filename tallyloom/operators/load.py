@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.core import match_on, names, sort_keys
+from tallyloom.core import join_back, match_on, names, sort_keys
 from tallyloom.operators.joins import one_per_key
 from tallyloom.operators.ordered import _order_struct
 
@@ -50,14 +50,14 @@ DD_INSERT, DD_UPDATE, DD_DELETE, DD_REJECT = 0, 1, 2, 3
 
 
 def apply_strategy(target: DataFrame, source: DataFrame, flag_col: str, keys) -> tuple[DataFrame, DataFrame]:
-    """(result, rejects): each source row is inserted, updated, deleted or rejected by its flag.
+    """(result, rejects): each source row is inserted, updated, deleted or rejected by its flag; NULL keys are equal.
 
     An insert of a known key and an unknown flag are rejected; an update or delete of an unknown key does nothing.
     """
     keys = _keys(keys)
     flag = F.col(flag_col)
-    known = source.join(target.select(*keys), keys, "left_semi")
-    unknown = source.join(target.select(*keys), keys, "left_anti")
+    known = join_back(source, target.select(*keys), keys, "left_semi")
+    unknown = join_back(source, target.select(*keys), keys, "left_anti")
     inserts = unknown.filter(flag == DD_INSERT).drop(flag_col)
     updates = known.filter(flag == DD_UPDATE).drop(flag_col)
     deletes = source.filter(flag == DD_DELETE).select(*keys)
@@ -90,10 +90,10 @@ def apply_changes(
 
 
 def delete_rows(target: DataFrame, keys_df: DataFrame, keys) -> DataFrame:
-    """Rows whose key is not listed."""
+    """Rows whose key is not listed; NULL keys are equal, as in ``upsert``."""
     keys = _keys(keys)
     gone = keys_df.select(*[F.col(k).alias(f"__d_{k}") for k in keys])
-    return target.join(gone, match_on(target, gone, [(k, f"__d_{k}") for k in keys]), "left_anti")
+    return target.join(gone, match_on(target, gone, [(k, f"__d_{k}") for k in keys], null_safe=True), "left_anti")
 
 
 def truncate_load(df: DataFrame, path: str) -> None:

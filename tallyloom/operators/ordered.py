@@ -5,8 +5,9 @@ third of all rows, or for a report-wide running value whose only group is the wh
 a size limit are cut into blocks that are contiguous in the sort order. Windows then run per (group, block), and
 what has to flow from one block to the next travels in a small per-block table.
 
-Block borders come from a hashed sample of the sort keys, so the block of a row is a plain expression of its own
-values: nothing has to be materialised, and a recomputed task finds the same block again.
+Block borders come from a sample of rows drawn by a hash of the row, so the block of a row is a plain expression of its
+own values: nothing has to be materialised, and a recomputed task finds the same block again. The same hash completes an
+order that isn't total: rows with equal sort keys stand in the order of their hashes, cut or uncut, on every run.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ HOT_ROWS = 1_000_000
 """Groups up to this size always run as one ordinary window."""
 
 BLOCK_ROWS = 50_000
-"""Aimed rows per block; the block count is also bounded by four times the shuffle width and MAX_BLOCKS."""
+"""Aimed rows per block; their number follows the rows up to MAX_BLOCKS."""
 
 MAX_BLOCKS = 10_000
+"""Bound of the borders that travel inside the plan: beyond 5 x 10^8 hot rows, blocks grow instead of multiplying."""
 
 SAMPLE_PER_BLOCK = 20
 
@@ -36,11 +38,12 @@ TREE_NODES = 63
 
 @dataclass
 class Blocks:
-    """``df`` with an integer block column; ``split`` tells whether any group was cut at all."""
+    """``df`` with an integer block column and a row hash; ``split`` tells whether any group was cut at all."""
 
     df: DataFrame
     block: str
     split: bool
+    order: list[tuple[str, bool]]  # the sort spec, completed by the row hash
 
 
 def _comparable(df: DataFrame, column: str, desc: bool) -> list[Column]:
@@ -53,7 +56,8 @@ def _comparable(df: DataFrame, column: str, desc: bool) -> list[Column]:
     elif isinstance(kind, (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         value = c.cast("int").cast("long") if isinstance(kind, T.BooleanType) else c.cast("long")
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
-        return [c.isNull(), -c.cast("double")] if desc else [c.cast("double")]
+        # NaN is the largest value and stays NaN when negated
+        return [c.isNull(), ~F.isnan(c), -c.cast("double")] if desc else [c.cast("double")]
     elif isinstance(kind, T.DecimalType):
         return [c.isNull(), -c] if desc else [c]
     elif isinstance(kind, T.StringType):
@@ -87,8 +91,13 @@ def _at_or_above(parts: Sequence[Column], border: Sequence) -> Column:
     return test
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns that can be hashed; maps are left out."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()])
+
+
 def _block_expression(df: DataFrame, order: Sequence[tuple[str, bool]], rows: int, blocks: int) -> Column:
-    """Block number of a row: how many sampled borders are at or below its sort key.
+    """Block number of a row: how many sampled borders are at or below its sort key, whose last part is the row hash.
 
     There are at most ``blocks - 1`` borders, cut to the leading sort columns that tell them apart. They are looked
     up by binary search, as generated code for the upper levels and in a literal array below, so the expression needs
@@ -98,9 +107,9 @@ def _block_expression(df: DataFrame, order: Sequence[tuple[str, bool]], rows: in
     sample = df.select(key.alias("s"))
     every = max(1, rows // (blocks * SAMPLE_PER_BLOCK))
     if every > 1:
-        sample = sample.filter(F.pmod(F.xxhash64("s"), F.lit(every)) == 0)
+        sample = df.filter(F.pmod(F.col(order[-1][0]), F.lit(every)) == 0).select(key.alias("s"))
     found = (
-        sample.agg(F.sort_array(F.collect_set("s")).alias("a"))
+        sample.agg(F.sort_array(F.collect_list("s")).alias("a"))
         .select(
             F.expr(
                 f"transform(sequence(1, {blocks - 1}), i -> get(a, cast(i * cast(size(a) as bigint) div {blocks} as int)))"
@@ -159,20 +168,22 @@ def cut_hot_groups(
     width = shuffle_width(df.sparkSession)
 
     def count_blocks(rows: int) -> int:
-        return int(min(4 * max(width, 8), MAX_BLOCKS, -(-rows // block_rows)))
+        return int(min(MAX_BLOCKS, -(-rows // block_rows)))
 
+    tie = fresh(df, "tie")
+    df, order = df.withColumn(tie, row_hash(df)), [*order, (tie, False)]
     if not keys:
         rows = df.count()
         blocks = count_blocks(rows)
         if blocks < 2:
-            return Blocks(df.withColumn(block, F.lit(0)), block, False)
-        return Blocks(df.withColumn(block, _block_expression(df, order, rows, blocks)), block, True)
+            return Blocks(df.withColumn(block, F.lit(0)), block, False, order)
+        return Blocks(df.withColumn(block, _block_expression(df, order, rows, blocks)), block, True, order)
 
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
     total = sizes.agg(F.sum("__rows").alias("all"), F.max("__rows").alias("top")).first()
     limit = max(hot_rows, (total["all"] or 0) // (4 * width))
     if (total["top"] or 0) <= limit:
-        return Blocks(df.withColumn(block, F.lit(0)), block, False)
+        return Blocks(df.withColumn(block, F.lit(0)), block, False, order)
     hot = sizes.filter(F.col("__rows") > limit)
     listed = hot.collect()
     hot_keys = df.sparkSession.createDataFrame(
@@ -184,7 +195,7 @@ def cut_hot_groups(
     blocks = max(2, count_blocks(rows))
     number = _block_expression(marked.filter(F.col(flag)), order, rows, blocks)
     cut = marked.withColumn(block, F.when(F.col(flag), number).otherwise(F.lit(0))).drop(flag)
-    return Blocks(cut, block, True)
+    return Blocks(cut, block, True, order)
 
 
 def with_carry(cut: Blocks, keys: Sequence[str], partials: Sequence[Column], carries: dict[str, Column]) -> DataFrame:
@@ -247,7 +258,7 @@ def running_values(
     cut = cut_hot_groups(src, keys, by, hot_rows, block_rows)
     local = (
         Window.partitionBy(*keys, cut.block)
-        .orderBy(*order_columns(by))
+        .orderBy(*order_columns(cut.order))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     outs = [out for _, _, out in specs]
@@ -256,7 +267,8 @@ def running_values(
         cells = {o: plain[op](F.col(v)).over(local) for o, op, v in zip(outs, ops, values, strict=True)}
         return cut.df.withColumns(cells).select(*kept, *outs)
 
-    # an average travels between blocks as a sum and a count
+    # cut or uncut, a value has the type of the plain window; an average travels between blocks as a sum and a count
+    kinds = src.select(*[plain[op](v).alias(o) for o, op, v in zip(outs, ops, values, strict=True)]).schema
     basic = {**plain, "average": F.sum}
     fold = {"sum": F.sum, "count": F.sum, "average": F.sum, "maximum": F.max, "minimum": F.min}
     partials, carries, here, cells = [], {}, {}, {}
@@ -270,9 +282,12 @@ def running_values(
             partials.append(F.count(v).alias(f"__q{i}"))
             carries[f"__d{i}"] = F.sum(f"__q{i}")
             here[f"__n{i}"] = F.count(v).over(local)
-            cells[out] = F.try_divide(joint.cast("double"), F.coalesce(F.col(f"__d{i}"), F.lit(0)) + F.col(f"__n{i}"))
+            many = F.coalesce(F.col(f"__d{i}"), F.lit(0)) + F.col(f"__n{i}")
+            exact = isinstance(kinds[out].dataType, T.DecimalType)
+            value = F.try_divide(joint, many.cast("decimal(20,0)")) if exact else F.try_divide(joint.cast("double"), many)
         else:
-            cells[out] = {"maximum": F.greatest(before, now), "minimum": F.least(before, now)}.get(op, joint)
+            value = {"maximum": F.greatest(before, now), "minimum": F.least(before, now)}.get(op, joint)
+        cells[out] = value.cast(kinds[out].dataType)
     carried = with_carry(cut, keys, partials, carries)
     return carried.withColumns(here).withColumns(cells).select(*kept, *outs)
 
@@ -324,7 +339,7 @@ def previous_rows(df: DataFrame, columns, n: int, order, by=None, hot_rows=None,
     wanted, keys, order_by = names(columns), names(by), sort_keys(order, "previous_rows")
     kept = df.columns
     cut = cut_hot_groups(df, keys, order_by, hot_rows, block_rows)
-    local = Window.partitionBy(*keys, cut.block).orderBy(*order_columns(order_by))
+    local = Window.partitionBy(*keys, cut.block).orderBy(*order_columns(cut.order))
 
     def label(c: str, i: int) -> str:
         return f"{c}_prev{i}"
@@ -337,14 +352,14 @@ def previous_rows(df: DataFrame, columns, n: int, order, by=None, hot_rows=None,
     # Only the first n rows of a block look into earlier blocks. They and the last n rows of every block are a
     # small table that is contiguous wherever a look-back crosses a block border.
     pos = fresh(df, "pos")
-    backwards = Window.partitionBy(*keys, cut.block).orderBy(*order_columns(order_by, reverse=True))
+    backwards = Window.partitionBy(*keys, cut.block).orderBy(*order_columns(cut.order, reverse=True))
     placed = looked.withColumn(pos, F.row_number().over(local))
     tail = fresh(df, "tail")
     edges = (
         cut.df.withColumns({pos: F.row_number().over(local), tail: F.row_number().over(backwards)})
         .filter((F.col(pos) <= n) | (F.col(tail) <= n))
     )
-    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(cut.block, *order_columns(order_by))
+    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(cut.block, *order_columns(cut.order))
     crossing = (
         edges.select(
             *keys, cut.block, pos, *[e.over(across).alias(f"__x_{name}") for name, e in lags.items()]

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.core import fresh, join_back
 from tallyloom.operators.ordered import first_n
@@ -43,9 +44,9 @@ def top_n_others(df: DataFrame, groups: Sequence[str], specs: Sequence[TopN]) ->
         if op not in fns:
             raise ValueError(f"unsupported Top-N operation {spec.op!r}")
         totals = df.groupBy(*parents, spec.group).agg(fns[op](spec.measure).alias("__total"))
-        if op in ("sum", "average"):
-            # sums of doubles depend on the order of addition; equal totals must stay equal
-            totals = totals.withColumn("__total", F.round(F.col("__total").cast("double"), 6))
+        if isinstance(totals.schema["__total"].dataType, (T.DoubleType, T.FloatType)):
+            # sums of doubles depend on the order of addition; equal totals stay equal in twelve digits, of any size
+            totals = totals.withColumn("__total", F.format_string("%.11e", F.col("__total").cast("double")).cast("double"))
         steps = totals.select(*parents, "__total").distinct()
         rank = fresh(df, f"rank_{spec.group}")
         # groups without any measure come last either way

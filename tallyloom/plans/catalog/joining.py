@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyloom.functions import numbers
 from tallyloom.operators import joins
 from tallyloom.operators.joins import Lookup, Output
 from tallyloom.plans.catalog import query, table
@@ -155,6 +156,36 @@ def nest_children(spark, sf):
     return nested.select("c_custkey", "part", listed.alias("children"))
 
 
+@query("""
+with p as (select n_nationkey as period, date '1995-02-01' + n_nationkey::int * 100 as low, date '1995-02-01' + n_nationkey::int * 100 + 100 as high from nation)
+select o_orderkey, a.period as starts_in, b.period as ends_in from orders
+  left join p a on o_orderdate::date >= a.low and o_orderdate::date < a.high left join p b on o_orderdate::timestamp > b.low and o_orderdate::timestamp <= b.high
+""")
+def interval_match_dates(spark, sf):
+    """Effective periods by date, the last day left out, and by timestamp, the first moment left out."""
+    nation = table(spark, sf, "nation")
+    low = F.date_add(F.lit("1995-02-01").cast("date"), (F.col("n_nationkey") * 100).cast("int"))
+    days = nation.select("n_nationkey", low.alias("low"), F.date_add(low, 100).alias("high"))
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderdate").cast("timestamp_ntz").alias("at"))
+    by_day = joins.interval_match(orders, "day", days, "low", "high", {"n_nationkey": "starts_in"}, hi_strict=True)
+    times = days.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("low", "high")})
+    both = joins.interval_match(by_day, "at", times, "low", "high", {"n_nationkey": "ends_in"}, lo_strict=True)
+    return both.select("o_orderkey", "starts_in", "ends_in")
+
+
+@query("""
+with r as (select n_nationkey, n_nationkey * 700 as low, n_nationkey * 700 + 699 as high from nation)
+select c_custkey, n_nationkey as block from customer left join r on c_custkey between low and high
+""")
+def interval_match_addresses(spark, sf):
+    """Ranges of addresses in dotted text."""
+    dotted = lambda n: F.concat_ws(".", *[F.pmod(F.floor(n / d), F.lit(256)).cast("string") for d in (1 << 24, 1 << 16, 1 << 8, 1)])
+    nation = table(spark, sf, "nation").select("n_nationkey", dotted(F.col("n_nationkey") * 700).alias("low"), dotted(F.col("n_nationkey") * 700 + 699).alias("high"))
+    ranges = nation.withColumns({c: numbers.address_number(F.col(c)) for c in ("low", "high")})
+    customers = table(spark, sf, "customer").select("c_custkey", numbers.address_number(dotted(F.col("c_custkey"))).alias("address"))
+    return joins.interval_match(customers, "address", ranges, "low", "high", {"n_nationkey": "block"}).select("c_custkey", "block")
+
+
 @query("""
 select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice / coalesce(p_retailprice, 1) as price_ratio
 from lineitem left join (select * from part where p_size > 10) on l_partkey = p_partkey

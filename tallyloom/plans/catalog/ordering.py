@@ -58,6 +58,40 @@ def running_report_wide(spark, sf):
     return out.select(*ID, "running_qty")
 
 
+@query(f"""
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, (sum(l_quantity::decimal(10,2)) over (partition by l_returnflag {_W}))::double as running_qty,
+  ((20000 * sum((l_quantity * 100)::bigint) over (partition by l_returnflag {_W}) + count(*) over (partition by l_returnflag {_W}))
+  // (2 * count(*) over (partition by l_returnflag {_W})))::double / 1e6 as running_avg from lineitem
+""")
+def running_decimal(spark, sf):
+    """Decimals in groups that are cut at any scale keep the plain window's types."""
+    rows = _lines(spark, sf, "l_returnflag", "l_quantity").withColumn("l_quantity", F.col("l_quantity").cast("decimal(10,2)"))
+    specs = [("Sum", "l_quantity", "running_qty"), ("Average", "l_quantity", "running_avg")]
+    out = ordered.running_values(rows, specs, LINE, "l_returnflag", hot_rows=500, block_rows=200)
+    return out.select(*ID, *[F.col(c).cast("double").alias(c) for c in ("running_qty", "running_avg")])
+
+
+@query("""
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() over (order by case when l_linenumber = 2 then 'nan'::double
+  when l_linenumber = 5 then null else l_quantity end desc nulls last, l_orderkey, l_linenumber, l_partkey, l_suppkey) as nth from lineitem
+""")
+def running_nan_order(spark, sf):
+    """Descending order with NaN first and NULL last, cut into blocks at any scale."""
+    odd = F.when(F.col("l_linenumber") == 2, float("nan")).when(F.col("l_linenumber") == 5, None).otherwise(F.col("l_quantity"))
+    rows = _lines(spark, sf, "l_quantity").withColumn("x", odd.cast("double"))
+    return ordered.sequence(rows, "nth", ["x desc", *ID], hot_rows=500, block_rows=200).select(*ID, "nth")
+
+
+@query("""
+select l_linenumber, min(nth) as low, max(nth) as high, count(distinct nth) as numbers from
+  (select l_linenumber, row_number() over (order by l_linenumber) as nth from lineitem) group by 1
+""")
+def running_low_cardinality(spark, sf):
+    """Seven sort values for all rows: the row hash completes the order, and blocks stay small."""
+    rows = ordered.sequence(_lines(spark, sf), "nth", ["l_linenumber"], hot_rows=500, block_rows=200)
+    return rows.groupBy("l_linenumber").agg(F.min("nth").alias("low"), F.max("nth").alias("high"), F.count_distinct("nth").alias("numbers"))
+
+
 @query("""
 select event_id, lag(value, 1) over w as value_prev1, lag(value, 2) over w as value_prev2,
   lag(event_type, 1) over w as event_type_prev1, lag(event_type, 2) over w as event_type_prev2

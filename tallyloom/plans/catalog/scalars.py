@@ -153,15 +153,17 @@ def date_functions(spark, sf):
 
 
 @query("""
-select o_orderkey, date_sub('month', o_orderdate, timestamp '2001-06-15')::int as months, date_sub('year', o_orderdate, timestamp '2001-06-15')::int as years
-from orders where day(o_orderdate) <= 28
+with d as (select o_orderkey, o_orderdate as a, timestamp '2001-06-15' as b from orders),
+m as (select *, (year(b) - year(a)) * 12 + month(b) - month(a) as n, day(b) - day(a) as left_days from d
+union all select -o_orderkey, b, a, (year(a) - year(b)) * 12 + month(a) - month(b), day(a) - day(b) from d),
+w as (select o_orderkey, n - case when n > 0 and left_days < 0 then 1 when n < 0 and left_days > 0 then -1 else 0 end as whole from m)
+select o_orderkey, whole::int as months, (sign(whole) * (abs(whole) // 12))::int as years from w
 """)
 def date_elapsed(spark, sf):
-    ref = dates.today("2001-06-15")
-    rows = table(spark, sf, "orders").filter(F.dayofmonth("o_orderdate") <= 28)
-    return rows.select(
-        "o_orderkey", dates.elapsed("m", F.col("o_orderdate"), ref).alias("months"), dates.elapsed("yyyy", F.col("o_orderdate"), ref).alias("years")
-    )
+    ref, orders = dates.today("2001-06-15"), table(spark, sf, "orders")
+    span = lambda a, b: [dates.elapsed("m", a, b).alias("months"), dates.elapsed("yyyy", a, b).alias("years")]
+    forward = orders.select("o_orderkey", *span(F.col("o_orderdate"), ref))
+    return forward.unionAll(orders.select(-F.col("o_orderkey"), *span(ref, F.col("o_orderdate"))))
 
 
 @query("""
