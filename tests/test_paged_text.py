@@ -1,144 +1,64 @@
-"""Paged text against brute force on small documents."""
-
-import random
-import re
+"""Paged text: small documents written by hand, with the tables they must give."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from tallyloom.operators import paged_text as pt
 
-WORDS = ["alpha", "beta", "gamma", "delta", "total", "totals", "Northern", "Cycles", "amount"]
+VALUES = ["Cycles Ltd", "Northern Cycles Ltd", "Acme"]
+FOOTER = "Legal footer of the company"
+
+BOOK = {
+    1: [
+        ["Northern Cycles Ltd", "invoices totalling $30.00 were sent", "frames and wheels", "chains and pedals", FOOTER],
+        ["Northern Cycles Ltd", "brakes and cables", "saddles and posts", "bells and lights", "tyres and tubes", FOOTER],
+        ["Total: $10.50", FOOTER],
+    ],
+    2: [["Acme", "invoices totalling $20.50 are due", "alpha beta gamma", "delta and epsilon"], ["Total: $20.50", "zeta and theta words"]],
+}
 
 
-def document(rng, pages):
-    out = []
-    for p in range(pages):
-        body = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 12))]
-        if rng.random() < 0.5:
-            body.append(rng.choice(["Northern Cycles Ltd", "Cycles Ltd", "Acme"]))
-        if rng.random() < 0.5:
-            body.append(f"invoices totalling ${rng.choice([10, 20, 30])}.50 are due")
-        if rng.random() < 0.6:
-            body.append(f"Total: ${rng.choice([10, 20, 30])}.50")
-        out.append([*body, "Legal footer of the company"])
-    return out
+def frame(spark, book):
+    lines = [(d, p, n, line) for d, pages in book.items() for p, page in enumerate(pages) for n, line in enumerate(page)]
+    return spark.createDataFrame(lines, "doc int, page_no int, line_no int, line string")
 
 
 @pytest.fixture(scope="module")
-def docs():
-    rng = random.Random(11)
-    return {d: document(rng, rng.randint(1, 9)) for d in range(12)}
+def lines(spark):
+    return frame(spark, BOOK)
 
 
-def frame(spark, docs):
-    return spark.createDataFrame(
-        [(d, p, i, line) for d, pages in docs.items() for p, lines in enumerate(pages) for i, line in enumerate(lines)],
-        "doc int, page_no int, line_no int, line string",
-    )
+def test_lines_of_most_pages(lines):
+    assert {(r.doc, r.norm) for r in pt.boilerplate(lines, "doc").collect()} == {(1, "Northern Cycles Ltd"), (1, FOOTER)}
 
 
-def norm(line):
-    line = re.sub(r"[\d,.]+", "#", re.sub(r"\s+", " ", line).strip()).replace("$ #", "$#")
-    return line if len(line) >= 6 else ""
+def test_pages_with_little_on_them(lines):
+    assert {(r.doc, r.page_no) for r in pt.sparse_pages(lines, "doc").collect()} == {(1, 0), (1, 2), (2, 0), (2, 1)}
 
 
-def furniture(pages):
-    sets = [s for s in ({norm(l) for l in page} - {""} for page in pages) if len(s) >= 3]
-    least = max(2, int(len(sets) * 0.6))
-    return {l for l in set().union(*sets) if sum(l in s for s in sets) >= least} if sets else set()
+def test_spans_of_the_longest_name(lines):
+    found = {(r.doc, r.value, r.first_pos, r.run_length) for r in pt.group_spans(lines, "doc", VALUES).collect()}
+    assert found == {(1, "Northern Cycles Ltd", 0, 2), (2, "Acme", 0, 1)}
 
 
-def run_of(pages, value, values):
-    longer = [v for v in values if v != value and value in v]
-    hits = [i for i, page in enumerate(pages) if any(value in l for l in page) and not any(v in l for v in longer for l in page)]
-    best = []
-    for i in hits:
-        stretch = [i]
-        while stretch[-1] + 1 in hits:
-            stretch.append(stretch[-1] + 1)
-        if len(stretch) > len(best):
-            best = stretch
-    return best
+def test_breaks_inside_a_span(lines):
+    found = {(r.doc, r.value, r.page_no, r.mark) for r in pt.group_breaks(lines, "doc", VALUES).collect()}
+    assert found == {(1, "Northern Cycles Ltd", 0, "chains and pedals")}
 
 
-VALUES = ["Cycles Ltd", "Northern Cycles Ltd", "Acme"]
+def test_totals_after_their_group(lines):
+    found = {(r.doc, r.page_no, r.owner) for r in pt.orphan_totals(lines, "doc", VALUES).collect()}
+    assert found == {(1, 2, "Northern Cycles Ltd"), (2, 1, "Acme")}
+
+
+def test_lines_of_a_conversion(spark):
+    given = {3: [["first line stays here", "second line will move", "third line gets wrapped", "fourth line is lost"]]}
+    converted = {3: [["first line stays here", "third line gets"], ["wrapped", "second line will move"]]}
+    found = {r.norm: r.state for r in pt.line_parity(frame(spark, given), frame(spark, converted), "doc").collect()}
+    assert found == {
+        "first line stays here": "same", "second line will move": "moved", "third line gets wrapped": "wrapped", "fourth line is lost": "missing",
+    }
 
 
-def money(pattern, text):
-    return {re.sub(r"[^\d.]", "", m) for m in re.findall(pattern, text)} - {""}
-
-
-def orphans(pages):
-    texts = ["\n".join(p) for p in pages]
-    owner = {i: v for v in VALUES for i in run_of(pages, v, VALUES)}
-    amount = r"[$£€]?\s?\d[\d,]*(?:\.\d{1,2})?"
-    stated = [money(r"(?i)total(?:l)?ing\D{0,4}(" + amount + ")", t) for t in texts]
-    totals = [money(r"(?i)\btotals?\b\D{0,4}(" + amount + ")", t) for t in texts]
-    anything = [money(r"([$£€]\s?\d[\d,]*(?:\.\d{1,2})?|\d[\d,]*\.\d{2}\b)", t) for t in texts]
-    found, common = {}, furniture(pages)
-    for i in range(1, len(pages)):
-        before = i - 1
-        if stated[before] and not stated[before] & totals[before] and stated[before] & totals[i]:
-            found[i] = owner.get(before, min(stated[before]))
-            continue
-        body = [norm(l) for l in pages[i] if norm(l) and norm(l) not in common]
-        claims = stated[before] or anything[before]
-        if (1 <= len(body) <= 8 and any(re.search(r"(?i)\btotals?\b", l) for l in body) and i not in owner and before in owner
-                and not (totals[i] and claims and not claims & totals[i])):
-            found[i] = owner[before]
-    return found
-
-
-def test_furniture_sparse_spans_breaks(spark, docs, listed):
-    lines = frame(spark, docs)
-    assert listed(pt.boilerplate(lines, "doc")) == sorted(((d, l) for d, p in docs.items() for l in furniture(p)), key=repr)
-    sparse = {(r.doc, r.page_no) for r in pt.sparse_pages(lines, "doc").collect()}
-    want = {(d, i) for d, pages in docs.items() for i, page in enumerate(pages) if sum(1 for l in page if norm(l) and norm(l) not in furniture(pages)) <= 3}
-    assert sparse == want
-    spans = {(r.doc, r.value): (r.first_pos, r.run_length) for r in pt.group_spans(lines, "doc", VALUES).collect()}
-    runs = {(d, v): run_of(p, v, VALUES) for d, p in docs.items() for v in VALUES}
-    assert spans == {k: (r[0], len(r)) for k, r in runs.items() if r}
-    breaks = {(r.doc, r.value, r.page_no): r.mark for r in pt.group_breaks(lines, "doc", VALUES).collect()}
-    marks = {}
-    for (d, v), run in runs.items():
-        for i in run[:-1]:
-            content = [norm(l) for l in docs[d][i] if norm(l) and norm(l) not in furniture(docs[d])]
-            marks[d, v, i] = content[-1] if content else ""
-    assert breaks == marks
-
-
-def test_orphan_totals(spark, docs):
-    got = {(r.doc, r.page_no): r.owner for r in pt.orphan_totals(frame(spark, docs), "doc", VALUES).collect()}
-    want = {(d, i): o for d, pages in docs.items() for i, o in orphans(pages).items()}
-    assert want and got == want
-
-
-def test_line_parity(spark, docs):
-    rng = random.Random(5)
-    other = {}
-    for d, pages in docs.items():
-        words = [w for page in pages for l in page for w in l.split()]
-        words = [w for w in words if rng.random() > 0.02]
-        cut = [" ".join(words[i : i + 5]) for i in range(0, len(words), 5)]
-        other[d] = [cut[i : i + 4] for i in range(0, len(cut), 4)] or [["nothing here"]]
-    got = {(r.doc, r.norm): r.state for r in pt.line_parity(frame(spark, docs), frame(spark, other), "doc").collect()}
-    want = {}
-    for d, pages in docs.items():
-        stream = "".join(norm(" ".join(" ".join(p).split())) for p in other[d]).replace(" ", "")
-        first = {}
-        for i, p in enumerate(other[d]):
-            for l in map(norm, p):
-                first.setdefault(l, i)
-        for i, p in enumerate(pages):
-            for l in filter(None, map(norm, p)):
-                state = ("same" if first[l] == i else "moved") if l in first else "wrapped" if l.replace(" ", "") in stream else "missing"
-                want.setdefault((d, l), state)
-    assert {"wrapped", "missing"} <= set(want.values()) and got == want
-
-
-def test_pair_pages_of_a_copy(spark, docs):
-    lines = frame(spark, docs)
-    pairs = pt.pair_pages(lines, lines, "doc")
-    filled = lines.filter(F.length("line") > 0).select("doc", "page_no").distinct().count()
-    assert pairs.count() == filled and pairs.filter("page_a <> page_b or overlap <> 1").count() == 0
+def test_pages_of_a_copy(lines):
+    found = {(r.doc, r.page_a, r.page_b, r.overlap) for r in pt.pair_pages(lines, lines, "doc").collect()}
+    assert found == {(d, p, p, 1.0) for d, pages in BOOK.items() for p in range(len(pages))}
