@@ -165,13 +165,27 @@ def denormalize_keys(df: DataFrame, keys, key_col: str, value_col: str, targets:
 
 @dataclass(frozen=True)
 class Summary:
-    """A report summary: Sum, Count, Average, Minimum or Maximum of a field."""
+    """A report summary of a field: Sum, Count, Average, Minimum, Maximum, DistinctCount, StdDev, Variance, PopStdDev or
+    PopVariance."""
 
     out: str
     op: str
     field: str
 
 
+#: Summaries that can't be put together from those of finer groups.
+_WHOLE = {
+    "distinctcount": F.count_distinct, "stddev": F.stddev_samp, "variance": F.var_samp, "popstddev": F.stddev_pop,
+    "popvariance": F.var_pop,
+}
+
+
+def _by_parts(summaries: Sequence[Summary]) -> tuple[list[Summary], list[Column]]:
+    """Summaries that finer totals add up to, and the others as aggregates of the rows."""
+    whole = [s for s in summaries if s.op.lower() in _WHOLE]
+    return [s for s in summaries if s not in whole], [_WHOLE[s.op.lower()](s.field).alias(s.out) for s in whole]
+
+
 def _partials(summaries: Sequence[Summary]) -> list[Column]:
     parts = {}
     for s in summaries:
@@ -204,11 +218,15 @@ def group_totals(df: DataFrame, groups: Sequence[str], summaries: Sequence[Summa
                  levels: Sequence[int] | None = None) -> DataFrame:
     """Totals of each nested group on every row as ``<out>_g1 ..`` (outermost 1); level 0 is the report total."""
     levels = list(levels if levels is not None else range(1, len(groups) + 1))
-    finest = df.groupBy(*groups).agg(*_partials(summaries))
+    merged, whole = _by_parts(summaries)
+    finest = df.groupBy(*groups).agg(*_partials(merged)) if merged else df
     out = df
     for level in levels:
         keys = list(groups[:level])
-        total = finest.groupBy(*keys).agg(*[_merged(s) for s in summaries])
+        total = finest.groupBy(*keys).agg(*([_merged(s) for s in merged] or whole))
+        if merged and whole:
+            more = df.groupBy(*keys).agg(*whole)
+            total = join_back(total, more, keys) if keys else total.join(F.broadcast(more), F.lit(True), "left")
         total = total.withColumnsRenamed({s.out: f"{s.out}_g{level}" for s in summaries})
         if keys:
             out = join_back(out, total, keys)
@@ -249,13 +267,19 @@ def percent_of_sum(df: DataFrame, measure: str, group, outer=(), out: str = "per
 def subtotals(df: DataFrame, groups: Sequence[str], summaries: Sequence[Summary], level: str = "level") -> DataFrame:
     """Footers of every nested level plus the report total; ``level`` counts the group columns that are set.
 
-    The rollup runs over the finest totals, not over the rows.
+    The rollup runs over the finest totals; only figures that these don't add up to are rolled up from the rows.
     """
-    finest = df.groupBy(*groups).agg(*_partials(summaries))
-    absent = F.grouping_id()
-    rolled = finest.rollup(*groups).agg(*[_merged(s) for s in summaries], absent.alias("__gid"))
+    merged, whole = _by_parts(summaries)
+
+    def rolled(rows: DataFrame, columns: Sequence[Column]) -> DataFrame:
+        return rows.rollup(*groups).agg(*columns, F.grouping_id().alias("__gid"))
+
+    finest = df.groupBy(*groups).agg(*_partials(merged)) if merged else df
+    out = rolled(finest, [_merged(s) for s in merged] or whole)
+    if merged and whole:
+        out = join_back(out, rolled(df, whole), [*groups, "__gid"])
     ones = F.length(F.regexp_replace(F.bin("__gid"), "0", ""))
-    return rolled.withColumn(level, (F.lit(len(groups)) - ones).cast("int")).drop("__gid")
+    return out.withColumn(level, (F.lit(len(groups)) - ones).cast("int")).drop("__gid")
 
 
 MAX_PIVOT_VALUES = 1000

@@ -159,6 +159,36 @@ def subtotals(spark, sf):
     return out.withColumns({"total": F.round("total", 2), "mean": F.round("mean", 4)})
 
 
+@query("""
+select c_custkey, round(sum(c_acctbal) over (partition by c_nationkey), 2) as total_g1, count(*) over (partition by c_nationkey) as n_g1,
+  (select count(distinct i.c_mktsegment) from customer i where i.c_nationkey = o.c_nationkey) as kinds_g1,
+  (select count(distinct i.c_nationkey) from customer i where i.c_nationkey = o.c_nationkey and i.c_mktsegment = o.c_mktsegment) as nations_g2
+from customer o
+""")
+def group_totals_distinct(spark, sf):
+    """Distinct counts on every row, beside summaries that add up."""
+    rows = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
+    groups = ["c_nationkey", "c_mktsegment"]
+    summaries = [Summary("total", "Sum", "c_acctbal"), Summary("n", "Count", "c_custkey"), Summary("kinds", "DistinctCount", "c_mktsegment")]
+    out = agg.group_totals(rows, groups, summaries, [1])
+    out = agg.group_totals(out, groups, [Summary("nations", "DistinctCount", "c_nationkey")], [2])
+    return out.select("c_custkey", F.round("total_g1", 2).alias("total_g1"), "n_g1", "kinds_g1", "nations_g2")
+
+
+@query("""
+select o_orderstatus, o_orderpriority, count(o_custkey) as n, count(distinct o_custkey) as customers, round(stddev_samp(o_totalprice), 4) as spread,
+  round(var_pop(o_custkey), 0) as even, (2 - grouping(o_orderstatus) - grouping(o_orderpriority))::int as level
+from orders group by rollup (o_orderstatus, o_orderpriority)
+""")
+def subtotals_distinct(spark, sf):
+    """Distinct counts and spreads at every level."""
+    out = agg.subtotals(table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"], [
+        Summary("n", "Count", "o_custkey"), Summary("customers", "DistinctCount", "o_custkey"),
+        Summary("spread", "StdDev", "o_totalprice"), Summary("even", "PopVariance", "o_custkey"),
+    ])
+    return out.withColumns({"spread": F.round("spread", 4), "even": F.round("even", 0)})
+
+
 @query("""
 select o_orderpriority, """ + ", ".join(
     f"round(sum(o_totalprice) filter (o_orderstatus = '{s}'), 2) as {s.lower()}_total, count(o_totalprice) filter (o_orderstatus = '{s}') as {s.lower()}_n"
