@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from tallyloom.core import join_back, match_on, names, scratch_path
 from tallyloom.operators import load
 from tallyloom.operators.aggregate import Agg, agg_column
+from tallyloom.operators.joins import one_per_key
 from tallyloom.operators.ordered import running_values
 from tallyloom.operators.select import route
 
@@ -73,9 +74,14 @@ def stream_split(stream: DataFrame, column: str, sep: str, out: str | None = Non
     return stream.withColumn(out or column, F.explode(F.split(column, re.escape(sep))))
 
 
-def stream_enrich(stream: DataFrame, ref: DataFrame, keys: Sequence[tuple[str, str]], values: Mapping[str, str]) -> DataFrame:
-    """Content enricher: stream-static left join on a reference with unique keys."""
-    side = ref.select(*[F.col(b).alias(f"__k{i}") for i, (_, b) in enumerate(keys)],
+def stream_enrich(
+    stream: DataFrame, ref: DataFrame, keys: Sequence[tuple[str, str]], values: Mapping[str, str], match: str = "error", order=None
+) -> DataFrame:
+    """Content enricher: stream-static left join on a reference.
+
+    A message never becomes several: where a key of ``ref`` has more rows, ``match`` decides as in ``one_per_key``.
+    """
+    side = one_per_key(ref, [b for _, b in keys], match, order).select(*[F.col(b).alias(f"__k{i}") for i, (_, b) in enumerate(keys)],
                       *[F.col(c).alias(o) for c, o in values.items()])
     on = match_on(stream, side, [(a, f"__k{i}") for i, (a, _) in enumerate(keys)])
     return stream.join(side, on, "left").drop(*[f"__k{i}" for i in range(len(keys))])
@@ -104,6 +110,10 @@ def stream_aggregate(
     return cells.select(*names(keys), F.col("__w.start").alias("window_start"), F.col("__w.end").alias("window_end"), *out)
 
 
+#: The default trigger: all that is there, then stop.
+NOW = {"availableNow": True}
+
+
 def _drain(query: StreamingQuery, wait: bool) -> StreamingQuery:
     if wait:
         query.awaitTermination()
@@ -120,9 +130,12 @@ def stream_running(
     base: str,
     checkpoint: str,
     wait: bool = True,
+    trigger: Mapping | None = None,
 ) -> StreamingQuery:
     """Running value per key over an unbounded flow; rows go to ``base/rows``.
 
+    ``trigger`` is what ``DataStreamWriter.trigger`` takes, by default everything available now.
+
     Each micro-batch runs the batch operator, which spreads hot keys over tasks, and adds what earlier batches left
     in the totals table ``base/totals/v=<batch>``. Totals and rows are written per batch id, so a replayed batch
     rewrites the same files and counts once. Rows are ordered within a batch; batches follow each other.
@@ -157,7 +170,7 @@ def stream_running(
         batch.unpersist()
 
     return _drain(
-        stream.writeStream.foreachBatch(feed).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), wait
+        stream.writeStream.foreachBatch(feed).option("checkpointLocation", checkpoint).trigger(**(trigger or NOW)).start(), wait
     )
 
 
@@ -170,6 +183,7 @@ def stream_apply_changes(
     checkpoint: str,
     deletes: Sequence[str] = ("delete",),
     wait: bool = True,
+    trigger: Mapping | None = None,
 ) -> StreamingQuery:
     """Change subscriber feeding a table of Parquet versions below ``base``.
 
@@ -182,20 +196,26 @@ def stream_apply_changes(
         before = session.read.parquet(f"{base}/v={batch_id - 1}")
         after = load.apply_changes(before, batch, keys, seq, op, deletes)
         after.write.mode("overwrite").parquet(f"{base}/v={batch_id}")
+        _point_to(session, base, batch_id)
 
     return _drain(
-        changes.writeStream.foreachBatch(feed).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), wait
+        changes.writeStream.foreachBatch(feed).option("checkpointLocation", checkpoint).trigger(**(trigger or NOW)).start(), wait
     )
 
 
+def _point_to(spark: SparkSession, base: str, version: int) -> None:
+    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("overwrite").json(f"{base}/current")
+
+
 def start_table(table: DataFrame, base: str) -> None:
     table.write.parquet(f"{base}/v=-1")
+    _point_to(table.sparkSession, base, -1)
 
 
-def newest_version(spark: SparkSession, base: str, query: StreamingQuery) -> DataFrame:
-    """Table as of the last finished batch of ``query``."""
-    done = [p["batchId"] for p in query.recentProgress]
-    return spark.read.parquet(f"{base}/v={max(done)}")
+def newest_version(spark: SparkSession, base: str) -> DataFrame:
+    """Table as of the last batch that was written, whether or not later runs found new data."""
+    version = spark.read.schema("version long").json(f"{base}/current").first()["version"]
+    return spark.read.parquet(f"{base}/v={version}")
 
 
 class FlowMeter(StreamingQueryListener):
