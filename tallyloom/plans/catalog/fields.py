@@ -145,9 +145,15 @@ def generate_rows(spark, sf):
     )
 
 
-@query()
+@query("select o_orderstatus as state, sum(length(o_orderkey::varchar) + 1)::bigint as bytes from orders group by 1")
 def list_files(spark, sf):
-    return readers.list_files(spark, sf, "*.parquet", recursive=False).select("name", "size")
+    """The files of a table written as text, a folder per state: folders by name, sizes as the lines add up."""
+    path = scratch_path(spark, "listed")
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("line"), "o_orderstatus")
+    orders.write.partitionBy("o_orderstatus").text(path)
+    files = readers.list_files(spark, path, "*.txt")
+    state = F.regexp_extract("path", "o_orderstatus=([^/]+)", 1).alias("state")
+    return files.filter(F.col("name").startswith("part-")).groupBy(state).agg(F.sum("size").alias("bytes"))
 
 
 @query("select count(*) as rows, sum(length(s_name))::bigint as name_chars from supplier")
