@@ -12,8 +12,8 @@ again, to the byte.
 A group of more than ``LARGE_GROUP`` suffixes isn't given to one task: its strings are counted by a 128-bit digest instead,
 combined on the map side. Each document sends a region once per anchor, so what is shuffled follows the repeated text.
 
-Results: a null text is empty. Each row is a document, so repeated rows repeat each other and lose what is long enough. Null
-ids are allowed. An empty table gives an empty table. Other columns are not read.
+Results: a null text is empty. Each row is a document, so repeated rows repeat each other and lose what is long enough. A null
+id counts as the smallest. An empty table gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -189,13 +189,6 @@ def repeated(regions: list[tuple[bytes, int]], length: int = LENGTH) -> list[lis
     return [found[k] for k in of]
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("id"), F.xxhash64(text_col).alias("key"),
-        F.col(id_col).alias("given"), F.col(text_col).alias("text"),
-    )
-
-
 def repeated_spans(docs: DataFrame, length: int = LENGTH, large: int = LARGE_GROUP) -> DataFrame:
     """Starts of repeated strings of a table (id, key, text): id, key, spans (array of low and high, ends exclusive)."""
     def anchor_rows(batches):
@@ -269,11 +262,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, large: int = LARGE_GRO
         .agg(F.collect_list(F.struct("at", (F.col("n") > large).alias("large"))).alias("found"))
         .select("id", "key", F.col("found.at").alias("places"), F.col("found.large").alias("large"))
     )
-    cut = docs.join(places, ["id", "key"]).select("id", "key", "text", "places", "large").mapInArrow(
-        regions, "gram long, id long, key long, at int, region binary, start int, large boolean")
-    shallow = cut.filter("not large").repartition(shuffle_width(docs.sparkSession), "gram").sortWithinPartitions("gram")
+    def regions_of(wanted: DataFrame) -> DataFrame:
+        return docs.join(wanted, ["id", "key"]).select("id", "key", "text", "places", "large").mapInArrow(
+            regions, "gram long, id long, key long, at int, region binary, start int, large boolean")
+
+    shallow = regions_of(places).filter("not large").repartition(shuffle_width(docs.sparkSession), "gram").sortWithinPartitions("gram")
     spans = shallow.mapInArrow(sort_groups, "id long, key long, low int, high int")
-    strings = cut.filter("large").mapInArrow(digests, "id long, key long, low int, a long, b long")
+    in_large = regions_of(places.filter(F.array_contains("large", True))).filter("large")
+    strings = in_large.mapInArrow(digests, "id long, key long, low int, a long, b long")
     again = strings.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
     counted = strings.join(again, ["a", "b"]).select("id", "key", "low", (F.col("low") + length).cast("int").alias("high"))
     return spans.unionAll(counted).groupBy("id", "key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
@@ -295,11 +291,12 @@ def joined_spans(lows: np.ndarray, highs: np.ndarray) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, large: int = LARGE_GROUP) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept (binary: what is left may cut code points)."""
-    keyed = _keyed(docs, id_col, text_col)
-    found = repeated_spans(keyed.select("id", "key", "text"), length, large)
+    keyed = docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")
+    )
+    found = repeated_spans(keyed, length, large)
     out = T.StructType([
-        T.StructField("given", docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")),
-        T.StructField("kept", T.BinaryType()),
+        *(T.StructField(n, T.LongType()) for n in ("id", "n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType()),
     ])
 
     def cut(batches):
@@ -316,9 +313,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 n.append(len(runs))
             removed = [len(a) - len(b) for a, b in zip(texts, kept)]
             yield record({
-                "given": batch.column("given"), "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
+                "id": batch.column("id"), "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
                 "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(n, pa.int64()), "kept": pa.array(kept, pa.binary()),
             })
 
-    joined = keyed.join(found, ["id", "key"], "left").select("given", "text", "spans")
-    return joined.mapInArrow(cut, out).withColumnRenamed("given", id_col)
+    # both joins read the same three columns dealt by the same keys, so the texts are shuffled once
+    joined = keyed.join(found, ["id", "key"], "left").select("id", "text", "spans").mapInArrow(cut, out)
+    given = F.when(F.col("id") != _LOWEST, F.col("id")).cast(docs.schema[id_col].dataType).alias(id_col)
+    return joined.select(given, "n_bytes", "n_removed", "n_spans", "kept")
