@@ -32,7 +32,7 @@ from tallyloom.llm.arrow import documents, parts, record, utf8
 #: Least and most bytes of a chunk; a border is found every 2**BORDER_BITS bytes on average once the least is reached.
 LEAST, MOST, BORDER_BITS = 32, 256, 4
 #: Bytes that neighbouring repeated chunks must have together to be removed.
-MIN_RUN = 96
+MIN_RUN = 72
 _LOWEST = -(1 << 63)
 
 
