@@ -34,7 +34,7 @@ from tallyloom.llm.components import components
 #: Words of an n-gram; links have 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 3, 90
 #: Sets of a block.
-BLOCK = 3000
+BLOCK = 2000
 #: Upper end of the first size band, and the ratio of the others.
 FIRST_BAND, BAND_RATIO = 16, 1.6
 #: Hashes under which a set with empty parts may sign; under the last, empty parts sign too.
@@ -124,20 +124,25 @@ class Tree:
         rank = np.empty(len(self.grams), np.int64)
         rank[np.lexsort((self.grams, -frequency))] = np.arange(len(self.grams))
         ends = np.cumsum(self.sizes)
-        self.sets = [np.sort(rank[where[e - n : e]]) for e, n in zip(ends, self.sizes)]
+        self.sets = [np.sort(rank[where[e - n : e]]).astype(np.int32) for e, n in zip(ends, self.sizes)]
         longest = int(self.sizes.max())
         self.stride = max(_STRIDE, -(-longest // _LEVELS))
         self.depth = -(-longest // self.stride)
-        # past its end a set is filled with a rank that no set asks for
-        table = np.full((len(sets), self.depth * self.stride), len(self.grams), np.int64)
-        for k, s in enumerate(self.sets):
-            table[k, : len(s)] = s
         self.paths, self.tokens, self.parents = [], [], []
-        path = np.zeros(len(sets), np.int64)
+        path = np.zeros(len(sets), np.int32)
         for level in range(self.depth):
-            stride = np.column_stack([path, table[:, level * self.stride : (level + 1) * self.stride]])
-            rows = np.ascontiguousarray(stride).view(np.dtype((np.void, stride.dtype.itemsize * stride.shape[1]))).ravel()
-            _, first, path = np.unique(rows, return_index=True, return_inverse=True)
+            low = level * self.stride
+            going = np.flatnonzero(self.sizes > low)  # the others ended in a node above
+            # past its end a set is filled with a rank that no set asks for
+            stride = np.full((len(going), self.stride + 1), len(self.grams), np.int32)
+            stride[:, 0] = path[going]
+            for row, k in enumerate(going.tolist()):
+                piece = self.sets[k][low : low + self.stride]
+                stride[row, 1 : len(piece) + 1] = piece
+            rows = stride.view(np.dtype((np.void, stride.dtype.itemsize * stride.shape[1]))).ravel()
+            _, first, place = np.unique(rows, return_index=True, return_inverse=True)
+            path = np.zeros(len(sets), np.int32)
+            path[going] = place
             self.paths.append(path)
             self.tokens.append(stride[first, 1:])
             self.parents.append(stride[first, 0])
@@ -152,7 +157,7 @@ class Tree:
         mark = np.zeros(len(self.grams) + 1, np.int32)
         mark[asks] = 1
         wanted = wanted[(100 * self.sizes[wanted] >= self.percent * size) & (100 * size >= self.percent * self.sizes[wanted])]
-        overlap = np.zeros(1, np.int64)
+        overlap, found = np.zeros(1, np.int64), []
         for level in range(self.depth):
             if not len(wanted):
                 break
@@ -161,15 +166,16 @@ class Tree:
             below = overlap[self.parents[level][nodes]] + mark[self.tokens[level][nodes]].sum(axis=1)
             overlap = np.zeros(len(self.parents[level]), np.int64)
             overlap[nodes] = below
-            # what can still come: the rest of the longest set below, and the rest of the asking set behind the node
+            # what can still come: the rest of the set below, and the rest of the asking set behind the node; a node
+            # without sets that can still make it isn't entered again
             done = (level + 1) * self.stride
-            rest = np.zeros(len(nodes), np.int64)
-            np.maximum.at(rest, back, self.sizes[wanted] - done)
-            least = np.full(len(nodes), np.iinfo(np.int64).max)
-            np.minimum.at(least, back, self.least(size, self.sizes[wanted]))
+            rest = np.maximum(self.sizes[wanted] - done, 0)
             behind = size - np.searchsorted(asks, self.tokens[level][nodes, -1], side="right")
-            wanted = wanted[(below + np.minimum(np.maximum(rest, 0), behind) >= least)[back]]
-        return wanted
+            wanted = wanted[below[back] + np.minimum(rest, behind[back]) >= self.least(size, self.sizes[wanted])]
+            ended = self.sizes[wanted] <= done  # nothing can come any more, so the bound was the overlap itself
+            found.append(wanted[ended])
+            wanted = wanted[~ended]
+        return np.concatenate([*found, wanted])
 
 
 def _connect(ids: np.ndarray, sets: list[np.ndarray], percent: int, asks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

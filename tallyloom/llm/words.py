@@ -13,7 +13,7 @@ from array import array
 import numpy as np
 
 #: Runs and odd words kept per worker before the cache starts anew.
-CACHE_RUNS = 500_000
+CACHE_RUNS = 300_000
 #: UTF-8 bytes of code points below U+0240, which are handled without the library's normaliser, and what is kept out:
 #: white space beyond ASCII, a letter whose lower-case form has two code points, the start of special tokens.
 _PLAIN_BYTES = bytes(range(0xC9))
