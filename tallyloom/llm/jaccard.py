@@ -3,8 +3,8 @@
 A document's set are its distinct n-grams as 64-bit hashes. Documents of equal sets are one class. The others are brought
 together without comparing pairs: the hash range is cut into more parts than two similar sets can differ in, so they agree in
 one part whole; a signature of each part is counted, and sets that share one go to the same cluster. Part numbers depend on
-the size, so sizes fall into bands and a set near its band's lower end signs for the band below as well. Parts that are empty
-sign nothing; a set with empty parts signs again under other hashes.
+the size and the limit, so sizes fall into bands and a set signs as well for every lower band that a similar set can lie in.
+Parts that are empty sign nothing; a set with empty parts signs again under other hashes.
 
 The sets of a cluster are ordered by frequency in it and stored in a prefix tree whose nodes hold a stride of n-grams. A set
 walks the tree level by level: the overlap with a node is computed once for all sets below it, and a subtree is left when the
@@ -69,20 +69,20 @@ def ngram_sets(texts: list[bytes], width: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def _bands(size: int) -> list[tuple[int, int]]:
-    """Bands that a set of this size signs for: upper end and number of parts."""
-    below, high = 0, FIRST_BAND
-    while size >= high:
-        below, high = high, int(high * BAND_RATIO)
-    span = lambda h: (h, (h - 1) * (100 - PERCENT) // PERCENT + 1)
-    near = below and PERCENT * size <= 100 * (below - 1)
-    return [span(high), *([span(below)] if near else [])]
+def _bands(size: int, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Bands that a set of this size signs for, its own first: upper end and number of parts."""
+    highs = [FIRST_BAND]
+    while size >= highs[-1]:
+        highs.append(int(highs[-1] * BAND_RATIO))
+    # the smaller of two similar sets has percent of the larger at least, and they differ in fewer than count n-grams
+    mine = [h for k, h in enumerate(highs) if k == len(highs) - 1 or percent * size <= 100 * (h - 1)]
+    return [(h, (h - 1) * (100 - percent) // percent + 1) for h in reversed(mine)]
 
 
-def signatures(hashes: np.ndarray) -> np.ndarray:
-    """Signatures of the parts of a sorted set: similar sets have one in common."""
+def signatures(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Signatures of the parts of a sorted set: sets of at least this similarity have one in common."""
     out = []
-    for high, count in _bands(len(hashes)) if len(hashes) else []:
+    for high, count in _bands(len(hashes), percent) if len(hashes) else []:
         for scheme in range(_SCHEMES):
             x = hashes if scheme == 0 else np.sort(_mix(hashes + _U(scheme)))
             part = ((x >> _U(32)) * _U(count)) >> _U(32)
@@ -97,13 +97,13 @@ def signatures(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def _signed(docs: DataFrame, width: int) -> DataFrame:
+def _signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """A table (id, text) as (id, size, a, b, signatures); a and b are the digest of the set."""
     def sign(batches):
         for batch in parts(batches, "text"):
             sets = ngram_sets(documents(batch.column("text")), width)
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
-            signed = [signatures(s) for s in sets]
+            signed = [signatures(s, percent) for s in sets]
             offsets = np.cumsum([0, *map(len, signed)])
             yield record({
                 "id": batch.column("id"), "size": pa.array([len(s) for s in sets], pa.int64()),
@@ -215,7 +215,7 @@ def _joined(table: pa.Table, width: int, percent: int) -> pa.Table:
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = written(_signed(base, width), "signed")
+    signed = written(_signed(base, width, percent), "signed")
     classes = signed.filter("id is not null and size > 0").groupBy("a", "b").agg(F.min("id").alias("rep"))
     small = signed.select("id", "size", "a", "b")
     of_row = written(small.join(classes, ["a", "b"], "left").withColumn("rep", F.when(F.col("size") > 0, F.col("rep")).otherwise(F.col("id"))), "classes").select("id", "size", "rep")

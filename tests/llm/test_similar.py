@@ -74,6 +74,22 @@ def test_similar_sets_share_a_signature():
                 assert np.intersect1d(jaccard.signatures(a), jaccard.signatures(b)).size
 
 
+@pytest.mark.parametrize("percent", [90, 80, 70, 50])
+def test_sets_right_at_the_limit_share_a_signature(percent):
+    rng = np.random.default_rng(percent)
+    fresh = lambda n: np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+    for size in [1, 3, 5, 12, 15, 16, 25, 40, 60, 98, 100, 101, 300]:
+        for _ in range(60):
+            a = fresh(size)
+            # all that the union may have more than the intersection: n-grams of one side only, or of both sides
+            for common in (size, int(rng.integers(-(-percent * size // 100), size + 1))):
+                more = max(0, 100 * common // percent - size)
+                b = np.unique(np.concatenate([rng.permutation(a)[:common], fresh(more)]))
+                both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+                assert 100 * both >= percent * either > 0
+                assert np.intersect1d(jaccard.signatures(a, percent), jaccard.signatures(b, percent)).size
+
+
 def vectors(seed=4):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(60, 16))
