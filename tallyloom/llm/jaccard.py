@@ -11,9 +11,10 @@ walks the tree level by level: the overlap with a node is computed once for all
 overlap so far and what can still come, on either side, stay under the least overlap of any set below. Sets that are already
 connected need no comparison, so a walk enters only subtrees with sets of other components.
 
-Clusters of more than ``BLOCK`` sets are split: blocks with the cluster's first set in each are joined on their own; then
-the sets outside the largest component walk the trees of all blocks. No link between different components is lost, and a
-group of near copies of any size costs work in proportion to it.
+Clusters of more than ``BLOCK`` sets or ``BLOCK_GRAMS`` n-grams are split: blocks with the cluster's first set in each are
+joined on their own; then the sets outside the largest component, in blocks as well, walk the trees of all blocks, one task
+per pair of blocks. No link between different components is lost, a task holds two blocks at most, and a group of near copies
+of any size costs work in proportion to it.
 
 Results: null texts and texts without words have an empty set and link with nothing. Rows of equal id are one node. A null
 id links with nothing and has no component. Repeated rows are equal sets. An empty table gives an empty table.
@@ -33,8 +34,8 @@ from tallyloom.llm.components import components
 
 #: Words of an n-gram; links have 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 3, 90
-#: Sets of a block.
-BLOCK = 2000
+#: Sets of a block, and n-grams of all its sets together.
+BLOCK, BLOCK_GRAMS = 2000, 1 << 20
 #: Upper end of the first size band, and the ratio of the others.
 FIRST_BAND, BAND_RATIO = 16, 1.6
 #: Hashes under which a set with empty parts may sign; under the last, empty parts sign too.
@@ -178,10 +179,12 @@ class Tree:
         return np.concatenate([*found, wanted])
 
 
-def _connect(ids: np.ndarray, sets: list[np.ndarray], percent: int, asks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes and the smallest id each is connected to. Without ``asks`` all links count, else those of the marked sets."""
+def _connect(ids: np.ndarray, sets: list[np.ndarray], percent: int, asks: np.ndarray | None = None, roots: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and the smallest id each is connected to. With ``asks`` only links between a marked set and one that isn't
+    count; nodes of equal ``roots`` are connected already, and the roots are the nodes."""
     tree = Tree(sets, percent)
-    _, label = np.unique(ids, return_inverse=True)
+    nodes = ids if roots is None else roots
+    names, label = np.unique(nodes, return_inverse=True)
     label = label.copy()
     done = np.zeros(len(ids), bool) if asks is None else ~asks
     while True:
@@ -195,24 +198,31 @@ def _connect(ids: np.ndarray, sets: list[np.ndarray], percent: int, asks: np.nda
             break
         k = int(left[0])
         done[k] = True
-        found = label[tree.linked(k, np.flatnonzero(label != label[k]))]
+        other = label != label[k]
+        found = label[tree.linked(k, np.flatnonzero(other if asks is None else other & ~asks))]
         if len(found):
             together = np.append(found, label[k])
             label[np.isin(label, together)] = together.min()
-    names = np.unique(ids)
-    return ids, names[label]
+    return nodes, names[label]
 
 
 def _joined(table: pa.Table, width: int, percent: int) -> pa.Table:
-    ids, asks = table.column("id").to_numpy(), table.column("asks").to_numpy()
+    ids, asks, roots = (table.column(c).to_numpy() for c in ("id", "asks", "root"))
     sets = ngram_sets(documents(table.column("text").combine_chunks()), width)
-    some = asks if asks.any() else None
-    nodes, roots = _connect(ids, sets, percent, some)
-    other = nodes != roots
-    return pa.table({"a": pa.array(nodes[other], pa.int64()), "b": pa.array(roots[other], pa.int64())})
+    nodes, found = _connect(ids, sets, percent, asks, roots) if asks.any() else _connect(ids, sets, percent)
+    links = np.unique(np.stack([nodes, found], axis=1)[nodes != found], axis=0)
+    return pa.table({"a": pa.array(links[:, 0], pa.int64()), "b": pa.array(links[:, 1], pa.int64())})
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def _blocked(rows: DataFrame, by: str, block: int, block_grams: int) -> DataFrame:
+    """Rows with column size, with the number of blocks of their group. Sets are dealt to blocks by hash, so that a block's
+    sets and n-grams come to the limits on average."""
+    sums = rows.groupBy(by).agg(F.count("*").alias("n"), F.sum("size").alias("grams"))
+    wanted = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("grams") / block_grams)).cast("int")
+    return rows.join(sums.select(by, wanted.alias("blocks")), by)
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = written(_signed(base, width, percent), "signed")
@@ -224,30 +234,31 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = signs.groupBy("signature").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     near = signs.join(shared.select("signature", "first"), "signature").filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
     clusters = components(near).withColumnRenamed("node", "id")
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
-    placed = written(clusters.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "clusters")
-    texts = base.filter("id is not null").join(placed, "id").select("id", "text", "component", "blocks")
+    of_id = small.filter("id is not null").groupBy("id").agg(F.sum("size").alias("size"))
+    placed = written(_blocked(clusters.join(of_id, "id"), "component", block, block_grams), "clusters")
+    texts = base.filter("id is not null").join(placed.select("id", "component", "blocks"), "id")
 
     def joined(rows: DataFrame) -> DataFrame:
-        rows = rows.select("id", "text", "component", "at", "asks")
-        return written(rows.groupBy("component", "at").applyInArrow(lambda t: _joined(t, width, percent), "a long, b long"), "found")
+        rows = rows.select("id", "text", "component", "ask_at", "at", "asks", "root")
+        return written(rows.groupBy("component", "ask_at", "at").applyInArrow(lambda t: _joined(t, width, percent), "a long, b long"), "found")
 
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    no, yes = F.lit(False).alias("asks"), F.lit(True).alias("asks")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     first = F.col("id") == F.col("component")  # the cluster's first set stands in every block
-    found = joined(texts.filter(~first).select("*", own.alias("at"), no).unionByName(texts.filter(first).select("*", every.alias("at"), no)))
-    large = placed.filter("blocks > 1")
+    plain = texts.select("*", F.lit(0).alias("ask_at"), F.lit(False).alias("asks"), F.col("id").alias("root"))
+    found = joined(plain.filter(~first).withColumn("at", own("blocks")).unionByName(plain.filter(first).withColumn("at", each("blocks"))))
+    large = placed.filter("blocks > 1").select("id", "size", "component", "blocks")
     if large.limit(1).count():
         roots = components(found).select(F.col("node").alias("id"), F.col("component").alias("root"))
-        rooted = large.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        rooted = written(large.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
         counted = rooted.groupBy("component", "root").agg(F.count("*").alias("k"))
         main = counted.groupBy("component").agg(F.max(F.struct("k", "root")).alias("top")).select("component", F.col("top.root").alias("main"))
-        outside = rooted.join(main, "component").filter("root <> main").select("id")
-        many = texts.filter("blocks > 1")
-        asking = many.join(outside, "id", "left_semi").select("*", every.alias("at"), yes)
-        more = joined(many.select("*", own.alias("at"), no).unionByName(asking))
-        found = found.unionAll(more)
+        outside = _blocked(rooted.join(main, "component").filter("root <> main").select("id", "size", "component"), "component", block, block_grams)
+        outside = written(outside.select("id", "component", F.col("blocks").alias("ask_blocks")), "outside")
+        many = texts.filter("blocks > 1").join(rooted.select("id", "root"), "id")
+        asking = many.join(outside.select("id", "ask_blocks"), "id").withColumn("asks", F.lit(True)).withColumn("ask_at", own("ask_blocks")).withColumn("at", each("blocks"))
+        asked = many.join(outside.select("component", "ask_blocks").distinct(), "component").withColumn("asks", F.lit(False)).withColumn("at", own("blocks")).withColumn("ask_at", each("ask_blocks"))
+        found = found.unionAll(joined(asking.unionByName(asked)))
     linked = components(found).withColumnRenamed("node", "rep")
     # an id may stand for several sets, and so belong to several classes
     merged = components(of_row.filter("id is not null and id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).unionAll(

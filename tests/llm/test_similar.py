@@ -90,6 +90,31 @@ def test_sets_right_at_the_limit_share_a_signature(percent):
                 assert np.intersect1d(jaccard.signatures(a, percent), jaccard.signatures(b, percent)).size
 
 
+@pytest.mark.parametrize("limits", [{"block": 10}, {"block_grams": 750}])
+def test_large_clusters_are_dealt_to_bounded_tasks(spark, monkeypatch, limits):
+    rng = np.random.default_rng(6)
+    prose = lambda n: [f"w{k}" for k in rng.integers(0, 1 << 40, n)]
+    head, tail = prose(40), prose(30)
+    pages = [[*head, *prose(6), *tail] for _ in range(100)]
+    pages += [[*p[:-1], "other"] for p in pages[::5]]
+    texts = [(k, " ".join(p)) for k, p in enumerate(pages)]
+    sets = [(k, shingles(t)) for k, t in texts]
+    links = [(a, b) for (a, s), (b, t) in combinations(sets, 2) if 100 * len(s & t) >= 90 * len(s | t)]
+    grouped, frame = [], type(spark.range(0))
+    group = frame.groupBy
+
+    def spy(self, *by):
+        if "text" in self.columns:
+            grouped.append((self, by))
+        return group(self, *by)
+
+    monkeypatch.setattr(frame, "groupBy", spy)
+    found = {r.doc_id: r.component_id for r in jaccard.similar_components(spark.createDataFrame(texts, "doc_id long, text string"), **limits).collect()}
+    assert found == roots([k for k, _ in texts], links) and len(set(found.values())) == 100
+    most = [max(r["count"] for r in group(rows, *by).count().collect()) for rows, by in grouped]
+    assert len(most) == 2 and max(most) < 60  # two blocks of about 10 sets, not all 120
+
+
 def vectors(seed=4):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(60, 16))
