@@ -4,7 +4,7 @@ Each stage takes (session, documents, folder of the tables) and returns a DataFr
 next one's documents. All stages but the last return the columns of documents:
 
 1. quality rules: documents that fail the base rules or diverge from all language references go;
-2. n-gram Jaccard join: of each group of similar documents the one of the smallest id stays;
+2. n-gram Jaccard join: of each group of similar documents (5-word shingles, 80 %) the one of the smallest id stays;
 3. substring dedup: passages that a document of smaller id has go from the text, and n_chars follows;
 4. mixing: documents are repeated or left out so that sources come to their target weights;
 5. BPE encoding: one row per document of the mix with its ids, their number and digests of ids and decoded text.
@@ -22,6 +22,8 @@ from tallyloom.llm.ship import ship_package
 
 #: The public vocabulary of the last stage.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: Words of a shingle and least similarity in per cent of the second stage; op5_prefix_tree has limits of its own.
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 #: SQL can express neither the rules nor the vocabulary; the tests compare with brute force.
 ORACLE_SQL = None
 
@@ -33,7 +35,7 @@ def keep_by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return jaccard.first_of_each(docs)
+    return jaccard.first_of_each(docs, width=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
 
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
