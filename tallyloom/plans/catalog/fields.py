@@ -131,17 +131,24 @@ select count(*) as rows, count(*) as amounts_in_range, count(*) as years_ok, cou
 from customer
 """)
 def generate_rows(spark, sf):
+    """Rows for all customers, on two partitionings: a value counts if it is in range and the same on both."""
     schema = [
         generate.Field("amount", "decimal", 10, 2), generate.Field("day", "date/time"),
         generate.Field("word", "string", 20), generate.Field("n", "integer"),
     ]
-    rows = generate.synthetic_like(table(spark, sf, "customer"), "c_custkey", schema)
-    return rows.agg(
+    customers = table(spark, sf, "customer")
+    number = F.regexp_extract("word", r"_(\d+)$", 1)  # the row number, from 1
+    rows = generate.synthetic_like(customers.repartition(7, "c_custkey"), "c_custkey", schema).withColumn("number", number)
+    last = customers.agg(F.max("c_custkey").alias("last")).first().last
+    again = generate.generate_rows(spark, schema, n=0 if last is None else last + 1)
+    again = again.select(number.alias("number"), *(F.col(f.name).alias(f"{f.name}_again") for f in schema))
+    same = lambda name, ok: F.count_if(ok & (F.col(name) == F.col(f"{name}_again")))
+    return rows.join(again, "number", "left").agg(
         F.count(F.lit(1)).alias("rows"),
-        F.count_if(F.col("amount").between(0, 999_999)).alias("amounts_in_range"),
-        F.count_if(F.year("day") == 2026).alias("years_ok"),
-        F.count_if(F.col("word").rlike(r"^[a-z]+_\d+$")).alias("words_ok"),
-        F.count_if(F.col("n").between(1, 32_000)).alias("counts_ok"),
+        same("amount", F.col("amount").between(0, 999_999)).alias("amounts_in_range"),
+        same("day", F.year("day") == 2026).alias("years_ok"),
+        same("word", F.col("word").rlike(r"^[a-z]+_\d+$")).alias("words_ok"),
+        same("n", F.col("n").between(1, 32_000)).alias("counts_ok"),
     )
 
 

@@ -114,15 +114,26 @@ def canonical_number(spark, sf):
 
 @query("select count(*) as rows, count(*) as ints, count(*) as units, count(*) as words, count(*) as texts, count(*) as days, true as repeatable from orders")
 def random_functions(spark, sf):
-    key = F.col("o_orderkey")
+    """Values for all orders, on two partitionings: a value counts if it is in range and the same on both."""
     words = ["Ada", "Ben", "Cleo", "Dov"]
-    return table(spark, sf, "orders").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(numbers.random_int(5, 9, 1, key).between(5, 9)).alias("ints"),
-        F.count_if((numbers.random_unit(2, key) >= 0) & (numbers.random_unit(2, key) < 1)).alias("units"),
-        F.count_if(numbers.random_pick(words, 3, key).isin(words)).alias("words"),
-        F.count_if(numbers.random_text(6, 4, key).rlike("^[A-Za-z0-9]{6}$")).alias("texts"),
-        F.count_if(numbers.random_date("2020-01-01", "2020-12-31", 5, key).between("2020-01-01", "2020-12-31")).alias("days"),
-        F.bool_and(numbers.random_int(1, 100, 6, key) == numbers.random_int(1, 100, 6, key)).alias("repeatable"),
+
+    def values(keys, suffix):
+        key = F.col("o_orderkey")
+        made = {
+            "i": numbers.random_int(5, 9, 1, key), "u": numbers.random_unit(2, key), "w": numbers.random_pick(words, 3, key),
+            "t": numbers.random_text(6, 4, key), "d": numbers.random_date("2020-01-01", "2020-12-31", 5, key), "r": numbers.random_int(1, 100, 6, key),
+        }
+        return keys.select("o_orderkey", *(v.alias(n + suffix) for n, v in made.items()))
+
+    keys = table(spark, sf, "orders").select("o_orderkey")
+    both = values(keys.repartition(7), "").join(values(keys.distinct(), "_again"), "o_orderkey", "left")
+    same = lambda name, ok: F.count_if(ok & (F.col(name) == F.col(f"{name}_again")))
+    return both.agg(
+        F.count(F.lit(1)).alias("rows"), same("i", F.col("i").between(5, 9)).alias("ints"),
+        same("u", (F.col("u") >= 0) & (F.col("u") < 1)).alias("units"), same("w", F.col("w").isin(words)).alias("words"),
+        same("t", F.col("t").rlike("^[A-Za-z0-9]{6}$")).alias("texts"),
+        same("d", F.col("d").between("2020-01-01", "2020-12-31")).alias("days"),
+        F.bool_and(F.coalesce(F.col("r") == F.col("r_again"), F.lit(False))).alias("repeatable"),
     )
 
 
