@@ -1,4 +1,7 @@
-"""Self-join of documents on the Jaccard similarity of their word n-gram sets, by prefix trees.
+"""Components of documents under the Jaccard similarity of their word n-gram sets, by prefix trees.
+
+Only components are computed. There is no join output, neither pairs nor a number of links: walks leave out sets that are
+connected already.
 
 A document's set are its distinct n-grams as 64-bit hashes. Documents of equal sets are one class. The others are brought
 together without comparing pairs: the hash range is cut into more parts than two similar sets can differ in, so they agree in
