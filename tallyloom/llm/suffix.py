@@ -1,10 +1,11 @@
-"""Removal of repeated byte strings by sorting suffixes, shallow first and deep in blind tries.
+"""Removal of repeated byte strings by grouping suffixes on a hash and ordering each group in blind tries.
 
 A byte is removed if a string of ``length`` bytes that covers it starts anywhere else as well, in the same document or in
 another. Only some suffixes are sorted: each string of that length contains an anchor, the place where the hash of the next
 ``GRAM`` bytes is smallest, the leftmost among equals, so equal strings have their anchor at the same place. Suffixes that
-start at anchors are brought into groups of equal first ``GRAM`` bytes by an aggregate, a join and a sort on that hash: the
-shallow phase. Grams that occur once take no further part. Within a group the suffixes have a long prefix in common; a blind
+start at anchors are brought into groups of equal first ``GRAM`` bytes by an aggregate, a join and a sort on that hash: this
+takes the place of the shallow phase of deep-shallow sorting, a multikey quicksort, as only equal beginnings matter here and not
+their order, and a hash deals them to tasks evenly. Grams that occur once take no further part. Within a group the suffixes have a long prefix in common; a blind
 trie orders them by the rest. Its nodes tell how far to the right groups of suffixes agree, and their reversed left sides in
 sorted order tell how far each agrees to the left with its best partner in the group: both together are the strings that occur
 again, to the byte.
