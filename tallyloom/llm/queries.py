@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from tallyloom.llm import bpe_tree, chunks, dac, jaccard, langid, licenses, mixing, pivots, quality, suffix
+from tallyloom.llm import bpe_tree, chunks, dac, jaccard, langid, licenses, mixing, pivots, quality, suffix, whitening
 from tallyloom.llm.ship import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,6 +121,13 @@ def op6_deep_shallow(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query()
+def op13_jacobi_davidson(spark: SparkSession, folder: str) -> DataFrame:
+    """Leading whitened components of every vector."""
+    rows = table(spark, folder, "embeddings")
+    return whitening.whiten(rows, whitening.fit(rows))
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """All stages of the corpus pipeline on the documents."""
