@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from tallyloom.llm import bpe_tree, chunks, dac, jaccard, langid, licenses, mixing, pivots, quality, suffix, whitening
+from tallyloom.llm import bpe_tree, chunks, dac, jaccard, langid, licenses, mixing, periodic, pivots, quality, suffix, whitening
 from tallyloom.llm.ship import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,6 +121,30 @@ def op6_deep_shallow(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, text); every tenth by the checksum of its id repeats its words from a place on, as the query asks."""
+    checksum = F.crc32(F.col("doc_id").cast("string"))
+    words = docs.select("doc_id", "text", checksum.alias("h")).withColumn("g", F.expr("h div 10"))
+    words = words.withColumn("words", F.when(F.col("h") % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")))
+    words = words.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.expr("cast(g % n as int)")))
+    words = words.withColumn("p", F.when(F.col("n") > 0, F.expr("cast(1 + (n - a) div (3 + g % 8) as int)")))
+    again = F.expr("array_join(transform(words, (w, i) -> if(i < a, w, words[a + (i - a) % p])), ' ')")
+    return words.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+@query()
+def op12_internal_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of every document, and digests of them and of the words left."""
+    found = periodic.find_runs(planted_runs(table(spark, folder, "documents")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *(r[n].cast("string") for n in ("start", "length", "period"))))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, F.lit("\n")).otherwise(F.lit("")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
+
+
 @query()
 def op13_jacobi_davidson(spark: SparkSession, folder: str) -> DataFrame:
     """Leading whitened components of every vector."""
