@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from tallyloom.llm import bpe_tree, chunks, dac, jaccard, langid, licenses, mixing, periodic, pivots, quality, suffix, whitening
+from tallyloom.llm import bpe_tree, chunks, dac, jaccard, langid, licenses, mixing, periodic, pii, pivots, quality, suffix, whitening
 from tallyloom.llm.ship import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,6 +121,16 @@ def op6_deep_shallow(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query()
+def op11_semi_markov(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document: matches of the base patterns, and those with the field's spans."""
+    docs = table(spark, folder, "documents")
+    found = pii.find(docs, pii.train(docs))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", *(s[n].cast("string") for n in ("kind", "start", "end")))), ",")
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def planted_runs(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text); every tenth by the checksum of its id repeats its words from a place on, as the query asks."""
     checksum = F.crc32(F.col("doc_id").cast("string"))
