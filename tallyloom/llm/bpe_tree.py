@@ -173,19 +173,24 @@ def halves(n: int, leaf: int) -> list[tuple[int, int]]:
     return list(zip(at, at[1:]))
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
-    """One row (id, ids array<int>) per row of ``docs``; ``tokenizer`` is the path of a vocabulary of the tokenizers library."""
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, decoded: str | None = None) -> DataFrame:
+    """One row (id, ids array<int>) per row of ``docs``; ``tokenizer`` is the path of a vocabulary of the tokenizers library.
+
+    With ``decoded`` the ids' text is a column of that name: ids are decoded where they are made, in the same worker.
+    """
     kind = docs.schema[id_col].dataType
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     long = F.coalesce(F.length("text") > leaf, F.lit(False))
-    out = T.StructType([T.StructField("id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    texts = [T.StructField("decoded", T.StringType())] if decoded else []
+    out = T.StructType([T.StructField("id", kind), T.StructField("ids", T.ArrayType(T.IntegerType())), *texts])
 
     def at_once(batches):
         words = coder(tokenizer)
         for batch in parts(batches, "text"):
-            found = [words.encode(text) for text in documents(batch.column("text"))]
-            offsets = np.cumsum([0, *(len(x) // 4 for x in found)])
-            yield record({"id": batch.column("id"), "ids": id_lists(np.frombuffer(b"".join(found), "<u4"), offsets)})
+            found = [np.frombuffer(words.encode(text), "<u4") for text in documents(batch.column("text"))]
+            offsets = np.cumsum([0, *map(len, found)])
+            text = {"decoded": pa.array([words.decode(x.tolist()) for x in found], pa.string())} if decoded else {}
+            yield record({"id": batch.column("id"), "ids": id_lists(np.concatenate([*found, np.empty(0, "<u4")]), offsets)} | text)
 
     def cut(batches):
         for batch in parts(batches, "text"):
@@ -209,9 +214,10 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             high = low + len(r["part"])
             made.append(part_of(words, text, low, high, np.frombuffer(r["ids"], "<u4").astype(np.int64)))
             low = high
-        ids, n = join_tree(words, text, made), rows[0]["copies"]
-        lists = id_lists(np.tile(ids, n), np.arange(n + 1) * len(ids))
-        return pa.table({"id": table.column("id").combine_chunks().take(pa.array([0] * n)), "ids": lists})
+        ids = join_tree(words, text, made)
+        whole = {"id": table.column("id").combine_chunks().slice(0, 1), "ids": id_lists(ids, np.array([0, len(ids)]))}
+        whole |= {"decoded": pa.array([words.decode(ids.tolist())], pa.string())} if decoded else {}
+        return pa.table(whole | {"copies": pa.array([rows[0]["copies"]], pa.int64())})
 
     kinds = {f.name: f.dataType for f in out}
     row = lambda *fields: T.StructType([T.StructField(n, t) for n, t in fields])
@@ -222,7 +228,9 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         .agg(F.any_value("part").alias("part"), F.count("*").alias("copies"))
         .mapInArrow(leaves, row(*leaf_row, ("copies", T.LongType()), ("ids", T.BinaryType())))
     )
-    return whole.unionByName(pieces.groupBy("id", "key").applyInArrow(together, out)).withColumnRenamed("id", id_col)
+    joined = pieces.groupBy("id", "key").applyInArrow(together, T.StructType([*out, T.StructField("copies", T.LongType())]))
+    each = joined.select(*out.names, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")
+    return whole.unionByName(each).withColumnsRenamed({"id": id_col, "decoded": decoded or "decoded"})
 
 
 def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:

@@ -10,7 +10,7 @@ Counting is an aggregate by digest, combined on the map side; documents look the
 only, so a chunk of very many documents is no hot group. Lists are per document.
 
 Results: a null text stays null and counts as empty. A null id counts as the smallest. Rows of equal id count as one
-document: they don't remove each other's chunks. An empty table gives an empty table. Other columns are kept as they are.
+document: they don't remove each other's chunks; equal rows share one list of spans, however many they are. An empty table gives an empty table. Other columns are kept as they are.
 Ids must be whole numbers.
 """
 
@@ -115,7 +115,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     )
     later = chunks.filter("not again").join(counted, ["a", "b"]).filter("id > first").select("id", "key", "start", "length")
     own = chunks.filter("again").select("id", "key", "start", "length")
-    return later.unionAll(own).groupBy("id", "key").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    return later.unionAll(own).groupBy("id", "key").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
 
 
 def runs(starts: np.ndarray, lengths: np.ndarray, min_run: int) -> list[tuple[int, int]]:

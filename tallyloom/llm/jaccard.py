@@ -5,9 +5,10 @@ connected already.
 
 A document's set are its distinct n-grams as 64-bit hashes. Documents of equal sets are one class. The others are brought
 together without comparing pairs: the hash range is cut into more parts than two similar sets can differ in, so they agree in
-one part whole; a signature of each part is counted, and sets that share one go to the same cluster. Part numbers depend on
-the size and the limit, so sizes fall into bands and a set signs as well for every lower band that a similar set can lie in.
-Parts that are empty sign nothing; a set with empty parts signs again under other hashes.
+one part whole; each part signs, and sets that share a signature go to the same cluster. Part numbers depend on the size and
+the limit, so sizes fall into bands and a set signs as well for every lower band that a similar set can lie in. Parts that are
+empty sign nothing. There are as many parts more as a set of the band is likely to leave empty, so one of the parts in which
+similar sets agree has n-grams if either set has no more empty parts than that; a set that has signs again under other hashes.
 
 The sets of a cluster are ordered by frequency in it and stored in a prefix tree whose nodes hold a stride of n-grams. A set
 walks the tree level by level: the overlap with a node is computed once for all sets below it, and a subtree is left when the
@@ -25,13 +26,15 @@ id links with nothing and has no component. Repeated rows are equal sets. An emp
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.core import written
+from tallyloom.core import fresh, written
 from tallyloom.llm.arrow import documents, parts, record
 from tallyloom.llm.components import components
 
@@ -40,7 +43,7 @@ WORDS, PERCENT = 3, 90
 #: Sets of a block, and n-grams of all its sets together.
 BLOCK, BLOCK_GRAMS = 2000, 1 << 20
 #: Upper end of the first size band, and the ratio of the others.
-FIRST_BAND, BAND_RATIO = 16, 1.6
+FIRST_BAND, BAND_RATIO = 2, 1.6
 #: Hashes under which a set with empty parts may sign; under the last, empty parts sign too.
 _SCHEMES = 4
 #: N-grams of a node of the prefix tree at least, and levels at most.
@@ -73,27 +76,32 @@ def ngram_sets(texts: list[bytes], width: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def _bands(size: int, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Bands that a set of this size signs for, its own first: upper end and number of parts."""
+def _bands(size: int, percent: int = PERCENT) -> list[tuple[int, int, int]]:
+    """Bands that a set of this size signs for, its own first: upper end, number of parts, and parts that may be empty."""
     highs = [FIRST_BAND]
     while size >= highs[-1]:
         highs.append(int(highs[-1] * BAND_RATIO))
     # the smaller of two similar sets has percent of the larger at least, and they differ in fewer than count n-grams
     mine = [h for k, h in enumerate(highs) if k == len(highs) - 1 or percent * size <= 100 * (h - 1)]
-    return [(h, (h - 1) * (100 - percent) // percent + 1) for h in reversed(mine)]
+    out = []
+    for h in reversed(mine):
+        count = (h - 1) * (100 - percent) // percent + 1
+        spare = math.ceil(1.2 * count * math.exp(-h / (BAND_RATIO * count))) if count > 1 else 0
+        out.append((h, count + spare, spare))
+    return out
 
 
 def signatures(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Signatures of the parts of a sorted set: sets of at least this similarity have one in common."""
     out = []
-    for high, count in _bands(len(hashes), percent) if len(hashes) else []:
+    for high, count, spare in _bands(len(hashes), percent) if len(hashes) else []:
         for scheme in range(_SCHEMES):
             x = hashes if scheme == 0 else np.sort(_mix(hashes + _U(scheme)))
             part = ((x >> _U(32)) * _U(count)) >> _U(32)
             starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             salt = _U(high) << _U(36) | _U(scheme) << _U(32)
             out.append(_mix(np.add.reduceat(_mix(x), starts) + _mix(salt | part[starts])))
-            if len(starts) == count:
+            if count - len(starts) <= spare:
                 break
             if scheme == _SCHEMES - 1:
                 empty = np.setdiff1d(np.arange(count, dtype=np.uint64), part[starts])
@@ -232,10 +240,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = signed.filter("id is not null and size > 0").groupBy("a", "b").agg(F.min("id").alias("rep"))
     small = signed.select("id", "size", "a", "b")
     of_row = written(small.join(classes, ["a", "b"], "left").withColumn("rep", F.when(F.col("size") > 0, F.col("rep")).otherwise(F.col("id"))), "classes").select("id", "size", "rep")
-    reps = signed.filter("id is not null and size > 0").join(of_row.filter("id = rep").select("id").distinct(), "id", "left_semi")
-    signs = reps.select("id", F.explode("signatures").alias("signature"))
-    shared = signs.groupBy("signature").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    near = signs.join(shared.select("signature", "first"), "signature").filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    # one shuffle of the signatures: each meets the smallest id that has it, row by row in order of ids. Equal sets have equal
+    # signatures, so the smallest is a class's own; the other members of classes go afterwards, from links instead of signatures
+    signs = signed.filter("id is not null and size > 0").select("id", F.explode("signatures").alias("signature"))
+    so_far = Window.partitionBy("signature").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = signs.withColumn("first", F.first("id").over(so_far)).filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    near = near.join(of_row.filter("id = rep").select(F.col("id").alias("a")).distinct(), "a", "left_semi")
     clusters = components(near).withColumnRenamed("node", "id")
     of_id = small.filter("id is not null").groupBy("id").agg(F.sum("size").alias("size"))
     placed = written(_blocked(clusters.join(of_id, "id"), "component", block, block_grams), "clusters")
@@ -270,8 +280,23 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
+#: Ids from here on stand for null ids while one document of each group is chosen.
+_UNNAMED = 1 << 62
+
+
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents that are their component's smallest id, and those without component, with all their columns."""
-    found = similar_components(docs, id_col, text_col, width, percent)
-    later = found.filter(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(later, docs[id_col] == later["__id"], "left_anti")
+    """The documents that are their component's smallest id, and those without component, with all their columns.
+
+    Rows of equal id and text are one document and one of them stays. A null id counts as an id behind all others, made from
+    the text, so documents without id take part and stay where no named one is like them.
+    """
+    node, times = fresh(docs, "node"), fresh(docs, "times")
+    unnamed = F.lit(_UNNAMED) + F.pmod(F.xxhash64(text_col), F.lit(_UNNAMED))
+    named = docs.withColumn(node, F.coalesce(F.col(id_col).cast("long"), unnamed))
+    found = similar_components(named.select(F.col(node).alias("id"), F.col(text_col).alias("text")), "id", "text", width, percent)
+    decided = found.groupBy("id").agg(F.count("*").alias("n"), F.max(F.col("id") > F.col("component_id")).alias("later"))
+    decided = decided.filter("later or n > 1").select(F.col("id").alias("__decided"), F.when(F.col("later"), 0).otherwise(F.col("n")).alias("__n"))
+    left = named.join(decided, named[node] == decided["__decided"], "left").withColumn(times, F.coalesce(decided["__n"], F.lit(1)))
+    left = left.select(*(named[c] for c in named.columns), times)
+    once, often = left.filter(F.col(times) == 1), left.filter(F.col(times) > 1).dropDuplicates([node, text_col])
+    return once.unionByName(often).select(docs.columns)

@@ -45,7 +45,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query()
 def op3_bpe_tree(spark: SparkSession, folder: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
-    encoded = bpe_tree.decode(bpe_tree.encode(table(spark, folder, "documents"), TOKENIZER), TOKENIZER)
+    encoded = bpe_tree.encode(table(spark, folder, "documents"), TOKENIZER, decoded="decoded")
     return encoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

@@ -13,7 +13,8 @@ again, to the byte.
 A group of more than ``LARGE_GROUP`` suffixes isn't given to one task: its strings are counted by a 128-bit digest instead,
 combined on the map side. Each document sends a region once per anchor, so what is shuffled follows the repeated text.
 
-Results: a null text is empty. Each row is a document, so repeated rows repeat each other and lose what is long enough. A null
+Results: a null text is empty. Each row is a document, so repeated rows repeat each other and lose what is long enough; equal
+rows share one list of places and one of spans, however many they are. A null
 id counts as the smallest. An empty table gives an empty table. Other columns are not read.
 """
 
@@ -260,7 +261,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, large: int = LARGE_GRO
     grams = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
     places = (
         found.join(grams, "gram").groupBy("id", "key")
-        .agg(F.collect_list(F.struct("at", (F.col("n") > large).alias("large"))).alias("found"))
+        .agg(F.collect_set(F.struct("at", (F.col("n") > large).alias("large"))).alias("found"))
         .select("id", "key", F.col("found.at").alias("places"), F.col("found.large").alias("large"))
     )
     def regions_of(wanted: DataFrame) -> DataFrame:
@@ -273,7 +274,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, large: int = LARGE_GRO
     strings = in_large.mapInArrow(digests, "id long, key long, low int, a long, b long")
     again = strings.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
     counted = strings.join(again, ["a", "b"]).select("id", "key", "low", (F.col("low") + length).cast("int").alias("high"))
-    return spans.unionAll(counted).groupBy("id", "key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    return spans.unionAll(counted).groupBy("id", "key").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
 
 
 def _span_rows(ids, keys, lows, highs) -> pa.RecordBatch:

@@ -25,10 +25,10 @@ def roots(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-def shingles(text):
+def shingles(text, width=3):
     lowered = (text or "").translate({i: i + 32 for i in range(65, 91)})
     words = re.findall("[^\x20\x09-\x0d]+", lowered)
-    return {tuple(words[i : i + 3]) for i in range(len(words) - 2)} if len(words) > 2 else ({tuple(words)} if words else set())
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else ({tuple(words)} if words else set())
 
 
 def test_components(spark):
@@ -53,13 +53,30 @@ def test_join_equals_brute_force(docs, block, percent):
     assert len(set(wanted.values())) < len(wanted) - 8
 
 
-def test_first_of_each(docs, empty):
-    kept = jaccard.first_of_each(docs)
+def first_rows(rows, width=3, percent=90):
+    """One row of each group of similar documents: equal rows once, documents without id behind all others."""
+    sets = [shingles(r[1], width) for r in rows]
+    nodes = [(r[0] is None, r[0] if r[0] is not None else r[1] or "") for r in rows]
+    links = [(nodes[a], nodes[b]) for a, b in combinations(range(len(rows)), 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    wanted = roots(set(nodes), links)
+    return sorted({repr((r[0], r[1])): r for r, n in zip(rows, nodes) if wanted[n] == n}.values(), key=repr)
+
+
+@pytest.mark.parametrize("width,percent", [(3, 90), (5, 80)])
+def test_first_of_each(docs, empty, width, percent):
+    kept = jaccard.first_of_each(docs, width=width, percent=percent)
     assert kept.columns == docs.columns
-    found = jaccard.similar_components(docs).collect()
-    later = {r.doc_id for r in found if r.doc_id is not None and r.component_id < r.doc_id}
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((r[0] for r in corpus.rows() if r[0] not in later), key=repr)
-    assert jaccard.similar_components(empty).collect() == []
+    rows = corpus.rows()
+    wanted = first_rows(rows, width, percent)
+    assert sorted((tuple(r) for r in kept.collect()), key=repr) == wanted and len(wanted) < len({repr(r) for r in rows}) - 8
+    assert jaccard.first_of_each(empty).collect() == [] and jaccard.similar_components(empty).collect() == []
+
+
+def test_copies_leave_one_row(spark):
+    texts = [" ".join(f"w{k}" for k in range(30)), " ".join(f"v{k}" for k in range(30))]
+    rows = [(3, texts[0])] * 2000 + [(None, texts[0])] * 50 + [(None, texts[1])] * 50 + [(9, "")] * 3 + [(None, None)] * 4
+    out = jaccard.first_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    assert sorted(map(tuple, out), key=repr) == sorted([(3, texts[0]), (None, texts[1]), (9, ""), (None, None)], key=repr)
 
 
 def test_similar_sets_share_a_signature():
