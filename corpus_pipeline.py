@@ -8,6 +8,12 @@ next one's documents. All stages but the last return the columns of documents:
 3. substring dedup: passages that a document of smaller id has go from the text, and n_chars follows;
 4. mixing: documents are repeated or left out so that sources come to their target weights;
 5. BPE encoding: one row per document of the mix with its ids, their number and digests of ids and decoded text.
+
+Results: a null or empty text fails the base rules and goes in the first stage. Documents of null id take part in all stages
+and come behind the others where one of a group stays; of equal rows one stays; rows of equal id and other texts count as one
+document when similar ones are sought. Copies that the mix makes are rows of their own. A null source is a source like others.
+Texts are whole at every length. An empty table gives an empty result of each stage. Columns beyond those of documents stay up
+to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -51,7 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    encoded = bpe_tree.decode(bpe_tree.encode(docs, TOKENIZER), TOKENIZER)
+    encoded = bpe_tree.encode(docs, TOKENIZER, decoded="decoded")
     return encoded.select(
         "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
