@@ -5,7 +5,8 @@ connected already.
 
 A document's set are its distinct n-grams as 64-bit hashes. Documents of equal sets are one class. The others are brought
 together without comparing pairs: the hash range is cut into more parts than two similar sets can differ in, so they agree in
-one part whole; each part signs, and sets that share a signature go to the same cluster. Part numbers depend on the size and
+one part whole; each part signs. The sets that share a signature with a set of smaller id than all others that have it are that
+set's cluster, so two sets that share a signature meet in a cluster, however many of the others are unlike them. Part numbers depend on the size and
 the limit, so sizes fall into bands and a set signs as well for every lower band that a similar set can lie in. Parts that are
 empty sign nothing. There are as many parts more as a set of the band is likely to leave empty, so one of the parts in which
 similar sets agree has n-grams if either set has no more empty parts than that; a set that has signs again under other hashes.
@@ -246,7 +247,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     so_far = Window.partitionBy("signature").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = signs.withColumn("first", F.first("id").over(so_far)).filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
     near = near.join(of_row.filter("id = rep").select(F.col("id").alias("a")).distinct(), "a", "left_semi")
-    clusters = components(near).withColumnRenamed("node", "id")
+    near = written(near, "near").select(F.col("a").alias("id"), F.col("b").alias("component"))
+    clusters = near.unionByName(near.select(F.col("component").alias("id"), "component").distinct())
     of_id = small.filter("id is not null").groupBy("id").agg(F.sum("size").alias("size"))
     placed = written(_blocked(clusters.join(of_id, "id"), "component", block, block_grams), "clusters")
     texts = base.filter("id is not null").join(placed.select("id", "component", "blocks"), "id")
@@ -268,8 +270,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         main = counted.groupBy("component").agg(F.max(F.struct("k", "root")).alias("top")).select("component", F.col("top.root").alias("main"))
         outside = _blocked(rooted.join(main, "component").filter("root <> main").select("id", "size", "component"), "component", block, block_grams)
         outside = written(outside.select("id", "component", F.col("blocks").alias("ask_blocks")), "outside")
-        many = texts.filter("blocks > 1").join(rooted.select("id", "root"), "id")
-        asking = many.join(outside.select("id", "ask_blocks"), "id").withColumn("asks", F.lit(True)).withColumn("ask_at", own("ask_blocks")).withColumn("at", each("blocks"))
+        many = texts.filter("blocks > 1").join(rooted.select("id", "component", "root"), ["id", "component"])
+        asking = many.join(outside.select("id", "component", "ask_blocks"), ["id", "component"]).withColumn("asks", F.lit(True)).withColumn("ask_at", own("ask_blocks")).withColumn("at", each("blocks"))
         asked = many.join(outside.select("component", "ask_blocks").distinct(), "component").withColumn("asks", F.lit(False)).withColumn("at", own("blocks")).withColumn("ask_at", each("ask_blocks"))
         found = found.unionAll(joined(asking.unionByName(asked)))
     linked = components(found).withColumnRenamed("node", "rep")
