@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import functions as F
 
-from tallyloom.core import scratch_path
+from tallyloom.core import scratch_path, session_settings
 from tallyloom.operators.aggregate import Agg
 from tallyloom.plans.catalog import query, table
 from tallyloom.streaming import flows
@@ -155,30 +153,63 @@ def _as_ntz(cells):
     )
 
 
+_RUNNING = "event_id bigint, user_id bigint, ts timestamp_ntz, value double"
+# fixed values: days of the month at which arrivals end
+_ARRIVALS = ("2024-01-01", "2024-01-10", "2024-01-20", "2024-03-01")
+
+
+def _arrivals(spark, sf):
+    """The month's events in three parts."""
+    events, at = table(spark, sf, "events").select("event_id", "user_id", "ts", "value"), lambda d: F.lit(d).cast("timestamp_ntz")
+    for low, high in zip(_ARRIVALS, _ARRIVALS[1:]):
+        yield events.filter((F.col("ts") >= at(low)) & (F.col("ts") < at(high)))
+
+
 @query("""
 select event_id, round(sum(value) over (partition by user_id order by ts, event_id rows unbounded preceding), 4) as running_value from events
 """)
 def stream_running(spark, sf):
-    """Two arrivals: the earlier half of the month, then the later one."""
+    """Three arrivals; a run without news in between leaves all as it is."""
     folder = scratch_path(spark, "running")
-    events, middle = table(spark, sf, "events").select("event_id", "user_id", "ts", "value"), F.lit("2024-01-15").cast("timestamp_ntz")
-    for part in (F.col("ts") < middle, F.col("ts") >= middle):
-        events.filter(part).write.mode("append").parquet(f"{folder}/in")
-        stream = flows.stream_files(spark, f"{folder}/in", "event_id bigint, user_id bigint, ts timestamp_ntz, value double")
-        flows.stream_running(stream, "user_id", ["ts", "event_id"], "value", "sum", "running_value", f"{folder}/out", f"{folder}/state")
+    for rows in _arrivals(spark, sf):
+        rows.write.mode("append").parquet(f"{folder}/in")
+        for _ in range(2):
+            stream = flows.stream_files(spark, f"{folder}/in", _RUNNING)
+            flows.stream_running(stream, "user_id", ["ts", "event_id"], "value", "sum", "running_value", f"{folder}/out", f"{folder}/state")
     return spark.read.parquet(f"{folder}/out/rows").select("event_id", F.round("running_value", 4).alias("running_value"))
 
 
 @query("""
+select event_id, round(sum(value) over (partition by user_id order by ts, event_id rows unbounded preceding), 4) as running_value, false as late
+from events qualify ts <= (select max(ts) - interval 5 hour from events)
+""")
+def stream_running_ordered(spark, sf):
+    """Three arrivals of rows in no order: what the watermark has passed is out, in event order; the rest waits."""
+    folder = scratch_path(spark, "ordered")
+    with session_settings(spark, flows.STATE_STORE):
+        for rows in _arrivals(spark, sf):
+            rows.repartition(2, "event_id").write.mode("append").parquet(f"{folder}/in")
+            stream = flows.stream_files(spark, f"{folder}/in", _RUNNING).withColumn("ts", F.col("ts").cast("timestamp"))
+            ran = flows.stream_running_ordered(stream, "user_id", ["event_id"], "value", "sum", "running_value", "ts", "5 hours", "1 hour")
+            ran.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(
+                f"{folder}/out").awaitTermination()
+    return spark.read.schema(ran.schema).parquet(f"{folder}/out").select("event_id", F.round("running_value", 4).alias("running_value"), "late")
+
+
+_CHANGED = """
 with last as (select * from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1),
 t as (select c_custkey as user_id, c_acctbal as value from customer)
 select t.user_id, case when l.user_id is not null then l.value else t.value end as value from t left join last l on t.user_id = l.user_id
   where not coalesce(l.event_type = 'error', false)
 union all select user_id, value from last where event_type <> 'error' and user_id not in (select user_id from t)
-""")
+"""
+
+
+@query(_CHANGED)
 def stream_apply_changes(spark, sf):
     base = scratch_path(spark, "cdc")
-    flows.start_table(table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("value")), f"{base}/table")
+    accounts = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("value"))
+    flows.start_table(accounts, f"{base}/table", "user_id", 16)
     for _ in range(2):  # the second run finds nothing new and leaves the table as it is
         flows.stream_apply_changes(
             _events(spark, sf), f"{base}/table", "user_id", ["ts", "event_id"], "event_type", f"{base}/state", ["error"]
@@ -192,12 +223,8 @@ def stream_metrics(spark, sf):
     spark.streams.addListener(meter)
     clicks = flows.stream_filter(_events(spark, sf), F.col("event_type") == "click")
     flows.run_to_table(flows.stream_metrics(clicks, "clicks", total="value"))
-    for _ in range(100):
-        if meter.batches:
-            break
-        time.sleep(0.1)
+    rows = [(b["rows"], b["total"]) for b in meter.wait()]
     spark.streams.removeListener(meter)
-    rows = [(b["rows"], b["total"]) for b in meter.batches]
     return spark.createDataFrame(rows, "rows bigint, total double").agg(
         F.sum("rows").alias("rows"), F.round(F.sum("total"), 2).alias("total")
     )

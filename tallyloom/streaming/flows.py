@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
-from tallyloom.core import join_back, match_on, names, scratch_path
+from tallyloom.core import join_back, match_on, names, scratch_path, sort_keys, written
 from tallyloom.operators import load
 from tallyloom.operators.aggregate import Agg, agg_column
 from tallyloom.operators.joins import one_per_key
 from tallyloom.operators.ordered import running_values
 from tallyloom.operators.select import route
+from tallyloom.sources import manifests
+from tallyloom.sources.keyed_table import KeyedTable
 
 
 def stream_files(spark: SparkSession, path: str, schema, format: str = "parquet", glob: str | None = None,
@@ -120,6 +123,10 @@ def _drain(query: StreamingQuery, wait: bool) -> StreamingQuery:
     return query
 
 
+# fixed values: what a running value keeps of what came before
+_TOTALS = {"sum": "s", "count": "n", "average": "s", "maximum": "hi", "minimum": "lo"}
+
+
 def stream_running(
     stream: DataFrame,
     keys,
@@ -131,49 +138,162 @@ def stream_running(
     checkpoint: str,
     wait: bool = True,
     trigger: Mapping | None = None,
+    buckets: int = 64,
 ) -> StreamingQuery:
-    """Running value per key over an unbounded flow; rows go to ``base/rows``.
+    """Running value per key over an unbounded flow, at once and in order of arrival; rows go to ``base/rows``.
 
     ``trigger`` is what ``DataStreamWriter.trigger`` takes, by default everything available now.
 
-    Each micro-batch runs the batch operator, which spreads hot keys over tasks, and adds what earlier batches left
-    in the totals table ``base/totals/v=<batch>``. Totals and rows are written per batch id, so a replayed batch
-    rewrites the same files and counts once. Rows are ordered within a batch; batches follow each other.
+    Each micro-batch runs the batch operator, which spreads hot keys over tasks, and adds what earlier batches left in the
+    keyed table ``base/totals``. Only the totals of keys that arrived are read and written. Rows are written per batch id and
+    the totals know their last batch, so a replayed batch rewrites the same files and counts once. Rows are ordered within a
+    batch; batches follow each other. ``stream_running_ordered`` waits for late rows instead.
     """
     keys = names(keys)
-    fold = {"sum": "s", "count": "n", "average": "s", "maximum": "hi", "minimum": "lo"}
-    if op not in fold:
+    if op not in _TOTALS:
         raise ValueError(f"unsupported running operation {op!r}")
     totals = [F.sum(value).alias("s"), F.count(value).alias("n"), F.max(value).alias("hi"), F.min(value).alias("lo")]
 
     def feed(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        batch = batch.persist()
+        batch = written(batch, "arrived")
         ran = running_values(
             batch, [("count" if op == "count" else "sum" if op == "average" else op, value, "__l"), ("count", value, "__n")],
             order, keys,
         )
-        now, new = F.col("__l"), batch.groupBy(*keys).agg(*totals)
-        if batch_id > 0:
-            before = session.read.parquet(f"{base}/totals/v={batch_id - 1}")
-            ran = join_back(ran, before, keys)
-            had, n = F.col(fold[op]), F.coalesce(F.col("n"), F.lit(0)) + F.col("__n")
-            joint = F.when(had.isNull(), now).when(now.isNull(), had).otherwise(had + now)
-            new = before.unionByName(new).groupBy(*keys).agg(
-                F.sum("s").alias("s"), F.sum("n").alias("n"), F.max("hi").alias("hi"), F.min("lo").alias("lo")
-            )
+        new, now = batch.groupBy(*keys).agg(*totals), F.col("__l")
+        table = None
+        if manifests.numbers(session, f"{base}/totals/manifests"):
+            table = KeyedTable.load(session, f"{base}/totals").before_batch(checkpoint, batch_id)
+            before = table.read(table.buckets_of(new))
         else:
-            had, n, joint = F.lit(None), F.col("__n"), now
+            before = new.limit(0)
+        before = before.select(*keys, *[F.col(c).alias(f"__{c}") for c in ("s", "n", "hi", "lo")])
+        ran = join_back(ran, before.withColumnRenamed("__n", "__had"), keys)
+        had, n = F.col("__had" if op == "count" else f"__{_TOTALS[op]}"), F.coalesce(F.col("__had"), F.lit(0)) + F.col("__n")
+        joint = F.when(had.isNull(), now).when(now.isNull(), had).otherwise(had + now)
         shown = {"maximum": F.greatest(now, had), "minimum": F.least(now, had), "average": F.try_divide(joint, n)}.get(op, joint)
         ran.select(*batch.columns, shown.alias(out)).write.mode("overwrite").parquet(f"{base}/rows/batch={batch_id}")
-        new.write.mode("overwrite").parquet(f"{base}/totals/v={batch_id}")
-        batch.unpersist()
+        both = join_back(new, before, keys)
+        added = lambda c: F.when(F.col(f"__{c}").isNull(), F.col(c)).when(F.col(c).isNull(), F.col(f"__{c}")).otherwise(F.col(c) + F.col(f"__{c}"))
+        after = both.select(
+            *keys, added("s").cast(new.schema["s"].dataType).alias("s"), added("n").alias("n"),
+            F.greatest("hi", "__hi").alias("hi"), F.least("lo", "__lo").alias("lo"),
+        )
+        if table is None:
+            KeyedTable.create(after, f"{base}/totals", keys, buckets).write_changes(after.limit(0), None, checkpoint, batch_id)
+        else:
+            table = KeyedTable.load(session, f"{base}/totals").write_changes(after, None, checkpoint, batch_id)
+            table.compact(8).vacuum()
 
     return _drain(
         stream.writeStream.foreachBatch(feed).option("checkpointLocation", checkpoint).trigger(**(trigger or NOW)).start(), wait
     )
 
 
+class _OrderedValues(StatefulProcessor):
+    """Keeps a key's rows until the watermark has passed them, then gives them out in order with the running value."""
+
+    def __init__(self, rows: T.StructType, time: str, order: Sequence[tuple[str, bool]], value: str, op: str, out: str, grace: int) -> None:
+        self.schema, self.time, self.order, self.value, self.op, self.out, self.grace = rows, time, order, value, op, out, grace
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", self.schema)
+        self.total = handle.getValueState("total", "s double, n bigint, hi double, lo double")
+
+    def _running(self, totals: list, row: tuple, late: bool) -> Row:
+        x = row[self.schema.names.index(self.value)]
+        if x is not None:
+            x = float(x)
+            s, n, hi, lo = totals
+            totals[:] = (s or 0.0) + x, n + 1, x if hi is None else max(hi, x), x if lo is None else min(lo, x)
+        s, n, hi, lo = totals
+        shown = {"sum": s, "count": float(n), "maximum": hi, "minimum": lo, "average": s / n if n else None}[self.op]
+        return Row(*self.schema.names, self.out, "late")(*row, shown, late)
+
+    def _sorted(self, rows: list[tuple]) -> list[tuple]:
+        at = self.schema.names.index
+        for name, descending in reversed(self.order):
+            rows.sort(key=lambda r: (r[at(name)] is not None, r[at(name)]) if r[at(name)] is not None else (False,), reverse=descending)
+        return rows
+
+    def _millis(self, row: tuple) -> int:
+        return int(row[self.schema.names.index(self.time)].timestamp() * 1000)
+
+    def _totals(self) -> list:
+        return list(self.total.get()) if self.total.exists() else [None, 0, None, None]
+
+    def handleInputRows(self, key, rows, timerValues):
+        out_from = timerValues.getCurrentWatermarkInMs() + self.grace
+        waiting, late = [], []
+        for row in rows:
+            (late if self._millis(row) <= out_from else waiting).append(tuple(row))
+        if waiting:
+            self.rows.appendList(waiting)
+            self.handle.registerTimer(max(min(map(self._millis, waiting)) - self.grace, 1))
+        if late:
+            totals = self._totals()
+            for row in self._sorted(late):
+                yield self._running(totals, row, True)
+            self.total.update(tuple(totals))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        out_to = timerValues.getCurrentWatermarkInMs() + self.grace
+        ready, waiting = [], []
+        for row in self.rows.get():
+            (ready if self._millis(row) <= out_to else waiting).append(tuple(row))
+        if not ready:
+            return
+        if waiting:
+            self.rows.put(waiting)
+            self.handle.registerTimer(max(min(map(self._millis, waiting)) - self.grace, 1))
+        else:
+            self.rows.clear()
+        totals = self._totals()
+        for row in self._sorted(ready):
+            yield self._running(totals, row, False)
+        self.total.update(tuple(totals))
+
+    def close(self) -> None:
+        pass
+
+
+#: The state store that ``stream_running_ordered`` needs, a setting of the session.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def stream_running_ordered(
+    stream: DataFrame, keys, order, value: str, op: str, out: str, time: str, wait: str, grace: str = "0 seconds"
+) -> DataFrame:
+    """Running value per key in event order, whatever the order of arrival: a stream of the rows with ``out`` and ``late``.
+
+    The rows and totals of a key are the engine's keyed state: a micro-batch touches the keys that arrived and those whose
+    timer the watermark has passed, and a restart goes on from the checkpoint. Rows are held for ``wait`` behind the newest
+    time seen, then come out in order. Policy for late rows: one that is behind that, but by no more than ``grace``, comes
+    out at once, marked ``late``, with the value that it brings the total to; a later one is dropped, and counted by the
+    query's progress. A key's rows of one such span are in one task's memory. Ordering columns come after ``time``.
+
+    Set ``STATE_STORE`` in the session before the query starts.
+    """
+    keys = names(keys)
+    if op not in _TOTALS:
+        raise ValueError(f"unsupported running operation {op!r}")
+    sort = [(time, False), *sort_keys(order, "stream_running_ordered")]
+    millis = _millis_of(stream.sparkSession, grace)
+    rows = T.StructType([T.StructField(f.name, f.dataType) for f in stream.schema])
+    shown = T.StructType([*rows, T.StructField(out, T.DoubleType()), T.StructField("late", T.BooleanType())])
+    delay = f"{(_millis_of(stream.sparkSession, wait) + millis)} milliseconds"
+    kept = stream.withWatermark(time, delay).groupBy(*keys)
+    return kept.transformWithState(_OrderedValues(rows, time, sort, value, op, out, millis), shown, "Append", "EventTime")
+
+
+def _millis_of(spark: SparkSession, span: str) -> int:
+    """A span like "2 days" in milliseconds."""
+    at = spark.sql(f"select timestamp_millis(0) + interval {span} as t").select(F.unix_millis("t").alias("ms"))
+    return int(at.first().ms)
+
+
 def stream_apply_changes(
     changes: DataFrame,
     base: str,
@@ -184,45 +304,47 @@ def stream_apply_changes(
     deletes: Sequence[str] = ("delete",),
     wait: bool = True,
     trigger: Mapping | None = None,
+    compact_at: int = 8,
 ) -> StreamingQuery:
-    """Change subscriber feeding a table of Parquet versions below ``base``.
+    """Change subscriber feeding a keyed table below ``base``, which ``start_table`` puts there.
 
-    Each micro-batch writes the version of its batch id from the version before, so a replayed batch rewrites the same
-    version and counts once. ``start_table`` puts the table there that the first batch changes.
+    Each micro-batch writes the keys it names into the buckets they belong to; other buckets keep their files. The table knows
+    the last batch of this checkpoint, so a replayed batch counts once. A bucket with more than ``compact_at`` change
+    segments is written anew; versions behind the last few are dropped.
     """
+    keys = names(keys)
 
     def feed(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        before = session.read.parquet(f"{base}/v={batch_id - 1}")
-        after = load.apply_changes(before, batch, keys, seq, op, deletes)
-        after.write.mode("overwrite").parquet(f"{base}/v={batch_id}")
-        _point_to(session, base, batch_id)
+        table = KeyedTable.load(batch.sparkSession, base)
+        if table.keys != keys:
+            raise ValueError(f"the table's key is {table.keys}, not {keys}")
+        after = load.change_table(table, batch, seq, op, deletes, checkpoint, batch_id)
+        after.compact(compact_at).vacuum()
 
     return _drain(
         changes.writeStream.foreachBatch(feed).option("checkpointLocation", checkpoint).trigger(**(trigger or NOW)).start(), wait
     )
 
 
-def _point_to(spark: SparkSession, base: str, version: int) -> None:
-    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("overwrite").json(f"{base}/current")
-
-
-def start_table(table: DataFrame, base: str) -> None:
-    table.write.parquet(f"{base}/v=-1")
-    _point_to(table.sparkSession, base, -1)
+def start_table(table: DataFrame, base: str, keys, buckets: int = 64) -> KeyedTable:
+    return KeyedTable.create(table, base, keys, buckets)
 
 
 def newest_version(spark: SparkSession, base: str) -> DataFrame:
     """Table as of the last batch that was written, whether or not later runs found new data."""
-    version = spark.read.schema("version long").json(f"{base}/current").first()["version"]
-    return spark.read.parquet(f"{base}/v={version}")
+    return KeyedTable.load(spark, base).read()
 
 
 class FlowMeter(StreamingQueryListener):
     """Collects observed metrics and row counts per micro-batch: ``batches`` is a list of dicts."""
 
     def __init__(self, name: str):
-        self.name, self.batches = name, []
+        self.name, self.batches, self._ended = name, [], threading.Event()
+
+    def wait(self, seconds: float = 60) -> list[dict]:
+        """The metrics of all batches, once the query has ended and the listener has heard of it."""
+        self._ended.wait(seconds)
+        return self.batches
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -236,7 +358,7 @@ class FlowMeter(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:
-        pass
+        self._ended.set()  # events come in order: all progress has been heard
 
 
 def stream_metrics(stream: DataFrame, name: str, **sums: str) -> DataFrame:
