@@ -6,13 +6,18 @@ one cell or one task.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.core import written
 from tallyloom.functions.text import normal_line
+from tallyloom.operators import text_index
 from tallyloom.operators.ordered import longest_run, running
 
 # fixed values: furniture share and minimum, lines of a page that can carry furniture, lines of a sparse page,
@@ -74,12 +79,10 @@ def sparse_pages(lines: DataFrame, doc: str) -> DataFrame:
 
 # ---------------------------------------------------------------- line parity
 
-GRAM = 4
-
-
-def _grams(text: Column) -> Column:
-    """All overlapping grams in one pass over the text; a normalised line has at least GRAM characters."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
+# bytes of a piece of a document's stream, and of the pieces of a line that are compared with it
+CHUNK, PIECE = 16_384, 4_096
+# bytes of the shortest line that has a fingerprint; shorter ones are looked for by all grams of SHORT bytes
+WHOLE, SHORT = text_index.GRAM + text_index.WINDOW - 1, 4
 
 
 def _page_texts(lines: DataFrame, doc: str, line: Column) -> DataFrame:
@@ -94,60 +97,107 @@ def _squeeze(text: Column) -> Column:
 
 
 def _stream(lines: DataFrame, doc: str) -> DataFrame:
-    """Normalised page texts without blanks, placed in the character stream of their document: (doc, start, text).
-
-    ``text`` carries GRAM - 1 characters of the following page, so that every gram of the stream starts on some page.
-    """
+    """Normalised page texts without blanks, placed in the byte stream of their document: (doc, start, text)."""
     words = F.filter(F.split(F.trim(F.col("line")), r"(?U)\s+"), lambda w: w != "")
     page = _page_texts(lines, doc, words)
-    text = page.select(doc, "page_no", _squeeze(normal_line(F.array_join(F.flatten("a"), " "))).alias("text"))
-    text = written(text.filter(F.col("text") != ""))
+    text = page.select(doc, "page_no", F.encode(_squeeze(normal_line(F.array_join(F.flatten("a"), " "))), "UTF-8").alias("text"))
+    text = written(text.filter(F.octet_length("text") > 0))
     # positions are worked out without carrying the texts along
-    sized = text.select(
-        doc, "page_no", (F.length(F.encode("text", "UTF-16BE")) / 2).cast("long").alias("__len"), F.left("text", F.lit(GRAM - 1)).alias("__head")
-    )
-    placed = running(sized, "sum", "__len", "__end", "page_no", doc)
-    start = F.col("__end") - F.col("__len")
-    following = placed.select(F.col(doc).alias("__d"), start.alias("__at"), F.col("__head").alias("__more"))
-    spot = placed.join(following, (F.col(doc) == F.col("__d")) & (F.col("__end") == F.col("__at")), "left").select(
-        doc, "page_no", start.alias("start"), F.coalesce("__more", F.lit("")).alias("__more")
-    )
-    return text.join(spot, [doc, "page_no"]).select(doc, "start", F.concat("text", "__more").alias("text"))
+    placed = running(text.select(doc, "page_no", F.octet_length("text").cast("long").alias("__len")), "sum", "__len", "__end", "page_no", doc)
+    return text.join(placed.select(doc, "page_no", (F.col("__end") - F.col("__len")).alias("start")), [doc, "page_no"]).select(doc, "start", "text")
+
+
+def _chunks(stream: DataFrame, doc: str) -> DataFrame:
+    """The streams in chunks of CHUNK bytes, each with the PIECE bytes behind it: (doc, chunk, text)."""
+    end = F.col("start") + F.octet_length("text")
+    first, last = F.greatest(F.lit(0), F.floor((F.col("start") - PIECE) / CHUNK)), F.floor((end - 1) / CHUNK)
+    pieces = stream.select(doc, "start", "text", F.explode(F.sequence(first, last)).alias("chunk"))
+    low = F.greatest(F.col("start"), F.col("chunk") * CHUNK)
+    high = F.least(end, (F.col("chunk") + 1) * CHUNK + PIECE)
+    cut = F.substring("text", (low - F.col("start") + 1).cast("int"), (high - low).cast("int"))
+    pieces = pieces.filter(low < high).select(doc, "chunk", F.struct(low.alias("low"), cut.alias("cut")).alias("p"))
+    joined = F.aggregate(F.array_sort(F.collect_list("p")), F.lit(b""), lambda x, p: F.concat(x, p["cut"]))
+    return pieces.groupBy(doc, "chunk").agg(joined.alias("text"))
+
+
+def _seeds(wanted: DataFrame, doc: str) -> DataFrame:
+    """(doc, line, code, off): fingerprints of the first, middle and last bytes of each wanted line, or grams if it is short."""
+    def seeds(batches):
+        for batch in batches:
+            data, offsets = text_index.text_bytes(batch.column("text"))
+            low, size = offsets[:-1], np.diff(offsets)
+            rows, codes, off = [], [], []
+            for wide, least in ((True, WHOLE), (False, SHORT)):
+                row = np.flatnonzero((size >= WHOLE) if wide else (size >= SHORT) & (size < WHOLE))
+                if not len(row):
+                    continue
+                for begin in (np.zeros(len(row), np.int64), (size[row] - least) // 2, size[row] - least):
+                    if wide:
+                        at, code = text_index.window_fingerprints(data, low[row] + begin)
+                    else:
+                        at, code = 0, text_index.gram_codes(data, SHORT)[low[row] + begin]
+                    rows.append(row), codes.append(code), off.append(begin + at)
+            if rows:
+                take = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(doc).take(take), batch.column("line").take(take), pa.array(np.concatenate(codes).view(np.int64)),
+                     pa.array(np.concatenate(off), pa.int32())], names=[doc, "line", "code", "off"])
+
+    kind = wanted.schema[doc].dataType.simpleString()
+    return wanted.select(doc, "line", F.encode("text", "UTF-8").alias("text")).mapInArrow(seeds, f"`{doc}` {kind}, line long, code long, off int").distinct()
 
 
 def _found_in_stream(wanted: DataFrame, lines: DataFrame, doc: str) -> DataFrame:
     """Those (doc, norm) of ``wanted`` that occur in the document's stream, blanks aside.
 
-    Every wanted text is cut into grams. Its rarest gram in the document proposes start offsets by an equi-join;
-    the other grams confirm them by (document, offset). Only documents with something wanted are looked at.
+    Streams are winnowed: of every WHOLE neighbouring bytes at least one gram is a fingerprint, chosen by these bytes alone, so
+    a line that occurs brings its fingerprints along. Each line proposes places by that one of three of its own which is
+    rarest in the document; the bytes there are compared piece by piece. Fingerprints that no line has stay in the task that
+    finds them. Lines too short for a fingerprint are sought by grams.
     """
-    needles = wanted.select(doc, "norm", _squeeze(F.col("norm")).alias("__t")).distinct()
-    # every GRAM-th gram and the last one cover all characters of a needle
-    last = F.length("__t") - GRAM
-    pieces = needles.select(doc, "norm", last.alias("__last"), F.posexplode(_grams(F.col("__t"))).alias("__i", "__gram"))
-    pieces = pieces.filter((F.col("__i") % GRAM == 0) | (F.col("__i") == F.col("__last")))
-    need = F.floor(F.col("__last") / GRAM) + F.when(F.col("__last") % GRAM == 0, 1).otherwise(2)
-    grams = written(pieces.select(doc, "norm", need.alias("__need"), "__i", "__gram"))
-    stream = _stream(lines.join(grams.select(doc).distinct(), doc, "left_semi"), doc)
-    spots = stream.select(doc, "start", F.posexplode(_grams(F.col("text"))).alias("__p", "__gram")).select(
-        doc, "__gram", (F.col("start") + F.col("__p")).alias("__at")
-    )
-    spots = written(spots.join(grams.select(doc, "__gram").distinct(), [doc, "__gram"], "left_semi"))
-    frequency = spots.groupBy(doc, "__gram").agg(F.count(F.lit(1)).alias("__f"))
-    rated = grams.join(frequency, [doc, "__gram"], "left").withColumn("__f", F.coalesce("__f", F.lit(0)))
-    seed = rated.groupBy(doc, "norm").agg(
-        F.min(F.struct("__f", "__i", "__gram")).alias("s"), F.max("__need").alias("__need")
-    ).filter(F.col("s.__f") > 0)
-    starts = (
-        seed.select(doc, "norm", "__need", F.col("s.__gram").alias("__gram"), F.col("s.__i").alias("__off"))
-        .join(spots, [doc, "__gram"]).select(doc, "norm", "__need", (F.col("__at") - F.col("__off")).alias("__begin"))
-    )
-    expected = starts.join(grams.select(doc, "norm", "__i", "__gram"), [doc, "norm"]).select(
-        doc, "norm", "__need", "__begin", (F.col("__begin") + F.col("__i")).alias("__at"), "__gram"
+    needles = wanted.select(doc, "norm", _squeeze(F.col("norm")).alias("text")).distinct()
+    needles = written(needles.withColumn("line", F.xxhash64("norm")))
+    seeds = written(_seeds(needles, doc))
+    chunks = written(_chunks(_stream(lines.join(needles.select(doc).distinct(), doc, "left_semi"), doc), doc))
+    filter_of = text_index.code_filter(seeds, "code")
+
+    def spots(batches):
+        for batch in batches:
+            data, offsets = text_index.text_bytes(batch.column("text"))
+            rows, codes, at = [], [], []
+            for k, (low, high) in enumerate(zip(offsets, offsets[1:])):
+                text = data[low:high]
+                short = text_index.gram_codes(text, SHORT)
+                for place, code in (text_index.fingerprints(text), (np.arange(len(short)), short)):
+                    mine = text_index.may_be_in(filter_of, code)
+                    rows.append(np.full(mine.sum(), k)), codes.append(code[mine]), at.append(place[mine])
+            if rows:
+                take = pa.array(np.concatenate(rows))
+                chunk = batch.column("chunk").take(take)
+                begin = chunk.to_numpy(zero_copy_only=False) * CHUNK + np.concatenate(at)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(doc).take(take), pa.array(np.concatenate(codes).view(np.int64)), pa.array(begin)], names=[doc, "code", "at"])
+
+    kind = wanted.schema[doc].dataType.simpleString()
+    found = chunks.mapInArrow(spots, f"`{doc}` {kind}, code long, at long")
+    found = written(found.join(seeds.select(doc, "code").distinct(), [doc, "code"], "left_semi").distinct())
+    frequency = found.groupBy(doc, "code").agg(F.count(F.lit(1)).alias("f"))
+    rarest = seeds.join(frequency, [doc, "code"]).groupBy(doc, "line").agg(F.min_by(F.struct("code", "off"), F.struct("f", "off")).alias("s"))
+    missing = seeds.select(doc, "line", "code").distinct().join(frequency, [doc, "code"], "left_anti").select(doc, "line").distinct()
+    rarest = rarest.join(missing, [doc, "line"], "left_anti").select(doc, "line", "s.code", "s.off")
+    starts = rarest.join(found, [doc, "code"]).select(doc, "line", (F.col("at") - F.col("off")).alias("begin")).filter("begin >= 0").distinct()
+    size = F.octet_length("text")
+    pieces = needles.select(doc, "line", size.alias("size"), F.encode("text", "UTF-8").alias("bytes")).withColumn("step", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / PIECE))))
+    pieces = pieces.select(
+        doc, "line", "step", (F.floor((F.col("size") - 1) / PIECE) + 1).alias("steps"),
+        F.substring("bytes", (F.col("step") * PIECE + 1).cast("int"), F.lit(PIECE)).alias("piece"),
     )
-    confirmed = expected.join(spots, [doc, "__at", "__gram"], "left_semi")
-    whole = confirmed.groupBy(doc, "norm", "__begin").agg(F.count(F.lit(1)).alias("__k"), F.max("__need").alias("__need"))
-    return whole.filter(F.col("__k") >= F.col("__need")).select(doc, "norm").distinct()
+    asked = starts.join(pieces, [doc, "line"]).withColumn("from", F.col("begin") + F.col("step") * PIECE)
+    asked = asked.withColumn("chunk", F.floor(F.col("from") / CHUNK))
+    here = F.substring("text", (F.col("from") - F.col("chunk") * CHUNK + 1).cast("int"), F.octet_length("piece"))
+    equal = asked.join(chunks, [doc, "chunk"]).filter(here == F.col("piece"))
+    whole = equal.groupBy(doc, "line", "begin").agg(F.count(F.lit(1)).alias("k"), F.max("steps").alias("steps")).filter("k = steps")
+    return needles.join(whole.select(doc, "line").distinct(), [doc, "line"], "left_semi").select(doc, "norm")
 
 
 def line_parity(original: DataFrame, converted: DataFrame, doc: str) -> DataFrame:
@@ -172,45 +222,47 @@ def line_parity(original: DataFrame, converted: DataFrame, doc: str) -> DataFram
 # ---------------------------------------------------------------- groups on pages
 
 
-def _value_hits(lines: DataFrame, doc: str, values: Sequence[str]) -> DataFrame:
-    """Pages (doc, page_no, value) a value occupies: it is on the page and no longer value containing it is.
+Values = Sequence[str] | DataFrame
 
-    ``values`` is a parameter list; each line is tested once against all of it.
+
+def _values(lines: DataFrame, values: Values) -> DataFrame:
+    """(value, rank): a list's order, or a table's column ``rank`` (without one, the order of the values)."""
+    if not isinstance(values, DataFrame):
+        return lines.sparkSession.createDataFrame([(v, n) for n, v in enumerate(values)], "value string, rank long")
+    rank = F.col("rank").cast("long") if "rank" in values.columns else F.lit(0).cast("long")
+    return values.select(F.col("value").cast("string").alias("value"), rank.alias("rank")).filter("value is not null")
+
+
+def _value_hits(lines: DataFrame, doc: str, values: Values) -> DataFrame:
+    """Pages (doc, page_no, value, rank) a value occupies: it is on the page and no longer value containing it is.
+
+    Values may be any number, as a list or as a table with column ``value``; the empty value is nowhere. They are found by
+    their rarest gram (``text_index``), in lines and, the same way, in each other.
     """
-    if len(values) > 10_000:
-        raise ValueError("pass at most 10000 values at a time")
-    table = F.array(*[F.lit(v) for v in values])
-    on = lines.select(
-        doc, "page_no", F.explode(F.filter(table, lambda v: F.col("line").contains(v))).alias("value")
-    ).distinct()
-    longer = [(v, w) for v in values for w in values if v != w and v in w]
-    if not longer:
-        return on
-    pairs = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(w).alias("w")) for v, w in longer])
+    index = written(text_index.value_grams(_values(lines, values)), "values")
+    on = written(text_index.find_values(lines, [doc, "page_no"], "line", index))
+    inside = text_index.find_values(index.select(F.col("value").alias("longer")), ["longer"], "longer", index).filter("longer <> value")
     # a longer value on the page takes the page from the values it contains
-    taken = on.select(
-        doc, "page_no",
-        F.explode(F.transform(F.filter(pairs, lambda p: p["w"] == F.col("value")), lambda p: p["v"])).alias("value"),
-    ).distinct()
-    return on.join(taken, [doc, "page_no", "value"], "left_anti")
+    taken = on.select(doc, "page_no", F.col("value").alias("longer")).join(inside.select("longer", "value"), "longer")
+    return on.join(taken.select(doc, "page_no", "value").distinct(), [doc, "page_no", "value"], "left_anti")
 
 
-def group_spans(lines: DataFrame, doc: str, values: Sequence[str]) -> DataFrame:
+def group_spans(lines: DataFrame, doc: str, values: Values) -> DataFrame:
     """Longest run of consecutive pages per value: (doc, value, first_pos, last_pos, run_length)."""
-    return longest_run(_value_hits(lines, doc, values), [doc, "value"], "page_no")
+    return longest_run(_value_hits(lines, doc, values).drop("rank"), [doc, "value"], "page_no")
 
 
-def _owned_pages(lines: DataFrame, doc: str, values: Sequence[str]) -> DataFrame:
-    """(doc, value, page_no) for the pages of each value's run; a run has as many pages as it has rows here."""
+def _owned_pages(lines: DataFrame, doc: str, values: Values) -> DataFrame:
+    """(doc, value, rank, page_no) for the pages of each value's run; a run has as many pages as it has rows here."""
     hits = written(_value_hits(lines, doc, values))
-    spans = longest_run(hits, [doc, "value"], "page_no")
+    spans = longest_run(hits.drop("rank"), [doc, "value"], "page_no")
     return (
         hits.join(spans, [doc, "value"]).filter(F.col("page_no").between(F.col("first_pos"), F.col("last_pos")))
-        .select(doc, "value", "page_no", "last_pos")
+        .select(doc, "value", "rank", "page_no", "last_pos")
     )
 
 
-def group_breaks(lines: DataFrame, doc: str, values: Sequence[str]) -> DataFrame:
+def group_breaks(lines: DataFrame, doc: str, values: Values) -> DataFrame:
     """Last content line before each page break inside a value's run: (doc, value, page_no, mark); '' without one."""
     on = _owned_pages(lines, doc, values).filter(F.col("page_no") < F.col("last_pos"))
     last = content_lines(lines, doc).groupBy(doc, "page_no").agg(F.max_by("norm", "line_no").alias("mark"))
@@ -223,20 +275,19 @@ def _amounts(text: Column, pattern: str) -> Column:
     return F.array_distinct(F.filter(bare, lambda m: m != ""))
 
 
-def orphan_totals(lines: DataFrame, doc: str, values: Sequence[str]) -> DataFrame:
+def orphan_totals(lines: DataFrame, doc: str, values: Values) -> DataFrame:
     """Totals stranded on the page after their group: (doc, owner, page_no).
 
     A page that states its total in prose ("totalling $43.50") must print it; if the next page does instead, that
     page is stranded. Otherwise a near-empty page with a total that belongs to no group itself is the previous page's,
-    unless both print amounts and share none. Of several values on a page the last in ``values`` owns it.
+    unless both print amounts and share none. Of several values on a page the one of the highest rank owns it.
     """
     text = _page_texts(lines, doc, F.col("line")).select(doc, "page_no", F.array_join("a", "\n").alias("text"))
     facts = text.select(
         doc, "page_no", _amounts(F.col("text"), STATED_TOTAL).alias("stated"),
         _amounts(F.col("text"), TOTAL_AMOUNT).alias("totals"), _amounts(F.col("text"), ANY_MONEY).alias("money"),
     )
-    rank = F.array_position(F.array(*[F.lit(v) for v in values]), F.col("value"))
-    owners = _owned_pages(lines, doc, values).groupBy(doc, "page_no").agg(F.max_by("value", rank).alias("owner"))
+    owners = _owned_pages(lines, doc, values).groupBy(doc, "page_no").agg(F.max_by("value", F.struct("rank", "value")).alias("owner"))
     content = content_lines(lines, doc).groupBy(doc, "page_no").agg(
         F.count(F.lit(1)).alias("content"), F.max(F.col("norm").rlike(TOTAL_MARKER)).alias("marked")
     )
@@ -263,57 +314,110 @@ def orphan_totals(lines: DataFrame, doc: str, values: Sequence[str]) -> DataFram
     )
 
 
-def pair_pages(original: DataFrame, converted: DataFrame, doc: str, least: float = MIN_OVERLAP) -> DataFrame:
-    """Pages that are the same page: (doc, page_a, page_b, overlap), mutual best matches.
+def _page_sets(lines: DataFrame, doc: str, page: str) -> tuple[DataFrame, DataFrame]:
+    """Pages of different content with their lines as sorted 64-bit codes (doc, sig, size, first, codes), and all pages
+    (doc, sig, copy, page), those of the same content numbered in page order."""
+    sets = normal_lines(lines).groupBy(doc, "page_no").agg(F.array_sort(F.collect_set(F.xxhash64("norm"))).alias("codes"))
+    sets = written(sets.withColumn("sig", F.xxhash64("codes")))
+    numbered = running(sets.select(doc, "page_no", "sig"), "count", F.lit(1), "copy", "page_no", [doc, "sig"])
+    kept = sets.groupBy(doc, "sig").agg(F.min("page_no").alias("first"), F.any_value("codes").alias("codes"))
+    return written(kept.withColumn("size", F.size("codes"))), written(numbered.select(doc, "sig", "copy", F.col("page_no").alias(page)))
 
-    The overlap is shared lines over the smaller page's lines. A page that shares ``least`` of its lines with another
-    must share one of its rarest ``1 - least`` part, so only those lines look for partners and furniture does not
-    join every page with every page. Pages with the same lines are handled as one and paired in page order.
-    """
 
-    def pages(lines: DataFrame, page: str) -> tuple[DataFrame, DataFrame]:
-        distinct = normal_lines(lines).select(doc, "page_no", "norm").distinct()
-        sig = distinct.groupBy(doc, "page_no").agg(
-            F.sum(F.xxhash64("norm").cast("decimal(38,0)")).alias("__h1"),
-            F.bit_xor(F.xxhash64("norm", F.lit(1))).alias("__h2"), F.count(F.lit(1)).alias("__size"),
-        ).withColumn("sig", F.concat_ws(":", "__h1", "__h2", "__size"))
-        numbered = written(running(sig, "count", F.lit(1), "copy", "page_no", [doc, "sig"]))
-        members = numbered.select(doc, "sig", "copy", F.col("page_no").alias(page))
-        heads = numbered.filter(F.col("copy") == 1).select(doc, "page_no", "sig", "__size")
-        kept = distinct.join(heads, [doc, "page_no"]).select(doc, "sig", "__size", "norm", F.col("page_no").alias("first"))
-        return written(kept), members
-
-    a, a_pages = pages(original, "page_a")
-    b, b_pages = pages(converted, "page_b")
-    rarity = a.select(doc, "norm").unionByName(b.select(doc, "norm")).groupBy(doc, "norm").agg(F.count(F.lit(1)).alias("__df"))
+def _similar_pages(a: DataFrame, b: DataFrame, doc: str, least: float) -> DataFrame:
+    """Pairs of page contents with an overlap of ``least`` or more: (doc, sig_a, sig_b, size_a, size_b, first_a, first_b,
+    shared, overlap).
+
+    A page that shares ``least`` of its lines with another must share one of its rarest ``1 - least`` part, so only those
+    lines look for partners and furniture does not join every page with every page.
+    """
+    line = lambda side: side.select(doc, "sig", "size", F.explode("codes").alias("code"))
+    frequency = line(a).unionByName(line(b)).groupBy(doc, "code").agg(F.count(F.lit(1)).alias("f"))
 
     def rare(side: DataFrame) -> DataFrame:
-        nth = Window.partitionBy(doc, "sig").orderBy("__df", "norm")
-        keep = F.col("__size") - F.ceil(F.col("__size") * least) + 1
-        return side.join(rarity, [doc, "norm"]).withColumn("__nth", F.row_number().over(nth)).filter(F.col("__nth") <= keep)
-
-    ka = [F.col("sig").alias("sig_a"), F.col("__size").alias("size_a"), F.col("first").alias("first_a")]
-    kb = [F.col("sig").alias("sig_b"), F.col("__size").alias("size_b"), F.col("first").alias("first_b")]
-    cand_a = rare(a).select(doc, "norm", *ka).join(b.select(doc, "norm", *kb), [doc, "norm"]).filter("size_a <= size_b")
-    cand_b = rare(b).select(doc, "norm", *kb).join(a.select(doc, "norm", *ka), [doc, "norm"]).filter("size_b <= size_a")
-    ids = [doc, "sig_a", "sig_b", "size_a", "size_b", "first_a", "first_b"]
-    candidates = cand_a.select(*ids).unionByName(cand_b.select(*ids)).distinct()
-    shared = (
-        candidates.join(a.select(doc, F.col("sig").alias("sig_a"), "norm"), [doc, "sig_a"])
-        .join(b.select(doc, F.col("sig").alias("sig_b"), "norm"), [doc, "sig_b", "norm"])
-        .groupBy(*ids).agg(F.count(F.lit(1)).alias("__shared"))
-        .withColumn("overlap", F.col("__shared") / F.least("size_a", "size_b")).filter(F.col("overlap") >= least)
-    )
-    shared = written(shared)
+        keep = (F.col("size") - F.ceil(F.col("size") * least) + 1).cast("int")
+        rated = line(side).join(frequency, [doc, "code"]).groupBy(doc, "sig", "size").agg(F.array_sort(F.collect_list(F.struct("f", "code"))).alias("c"))
+        return rated.select(doc, "sig", "size", F.explode(F.slice("c", F.lit(1), keep)).alias("c")).select(doc, "sig", "size", "c.code")
+
+    def meet(asks: DataFrame, asked: DataFrame, one: str, two: str) -> DataFrame:
+        asks = asks.select(doc, "code", F.col("sig").alias(f"sig_{one}"), F.col("size").alias("n"))
+        asked = asked.select(doc, "code", F.col("sig").alias(f"sig_{two}"), F.col("size").alias("m"))
+        return asks.join(asked, [doc, "code"]).filter("n <= m").select(doc, "sig_a", "sig_b")
+
+    pairs = meet(rare(a), line(b), "a", "b").unionByName(meet(rare(b), line(a), "b", "a")).distinct()
+    side = lambda df, n: df.select(doc, *[F.col(c).alias(f"{c}_{n}") for c in ("sig", "size", "first", "codes")])
+    both = pairs.join(side(a, "a"), [doc, "sig_a"]).join(side(b, "b"), [doc, "sig_b"])
+    both = both.withColumn("shared", F.size(F.array_intersect("codes_a", "codes_b")))
+    return both.withColumn("overlap", F.col("shared") / F.least("size_a", "size_b")).filter(F.col("overlap") >= least).drop("codes_a", "codes_b")
+
+
+def pair_pages(original: DataFrame, converted: DataFrame, doc: str, least: float = MIN_OVERLAP) -> DataFrame:
+    """Pages that are the same page: (doc, page_a, page_b, overlap), mutual best matches.
+
+    The overlap is shared lines over the smaller page's lines. Pages with the same lines are handled as one and paired in
+    page order. ``pair_pages_forward`` keeps to the order of pages instead.
+    """
+    a, a_pages = _page_sets(original, doc, "page_a")
+    b, b_pages = _page_sets(converted, doc, "page_b")
+    shared = written(_similar_pages(a, b, doc, least))
     # best partner each way: highest overlap, most shared lines, nearest size, earliest page
     near = -F.abs(F.col("size_a") - F.col("size_b"))
-    rank_a = F.struct("overlap", "__shared", near.alias("near"), -F.col("first_b"))
-    rank_b = F.struct("overlap", "__shared", near.alias("near"), -F.col("first_a"))
-    best_a = shared.groupBy(doc, "sig_a").agg(F.max_by("sig_b", rank_a).alias("sig_b"))
+    rank_a = F.struct("overlap", "shared", near.alias("near"), -F.col("first_b"))
+    rank_b = F.struct("overlap", "shared", near.alias("near"), -F.col("first_a"))
+    best_a = shared.groupBy(doc, "sig_a").agg(F.max_by(F.struct("sig_b", "overlap"), rank_a).alias("p")).select(doc, "sig_a", "p.sig_b", "p.overlap")
     best_b = shared.groupBy(doc, "sig_b").agg(F.max_by("sig_a", rank_b).alias("sig_a"))
-    mutual = best_a.join(best_b, [doc, "sig_a", "sig_b"])
-    pairs = shared.join(mutual, [doc, "sig_a", "sig_b"], "left_semi").select(doc, "sig_a", "sig_b", "overlap")
+    pairs = best_a.join(best_b, [doc, "sig_a", "sig_b"])
     left = pairs.join(a_pages.withColumnRenamed("sig", "sig_a"), [doc, "sig_a"])
     return left.join(b_pages.withColumnRenamed("sig", "sig_b"), [doc, "sig_b", "copy"]).select(
         doc, "page_a", "page_b", F.round("overlap", 4).alias("overlap")
     )
+
+
+def pair_pages_forward(original: DataFrame, converted: DataFrame, doc: str, least: float = MIN_OVERLAP) -> DataFrame:
+    """Pages that are the same page, in order: (doc, page_a, page_b, overlap).
+
+    Converted pages in their order each take the original page of the highest overlap (the earliest of equals) that is not
+    before the one taken last; a page without one of at least ``least`` takes none. So a line that is on every page cannot
+    pair a late page with an early one.
+
+    Candidates are those of ``pair_pages``, by page content. The walk needs a document's in order: page numbers, contents as
+    numbers and their overlaps are in one task, no text.
+    """
+    a, a_pages = _page_sets(original, doc, "page_a")
+    b, b_pages = _page_sets(converted, doc, "page_b")
+    none = F.lit(None).cast("double").alias("overlap")
+    similar = _similar_pages(a, b, doc, least).select(doc, F.lit(0).alias("kind"), F.col("sig_b").alias("x"), F.col("sig_a").alias("y"), "overlap")
+    of = lambda pages, kind, page: pages.select(doc, F.lit(kind).alias("kind"), F.col("sig").alias("x"), F.col(page).cast("long").alias("y"), none)
+    rows = similar.unionByName(of(a_pages, 1, "page_a")).unionByName(of(b_pages, 2, "page_b"))
+
+    def walk(table: pa.Table) -> pa.Table:
+        partners, places, pages = defaultdict(list), defaultdict(list), []
+        for kind, x, y, overlap in zip(*(table.column(c).to_pylist() for c in ("kind", "x", "y", "overlap"))):
+            if kind == 0:
+                partners[x].append((-overlap, y))
+            elif kind == 1:
+                places[x].append(y)
+            else:
+                pages.append((y, x))
+        for found in (*partners.values(), *places.values()):
+            found.sort()
+        from_, out = 0, []
+        for page_b, content in sorted(pages):
+            best = None
+            for rank, other in partners[content]:
+                if best is not None and rank > best[0]:
+                    break
+                at = bisect_left(places[other], from_)
+                if at < len(places[other]):
+                    best = min(best or (rank, places[other][at]), (rank, places[other][at]))
+            if best is not None:
+                from_ = best[1]
+                out.append((from_, page_b, -best[0]))
+        columns = list(zip(*out)) or [(), (), ()]
+        return pa.table({
+            doc: table.column(doc).combine_chunks().take(pa.array([0] * len(out), pa.int64())), "page_a": pa.array(columns[0], pa.int32()),
+            "page_b": pa.array(columns[1], pa.int32()), "overlap": pa.array(columns[2], pa.float64()),
+        })
+
+    kind = original.schema[doc].dataType.simpleString()
+    return rows.groupBy(doc).applyInArrow(walk, f"`{doc}` {kind}, page_a int, page_b int, overlap double").withColumn("overlap", F.round("overlap", 4))

@@ -172,3 +172,24 @@ select mu.doc_id, pa.page_a, pb.page_b, round(overlap, 4) as overlap from mu joi
 """)
 def pair_pages(spark, sf):
     return pt.pair_pages(_pages(spark, sf), _conversion(spark, sf), "doc_id")
+
+
+@query("with recursive " + _BOTH.strip().removeprefix("with") + f""",
+pa as (select doc_id, page_no as page_a, list(distinct norm) as lines from n where norm <> '' group by 1, 2),
+pb as (select doc_id, page_no as page_b, list(distinct norm) as lines from cn where norm <> '' group by 1, 2),
+la as (select doc_id, page_a, len(lines) as size, unnest(lines) as norm from pa), lb as (select doc_id, page_b, len(lines) as size, unnest(lines) as norm from pb),
+ok as (select * from (select la.doc_id, page_a, page_b, count(*) / least(min(la.size), min(lb.size)) as overlap from la join lb
+  on la.doc_id = lb.doc_id and la.norm = lb.norm group by 1, 2, 3) where overlap >= 0.4::double),
+rk as (select *, dense_rank() over (partition by doc_id order by page_b) as step from ok),
+walk as (
+  select doc_id, 0::bigint as step, -1 as last, null::int as page_a, null::int as page_b, null::double as overlap from (select distinct doc_id from rk)
+  union all
+  select w.doc_id, w.step + 1, coalesce(c.p.page_a, w.last), c.p.page_a, c.p.page_b, c.p.overlap from walk w
+  join (select doc_id, max(step) as steps from rk group by 1) m on m.doc_id = w.doc_id and w.step < m.steps
+  left join lateral (select arg_max({{'page_a': rk.page_a, 'page_b': rk.page_b, 'overlap': rk.overlap}}, (rk.overlap, -rk.page_a)) as p from rk
+    where rk.doc_id = w.doc_id and rk.step = w.step + 1 and rk.page_a >= w.last) c on true
+)
+select doc_id, page_a, page_b, round(overlap, 4) as overlap from walk where page_a is not null
+""")
+def pair_pages_forward(spark, sf):
+    return pt.pair_pages_forward(_pages(spark, sf), _conversion(spark, sf), "doc_id")

@@ -1,5 +1,7 @@
 """Paged text: small documents written by hand, with the tables they must give."""
 
+import random
+
 import pytest
 
 from tallyloom.operators import paged_text as pt
@@ -62,3 +64,51 @@ def test_lines_of_a_conversion(spark):
 def test_pages_of_a_copy(lines):
     found = {(r.doc, r.page_a, r.page_b, r.overlap) for r in pt.pair_pages(lines, lines, "doc").collect()}
     assert found == {(d, p, p, 1.0) for d, pages in BOOK.items() for p in range(len(pages))}
+
+
+def test_forward_pages_keep_their_order(spark):
+    words = lambda pages: {1: [[f"the line of {w}" for w in page] for page in pages]}
+
+    def forward(a, b):
+        out = pt.pair_pages_forward(frame(spark, words(a)), frame(spark, words(b)), "doc").collect()
+        return sorted((r.page_a, r.page_b, r.overlap) for r in out)
+
+    assert forward([["alpha"], ["filler"], ["beta"], ["fuller"], ["gamma"]], [["alpha"], ["beta"], ["gamma"]]) == [(0, 0, 1.0), (2, 1, 1.0), (4, 2, 1.0)]
+    assert forward([["aa", "footer"], ["bb", "footer"], ["cc", "footer"]], [["cc", "footer"], ["bb", "footer"]]) == [(2, 0, 1.0), (2, 1, 0.5)]
+    assert forward([["alpha"]], [["different"]]) == []
+    assert forward([["same"]] * 4, [["same"]] * 3) == [(0, 0, 1.0), (0, 1, 1.0), (0, 2, 1.0)]
+
+
+def test_values_of_any_kind_and_number(spark):
+    rng = random.Random(3)
+    alphabet = ["a", "b", "é", "漢", " "]
+    word = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    values = sorted({word(rng.randint(1, 14)) for _ in range(400)} | {f"Customer number {k:05}" for k in range(15_000)} | {""})
+    text = [word(60) + rng.choice(["", f" Customer number {rng.randrange(20_000):05}"]) for _ in range(150)]
+    df = frame(spark, {1: [[t] for t in text]})
+    table = spark.createDataFrame([(v,) for v in values], "value string")
+    found = {(r.page_no, r.value) for r in pt._value_hits(df, "doc", table).collect()}
+    wanted = set()
+    for page, t in enumerate(text):
+        on = [v for v in values if v and v in t]
+        wanted |= {(page, v) for v in on if not any(v != w and v in w for w in on)}
+    assert found == wanted and len(wanted) > 500
+
+
+def test_lines_in_streams_of_any_length(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 7)))
+    text = " ".join(word() for _ in range(12_000))  # several chunks, lines over page and chunk borders
+    pages = [text[k : k + 700].split(" ") for k in range(0, len(text), 700)]
+    converted = {1: [[" ".join(p[:40]), " ".join(p[40:])] for p in pages]}
+    stream = "".join("".join(lines).replace(" ", "") for lines in converted[1])
+    lines = []
+    for size in (6, 9, 14, 16, 17, 30, 200, 5000, 9000):
+        for _ in range(4):
+            at = rng.randrange(len(text) - size)
+            piece = text[at : at + size]
+            lines += [piece, piece[: size // 2] + "zz" + piece[size // 2 :]]
+    found = {r.norm: r.state for r in pt.line_parity(frame(spark, {1: [lines]}), frame(spark, converted), "doc").collect()}
+    have = {" ".join(x.split()) for page in converted[1] for x in page}
+    wanted = {n: "same" if n in have else "wrapped" if n.replace(" ", "") in stream else "missing" for n in found}
+    assert {n: "same" if s == "moved" else s for n, s in found.items()} == wanted and set(wanted.values()) >= {"wrapped", "missing"}
