@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from tallyloom.core import fresh, written
 from tallyloom.llm.arrow import documents, parts, record
 from tallyloom.llm.components import components
+from tallyloom.operators.text_index import code_filter, may_be_in
 
 #: Words of an n-gram; links have 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 3, 90
@@ -47,6 +48,8 @@ BLOCK, BLOCK_GRAMS = 2000, 1 << 20
 FIRST_BAND, BAND_RATIO = 2, 1.6
 #: Hashes under which a set with empty parts may sign; under the last, empty parts sign too.
 _SCHEMES = 4
+#: Kinds of signatures at most (bands times schemes), a power of two.
+_KINDS = 256
 #: N-grams of a node of the prefix tree at least, and levels at most.
 _STRIDE, _LEVELS = 16, 24
 _U = np.uint64
@@ -77,54 +80,108 @@ def ngram_sets(texts: list[bytes], width: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def _bands(size: int, percent: int = PERCENT) -> list[tuple[int, int, int]]:
-    """Bands that a set of this size signs for, its own first: upper end, number of parts, and parts that may be empty."""
+def _bands(size: int, percent: int = PERCENT) -> list[tuple[int, int, int, int]]:
+    """Bands that a set of this size signs for, its own first: number of the band, upper end, number of parts, and parts that
+    may be empty."""
     highs = [FIRST_BAND]
     while size >= highs[-1]:
         highs.append(int(highs[-1] * BAND_RATIO))
     # the smaller of two similar sets has percent of the larger at least, and they differ in fewer than count n-grams
-    mine = [h for k, h in enumerate(highs) if k == len(highs) - 1 or percent * size <= 100 * (h - 1)]
+    mine = [(k, h) for k, h in enumerate(highs) if k == len(highs) - 1 or percent * size <= 100 * (h - 1)]
     out = []
-    for h in reversed(mine):
+    for k, h in reversed(mine):
         count = (h - 1) * (100 - percent) // percent + 1
         spare = math.ceil(1.2 * count * math.exp(-h / (BAND_RATIO * count))) if count > 1 else 0
-        out.append((h, count + spare, spare))
+        out.append((k, h, count + spare, spare))
     return out
 
 
-def signatures(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Signatures of the parts of a sorted set: sets of at least this similarity have one in common."""
-    out = []
-    for high, count, spare in _bands(len(hashes), percent) if len(hashes) else []:
+def signed(hashes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of the parts of a sorted set, and for each kind of them (band and scheme, the lowest bits of a signature) how
+    many of its own a set surely shares with any similar set that it meets there.
+
+    Sets of at least this similarity share a signature: in the first scheme in which either leaves few enough parts empty, all
+    parts in which they agree but those that are empty. That is more than one for most sets, so a set that shares fewer shares
+    them by chance. Where it may be the other set that has few empty parts, one is all that is sure.
+    """
+    out, kinds, sure, n = [], [], [], len(hashes)
+    for band, high, count, spare in _bands(n, percent) if n else []:
+        # the most n-grams in which this set and a similar one can differ that meet in this band
+        most = n * (100 - percent) // percent if n < high else (n + high - 1) * (100 - percent) // (100 + percent)
         for scheme in range(_SCHEMES):
             x = hashes if scheme == 0 else np.sort(_mix(hashes + _U(scheme)))
             part = ((x >> _U(32)) * _U(count)) >> _U(32)
             starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            salt = _U(high) << _U(36) | _U(scheme) << _U(32)
-            out.append(_mix(np.add.reduceat(_mix(x), starts) + _mix(salt | part[starts])))
-            if count - len(starts) <= spare:
-                break
-            if scheme == _SCHEMES - 1:
+            kind, salt = band * _SCHEMES + scheme, _U(high) << _U(36) | _U(scheme) << _U(32)
+            found = [_mix(np.add.reduceat(_mix(x), starts) + _mix(salt | part[starts]))]
+            few = count - len(starts) <= spare
+            if not few and scheme == _SCHEMES - 1:
                 empty = np.setdiff1d(np.arange(count, dtype=np.uint64), part[starts])
-                out.append(_mix(_mix(salt | empty)))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+                found.append(_mix(_mix(salt | empty)))
+            out += [(f & ~_U(_KINDS - 1)) | _U(kind) for f in found]
+            kinds.append(kind)
+            sure.append(max(1, len(starts) - most) if few and scheme == 0 else 1)
+            if few:
+                break
+    flat = np.concatenate(out) if out else np.empty(0, np.uint64)
+    return flat, np.array(kinds, np.int32), np.array(sure, np.int32)
+
+
+def signatures(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    return signed(hashes, percent)[0]
 
 
 def _signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """A table (id, text) as (id, size, a, b, signatures); a and b are the digest of the set."""
+    """A table (id, text) as (id, size, a, b, kinds, sure, signatures); a and b are the digest of the set."""
+    def lists(values: list[np.ndarray], kind: str) -> pa.Array:
+        offsets = np.cumsum([0, *map(len, values)])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*values, np.empty(0, kind)]).astype(kind)))
+
     def sign(batches):
         for batch in parts(batches, "text"):
             sets = ngram_sets(documents(batch.column("text")), width)
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
-            signed = [signatures(s, percent) for s in sets]
-            offsets = np.cumsum([0, *map(len, signed)])
+            found = [signed(s, percent) for s in sets]
             yield record({
                 "id": batch.column("id"), "size": pa.array([len(s) for s in sets], pa.int64()),
-                "a": pa.array(digests[:, 0]), "b": pa.array(digests[:, 1]),
-                "signatures": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*signed, np.empty(0, np.uint64)]).view(np.int64))),
+                "a": pa.array(digests[:, 0]), "b": pa.array(digests[:, 1]), "kinds": lists([f[1] for f in found], "i4"),
+                "sure": lists([f[2] for f in found], "i4"), "signatures": lists([f[0].view(np.int64) for f in found], "i8"),
             })
 
-    return docs.mapInArrow(sign, "id long, size long, a long, b long, signatures array<long>")
+    return docs.mapInArrow(sign, "id long, size long, a long, b long, kinds array<int>, sure array<int>, signatures array<long>")
+
+
+def _members(signs: DataFrame, of_row: DataFrame) -> DataFrame:
+    """(id, component): sets that may have a similar one, by the smallest id that shares a signature with them.
+
+    One shuffle of the signatures: each row sees the smallest id that has its signature, and whether another has it, row by row
+    in order of ids. Equal sets have equal signatures, so the smallest is a class's own; the other members of classes go
+    afterwards, from shared signatures only. Then a set stays if it shares as many signatures of a kind as it surely does with
+    any similar set, or has equal ones, whose signatures it shares anyway.
+    """
+    each = signs.select("id", F.explode("signatures").alias("signature"))
+    order = Window.partitionBy("signature").orderBy("id")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.select("id", "signature", F.first("id").over(so_far).alias("component"), F.lead("id").over(order).alias("next"))
+    each = each.filter("id <> component or next is not null").select("id", "component", F.col("signature").bitwiseAND(_KINDS - 1).cast("int").alias("kind"))
+    reps = of_row.filter("id = rep").groupBy("id").agg(F.max("copies").alias("copies"))
+    shared = written(each.groupBy("id", "component", "kind").agg(F.count("*").alias("n")), "shared").join(reps, "id")
+    sure = signs.select("id", F.explode(F.arrays_zip("kinds", "sure")).alias("k")).select("id", F.col("k.kinds").alias("kind"), F.col("k.sure").alias("sure"))
+    sure = sure.groupBy("id", "kind").agg(F.min("sure").alias("sure"))  # an id may have several sets
+    enough = shared.groupBy("id", "kind", "copies").agg(F.sum("n").alias("n")).join(sure, ["id", "kind"]).filter("n >= sure or copies > 1")
+    return shared.join(enough.select("id", "kind"), ["id", "kind"], "left_semi").select("id", "component").distinct()
+
+
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (id, text) whose id falls in a slot of one of the ids, in the tasks that read them: a filter of fixed size, so
+    that a join with the ids ships few texts where they are few."""
+    wanted = code_filter(ids, "id")
+
+    def some(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(may_be_in(wanted, batch.column("id").to_numpy().view(np.uint64))))
+
+    return rows.filter("id is not null").mapInArrow(some, rows.schema)
 
 
 class Tree:
@@ -226,32 +283,26 @@ def _joined(table: pa.Table, width: int, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(links[:, 0], pa.int64()), "b": pa.array(links[:, 1], pa.int64())})
 
 
-def _blocked(rows: DataFrame, by: str, block: int, block_grams: int) -> DataFrame:
-    """Rows with column size, with the number of blocks of their group. Sets are dealt to blocks by hash, so that a block's
-    sets and n-grams come to the limits on average."""
-    sums = rows.groupBy(by).agg(F.count("*").alias("n"), F.sum("size").alias("grams"))
+def _blocked(rows: DataFrame, by: str, block: int, block_grams: int, least: int = 1) -> DataFrame:
+    """Rows with column size, with the number of blocks and the smallest id of their group, without groups of fewer than
+    ``least``. Sets are dealt to blocks by hash, so that a block's sets and n-grams come to the limits on average."""
+    sums = rows.groupBy(by).agg(F.count("*").alias("n"), F.sum("size").alias("grams"), F.min("id").alias("anchor")).filter(F.col("n") >= least)
     wanted = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("grams") / block_grams)).cast("int")
-    return rows.join(sums.select(by, wanted.alias("blocks")), by)
+    return rows.join(sums.select(by, wanted.alias("blocks"), "anchor"), by)
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = written(_signed(base, width, percent), "signed")
-    classes = signed.filter("id is not null and size > 0").groupBy("a", "b").agg(F.min("id").alias("rep"))
-    small = signed.select("id", "size", "a", "b")
-    of_row = written(small.join(classes, ["a", "b"], "left").withColumn("rep", F.when(F.col("size") > 0, F.col("rep")).otherwise(F.col("id"))), "classes").select("id", "size", "rep")
-    # one shuffle of the signatures: each meets the smallest id that has it, row by row in order of ids. Equal sets have equal
-    # signatures, so the smallest is a class's own; the other members of classes go afterwards, from links instead of signatures
-    signs = signed.filter("id is not null and size > 0").select("id", F.explode("signatures").alias("signature"))
-    so_far = Window.partitionBy("signature").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = signs.withColumn("first", F.first("id").over(so_far)).filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    near = near.join(of_row.filter("id = rep").select(F.col("id").alias("a")).distinct(), "a", "left_semi")
-    near = written(near, "near").select(F.col("a").alias("id"), F.col("b").alias("component"))
-    clusters = near.unionByName(near.select(F.col("component").alias("id"), "component").distinct())
+    signs = written(_signed(base, width, percent), "signed")
+    small = signs.select("id", "size", "a", "b")
+    classes = small.filter("id is not null and size > 0").groupBy("a", "b").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    rep = F.when(F.col("size") > 0, F.col("rep")).otherwise(F.col("id"))
+    of_row = written(small.join(classes, ["a", "b"], "left").select("id", "size", rep.alias("rep"), "copies"), "classes")
+    members = _members(signs.filter("id is not null and size > 0"), of_row)
     of_id = small.filter("id is not null").groupBy("id").agg(F.sum("size").alias("size"))
-    placed = written(_blocked(clusters.join(of_id, "id"), "component", block, block_grams), "clusters")
-    texts = base.filter("id is not null").join(placed.select("id", "component", "blocks"), "id")
+    placed = written(_blocked(members.join(of_id, "id"), "component", block, block_grams, 2), "clusters")
+    texts = _only(base, placed).join(placed.select("id", "component", "blocks", "anchor"), "id")
 
     def joined(rows: DataFrame) -> DataFrame:
         rows = rows.select("id", "text", "component", "ask_at", "at", "asks", "root")
@@ -259,9 +310,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    first = F.col("id") == F.col("component")  # the cluster's first set stands in every block
-    plain = texts.select("*", F.lit(0).alias("ask_at"), F.lit(False).alias("asks"), F.col("id").alias("root"))
-    found = joined(plain.filter(~first).withColumn("at", own("blocks")).unionByName(plain.filter(first).withColumn("at", each("blocks"))))
+    # the cluster's smallest id stands in every block
+    at = F.explode(F.when(F.col("id") == F.col("anchor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own("blocks"))))
+    found = joined(texts.select("*", F.lit(0).alias("ask_at"), F.lit(False).alias("asks"), F.col("id").alias("root"), at.alias("at")))
     large = placed.filter("blocks > 1").select("id", "size", "component", "blocks")
     if large.limit(1).count():
         roots = components(found).select(F.col("node").alias("id"), F.col("component").alias("root"))

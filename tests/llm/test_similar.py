@@ -169,3 +169,22 @@ def test_pivots_against_brute_force(spark, monkeypatch, block):
     same = [wanted[r.vec_id] == r.component_id for r in out if r.vec_id is not None]
     assert np.mean(same) > 0.9
     assert pivots.near_duplicates(table.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("percent", [90, 80, 70])
+def test_similar_sets_share_all_that_is_sure(percent):
+    rng = np.random.default_rng(percent + 1)
+    fresh = lambda n: np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+    more_than_one = 0
+    for size in [4, 9, 25, 60, 100, 101, 300, 700]:
+        for _ in range(40):
+            a = fresh(size)
+            common = int(rng.integers(-(-percent * size // 100), size + 1))
+            b = np.unique(np.concatenate([rng.permutation(a)[:common], fresh(max(0, 100 * common // percent - size))]))
+            assert 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)) > 0
+            (x, kinds, sure), (y, *_) = jaccard.signed(a, percent), jaccard.signed(b, percent)
+            shared = np.bincount((np.intersect1d(x, y) & np.uint64(255)).astype(int), minlength=256)
+            # in some kind each shares what it surely does with a similar set
+            assert any(shared[k] >= n for k, n in zip(kinds, sure)), (size, common)
+            more_than_one += max(sure) > 1
+    assert more_than_one > 100
