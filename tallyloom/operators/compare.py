@@ -8,14 +8,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tallyloom.core import cut_lineage, join_back, match_on, names, sort_keys
+from tallyloom.core import join_back, match_on, names, sort_keys, written
 from tallyloom.functions.numbers import NUMBER_PATTERN, canonical_number
 from tallyloom.operators.joins import one_per_key
 from tallyloom.operators.ordered import sequence
 
 # fixed values: numeric tolerance, sample size and verdict limits
 TOLERANCE = 1e-9
-MAX_SAMPLES = 20
+SAMPLES = 20
 PASS_PARITY, NEAR_PARITY, NEAR_NUMBERS = 0.999, 0.95, 0.9
 
 
@@ -40,11 +40,13 @@ def verdict(parity: Column, counts_match: Column) -> Column:
 
 @dataclass
 class DiffResult:
-    """``report`` has one row, ``columns`` one row per differing column, ``samples`` at most 20 cells."""
+    """``report`` has one row, ``columns`` one row per differing column, ``mismatches`` one row per differing cell, of which
+    ``samples`` are the first few along their rows."""
 
     report: DataFrame
     columns: DataFrame
     samples: DataFrame
+    mismatches: DataFrame
 
 
 def _shared(expected: DataFrame, actual: DataFrame) -> list[str]:
@@ -54,7 +56,7 @@ def _shared(expected: DataFrame, actual: DataFrame) -> list[str]:
     return shared
 
 
-def _diff(paired: DataFrame, shared: Sequence[str], tolerance: float, extra_counts: DataFrame) -> DiffResult:
+def _diff(paired: DataFrame, shared: Sequence[str], tolerance: float, extra_counts: DataFrame, samples: int) -> DiffResult:
     """``paired`` holds ``__row``, ``__e_<c>``, ``__a_<c>``, ``__in_e`` and ``__in_a``."""
     both = F.col("__in_e") & F.col("__in_a")
     off = {c: ~values_equal(F.col(f"__e_{c}"), F.col(f"__a_{c}"), tolerance) for c in shared}
@@ -92,13 +94,9 @@ def _diff(paired: DataFrame, shared: Sequence[str], tolerance: float, extra_coun
         )
         for i, c in enumerate(shared)
     ])
-    samples = (
-        paired.filter(both & any_off)
-        .select(F.col("__row").alias("row_id"), F.inline(cells))
-        .filter("differs").orderBy("row_id", "pos").limit(MAX_SAMPLES)
-        .select("row_id", "column_name", "expected", "actual")
-    )
-    return DiffResult(report, columns, samples)
+    found = paired.filter(both & any_off).select(F.col("__row").alias("row_id"), F.inline(cells)).filter("differs")
+    shown = ["row_id", "column_name", "expected", "actual"]
+    return DiffResult(report, columns, found.orderBy("row_id", "pos").limit(samples).select(*shown), found.select(*shown))
 
 
 def _figures(df: DataFrame, **values: Column) -> DataFrame:
@@ -107,7 +105,7 @@ def _figures(df: DataFrame, **values: Column) -> DataFrame:
     return df.agg(*[values.get(n, zero).alias(n) for n in all_names])
 
 
-def diff_keyed(expected: DataFrame, actual: DataFrame, key, order=None, tolerance: float = TOLERANCE) -> DiffResult:
+def diff_keyed(expected: DataFrame, actual: DataFrame, key, order=None, tolerance: float = TOLERANCE, samples: int = SAMPLES) -> DiffResult:
     """Compare by key over the shared columns.
 
     Each expected row meets the actual row of its key; of several actual rows the last by ``order`` counts (without
@@ -134,11 +132,11 @@ def diff_keyed(expected: DataFrame, actual: DataFrame, key, order=None, toleranc
     counts = _figures(actual, actual_rows=F.count(F.lit(1))).unionByName(
         _figures(extra, extra_rows=F.count(F.lit(1)))
     )
-    return _diff(paired, [*keys, *others], tolerance, counts)
+    return _diff(paired, [*keys, *others], tolerance, counts, samples)
 
 
 def diff_positional(expected: DataFrame, actual: DataFrame, order_expected, order_actual=None,
-                    tolerance: float = TOLERANCE, **limits) -> DiffResult:
+                    tolerance: float = TOLERANCE, samples: int = SAMPLES, **limits) -> DiffResult:
     """Compare row i with row i along the given orders, up to the shorter table; surplus rows only count."""
     shared = _shared(expected, actual)
     left = sequence(expected, "__i", order_expected, **limits)
@@ -148,7 +146,7 @@ def diff_positional(expected: DataFrame, actual: DataFrame, order_expected, orde
     paired = left.join(right, left["__i"] == right["__j"]).withColumns(
         {"__in_e": F.lit(True), "__in_a": F.lit(True), "__row": F.col("__i").cast("string")}
     )
-    result = _diff(paired, shared, tolerance, _figures(actual, actual_rows=F.count(F.lit(1))))
+    result = _diff(paired, shared, tolerance, _figures(actual, actual_rows=F.count(F.lit(1))), samples)
     # rows beyond the shorter table are not compared, but they are counted
     rows = expected.agg(F.count(F.lit(1)).alias("__n"))
     ratio = F.col("matching_rows") / F.greatest("__n", "actual_rows", F.lit(1))
@@ -177,20 +175,32 @@ def numbers_in_text(df: DataFrame, col: str, keys=(), strip_dates: bool = False)
     )
 
 
+def _number_counts(reference: DataFrame, rendered: DataFrame, col: str, keys: Sequence[str], strip_dates: bool) -> DataFrame:
+    """How often each number stands in either text: (keys, number, r, c)."""
+    a = numbers_in_text(reference, col, keys, strip_dates).withColumnRenamed("n", "n_ref")
+    b = numbers_in_text(rendered, col, keys, strip_dates).withColumnRenamed("n", "n_ren")
+    zero = F.lit(0).cast("long")
+    # a union and one aggregate take the place of a full join
+    both = a.withColumn("n_ren", zero).unionByName(b.withColumn("n_ref", zero))
+    return both.groupBy(*keys, "number").agg(F.sum("n_ref").alias("r"), F.sum("n_ren").alias("c"))
+
+
+def number_differences(reference: DataFrame, rendered: DataFrame, col: str, keys=(), strip_dates: bool = False) -> DataFrame:
+    """The numbers themselves that one text has more often than the other: (keys, number, state, n), state being missing
+    (from the rendered text) or extra."""
+    keys, more = names(keys), F.col("r") - F.col("c")
+    both = _number_counts(reference, rendered, col, keys, strip_dates).filter(more != 0)
+    return both.select(*keys, "number", F.when(more > 0, "missing").otherwise("extra").alias("state"), F.abs(more).alias("n"))
+
+
 def number_parity(
     reference: DataFrame, rendered: DataFrame, col: str, keys=(), strip_dates: bool = False,
     near: float = NEAR_NUMBERS,
 ) -> DataFrame:
     """Do the reference's numbers appear in the rendered text? One row (per key): matched, missing, extra, verdict."""
     keys = names(keys)
-    a = numbers_in_text(reference, col, keys, strip_dates).withColumnRenamed("n", "n_ref")
-    b = numbers_in_text(rendered, col, keys, strip_dates).withColumnRenamed("n", "n_ren")
     zero = F.lit(0).cast("long")
-    # a union and one aggregate take the place of a full join
-    both = (
-        a.withColumn("n_ren", zero).unionByName(b.withColumn("n_ref", zero))
-        .groupBy(*keys, "number").agg(F.sum("n_ref").alias("r"), F.sum("n_ren").alias("c"))
-    )
+    both = _number_counts(reference, rendered, col, keys, strip_dates)
     totals = both.groupBy(*keys).agg(
         F.coalesce(F.sum(F.least("r", "c")), zero).alias("matched"),
         F.coalesce(F.sum("r"), zero).alias("reference_total"),
@@ -264,40 +274,67 @@ def edge_lint(nodes: DataFrame, edges: DataFrame, node: str = "name", source: st
     return unknown.unionByName(isolated)
 
 
+def _follow(pointers: DataFrame) -> DataFrame:
+    """Each node's pointer (__t to __s) moved to where the pointers from there end, doubling the way in every round.
+
+    Rounds are the logarithm of the longest way; nodes that lead into a circle of pointers keep pointing into it.
+    """
+    current = written(pointers.select("__t", "__s"), "pointers")
+    for _ in range(max(1, current.count()).bit_length() + 1):
+        ahead = current.select(F.col("__t").alias("__via"), F.col("__s").alias("__to"))
+        moved = current.join(ahead, F.col("__s") == F.col("__via"), "left")
+        current = written(moved.select("__t", F.coalesce("__to", "__s").alias("__s"), F.col("__to").isNotNull().alias("__moved")), "pointers")
+        if not current.filter("__moved").limit(1).count():
+            break
+        current = current.select("__t", "__s")
+    return current.select("__t", "__s")
+
+
 def has_upstream(
     nodes: DataFrame, edges: DataFrame, goal: Column, stop: Column, node: str = "name", source: str = "from_step",
-    target: str = "to_step", out: str = "reached", checkpoint_every: int = 4,
+    target: str = "to_step", out: str = "reached",
 ) -> DataFrame:
     """Does some path upward from a node, itself included, meet a goal node before a stop node?
 
-    Solved downstream from the goals: every round passes the answer over the edges out of the newly reached nodes, so
-    each edge is used once overall and cycles end by themselves. A stop node neither takes nor passes the answer.
-    Rounds are bounded by the longest shortest path; the lineage is cut with reliable checkpoints.
+    A stop node neither takes nor passes the answer, so edges out of stop nodes and into goals don't count. A node that one
+    edge leads to has the answer of the node that it comes from: such chains and trees, of any depth, are contracted by
+    following pointers with doubled steps, and the edges into other nodes then come from where the chains begin; that is
+    repeated while nodes are left with one source. What remains is solved downstream from the goals, a round for each
+    further node where paths meet. Circles that no goal leads into end by themselves, without the answer.
     """
     marked = nodes.select(
         F.col(node).alias("__n"), F.coalesce(goal, F.lit(False)).alias("__goal"),
         (F.coalesce(stop, F.lit(False)) & ~F.coalesce(goal, F.lit(False))).alias("__stop"),
     )
-    open_nodes = marked.filter(~F.col("__goal") & ~F.col("__stop")).select("__n")
-    steps = cut_lineage(
-        edges.select(F.col(source).alias("__s"), F.col(target).alias("__t")).distinct()
-        .join(open_nodes.withColumnRenamed("__n", "__t"), "__t", "left_semi")
-    )
-    frontier = cut_lineage(marked.filter("__goal").select("__n"))
-    reached, round_no = frontier, 0
+    passing = marked.filter("not __stop").select(F.col("__n").alias("__s")).distinct()
+    takers = marked.filter("not __goal and not __stop").select(F.col("__n").alias("__t")).distinct()
+    steps = edges.select(F.col(source).alias("__s"), F.col(target).alias("__t")).filter("__s <> __t").distinct()
+    steps = written(steps.join(takers, "__t", "left_semi").join(passing, "__s", "left_semi").select("__s", "__t"), "steps")
+    roots = None
     while True:
-        round_no += 1
-        fresh_nodes = (
-            steps.join(frontier.withColumnRenamed("__n", "__s"), "__s", "left_semi")
-            .select(F.col("__t").alias("__n")).distinct().join(reached, "__n", "left_anti")
-        )
-        frontier = cut_lineage(fresh_nodes)
-        if frontier.isEmpty():
+        sources = steps.groupBy("__t").agg(F.count(F.lit(1)).alias("__k"), F.min("__s").alias("__s")).filter("__k = 1")
+        sources = written(sources.select("__t", "__s"), "sources")
+        if not sources.limit(1).count():
+            break
+        begin = _follow(sources)
+        of_source = begin.select(F.col("__t").alias("__via"), F.col("__s").alias("__from"))
+        later = begin if roots is None else roots.join(of_source, F.col("__s") == F.col("__via"), "left").select(
+            "__t", F.coalesce("__from", "__s").alias("__s")).unionByName(begin)
+        roots = written(later, "roots")
+        left = steps.join(sources.select("__t"), "__t", "left_anti").join(of_source, F.col("__s") == F.col("__via"), "left")
+        steps = written(left.select(F.coalesce("__from", "__s").alias("__s"), "__t").filter("__s <> __t").distinct(), "steps")
+    reached = written(marked.filter("__goal").select("__n").distinct(), "reached")
+    frontier = reached
+    while True:
+        ahead = steps.join(frontier.withColumnRenamed("__n", "__s"), "__s", "left_semi").select(F.col("__t").alias("__n")).distinct()
+        frontier = written(ahead.join(reached, "__n", "left_anti"), "frontier")
+        if not frontier.limit(1).count():
             break
-        reached = reached.unionByName(frontier)
-        if round_no % checkpoint_every == 0:
-            reached = cut_lineage(reached)
-    hit = reached.withColumn("__hit", F.lit(True)).withColumnRenamed("__n", "__r")
+        reached = written(reached.unionByName(frontier), "reached")
+    if roots is not None:
+        found = roots.join(reached.withColumnRenamed("__n", "__s"), "__s", "left_semi").select(F.col("__t").alias("__n"))
+        reached = reached.unionByName(found)
+    hit = reached.distinct().withColumn("__hit", F.lit(True)).withColumnRenamed("__n", "__r")
     return (
         nodes.join(hit, nodes[node] == hit["__r"], "left").drop("__r")
         .withColumn(out, F.coalesce("__hit", F.lit(False))).drop("__hit")

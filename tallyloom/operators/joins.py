@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.core import all_of, any_of, fresh, is_true, join_back, match_on, names, sort_keys
+from tallyloom.core import OrderRequired, all_of, any_of, fresh, is_true, join_back, match_on, names, sort_keys
 from tallyloom.operators.ordered import _order_struct, sequence
 
 HOW = {"normal": "inner", "left": "left", "right": "right", "full": "full"}
@@ -97,8 +97,8 @@ def unconnected_lookup(df: DataFrame, ref: DataFrame, keys, value: str, out: str
 
 @dataclass(frozen=True)
 class Lookup:
-    """One lookup of a mapping component. ``match``: unique (last row by ``order`` wins), first, all; every pair with
-    ``all_rows`` (needs ``allow_pairs``)."""
+    """One lookup of a mapping component. ``match``: unique (the last row by ``order`` wins; without an order several rows
+    for a key are an error), first (needs an order), all; every pair with ``all_rows`` (needs ``allow_pairs``)."""
 
     ref: DataFrame
     keys: Sequence[tuple[str, str]]
@@ -141,7 +141,9 @@ def multi_lookup(df: DataFrame, lookups: Sequence[Lookup], outputs: Mapping[str,
         elif one.match == "all":
             df = all_matches(df, one.ref, one.keys, one.values, one.inner)
         else:
-            policy = {"unique": "last", "first": "first"}[one.match] if one.order else "any"
+            if one.match == "first" and not one.order:
+                raise OrderRequired("the first of several matches depends on row order: pass order=[...]")
+            policy = {"unique": "last", "first": "first"}[one.match] if one.order else "error"
             df = lookup(df, one.ref, one.keys, one.values, on_multiple=policy, order=one.order, inner=one.inner)
     accepted = [is_true(o.condition) for o in outputs.values() if o.condition is not None and not o.catch_rejects]
     flows = {}

@@ -6,11 +6,19 @@ batches and keep Spark's partitioning.
 
 from __future__ import annotations
 
+import pickle
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Any
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StructType
 
 from tallyloom.core import names, shuffle_width
 from tallyloom.operators.ordered import sequence
@@ -69,25 +77,97 @@ def row_generator(df: DataFrame, udtf, *args: Column) -> DataFrame:
     return df.lateralJoin(udtf(*args))
 
 
-def _grouped(fn: Callable, kind: str):
-    import pandas as pd
+@dataclass(frozen=True)
+class Aggregate:
+    """An aggregate written in Python over numpy arrays of values.
+
+    ``init`` makes an empty state (anything that can be pickled), ``update`` takes in an array of values, ``merge`` joins two
+    states, ``finish`` makes the result. ``update`` and ``merge`` return the new state.
+    """
 
-    def reduce(values):
-        return fn(values)
+    init: Callable[[], Any]
+    update: Callable[[Any, np.ndarray], Any]
+    merge: Callable[[Any, Any], Any]
+    finish: Callable[[Any], Any]
 
-    reduce.__annotations__ = {"values": pd.Series, "return": float}
-    return F.pandas_udf(reduce, kind)
 
+#: Keys whose states a task keeps before it passes them on, and rows that one call of ``update`` gets at most.
+STATES, UPDATE_ROWS = 10_000, 65_536
 
-def custom_aggregate(df: DataFrame, keys, out: str, reduce: Callable, merge: Callable, column: str | Column,
-                     kind: str = "double") -> DataFrame:
-    """Aggregate written in Python, in two steps: ``reduce`` turns salted slices of a group into ``kind`` values and
-    ``merge`` turns those into the result, so a hot group is spread over tasks."""
+
+def custom_aggregate(df: DataFrame, keys, out: str, aggregate: Aggregate, column: str | Column, kind: str = "double") -> DataFrame:
+    """One row per group with an aggregate written in Python; NULL values are left out.
+
+    Rows stay where they are: each task folds its own into one state per key and passes states on. They are merged in two
+    steps, first dealt by key and task, then by key, one after the other as they come, so a task holds the states of
+    ``STATES`` keys at most, or two states of one key; a group of any size, of equal rows as well, is spread over all tasks.
+    """
     keys = names(keys)
-    c = F.col(column) if isinstance(column, str) else column
-    slices = df.select(*keys, c.alias("__v"), F.pmod(F.xxhash64(*df.columns), F.lit(shuffle_width(df.sparkSession))).alias("__slice"))
-    partial = slices.groupBy(*keys, "__slice").agg(_grouped(reduce, kind)(F.col("__v")).alias("__p"))
-    return partial.groupBy(*keys).agg(_grouped(merge, kind)(F.col("__p")).alias(out))
+    value = F.col(column) if isinstance(column, str) else column
+    key_ddl = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    state_ddl = ", ".join(filter(None, [key_ddl, "__state binary, __task int"]))
+    key_of = lambda batch: list(zip(*(batch.column(k).to_pylist() for k in keys))) if keys else [()] * batch.num_rows
+
+    def rows(schema: pa.Schema, states: dict, task: int) -> pa.RecordBatch:
+        columns = list(zip(*states)) if keys else []
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(c, schema.field(k).type) for k, c in zip(keys, columns)), pa.array([pickle.dumps(s) for s in states.values()], pa.binary()),
+             pa.array([task] * len(states), pa.int32())], names=[*keys, "__state", "__task"])
+
+    def fold(batches):
+        states, schema, task = {}, None, TaskContext.get().partitionId()
+        for whole in batches:
+            for at in range(0, whole.num_rows, UPDATE_ROWS):
+                batch, places = whole.slice(at, UPDATE_ROWS), defaultdict(list)
+                schema = batch.schema
+                for place, key in enumerate(key_of(batch)):
+                    places[key].append(place)
+                values, valid = batch.column("__v").to_numpy(zero_copy_only=False), batch.column("__v").is_valid().to_numpy(zero_copy_only=False)
+                for key, found in places.items():
+                    found = np.array(found)
+                    states[key] = aggregate.update(states[key] if key in states else aggregate.init(), values[found[valid[found]]])
+                if len(states) > STATES:
+                    yield rows(schema, states, task)
+                    states = {}
+        if states:
+            yield rows(schema, states, task)
+
+    def merge(finish: bool):
+        def run(batches):
+            """States come sorted by key: one is open at a time."""
+            now, state, schema, done = None, None, None, {}
+            for batch in batches:
+                schema = batch.schema
+                for key, packed in zip(key_of(batch), batch.column("__state").to_pylist()):
+                    if key != now:
+                        if now is not None:
+                            done[now] = aggregate.finish(state) if finish else state
+                        now, state = key, pickle.loads(packed)
+                    else:
+                        state = aggregate.merge(state, pickle.loads(packed))
+                if len(done) > STATES:
+                    yield made(schema, done)
+                    done = {}
+            if now is not None:
+                done[now] = aggregate.finish(state) if finish else state
+                yield made(schema, done)
+
+        def made(schema, done):
+            if not finish:
+                return rows(schema, done, 0)
+            columns = list(zip(*done)) if keys else []
+            return pa.RecordBatch.from_arrays(
+                [*(pa.array(c, schema.field(k).type) for k, c in zip(keys, columns)), pa.array(list(done.values()), result)], names=[*keys, out])
+
+        return run
+
+    result = to_arrow_type(DataType.fromDDL(kind))
+    width = shuffle_width(df.sparkSession)
+    partial = df.select(*keys, value.alias("__v")).mapInArrow(fold, state_ddl)
+    near = partial.repartition(width, *keys, F.col("__task") % F.lit(max(1, int(width**0.5)))).sortWithinPartitions(*keys, "__task")
+    joined = near.mapInArrow(merge(False), state_ddl)
+    last = (joined.repartition(width, *keys) if keys else joined.coalesce(1)).sortWithinPartitions(*keys, "__task")
+    return last.mapInArrow(merge(True), ", ".join(filter(None, [key_ddl, f"`{out}` {kind}"])))
 
 
 def sub_flow(df: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -50,6 +50,20 @@ def diff_keyed_columns(spark, sf):
     return compare.diff_keyed(expected, actual, "o_orderkey").columns
 
 
+@query("""
+select o_orderkey::varchar as row_id, 'o_totalprice' as column_name, round(o_totalprice, 2) as expected, round(o_totalprice + 1, 2) as actual
+  from orders where o_orderkey % 4 = 0
+union all select o_orderkey::varchar, 'o_custkey', o_custkey, o_custkey + 1 from orders where o_orderkey % 6 = 0
+""")
+def diff_keyed_mismatches(spark, sf):
+    """Every differing cell of two tables, not a sample."""
+    expected = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    off = lambda n: F.when(F.col("o_orderkey") % n == 0, 1).otherwise(0)
+    actual = expected.withColumns({"o_totalprice": F.col("o_totalprice") + off(4), "o_custkey": F.col("o_custkey") + off(6)})
+    cell = lambda c: F.round(F.col(c).cast("double"), 2).alias(c)
+    return compare.diff_keyed(expected, actual, "o_orderkey").mismatches.select("row_id", "column_name", cell("expected"), cell("actual"))
+
+
 @query("""
 with e as (select *, row_number() over (order by c_custkey) as i from (select c_custkey, c_name, c_acctbal from customer)),
 a as (select *, row_number() over (order by c_custkey) as i from (select c_custkey, c_name, c_acctbal from customer where c_custkey <> 1000)),
@@ -95,6 +109,15 @@ from c group by 1
 """
 
 
+@query(_NUMBERS[: _NUMBERS.rindex("select lang, sum(least")] + """
+select lang, num as number, case when r > c then 'missing' else 'extra' end as state, abs(r - c) as n from c where r <> c
+""")
+def number_differences(spark, sf):
+    docs = table(spark, sf, "documents").select("lang", "text")
+    rendered = docs.withColumn("text", F.replace("text", F.lit("7"), F.lit("8")))
+    return compare.number_differences(docs, rendered, "text", "lang")
+
+
 @query(_NUMBERS)
 def number_parity(spark, sf):
     docs = table(spark, sf, "documents").select("lang", "text")

@@ -192,24 +192,30 @@ def top_count(spark, sf):
     return ordered.top_count(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 100, "o_orderkey")
 
 
+def _placed(sorted_rows):
+    """Sorted rows with their place in the output, which nothing but the sort decides."""
+    rows = sorted_rows.withColumn("__place", F.monotonically_increasing_id())
+    return ordered.sequence(rows, "row_no", "__place").drop("__place")
+
+
 @query("""
 select row_number() over (order by lower(p_name), p_size desc, p_partkey) as row_no, p_partkey from part
 """)
 def sort_rows(spark, sf):
-    """The sort is made visible by numbering the rows along it."""
     rows = table(spark, sf, "part").select("p_partkey", F.initcap("p_name").alias("p_name"), "p_size")
-    keys = rows.withColumn("p_lower", F.lower("p_name"))
-    ranked = ordered.sequence(keys, "row_no", ["p_lower", "p_size desc", "p_partkey"])
-    out = sets.sort_rows(ranked, [("p_name", "asc", "alpha"), ("p_size", "desc", "num"), ("p_partkey", "asc")])
+    out = _placed(sets.sort_rows(rows, [("p_name", "asc", "alpha"), ("p_size", "desc", "num"), ("p_partkey", "asc")]))
     return out.select("row_no", "p_partkey")
 
 
-@query("select o_orderstatus, o_orderdate, o_orderkey from orders")
+@query("select row_number() over (order by o_orderstatus desc, o_orderdate, o_orderkey) as row_no, o_orderkey from orders")
 def report_order(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderstatus", "o_orderdate", "o_orderkey")
-    return sets.report_order(rows, [("o_orderstatus", True)], [("o_orderdate", False), ("o_orderstatus", False), ("o_orderkey", False)])
+    out = sets.report_order(rows, [("o_orderstatus", True)], [("o_orderdate", False), ("o_orderstatus", False), ("o_orderkey", False)])
+    return _placed(out).select("row_no", "o_orderkey")
 
 
-@query("select distinct c_nationkey, c_mktsegment from customer")
+@query("""
+select row_number() over (order by c_nationkey, c_mktsegment) as row_no, c_nationkey, c_mktsegment from (select distinct c_nationkey, c_mktsegment from customer)
+""")
 def sort_distinct(spark, sf):
-    return sets.sort_distinct(table(spark, sf, "customer").select("c_nationkey", "c_mktsegment"), ["c_nationkey", "c_mktsegment"])
+    return _placed(sets.sort_distinct(table(spark, sf, "customer").select("c_nationkey", "c_mktsegment"), ["c_nationkey", "c_mktsegment"]))

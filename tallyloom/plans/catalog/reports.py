@@ -109,15 +109,18 @@ def row_generator(spark, sf):
 
 @query("select l_returnflag, round(ln(sum(exp(l_tax))), 6) as log_sum from lineitem group by 1")
 def custom_aggregate(spark, sf):
-    """Log-sum-exp, reduced over salted slices of a group and then over the slices."""
+    """Log-sum-exp: the state is a maximum and a sum scaled by it."""
     import numpy as np
-    import pandas as pd
 
-    def reduce_slice(v: pd.Series) -> float:
-        top = v.max()
-        return float(top + np.log(np.exp(v - top).sum()))
+    def take(state, v):
+        return join(state, (v.max(), np.exp(v - v.max()).sum())) if len(v) else state
+
+    def join(a, b):
+        top = max(a[0], b[0])
+        return a if b[1] == 0 else b if a[1] == 0 else (top, a[1] * np.exp(a[0] - top) + b[1] * np.exp(b[0] - top))
 
-    out = usercode.custom_aggregate(table(spark, sf, "lineitem"), "l_returnflag", "log_sum", reduce_slice, reduce_slice, "l_tax")
+    log_sum = usercode.Aggregate(lambda: (-np.inf, 0.0), take, join, lambda s: float(s[0] + np.log(s[1])) if s[1] else None)
+    out = usercode.custom_aggregate(table(spark, sf, "lineitem"), "l_returnflag", "log_sum", log_sum, "l_tax")
     return out.withColumn("log_sum", F.round("log_sum", 6))
 
 
