@@ -3,7 +3,8 @@
 A window over a group runs in one task. That is right for ordinary groups and wrong for a group that holds a
 third of all rows, or for a report-wide running value whose only group is the whole table. Here groups beyond
 a size limit are cut into blocks that are contiguous in the sort order. Windows then run per (group, block), and
-what has to flow from one block to the next travels in a small per-block table.
+what has to flow from one block to the next travels in a small per-block table. Where that takes more borders than a plan
+should hold, the blocks are range partitions instead, so no limit grows with the table.
 
 Block borders come from a sample of rows drawn by a hash of the row, so the block of a row is a plain expression of its
 own values: nothing has to be materialised, and a recomputed task finds the same block again. The same hash completes an
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.core import fresh, join_back, names, order_columns, shuffle_width, sort_keys
+from tallyloom.core import fresh, join_back, names, order_columns, sort_keys, written
 
 HOT_ROWS = 1_000_000
 """Groups up to this size always run as one ordinary window."""
@@ -28,7 +29,13 @@ BLOCK_ROWS = 50_000
 """Aimed rows per block; their number follows the rows up to MAX_BLOCKS."""
 
 MAX_BLOCKS = 10_000
-"""Bound of the borders that travel inside the plan: beyond 5 x 10^8 hot rows, blocks grow instead of multiplying."""
+"""Borders that travel inside the plan at most; more blocks, or more hot groups than HOT_LIST, are cut by range partitions."""
+
+HOT_LIST = 1_000
+"""Hot groups whose keys are broadcast at most."""
+
+RANGE_ROWS = 5_000_000
+"""Aimed rows of a range partition, whatever the number of rows: tasks don't grow with the table."""
 
 SAMPLE_PER_BLOCK = 20
 
@@ -150,6 +157,19 @@ def _block_expression(df: DataFrame, order: Sequence[tuple[str, bool]], rows: in
     )
 
 
+def _range_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], rows: int, range_rows: int) -> Blocks:
+    """Blocks for tables with very many hot rows or groups: range partitions along keys and order, of any number.
+
+    Borders lie in the shuffle's partitioner, not in the plan. The partitioned rows are written with their partition's number,
+    so that all readers, and tasks that are repeated, see the same blocks. A group lies in partitions one after the other, a
+    partition holds many small groups or a part of a large one.
+    """
+    block = fresh(df, "block")
+    by = [*order_columns([(k, False) for k in keys]), *order_columns(order)]
+    dealt = df.repartitionByRange(max(2, -(-rows // range_rows)), *by)
+    return Blocks(written(dealt.withColumn(block, F.spark_partition_id()), "ranges"), block, True, list(order))
+
+
 def cut_hot_groups(
     df: DataFrame,
     keys: Sequence[str],
@@ -159,16 +179,16 @@ def cut_hot_groups(
 ) -> Blocks:
     """Add a block column that is 0 for ordinary groups and runs along ``order`` inside hot ones.
 
-    A group is hot beyond ``max(hot_rows, rows / (4 * shuffle width))`` rows, which bounds the number of hot
-    groups by four times the shuffle width: that list, and nothing else, is broadcast.
+    A group is hot beyond ``hot_rows`` rows. Up to HOT_LIST hot groups and MAX_BLOCKS blocks, the hot groups' keys are
+    broadcast and the block of a row is an expression; beyond either, all rows are cut by range partitions.
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+    range_rows = RANGE_ROWS if block_rows is None else block_rows
     block_rows = BLOCK_ROWS if block_rows is None else block_rows
     block = fresh(df, "block")
-    width = shuffle_width(df.sparkSession)
 
     def count_blocks(rows: int) -> int:
-        return int(min(MAX_BLOCKS, -(-rows // block_rows)))
+        return -(-rows // block_rows)
 
     tie = fresh(df, "tie")
     df, order = df.withColumn(tie, row_hash(df)), [*order, (tie, False)]
@@ -177,15 +197,18 @@ def cut_hot_groups(
         blocks = count_blocks(rows)
         if blocks < 2:
             return Blocks(df.withColumn(block, F.lit(0)), block, False, order)
+        if blocks > MAX_BLOCKS:
+            return _range_blocks(df, keys, order, rows, range_rows)
         return Blocks(df.withColumn(block, _block_expression(df, order, rows, blocks)), block, True, order)
 
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    total = sizes.agg(F.sum("__rows").alias("all"), F.max("__rows").alias("top")).first()
-    limit = max(hot_rows, (total["all"] or 0) // (4 * width))
-    if (total["top"] or 0) <= limit:
+    many = F.col("__rows") > hot_rows
+    total = sizes.agg(F.sum("__rows").alias("all"), F.count_if(many).alias("groups"), F.sum(F.when(many, F.col("__rows"))).alias("hot")).first()
+    if not total["groups"]:
         return Blocks(df.withColumn(block, F.lit(0)), block, False, order)
-    hot = sizes.filter(F.col("__rows") > limit)
-    listed = hot.collect()
+    if total["groups"] > HOT_LIST or count_blocks(total["hot"]) > MAX_BLOCKS:
+        return _range_blocks(df, keys, order, total["all"], range_rows)
+    listed = sizes.filter(many).collect()  # HOT_LIST rows at most
     hot_keys = df.sparkSession.createDataFrame(
         [tuple(r[k] for k in keys) for r in listed], T.StructType([df.schema[k] for k in keys])
     )

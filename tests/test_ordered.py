@@ -155,3 +155,38 @@ def test_report_wide_plan_has_no_single_partition_of_rows(data):
     # the only single partition holds one row per block: it sits above an aggregate by block
     rows_side = plan.split("BroadcastExchange")[0]
     assert "SinglePartition" not in rows_side
+
+
+@pytest.fixture
+def by_ranges(monkeypatch):
+    """All that is cut is cut by range partitions."""
+    monkeypatch.setattr(ordered, "MAX_BLOCKS", 1)
+    calls, plain = [], ordered._range_blocks
+
+    def spy(*args):
+        calls.append(args[3])
+        return plain(*args)
+
+    monkeypatch.setattr(ordered, "_range_blocks", spy)
+    yield calls
+    assert calls
+
+
+@pytest.mark.parametrize("order", [["t", "id"], ["t desc", "id"]])
+def test_range_blocks_equal_windows(data, listed, by_ranges, order):
+    specs = [(op, "v", f"o_{op}") for op in ordered.RUNNING_OPS]
+    for by in ("g", None):
+        got = ordered.running_values(data, specs, order, by, hot_rows=20, block_rows=30)
+        assert listed(got) == listed(ordered.running_values(data, specs, order, by))
+        prev = ordered.previous_rows(data, ["v", "word"], 2, order, by, hot_rows=20, block_rows=10)
+        assert listed(prev) == listed(ordered.previous_rows(data, ["v", "word"], 2, order, by))
+        numbered = ordered.sequence(data, "n", order, by=by, hot_rows=20, block_rows=30)
+        assert listed(numbered) == listed(ordered.sequence(data, "n", order, by=by))
+
+
+def test_many_hot_groups_are_not_listed(spark, listed, monkeypatch):
+    monkeypatch.setattr(ordered, "HOT_LIST", 3)
+    rows = spark.range(3000).select(F.col("id"), (F.col("id") % 40).alias("g"), (F.col("id") % 7).alias("v"))
+    got = ordered.running(rows, "sum", "v", "s", "id", "g", hot_rows=10, block_rows=100)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert listed(got) == listed(ordered.running(rows, "sum", "v", "s", "id", "g")) and "ranges-" in plan
