@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.core import all_of, join_back, names, sort_keys
+from tallyloom.core import join_back, names, sort_keys
 from tallyloom.operators.ordered import _order_struct, running, sequence
 
 
@@ -306,21 +306,11 @@ def crosstab(
     tuples of the dimensions' values, to fix them and save a pass. Without them the dimensions are read first, and more
     than MAX_PIVOT_VALUES is an error, not a cut. Different cells under one label are an error, never one of them.
     """
-    rows, cols = list(dict.fromkeys(rows)), list(dict.fromkeys(cols))
-    fns = {"sum": F.sum, "count": F.count, "average": F.avg, "maximum": F.max, "minimum": F.min}
-    for m in measures:
-        if _ALIAS.get(m.op.lower(), m.op.lower()) not in fns:
-            raise ValueError(f"unsupported cross-tab operation {m.op!r}")
-    label = F.concat_ws(label_sep, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
-    # one row per cell before the labels are spread over columns
-    cells = aggregate(
-        df, [*rows, *cols],
-        [Agg(f"__m{i}", m.op, F.col(m.field)) for i, m in enumerate(measures)],
-    ).withColumn("__label", label)
+    rows, cols, cells = _cells(df, rows, cols, measures, label_sep)
     if values is None:
         found = cells.select(*cols).distinct().limit(MAX_PIVOT_VALUES + 1).collect()
         if len(found) > MAX_PIVOT_VALUES:
-            raise ValueError(f"more than {MAX_PIVOT_VALUES} column labels; pass values=[...] or use the long form")
+            raise ValueError(f"more than {MAX_PIVOT_VALUES} column labels; pass values=[...] or use crosstab_long")
         shown = cells.select(F.struct(*cols).alias("v"), "__label").distinct().collect()
         values = [tuple(v) for v, _ in sorted(shown, key=lambda r: r["__label"])]
         labels = [r["__label"] for r in sorted(shown, key=lambda r: r["__label"])]
@@ -328,22 +318,51 @@ def crosstab(
         labels = [v if isinstance(v, str) else label_sep.join("" if x is None else str(x) for x in v) for v in values]
     if len(set(labels)) < len(labels):
         raise ValueError("different column values have the same label; use another label_sep or replace NULLs")
+    exact = [None if isinstance(v, str) else F.struct(*[F.lit(x).cast(cells.schema[c].dataType).alias(c) for c, x in zip(cols, v, strict=True)]) for v in values]
+    kind = cells.select(F.struct(*cols).alias("v")).schema["v"].dataType
+    listed = F.array(*[F.lit(None).cast(kind) if e is None else e.cast(kind) for e in exact])
+    by_label = F.create_map(*[F.lit(x) for k, label in enumerate(labels) for x in (label, k)])
+    # the column of a cell is looked up once; a label that stands for values given as a tuple must stand for just these
+    code = F.try_element_at(by_label, F.col("__label")) if labels else F.lit(None).cast("int")
+    wanted = F.get(listed, F.col("__code"))
+    placed = cells.withColumn("__code", code)
+    if any(e is not None for e in exact):
+        placed = placed.withColumn("__code", F.when(wanted.isNull() | wanted.eqNullSafe(F.struct(*cols)), F.col("__code")))
+    several = F.raise_error(F.lit("different column values have the same label"))
+    figures = [F.when(F.count(F.lit(1)) > 1, several).otherwise(F.max(f"__m{i}")).alias(f"__m{i}") for i in range(len(measures))]
+    # cells without a column keep their row in the result
+    once = placed.groupBy(*rows, "__code").agg(*[F.when(F.col("__code").isNotNull(), f).alias(f"__m{i}") for i, f in enumerate(figures)])
+    spread = once.groupBy(*rows).pivot("__code", list(range(len(labels)))).agg(*[F.max(f"__m{i}").alias(f"__m{i}") for i in range(len(measures))])
+
+    def name(label: str, m: Measure) -> str:
+        return label if len(measures) == 1 else f"{label}_{m.label or m.op + '_' + m.field}"
+
+    given = lambda k, i: str(k) if len(measures) == 1 else f"{k}___m{i}"
+    return spread.select(*rows, *[F.col(f"`{given(k, i)}`").alias(name(label, m)) for k, label in enumerate(labels) for i, m in enumerate(measures)])
+
+
+def _cells(
+    df: DataFrame, rows: Sequence[str], cols: Sequence[str], measures: Sequence[Measure], label_sep: str
+) -> tuple[list[str], list[str], DataFrame]:
+    """One row per cell, with its label and measures, before labels are spread over columns."""
+    rows, cols = list(dict.fromkeys(rows)), list(dict.fromkeys(cols))
+    for m in measures:
+        if _ALIAS.get(m.op.lower(), m.op.lower()) not in ("sum", "count", "average", "maximum", "minimum"):
+            raise ValueError(f"unsupported cross-tab operation {m.op!r}")
+    label = F.concat_ws(label_sep, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+    cells = aggregate(df, [*rows, *cols], [Agg(f"__m{i}", m.op, F.col(m.field)) for i, m in enumerate(measures)])
+    return rows, cols, cells.withColumn("__label", label)
 
-    def name(value: str, m: Measure) -> str:
-        return value if len(measures) == 1 else f"{value}_{m.label or m.op + '_' + m.field}"
 
-    def cell(value: str | tuple, measure: str) -> Column:
-        if isinstance(value, str):
-            hit = F.col("__label") == value
-        else:
-            hit = all_of(F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(cols, value, strict=True))
-        several = F.raise_error(F.lit(f"different column values have the label {value!r}"))
-        return F.when(F.count_if(hit) > 1, several).otherwise(F.max(F.when(hit, F.col(measure))))
-
-    spread = [
-        cell(v, f"__m{i}").alias(name(label, m)) for v, label in zip(values, labels, strict=True) for i, m in enumerate(measures)
-    ]
-    return cells.groupBy(*rows).agg(*spread)
+def crosstab_long(
+    df: DataFrame, rows: Sequence[str], cols: Sequence[str], measures: Sequence[Measure], label_sep: str = "|", column: str = "column_no", label: str = "column_label"
+) -> DataFrame:
+    """A cross-tab of any number of columns, one row per cell: rows, ``column`` (numbered from 1 along the column dimensions,
+    without gaps), ``label`` and a column per measure. Nothing about the columns passes the driver."""
+    rows, cols, cells = _cells(df, rows, cols, measures, label_sep)
+    numbered = sequence(cells.select(*cols).distinct(), column, cols)
+    named = [F.col(f"__m{i}").alias(m.label or f"{m.op}_{m.field}") for i, m in enumerate(measures)]
+    return join_back(cells, numbered, cols).select(*rows, column, F.col("__label").alias(label), *named)
 
 
 def date_dimension(year: Column, month: Column, day: Column | int = 1) -> Column:

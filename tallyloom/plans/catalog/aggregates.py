@@ -203,15 +203,30 @@ def crosstab(spark, sf):
     return out.withColumns({f"{s}_total": F.round(f"{s}_total", 2) for s in "fop"})
 
 
-@query("""
-select l_returnflag, make_date(year(l_shipdate), month(l_shipdate), 1) as month, round(sum(l_quantity) filter (l_linestatus = 'F'), 2) as f,
-  round(sum(l_quantity) filter (l_linestatus = 'O'), 2) as o from lineitem group by all
-""")
+_MONTHS = [f"1995-{m:02d}-01" for m in range(1, 13)]
+
+
+@query("select l_returnflag, " + ", ".join(
+    f"round(sum(l_quantity) filter (make_date(year(l_shipdate), month(l_shipdate), 1) = date '{m}'), 2) as \"{m}\"" for m in _MONTHS
+) + " from lineitem group by 1")
 def crosstab_dimension(spark, sf):
+    """Months, computed from their parts, as columns."""
     month = agg.date_dimension(F.year("l_shipdate"), F.month("l_shipdate"), 1)
-    rows = table(spark, sf, "lineitem").withColumn("month", month).withColumn("state", F.lower("l_linestatus"))
-    out = agg.crosstab(rows, ["l_returnflag", "month"], ["state"], [Measure("l_quantity")])
-    return out.withColumns({c: F.round(c, 2) for c in "fo"})
+    rows = table(spark, sf, "lineitem").withColumn("month", month)
+    out = agg.crosstab(rows, ["l_returnflag"], ["month"], [Measure("l_quantity")], values=_MONTHS)
+    return out.withColumns({m: F.round(F.col(f"`{m}`"), 2) for m in _MONTHS})
+
+
+@query("""
+select o_orderstatus, dense_rank() over (order by o_custkey) as column_no, o_custkey::varchar as column_label, round(sum(o_totalprice), 2) as total,
+  count(*) as n from orders group by o_orderstatus, o_custkey
+""")
+def crosstab_long(spark, sf):
+    """A column for each customer."""
+    out = agg.crosstab_long(
+        table(spark, sf, "orders"), ["o_orderstatus"], ["o_custkey"], [Measure("o_totalprice", "Sum", "total"), Measure("o_totalprice", "Count", "n")]
+    )
+    return out.withColumn("total", F.round("total", 2))
 
 
 @query("""
