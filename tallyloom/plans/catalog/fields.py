@@ -126,30 +126,35 @@ def inline_rows(spark, sf):
     return counts.join(names, counts.o_orderstatus == names.code).select("status_name", "orders")
 
 
-@query("""
-select count(*) as rows, count(*) as amounts_in_range, count(*) as years_ok, count(*) as words_ok, count(*) as counts_ok
-from customer
+_SEED = 7
+_SYNTHETIC = [
+    generate.Field("amount", "decimal", 10, 2), generate.Field("moment", "date/time"), generate.Field("day", "date"),
+    generate.Field("word", "string", 20), generate.Field("n", "integer"), generate.Field("ratio", "double"),
+]
+
+
+def _drawn(field: str) -> str:
+    """A field's draw, in SQL."""
+    p, (a, b) = generate.PRIME, generate.FACTORS
+    first = f"((c_custkey % {p}) * {a} + {generate.salt(field, _SEED)}) % {p}"
+    return f"((xor({first}, ({first}) >> 13) * {b} + 1) % {p})"
+
+
+def _spanned(field: str, kind: str) -> str:
+    _, low, high = generate.SPANS[kind]
+    return f"({_drawn(field)} % {high - low + 1} + {low})"
+
+
+@query(f"""
+select c_custkey, (({_drawn('amount')} % 1000000000) / 100)::double as amount, epoch_ms({_spanned('moment', 'date/time')} * 1000) as moment,
+  date '1970-01-01' + {_spanned('day', 'date')}::int as day,
+  {generate.WORDS!r}[({_drawn('word')} % {len(generate.WORDS)} + 1)::int] || '-' || lower(to_hex(c_custkey)) as word, {_spanned('n', 'integer')}::int as n,
+  round({generate.REALS[0]} + {_drawn('ratio')} / {float(generate.PRIME)} * {generate.REALS[1] - generate.REALS[0]}, 6) as ratio from customer
 """)
 def generate_rows(spark, sf):
-    """Rows for all customers, on two partitionings: a value counts if it is in range and the same on both."""
-    schema = [
-        generate.Field("amount", "decimal", 10, 2), generate.Field("day", "date/time"),
-        generate.Field("word", "string", 20), generate.Field("n", "integer"),
-    ]
-    customers = table(spark, sf, "customer")
-    number = F.regexp_extract("word", r"_(\d+)$", 1)  # the row number, from 1
-    rows = generate.synthetic_like(customers.repartition(7, "c_custkey"), "c_custkey", schema).withColumn("number", number)
-    last = customers.agg(F.max("c_custkey").alias("last")).first().last
-    again = generate.generate_rows(spark, schema, n=0 if last is None else last + 1)
-    again = again.select(number.alias("number"), *(F.col(f.name).alias(f"{f.name}_again") for f in schema))
-    same = lambda name, ok: F.count_if(ok & (F.col(name) == F.col(f"{name}_again")))
-    return rows.join(again, "number", "left").agg(
-        F.count(F.lit(1)).alias("rows"),
-        same("amount", F.col("amount").between(0, 999_999)).alias("amounts_in_range"),
-        same("day", F.year("day") == 2026).alias("years_ok"),
-        same("word", F.col("word").rlike(r"^[a-z]+_\d+$")).alias("words_ok"),
-        same("n", F.col("n").between(1, 32_000)).alias("counts_ok"),
-    )
+    """A synthetic row for each customer."""
+    rows = generate.synthetic_like(table(spark, sf, "customer"), "c_custkey", _SYNTHETIC, _SEED, keep=True)
+    return rows.withColumns({"moment": F.col("moment").cast("timestamp_ntz"), "ratio": F.round("ratio", 6), "amount": F.col("amount").cast("double")})
 
 
 @query("select o_orderstatus as state, sum(length(o_orderkey::varchar) + 1)::bigint as bytes from orders group by 1")
