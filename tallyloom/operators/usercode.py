@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructType
 
-from tallyloom.core import names, shuffle_width
+from tallyloom.core import names, order_columns, shuffle_width, sort_keys
 from tallyloom.operators.ordered import sequence
 
 
@@ -72,9 +72,24 @@ def group_script(df: DataFrame, keys, fn: Callable, schema, order, part_rows: in
     return parts.groupBy(*keys, "part").applyInPandas(run, schema)
 
 
-def row_generator(df: DataFrame, udtf, *args: Column) -> DataFrame:
-    """Custom row generator: a Python table function called laterally for every row."""
-    return df.lateralJoin(udtf(*args))
+def row_generator(
+    df: DataFrame, handler: type, schema: str | StructType | Callable[[StructType], StructType], keys=(), order=()
+) -> DataFrame:
+    """Custom row generator: a Python table function over the rows as Arrow batches.
+
+    ``handler`` is a class whose ``eval`` takes a record batch and yields tables; an instance sees the rows of one group of
+    ``keys``, along ``order``, batch after batch, so it may keep state, and its ``terminate``, if there, yields last rows.
+    Without keys an instance sees some rows in no order. ``schema`` says what comes out; a function works it out from the
+    rows' own schema, so one handler serves tables of any layout.
+    """
+    table = df.asTable()
+    if names(keys):
+        table = table.partitionBy(*names(keys))
+        if order:
+            table = table.orderBy(*order_columns(sort_keys(order, "row_generator")))
+    elif order:
+        raise ValueError("rows are in order within groups: pass keys=[...] with order=[...]")
+    return F.arrow_udtf(handler, returnType=schema(df.schema) if callable(schema) else schema)(table)
 
 
 @dataclass(frozen=True)

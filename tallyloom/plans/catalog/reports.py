@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql import types as T
 
 from tallyloom.operators import joins, usercode
 from tallyloom.operators.aggregate import Summary
@@ -97,14 +97,44 @@ def group_script(spark, sf):
 select p_partkey, unnest(generate_series(1, p_size % 4)) as copy_no from part
 """)
 def row_generator(spark, sf):
-    @udtf(returnType="copy_no: bigint")
+    """As many copies of each part as its size says."""
+    import numpy as np
+    import pyarrow as pa
+
     class Copies:
-        def eval(self, n: int):
-            for i in range(1, n + 1):
-                yield (i,)
+        def eval(self, rows: pa.RecordBatch):
+            n = rows.column("n").to_numpy()
+            take, ends = np.repeat(np.arange(len(n)), n), np.cumsum(n)
+            yield pa.table({"p_partkey": rows.column("p_partkey").take(pa.array(take)), "copy_no": pa.array(np.arange(len(take)) - (ends - n)[take] + 1, pa.int64())})
 
     parts = table(spark, sf, "part").select("p_partkey", (F.col("p_size") % 4).alias("n"))
-    return usercode.row_generator(parts, Copies, F.col("n").outer()).select("p_partkey", "copy_no")
+    return usercode.row_generator(parts, Copies, lambda s: T.StructType([s["p_partkey"], T.StructField("copy_no", T.LongType())]))
+
+
+@query("""
+select o_custkey, o_orderkey, unnest(generate_series(1, gap // 100)) as step from (
+  select o_custkey, o_orderkey, date_diff('day', lag(o_orderdate) over w, o_orderdate) as gap from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey))
+""")
+def row_generator_ordered(spark, sf):
+    """A row for each hundred days since the customer's order before: the generator remembers the last day it saw."""
+    import numpy as np
+    import pyarrow as pa
+
+    class Waits:
+        def __init__(self):
+            self.last = None
+
+        def eval(self, rows: pa.RecordBatch):
+            days = rows.column("day").to_numpy()
+            before = np.concatenate([days[:1] if self.last is None else [self.last], days[:-1]])
+            self.last = days[-1] if len(days) else self.last
+            n = (days - before) // 100
+            take = np.repeat(np.arange(len(n)), n)
+            step = np.arange(len(take)) - (np.cumsum(n) - n)[take] + 1
+            yield pa.table({"o_custkey": rows.column("o_custkey").take(pa.array(take)), "o_orderkey": rows.column("o_orderkey").take(pa.array(take)), "step": pa.array(step, pa.int64())})
+
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.unix_date(F.col("o_orderdate").cast("date")).alias("day"))
+    return usercode.row_generator(orders, Waits, "o_custkey bigint, o_orderkey bigint, step bigint", "o_custkey", ["day", "o_orderkey"])
 
 
 @query("select l_returnflag, round(ln(sum(exp(l_tax))), 6) as log_sum from lineitem group by 1")
