@@ -212,6 +212,17 @@ def fuzzy_match(spark, sf):
     return joins.fuzzy_match(part, refs, "p_name", "ref").select("p_partkey", "match", "distance")
 
 
+@query("""
+with names as (select distinct p_name as value from part), refs as (select distinct replace(p_name, 'e', 'a') as match from part),
+pairs as (select value, match, levenshtein(value, match) as distance, greatest(length(value), length(match)) as longer from names, refs),
+near as (select *, row_number() over (partition by value order by distance / longer, match) as rank from pairs where distance * 100 <= longer * 30)
+select value, rank::int as rank, match, distance::int as distance, round(1 - distance / longer, 4) as similarity from near where rank <= 4
+""")
+def fuzzy_top_k(spark, sf):
+    part = table(spark, sf, "part")
+    return joins.fuzzy_top_k(part, part.select(F.replace("p_name", F.lit("e"), F.lit("a")).alias("ref")), "p_name", "ref", 70, 4)
+
+
 @query("""
 with o as (select c_custkey, c_name, c_mktsegment from customer where c_custkey % 10 <> 3),
 n as (select c_custkey, c_name, case when c_custkey % 7 = 0 then 'CHANGED' else c_mktsegment end as c_mktsegment from customer where c_custkey % 10 <> 4)

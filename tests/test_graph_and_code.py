@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.core import OrderRequired
-from tallyloom.operators import compare, usercode
+from tallyloom.operators import compare, joins, usercode
 from tallyloom.operators.joins import Lookup, Output, multi_lookup
 
 
@@ -112,3 +112,27 @@ def test_ambiguous_matches_are_refused(spark):
         multi_lookup(df, [Lookup(ref, [("k", "k")], {"v": "v"})], outputs)["o"].collect()
     last = multi_lookup(df, [Lookup(ref, [("k", "k")], {"v": "v"}, order="v")], outputs)["o"].collect()
     assert [tuple(r) for r in last] == [(1, "b")]
+
+
+@pytest.mark.parametrize("percent", [51, 75, 100])
+def test_similar_values_equal_brute_force(spark, percent):
+    rng = random.Random(percent)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(0, 9)))
+    left, right = [word() for _ in range(80)], [word() for _ in range(80)]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    wanted = []
+    for a in set(left) - {""}:
+        near = sorted((distance(a, b) / max(len(a), len(b)), b, distance(a, b)) for b in set(right) - {""})
+        near = [n for n in near if n[2] * 100 <= max(len(a), len(n[1])) * (100 - percent)]
+        wanted += [(a, k, b, d) for k, (_, b, d) in enumerate(near[:3], 1)]
+    frame = lambda words: spark.createDataFrame([(w,) for w in [*words, None]], "w string")
+    out = joins.fuzzy_top_k(frame(left), frame(right), "w", "w", percent)
+    assert sorted((r.value, r["rank"], r.match, r.distance) for r in out.collect()) == sorted(wanted) and wanted
