@@ -37,6 +37,9 @@ HOT_LIST = 1_000
 RANGE_ROWS = 5_000_000
 """Aimed rows of a range partition, whatever the number of rows: tasks don't grow with the table."""
 
+RANGE_PARTS = 200
+"""Range partitions at most, as long as that leaves none with more than RANGE_ROWS rows: small blocks are no reason for many tasks."""
+
 SAMPLE_PER_BLOCK = 20
 
 TREE_NODES = 63
@@ -166,7 +169,8 @@ def _range_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str,
     """
     block = fresh(df, "block")
     by = [*order_columns([(k, False) for k in keys]), *order_columns(order)]
-    dealt = df.repartitionByRange(max(2, -(-rows // range_rows)), *by)
+    parts = min(-(-rows // range_rows), max(RANGE_PARTS, -(-rows // RANGE_ROWS)))
+    dealt = df.repartitionByRange(max(2, parts), *by)
     return Blocks(written(dealt.withColumn(block, F.spark_partition_id()), "ranges"), block, True, list(order))
 
 

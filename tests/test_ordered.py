@@ -184,6 +184,14 @@ def test_range_blocks_equal_windows(data, listed, by_ranges, order):
         assert listed(numbered) == listed(ordered.sequence(data, "n", order, by=by))
 
 
+def test_small_blocks_do_not_make_many_range_partitions(data, listed, by_ranges, monkeypatch):
+    monkeypatch.setattr(ordered, "RANGE_PARTS", 4, raising=False)
+    cut = ordered.cut_hot_groups(data, [], [("t", False), ("id", False)], block_rows=3)
+    assert cut.df.select(cut.block).distinct().count() <= 4
+    got = ordered.sequence(data, "n", ["t", "id"], block_rows=3)
+    assert listed(got) == listed(data.withColumn("n", F.row_number().over(window(["t", "id"], ())).cast("long")))
+
+
 def test_many_hot_groups_are_not_listed(spark, listed, monkeypatch):
     monkeypatch.setattr(ordered, "HOT_LIST", 3)
     rows = spark.range(3000).select(F.col("id"), (F.col("id") % 40).alias("g"), (F.col("id") % 7).alias("v"))
