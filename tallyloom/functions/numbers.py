@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def to_number(c: Column, kind: str = "double") -> Column:
@@ -78,6 +80,12 @@ def average_of(*cols: Column) -> Column:
 NUMBER_PATTERN = r"\(?-?[$€£]?\s?\d[\d,]*(?:\.\d+)?\)?"
 
 
+@F.pandas_udf(T.StringType())
+def _six_decimals(value: pd.Series) -> pd.Series:
+    """``%.6f`` of the exact binary value: the JVM fills up with zeros behind the 17th digit and rounds the short form."""
+    return value.map(lambda v: None if v is None or v != v else f"{v:.6f}")
+
+
 def canonical_number(c: Column) -> Column:
     """``$ 1,234.50`` -> 1234.5, ``(42.00)`` -> -42, ``007`` -> 7; NULL when the text is no number."""
     s = F.trim(c)
@@ -86,7 +94,7 @@ def canonical_number(c: Column) -> Column:
     negative = wrapped | bare.startswith("-")
     digits = F.regexp_replace(bare, "^-", "")
     value = F.when(digits.rlike(r"^\d+(?:\.\d+)?$"), digits.try_cast("double"))
-    shown = F.format_string("%.6f", F.when(negative, -value).otherwise(value))
+    shown = _six_decimals(F.when(negative, -value).otherwise(value))
     short = F.regexp_replace(F.regexp_replace(shown, r"0+$", ""), r"\.$", "")
     return F.when(value.isNotNull(), F.when(short == "", "0").otherwise(short))
 

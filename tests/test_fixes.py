@@ -2,6 +2,7 @@
 
 import datetime
 import decimal
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from tallyloom.functions import dates, numbers
 from tallyloom.operators import aggregate as agg
 from tallyloom.operators import compare, joins, load, ordered
 from tallyloom.operators.topn import TopN, top_n_others
+from tallyloom.streaming import flows
 
 CUT = {"hot_rows": 10, "block_rows": 5}
 
@@ -100,3 +102,18 @@ def test_links_joined_twice_and_to_themselves(spark):
     assert [tuple(r) for r in joins.link_tables({"a": a, "b": b, "c": c}, links).collect()] == [(1, 1, 1, 1, 1, 1, 1)]
     with pytest.raises(ValueError, match="every row"):
         joins.link_tables({"a": a, "b": b}, [])
+
+
+def test_long_numbers_keep_all_their_digits(spark):
+    texts = ["12345678901234567890", "0.1234565", "0.1234567", "(100000000000000000000000)", "9" * 400, "12"]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string").orderBy("n")
+    want = ["12345678901234567168", "0.123456", "0.123457", "-99999999999999991611392", "inf", "12"]
+    assert [r[0] for r in df.select(numbers.canonical_number(F.col("t"))).collect()] == want
+
+
+def test_streams_read_files_and_folders_by_name(spark, tmp_path):
+    spark.range(5).coalesce(1).write.parquet(f"{tmp_path}/folder.parquet")
+    shutil.copy(next((tmp_path / "folder.parquet").glob("part*")), tmp_path / "file.parquet")
+    for name, rows in (("folder.parquet", 5), ("file.parquet", 5), ("f*.parquet", 10)):
+        stream = flows.stream_files(spark, str(tmp_path), "id bigint", glob=name)
+        assert flows.run_to_table(stream).count() == rows
