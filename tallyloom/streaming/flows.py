@@ -22,13 +22,12 @@ from tallyloom.sources.keyed_table import KeyedTable
 
 def stream_files(spark: SparkSession, path: str, schema, format: str = "parquet", glob: str | None = None,
                  files_per_batch: int | None = None, **options) -> DataFrame:
-    """File-polling source."""
+    """File-polling source; ``glob`` names files of ``path``, or folders of it that are read with all their files."""
     reader = spark.readStream.schema(schema).format(format).options(**options)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(path)
+    # in braces a plain name is a pattern too: only of patterns may a stream's path be a file
+    return reader.load(f"{path.rstrip('/')}/{{{glob}}}" if glob else path)
 
 
 def decode_messages(stream: DataFrame, schema: str | T.StructType, value: str = "value", key: str | None = "key",
