@@ -43,8 +43,11 @@ def cut_pages(df: DataFrame, doc: str, text: str, lines_per_page: int) -> DataFr
 
 
 def normal_lines(lines: DataFrame) -> DataFrame:
-    """Lines with their comparison form ``norm``, noise lines left out."""
-    return lines.withColumn("norm", normal_line(F.col("line"))).filter(F.col("norm") != "")
+    """Lines with their comparison form ``norm``, noise lines left out.
+
+    The form is the expensive part. A filter over it would be pushed below and work it out again; unnesting it is not.
+    """
+    return lines.withColumn("norm", F.explode(F.filter(F.array(normal_line(F.col("line"))), lambda n: n != "")))
 
 
 def _furniture(norm: DataFrame, doc: str) -> DataFrame:
