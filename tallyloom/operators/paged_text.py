@@ -84,6 +84,8 @@ def sparse_pages(lines: DataFrame, doc: str) -> DataFrame:
 
 # bytes of a piece of a document's stream, and of the pieces of a line that are compared with it
 CHUNK, PIECE = 16_384, 4_096
+# chunks that share a copy of their document's filter, and places that a task collects before it gives them out
+CHUNK_GROUP, SPOTS = 64, 200_000
 # bytes of the shortest line that has a fingerprint; shorter ones are looked for by all grams of SHORT bytes
 WHOLE, SHORT = text_index.GRAM + text_index.WINDOW - 1, 4
 
@@ -150,39 +152,57 @@ def _seeds(wanted: DataFrame, doc: str) -> DataFrame:
     return wanted.select(doc, "line", F.encode("text", "UTF-8").alias("text")).mapInArrow(seeds, f"`{doc}` {kind}, line long, code long, off int").distinct()
 
 
-def _found_in_stream(wanted: DataFrame, lines: DataFrame, doc: str) -> DataFrame:
-    """Those (doc, norm) of ``wanted`` that occur in the document's stream, blanks aside.
+def _spots(chunks: DataFrame, seeds: DataFrame, doc: str) -> DataFrame:
+    """(doc, code, at): places of the chunks with a fingerprint or short gram that one of the document's lines may have.
 
-    Streams are winnowed: of every WHOLE neighbouring bytes at least one gram is a fingerprint, chosen by these bytes alone, so
-    a line that occurs brings its fingerprints along. Each line proposes places by that one of three of its own which is
-    rarest in the document; the bytes there are compared piece by piece. Fingerprints that no line has stay in the task that
-    finds them. Lines too short for a fingerprint are sought by grams.
+    Every document has a filter of its own, so what leaves a task does not grow with the number of documents.
     """
-    needles = wanted.select(doc, "norm", _squeeze(F.col("norm")).alias("text")).distinct()
-    needles = written(needles.withColumn("line", F.xxhash64("norm")))
-    seeds = written(_seeds(needles, doc))
-    chunks = written(_chunks(_stream(lines.join(needles.select(doc).distinct(), doc, "left_semi"), doc), doc))
-    filter_of = text_index.code_filter(seeds, "code")
+    filters = text_index.own_filters(seeds.select(doc, "code").distinct(), doc, "code")
+    group = F.floor(F.col("chunk") / CHUNK_GROUP).alias("group")
+    # a long document's filter goes to each group of its chunks: the document is in no task as a whole
+    filters = filters.join(chunks.select(doc, group).distinct(), doc)
+    both = chunks.withColumn("group", group).join(filters, [doc, "group"]).select(doc, "chunk", "text", "words")
 
     def spots(batches):
+        def out(batch, rows, codes, at):
+            take = pa.array(np.concatenate(rows))
+            begin = batch.column("chunk").take(take).to_numpy(zero_copy_only=False) * CHUNK + np.concatenate(at)
+            return pa.RecordBatch.from_arrays(
+                [batch.column(doc).take(take), pa.array(np.concatenate(codes).view(np.int64)), pa.array(begin)], names=[doc, "code", "at"])
+
         for batch in batches:
             data, offsets = text_index.text_bytes(batch.column("text"))
-            rows, codes, at = [], [], []
-            for k, (low, high) in enumerate(zip(offsets, offsets[1:])):
+            rows, codes, at, n = [], [], [], 0
+            for k, (low, high, may_be) in enumerate(zip(offsets, offsets[1:], text_index.own_tests(batch.column("words")))):
                 text = data[low:high]
                 short = text_index.gram_codes(text, SHORT)
                 for place, code in (text_index.fingerprints(text), (np.arange(len(short)), short)):
-                    mine = text_index.may_be_in(filter_of, code)
+                    mine = may_be(code)
                     rows.append(np.full(mine.sum(), k)), codes.append(code[mine]), at.append(place[mine])
+                    n += len(rows[-1])
+                if n > SPOTS:
+                    yield out(batch, rows, codes, at)
+                    rows, codes, at, n = [], [], [], 0
             if rows:
-                take = pa.array(np.concatenate(rows))
-                chunk = batch.column("chunk").take(take)
-                begin = chunk.to_numpy(zero_copy_only=False) * CHUNK + np.concatenate(at)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(doc).take(take), pa.array(np.concatenate(codes).view(np.int64)), pa.array(begin)], names=[doc, "code", "at"])
+                yield out(batch, rows, codes, at)
 
-    kind = wanted.schema[doc].dataType.simpleString()
-    found = chunks.mapInArrow(spots, f"`{doc}` {kind}, code long, at long")
+    kind = chunks.schema[doc].dataType.simpleString()
+    return both.mapInArrow(spots, f"`{doc}` {kind}, code long, at long")
+
+
+def _found_in_stream(wanted: DataFrame, lines: DataFrame, doc: str) -> DataFrame:
+    """Those (doc, norm) of ``wanted`` that occur in the document's stream, blanks aside.
+
+    Streams are winnowed: of every WHOLE neighbouring bytes at least one gram is a fingerprint, chosen by these bytes alone, so
+    a line that occurs brings its fingerprints along. Each line proposes places by that one of three of its own which is
+    rarest in the document; the bytes there are compared piece by piece. Fingerprints that no line has stay in the task that
+    finds them. Lines too short for a fingerprint are sought by grams.
+    """
+    needles = wanted.select(doc, "norm", _squeeze(F.col("norm")).alias("text")).distinct()
+    needles = written(needles.withColumn("line", F.xxhash64("norm")))
+    seeds = written(_seeds(needles, doc))
+    chunks = written(_chunks(_stream(lines.join(needles.select(doc).distinct(), doc, "left_semi"), doc), doc))
+    found = _spots(chunks, seeds, doc)
     found = written(found.join(seeds.select(doc, "code").distinct(), [doc, "code"], "left_semi").distinct())
     frequency = found.groupBy(doc, "code").agg(F.count(F.lit(1)).alias("f"))
     rarest = seeds.join(frequency, [doc, "code"]).groupBy(doc, "line").agg(F.min_by(F.struct("code", "off"), F.struct("f", "off")).alias("s"))

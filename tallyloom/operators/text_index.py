@@ -75,6 +75,39 @@ def may_be_in(wanted: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return wanted[_slots(codes)]
 
 
+#: Binary logarithm of the bits of a filter that holds for one owner only.
+OWN_BITS = 15
+
+
+def own_filters(df: DataFrame, owner: str, code: str) -> DataFrame:
+    """(owner, words): a bit filter for the codes of each owner, as at most 2 ** (OWN_BITS - 6) words that are not 0.
+
+    Unlike the one filter of ``code_filter`` it does not fill up when owners become many.
+    """
+    def slots(batches):
+        for batch in batches:
+            at = _slots(batch.column(1).to_numpy(zero_copy_only=False).view(_U)) >> (FILTER_BITS - OWN_BITS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at >> 6), pa.array(np.left_shift(1, at & 63))], names=[owner, "word", "bits"])
+
+    kind = df.schema[owner].dataType.simpleString()
+    words = df.select(owner, code).mapInArrow(slots, f"`{owner}` {kind}, word long, bits long").groupBy(owner, "word").agg(F.bit_or("bits").alias("bits"))
+    return words.groupBy(owner).agg(F.collect_list(F.struct("word", "bits")).alias("words"))
+
+
+def own_tests(words: pa.ListArray):
+    """For each row of a column of ``own_filters`` a function from codes to whether they may be the owner's."""
+    offsets, word, bits = words.offsets.to_numpy(), *(words.values.field(k).to_numpy(zero_copy_only=False) for k in ("word", "bits"))
+    for low, high in zip(offsets, offsets[1:]):
+        table = np.zeros(1 << (OWN_BITS - 6), _U)
+        table[word[low:high]] = bits[low:high].view(_U)
+
+        def may_be(codes: np.ndarray, table=table) -> np.ndarray:
+            at = _slots(codes) >> (FILTER_BITS - OWN_BITS)
+            return (table[at >> 6] >> (at & 63).astype(_U) & _U(1)).astype(bool)
+
+        yield may_be
+
+
 # ------------------------------------------------------------ values in lines
 
 

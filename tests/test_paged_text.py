@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tallyloom.functions import text
 from tallyloom.operators import paged_text as pt
 
 VALUES = ["Cycles Ltd", "Northern Cycles Ltd", "Acme"]
@@ -112,3 +114,21 @@ def test_lines_in_streams_of_any_length(spark):
     have = {" ".join(x.split()) for page in converted[1] for x in page}
     wanted = {n: "same" if n in have else "wrapped" if n.replace(" ", "") in stream else "missing" for n in found}
     assert {n: "same" if s == "moved" else s for n, s in found.items()} == wanted and set(wanted.values()) >= {"wrapped", "missing"}
+
+
+def test_documents_do_not_fill_each_others_filter(spark):
+    rng = random.Random(5)
+    line = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40))
+    texts = {d: [line() for _ in range(20)] for d in range(300)}
+    chunks = spark.createDataFrame([(d, 0, "".join(t).encode()) for d, t in texts.items()], "doc int, chunk long, text binary")
+    # each document asks for a line of its own and for one of the next document
+    asked = [(d, n, n, texts[e][3]) for d in texts for n, e in enumerate((d, (d + 1) % 300))]
+    seeds = pt._seeds(spark.createDataFrame(asked, "doc int, norm string, line long, text string"), "doc")
+    found = pt._spots(chunks, seeds, "doc")
+    own = {(r.doc, r.code) for r in seeds.filter("line = 0").collect()}
+    assert own <= {(r.doc, r.code) for r in found.collect()} and found.count() < 1.5 * len(own) + 300
+
+
+def test_lines_are_normalised_once(lines):
+    plan = pt.normal_lines(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == text.normal_line(F.col("line"))._jc.toString().count("regexp_replace") == 4
