@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.sources.manifests import remove
+
 _serial = itertools.count()
 
 
@@ -148,3 +150,14 @@ def written(df: DataFrame, stem: str = "step") -> DataFrame:
     path = scratch_path(df.sparkSession, stem)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def written_for_now(df: DataFrame, stem: str = "step") -> Iterator[DataFrame]:
+    """Like ``written``, but the files go at the end of the block: what is read later has to be written within."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, stem)
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        remove(spark, path)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.core import fresh, written
+from tallyloom.core import fresh, written, written_for_now
 from tallyloom.llm.arrow import documents, parts, record
 from tallyloom.llm.components import components
 from tallyloom.operators.text_index import code_filter, may_be_in
@@ -101,13 +101,16 @@ def signed(hashes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.n
     many of its own a set surely shares with any similar set that it meets there.
 
     Sets of at least this similarity share a signature: in the first scheme in which either leaves few enough parts empty, all
-    parts in which they agree but those that are empty. That is more than one for most sets, so a set that shares fewer shares
-    them by chance. Where it may be the other set that has few empty parts, one is all that is sure.
+    parts in which they agree but those that are empty. Each n-gram in which they differ changes one part, so that is as many
+    as either has filled parts, at most less the n-grams in which they can differ; and one of the two fills ``count - spare`` at
+    least there, or both sign empty parts too. That is more than one for most sets, so a set that shares fewer shares them by
+    chance.
     """
     out, kinds, sure, n = [], [], [], len(hashes)
     for band, high, count, spare in _bands(n, percent) if n else []:
-        # the most n-grams in which this set and a similar one can differ that meet in this band
-        most = n * (100 - percent) // percent if n < high else (n + high - 1) * (100 - percent) // (100 + percent)
+        # the most n-grams in which this set and a similar one can differ that meet in this band, where the smaller is below high
+        most = min(n, high - 1) * (100 - percent) // percent
+        most = most if n < high else min(most, (n + high - 1) * (100 - percent) // (100 + percent))
         for scheme in range(_SCHEMES):
             x = hashes if scheme == 0 else np.sort(_mix(hashes + _U(scheme)))
             part = ((x >> _U(32)) * _U(count)) >> _U(32)
@@ -120,7 +123,7 @@ def signed(hashes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.n
                 found.append(_mix(_mix(salt | empty)))
             out += [(f & ~_U(_KINDS - 1)) | _U(kind) for f in found]
             kinds.append(kind)
-            sure.append(max(1, len(starts) - most) if few and scheme == 0 else 1)
+            sure.append(max(1, len(starts) - most, count - spare - most))
             if few:
                 break
     flat = np.concatenate(out) if out else np.empty(0, np.uint64)
@@ -156,32 +159,42 @@ def _members(signs: DataFrame, of_row: DataFrame) -> DataFrame:
 
     One shuffle of the signatures: each row sees the smallest id that has its signature, and whether another has it, row by row
     in order of ids. Equal sets have equal signatures, so the smallest is a class's own; the other members of classes go
-    afterwards, from shared signatures only. Then a set stays if it shares as many signatures of a kind as it surely does with
-    any similar set, or has equal ones, whose signatures it shares anyway.
+    afterwards, from shared signatures only.
+
+    The clusters of a set and kind are put in one order for all sets, the larger first, and the last ones go as long as their
+    signatures together are fewer than the set surely shares with any similar set. Of the clusters in which two similar sets
+    share signatures neither can lose the first: all that they share lies there and behind. So they still meet, a set that
+    shares too few by chance has no cluster, and one in a group of near copies is in few of the group's clusters.
     """
     each = signs.select("id", F.explode("signatures").alias("signature"))
     order = Window.partitionBy("signature").orderBy("id")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     each = each.select("id", "signature", F.first("id").over(so_far).alias("component"), F.lead("id").over(order).alias("next"))
     each = each.filter("id <> component or next is not null").select("id", "component", F.col("signature").bitwiseAND(_KINDS - 1).cast("int").alias("kind"))
-    reps = of_row.filter("id = rep").groupBy("id").agg(F.max("copies").alias("copies"))
-    shared = written(each.groupBy("id", "component", "kind").agg(F.count("*").alias("n")), "shared").join(reps, "id")
+    reps = of_row.filter("id = rep").select("id")
+    shared = written(each.groupBy("id", "component", "kind").agg(F.count("*").alias("n")), "shared").join(reps, "id", "left_semi")
+    large = shared.groupBy("component").agg(F.sum("n").alias("weight"))
     sure = signs.select("id", F.explode(F.arrays_zip("kinds", "sure")).alias("k")).select("id", F.col("k.kinds").alias("kind"), F.col("k.sure").alias("sure"))
     sure = sure.groupBy("id", "kind").agg(F.min("sure").alias("sure"))  # an id may have several sets
-    enough = shared.groupBy("id", "kind", "copies").agg(F.sum("n").alias("n")).join(sure, ["id", "kind"]).filter("n >= sure or copies > 1")
-    return shared.join(enough.select("id", "kind"), ["id", "kind"], "left_semi").select("id", "component").distinct()
+    last = Window.partitionBy("id", "kind").orderBy(F.desc("weight"), "component").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    left = shared.join(large, "component").join(sure, ["id", "kind"]).withColumn("left", F.sum("n").over(last))
+    return left.filter("left >= sure").select("id", "component").distinct()
 
 
-def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows (id, text) whose id falls in a slot of one of the ids, in the tasks that read them: a filter of fixed size, so
-    that a join with the ids ships few texts where they are few."""
-    wanted = code_filter(ids, "id")
+def _may_be(ids: DataFrame, id_col: str):
+    """Whether a value (long) falls in a slot of one of the ids, found in the tasks that read it by a filter of fixed size."""
+    wanted = code_filter(ids, id_col)
+
+    @F.arrow_udf("boolean")
+    def some(values: pa.Array) -> pa.Array:
+        return pa.array(may_be_in(wanted, values.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)))
 
-    def some(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(may_be_in(wanted, batch.column("id").to_numpy().view(np.uint64))))
+    return some
 
-    return rows.filter("id is not null").mapInArrow(some, rows.schema)
+
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (id, text) whose id may be one of the ids, so that a join with the ids ships few texts where they are few."""
+    return rows.filter("id is not null").filter(_may_be(ids, "id")("id"))
 
 
 class Tree:
@@ -294,14 +307,14 @@ def _blocked(rows: DataFrame, by: str, block: int, block_grams: int, least: int
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signs = written(_signed(base, width, percent), "signed")
-    small = signs.select("id", "size", "a", "b")
-    classes = small.filter("id is not null and size > 0").groupBy("a", "b").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    rep = F.when(F.col("size") > 0, F.col("rep")).otherwise(F.col("id"))
-    of_row = written(small.join(classes, ["a", "b"], "left").select("id", "size", rep.alias("rep"), "copies"), "classes")
-    members = _members(signs.filter("id is not null and size > 0"), of_row)
-    of_id = small.filter("id is not null").groupBy("id").agg(F.sum("size").alias("size"))
-    placed = written(_blocked(members.join(of_id, "id"), "component", block, block_grams, 2), "clusters")
+    with written_for_now(_signed(base, width, percent), "signed") as signs:
+        small = signs.select("id", "size", "a", "b")
+        classes = small.filter("id is not null and size > 0").groupBy("a", "b").agg(F.min("id").alias("rep"))
+        rep = F.when(F.col("size") > 0, F.col("rep")).otherwise(F.col("id"))
+        of_row = written(small.join(classes, ["a", "b"], "left").select("id", "size", rep.alias("rep")), "classes")
+        members = _members(signs.filter("id is not null and size > 0"), of_row)
+        of_id = small.filter("id is not null").groupBy("id").agg(F.sum("size").alias("size"))
+        placed = written(_blocked(members.join(of_id, "id"), "component", block, block_grams, 2), "clusters")
     texts = _only(base, placed).join(placed.select("id", "component", "blocks", "anchor"), "id")
 
     def joined(rows: DataFrame) -> DataFrame:
@@ -321,7 +334,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         main = counted.groupBy("component").agg(F.max(F.struct("k", "root")).alias("top")).select("component", F.col("top.root").alias("main"))
         outside = _blocked(rooted.join(main, "component").filter("root <> main").select("id", "size", "component"), "component", block, block_grams)
         outside = written(outside.select("id", "component", F.col("blocks").alias("ask_blocks")), "outside")
-        many = texts.filter("blocks > 1").join(rooted.select("id", "component", "root"), ["id", "component"])
+        many = _only(base, large).join(rooted.select("id", "component", "root", "blocks"), "id")
         asking = many.join(outside.select("id", "component", "ask_blocks"), ["id", "component"]).withColumn("asks", F.lit(True)).withColumn("ask_at", own("ask_blocks")).withColumn("at", each("blocks"))
         asked = many.join(outside.select("component", "ask_blocks").distinct(), "component").withColumn("asks", F.lit(False)).withColumn("at", own("blocks")).withColumn("ask_at", each("ask_blocks"))
         found = found.unionAll(joined(asking.unionByName(asked)))
@@ -343,13 +356,15 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows of equal id and text are one document and one of them stays. A null id counts as an id behind all others, made from
     the text, so documents without id take part and stay where no named one is like them.
     """
-    node, times = fresh(docs, "node"), fresh(docs, "times")
+    node = fresh(docs, "node")
     unnamed = F.lit(_UNNAMED) + F.pmod(F.xxhash64(text_col), F.lit(_UNNAMED))
     named = docs.withColumn(node, F.coalesce(F.col(id_col).cast("long"), unnamed))
     found = similar_components(named.select(F.col(node).alias("id"), F.col(text_col).alias("text")), "id", "text", width, percent)
     decided = found.groupBy("id").agg(F.count("*").alias("n"), F.max(F.col("id") > F.col("component_id")).alias("later"))
-    decided = decided.filter("later or n > 1").select(F.col("id").alias("__decided"), F.when(F.col("later"), 0).otherwise(F.col("n")).alias("__n"))
-    left = named.join(decided, named[node] == decided["__decided"], "left").withColumn(times, F.coalesce(decided["__n"], F.lit(1)))
-    left = left.select(*(named[c] for c in named.columns), times)
-    once, often = left.filter(F.col(times) == 1), left.filter(F.col(times) > 1).dropDuplicates([node, text_col])
+    decided = written(decided.filter("later or n > 1").select(F.col("id").alias(node), "later"), "decided")
+    several = decided.filter("not later").select(node)
+    # only texts that may be decided about are shipped
+    some, few = _may_be(decided, node)(node), _may_be(several, node)(node)
+    once = named.filter(~some).unionByName(named.filter(some).join(decided, node, "left_anti").select(named.columns))
+    often = named.filter(few).join(several, node, "left_semi").select(named.columns).dropDuplicates([node, text_col])
     return once.unionByName(often).select(docs.columns)

@@ -7,8 +7,10 @@ import corpus
 import numpy as np
 import pytest
 
+from tallyloom import core
 from tallyloom.llm import jaccard, pivots
 from tallyloom.llm.components import components
+from tallyloom.sources import manifests
 
 
 def roots(nodes, links):
@@ -132,6 +134,67 @@ def test_large_clusters_are_dealt_to_bounded_tasks(spark, monkeypatch, limits):
     assert len(most) == 2 and max(most) < 60  # two blocks of about 10 sets, not all 120
 
 
+@pytest.mark.parametrize("percent", [90, 80, 70, 50])
+def test_similar_sets_share_as_many_signatures_as_they_say(percent):
+    """In one kind at least what they share is no less than either says, also where parts are empty."""
+    rng = np.random.default_rng(percent + 1)
+    fresh = lambda n: np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+    said = 0
+    for size in [1, 3, 5, 12, 15, 16, 25, 40, 60, 89, 98, 100, 226, 300, 362, 363, 580]:
+        for _ in range(60):
+            a = fresh(size)
+            common = int(rng.integers(-(-percent * size // 100), size + 1))
+            more = int(rng.integers(0, max(0, 100 * common // percent - size) + 1))
+            b = np.unique(np.concatenate([rng.permutation(a)[:common], fresh(more)]))
+            assert 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))
+            (x, kinds, sure), (y, others, least) = jaccard.signed(a, percent), jaccard.signed(b, percent)
+            shared = [int(v) & (jaccard._KINDS - 1) for v in np.intersect1d(x, y)]
+            mine, theirs = dict(zip(kinds.tolist(), sure.tolist())), dict(zip(others.tolist(), least.tolist()))
+            good = [k for k in mine.keys() & theirs.keys() if shared.count(k) >= max(mine[k], theirs[k])]
+            assert good
+            said += max(max(mine[k], theirs[k]) for k in good) > 1
+    assert said > 100
+
+
+def test_near_copies_stand_in_few_clusters_and_little_is_left(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in rng.integers(0, 1 << 40, 400)]
+    texts = []
+    for k in range(80):
+        words = list(base)
+        for at in rng.integers(0, 400, 3):
+            words[at] = f"x{rng.integers(0, 1 << 40)}"
+        texts.append((k, " ".join(words)))
+    sets = [(k, shingles(t, 5)) for k, t in texts]
+    links = [(a, b) for (a, s), (b, t) in combinations(sets, 2) if 100 * len(s & t) >= 80 * len(s | t)]
+    seen, write = {}, jaccard.written
+
+    def spy(df, stem="step"):
+        seen[stem] = write(df, stem)
+        return seen[stem]
+
+    monkeypatch.setattr(jaccard, "written", spy)
+    stems = []
+    path = core.scratch_path
+    monkeypatch.setattr(core, "scratch_path", lambda session, stem: stems.append((stem, path(session, stem))) or stems[-1][1])
+    found = {r.doc_id: r.component_id for r in jaccard.similar_components(spark.createDataFrame(texts, "doc_id long, text string"), width=5, percent=80).collect()}
+    assert found == roots([k for k, _ in texts], links)
+    assert len(texts) <= seen["clusters"].count() <= 4 * len(texts)
+    left = {stem for stem, at in stems if manifests.listing(spark, at)}
+    assert "clusters" in left and "signed" in {stem for stem, _ in stems} and "signed" not in left
+
+
+def test_only_decided_texts_are_shipped(spark):
+    prose = lambda n: " ".join(f"w{n}v{k}" for k in range(40))
+    rows = [(k, prose(k)) for k in range(200)] + [(1000, prose(3)), (1001, prose(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = jaccard.first_of_each(docs)
+    assert sorted(map(tuple, kept.collect())) == rows[:200]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    joined = [block for block in re.split(r"Join ", plan)[1:]]
+    assert joined and all("some(" in block for block in joined)  # each side with texts has been cut down before
+
+
 def vectors(seed=4):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(60, 16))
