@@ -188,7 +188,7 @@ def stream_running_ordered(spark, sf):
     folder = scratch_path(spark, "ordered")
     with session_settings(spark, flows.STATE_STORE):
         for rows in _arrivals(spark, sf):
-            rows.repartition(2, "event_id").write.mode("append").parquet(f"{folder}/in")
+            rows.repartition("event_id").write.mode("append").parquet(f"{folder}/in")
             stream = flows.stream_files(spark, f"{folder}/in", _RUNNING).withColumn("ts", F.col("ts").cast("timestamp"))
             ran = flows.stream_running_ordered(stream, "user_id", ["event_id"], "value", "sum", "running_value", "ts", "5 hours", "1 hour")
             ran.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(

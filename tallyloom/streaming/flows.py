@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import threading
 from collections.abc import Callable, Mapping, Sequence
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
-from tallyloom.core import join_back, match_on, names, scratch_path, sort_keys, written
+from tallyloom.core import fresh, join_back, match_on, names, scratch_path, sort_keys, written
 from tallyloom.operators import load
 from tallyloom.operators.aggregate import Agg, agg_column
 from tallyloom.operators.joins import one_per_key
@@ -190,69 +191,94 @@ def stream_running(
     )
 
 
+#: Tuples of one value in the state of ``_OrderedValues``.
+_PACK = 4096
+
+
+def _same(x):
+    """A key's value as Spark groups it: NaN equals NaN, lists and bytes are compared by what they hold."""
+    if isinstance(x, (list, tuple)):
+        return tuple(map(_same, x))
+    return bytes(x) if isinstance(x, bytearray) else "NaN" if isinstance(x, float) and x != x else x
+
+
 class _OrderedValues(StatefulProcessor):
-    """Keeps a key's rows until the watermark has passed them, then gives them out in order with the running value."""
+    """Keeps the rows of a bucket of keys until the watermark has passed them, then gives them out in order with the running
+    values of their keys. Each call reads and writes its state as a whole, however many keys it holds."""
 
-    def __init__(self, rows: T.StructType, time: str, order: Sequence[tuple[str, bool]], value: str, op: str, out: str, grace: int) -> None:
-        self.schema, self.time, self.order, self.value, self.op, self.out, self.grace = rows, time, order, value, op, out, grace
+    def __init__(self, rows: T.StructType, keys: Sequence[str], time: str, order: Sequence[tuple[str, bool]], value: str, op: str, out: str, grace: int) -> None:
+        at = rows.names.index
+        self.schema, self.keys, self.time, self.value = rows, [at(k) for k in keys], at(time), at(value)
+        self.order, self.op, self.out, self.grace = [(at(c), descending) for c, descending in order], op, out, grace
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.rows = handle.getListState("rows", self.schema)
-        self.total = handle.getValueState("total", "s double, n bigint, hi double, lo double")
-
-    def _running(self, totals: list, row: tuple, late: bool) -> Row:
-        x = row[self.schema.names.index(self.value)]
-        if x is not None:
-            x = float(x)
-            s, n, hi, lo = totals
-            totals[:] = (s or 0.0) + x, n + 1, x if hi is None else max(hi, x), x if lo is None else min(lo, x)
-        s, n, hi, lo = totals
-        shown = {"sum": s, "count": float(n), "maximum": hi, "minimum": lo, "average": s / n if n else None}[self.op]
-        return Row(*self.schema.names, self.out, "late")(*row, shown, late)
-
-    def _sorted(self, rows: list[tuple]) -> list[tuple]:
-        at = self.schema.names.index
-        for name, descending in reversed(self.order):
-            rows.sort(key=lambda r: (r[at(name)] is not None, r[at(name)]) if r[at(name)] is not None else (False,), reverse=descending)
-        return rows
+        self.handle, self.row = handle, Row(*self.schema.names, self.out, "late")
+        self.rows, self.totals = (handle.getListState(name, "many binary") for name in ("rows", "totals"))
 
-    def _millis(self, row: tuple) -> int:
-        return int(row[self.schema.names.index(self.time)].timestamp() * 1000)
+    @staticmethod
+    def _packed(values: list[tuple]) -> list[tuple]:
+        """As few values of the state, each of up to ``_PACK`` tuples: the state turns every value into bytes by itself, slowly."""
+        return [(pickle.dumps(values[at : at + _PACK], pickle.HIGHEST_PROTOCOL),) for at in range(0, len(values), _PACK)]
 
-    def _totals(self) -> list:
-        return list(self.total.get()) if self.total.exists() else [None, 0, None, None]
+    @staticmethod
+    def _unpacked(state):
+        for (many,) in state.get():
+            yield from pickle.loads(many)
+
+    def _key(self, row: tuple) -> tuple:
+        return tuple([row[k] for k in self.keys])
+
+    def _millis(self, row: tuple) -> int:
+        return int(row[self.time].timestamp() * 1000)
+
+    def _wait(self, waiting: list[tuple]) -> None:
+        self.handle.registerTimer(max(min(map(self._millis, waiting)) - self.grace, 1))
+
+    def _shown(self, rows: list[tuple], late: bool):
+        """Rows in order with the running values of their keys, which are kept afterwards."""
+        for at, descending in reversed(self.order):
+            rows.sort(key=lambda r: (r[at] is not None, r[at]) if r[at] is not None else (False,), reverse=descending)
+        n_keys, totals = len(self.keys), {}
+        for kept in self._unpacked(self.totals):
+            totals[_same(kept[:n_keys])] = kept[:n_keys], list(kept[n_keys:])
+        for row in rows:
+            key = self._key(row)
+            _, now = totals.setdefault(_same(key), (key, [None, 0, None, None]))
+            x = row[self.value]
+            if x is not None:
+                x = float(x)
+                s, n, hi, lo = now
+                now[:] = (s or 0.0) + x, n + 1, x if hi is None else max(hi, x), x if lo is None else min(lo, x)
+            s, n, hi, lo = now
+            shown = {"sum": s, "count": float(n), "maximum": hi, "minimum": lo, "average": s / n if n else None}[self.op]
+            yield self.row(*row, shown, late)
+        self.totals.put(self._packed([(*key, *now) for key, now in totals.values()]))
 
     def handleInputRows(self, key, rows, timerValues):
-        out_from = timerValues.getCurrentWatermarkInMs() + self.grace
+        out_from, width = timerValues.getCurrentWatermarkInMs() + self.grace, len(self.schema)
         waiting, late = [], []
         for row in rows:
-            (late if self._millis(row) <= out_from else waiting).append(tuple(row))
+            row = tuple(row)[:width]  # behind it is the bucket
+            (late if self._millis(row) <= out_from else waiting).append(row)
         if waiting:
-            self.rows.appendList(waiting)
-            self.handle.registerTimer(max(min(map(self._millis, waiting)) - self.grace, 1))
+            self.rows.appendList(self._packed(waiting))
+            self._wait(waiting)
         if late:
-            totals = self._totals()
-            for row in self._sorted(late):
-                yield self._running(totals, row, True)
-            self.total.update(tuple(totals))
+            yield from self._shown(late, True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         out_to = timerValues.getCurrentWatermarkInMs() + self.grace
         ready, waiting = [], []
-        for row in self.rows.get():
-            (ready if self._millis(row) <= out_to else waiting).append(tuple(row))
+        for row in self._unpacked(self.rows):
+            (ready if self._millis(row) <= out_to else waiting).append(row)
         if not ready:
             return
         if waiting:
-            self.rows.put(waiting)
-            self.handle.registerTimer(max(min(map(self._millis, waiting)) - self.grace, 1))
+            self.rows.put(self._packed(waiting))
+            self._wait(waiting)
         else:
             self.rows.clear()
-        totals = self._totals()
-        for row in self._sorted(ready):
-            yield self._running(totals, row, False)
-        self.total.update(tuple(totals))
+        yield from self._shown(ready, False)
 
     def close(self) -> None:
         pass
@@ -263,15 +289,17 @@ STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark
 
 
 def stream_running_ordered(
-    stream: DataFrame, keys, order, value: str, op: str, out: str, time: str, wait: str, grace: str = "0 seconds"
+    stream: DataFrame, keys, order, value: str, op: str, out: str, time: str, wait: str, grace: str = "0 seconds", buckets: int = 256
 ) -> DataFrame:
     """Running value per key in event order, whatever the order of arrival: a stream of the rows with ``out`` and ``late``.
 
-    The rows and totals of a key are the engine's keyed state: a micro-batch touches the keys that arrived and those whose
-    timer the watermark has passed, and a restart goes on from the checkpoint. Rows are held for ``wait`` behind the newest
+    The rows and totals of a bucket of keys are the engine's keyed state: a micro-batch touches the buckets that arrived and
+    those whose timer the watermark has passed, and a restart goes on from the checkpoint, with the same ``buckets``. A call to
+    the state costs more than many rows, and calls are per bucket, not per key. Rows are held for ``wait`` behind the newest
     time seen, then come out in order. Policy for late rows: one that is behind that, but by no more than ``grace``, comes
     out at once, marked ``late``, with the value that it brings the total to; a later one is dropped, and counted by the
-    query's progress. A key's rows of one such span are in one task's memory. Ordering columns come after ``time``.
+    query's progress. A bucket's totals and rows of one such span are in one task's memory; more buckets make that less.
+    Ordering columns come after ``time``.
 
     Set ``STATE_STORE`` in the session before the query starts.
     """
@@ -283,8 +311,10 @@ def stream_running_ordered(
     rows = T.StructType([T.StructField(f.name, f.dataType) for f in stream.schema])
     shown = T.StructType([*rows, T.StructField(out, T.DoubleType()), T.StructField("late", T.BooleanType())])
     delay = f"{(_millis_of(stream.sparkSession, wait) + millis)} milliseconds"
-    kept = stream.withWatermark(time, delay).groupBy(*keys)
-    return kept.transformWithState(_OrderedValues(rows, time, sort, value, op, out, millis), shown, "Append", "EventTime")
+    bucket = fresh(stream, "bucket")
+    dealt = stream.withColumn(bucket, F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    kept = dealt.withWatermark(time, delay).groupBy(bucket)
+    return kept.transformWithState(_OrderedValues(rows, keys, time, sort, value, op, out, millis), shown, "Append", "EventTime")
 
 
 def _millis_of(spark: SparkSession, span: str) -> int:

@@ -1,5 +1,6 @@
 """Tables by key that change without being rewritten, and what streams and loads do with them."""
 
+import json
 import random
 
 import pytest
@@ -118,6 +119,30 @@ def test_running_totals_write_only_what_arrived(spark, tmp_path):
     assert found[7, 1] == 7 and found[7, 2] == 8 and found[7, 3] == 8 and found[99, 3] == 5 and len(found) == 33
 
 
+def test_ordered_running_values_call_the_state_by_buckets(spark, tmp_path):
+    """500 keys, NULL and NaN among them, in 4 buckets: few calls, values as ever."""
+    from tallyloom.core import session_settings
+
+    state, inbox, out = (str(tmp_path / n) for n in ("state", "in", "out"))
+    schema, total = "k double, minute int, x double", {}
+    keys = [None, float("nan"), -0.0, *map(float, range(1, 498))]
+    for first in (10, 100):  # the second arrival goes on from what the first has left
+        spark.createDataFrame([(k, first + m, float(m)) for m in range(3) for k in keys], schema).write.mode("append").parquet(inbox)
+        stream = flows.stream_files(spark, inbox, schema).withColumn("ts", F.timestamp_seconds(F.col("minute") * 60))
+        ran = flows.stream_running_ordered(stream, "k", ["x"], "x", "sum", "total", "ts", "0 minutes", buckets=4)
+        with session_settings(spark, flows.STATE_STORE):
+            query = ran.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+            query.awaitTermination()
+        kept = [p["stateOperators"][0]["numRowsTotal"] for p in map(lambda p: json.loads(p.json), query.recentProgress) if p["stateOperators"]]
+        assert 0 < max(kept) < 60
+    found = spark.read.schema(ran.schema).parquet(out).collect()
+    assert {r.minute for r in found} == {10, 11, 12, 100, 101, 102} and len(found) == 6 * len(keys) and not any(r.late for r in found)
+    for r in sorted(found, key=lambda r: r.minute):
+        key = repr(r.k or r.k and 0.0)
+        total[key] = total.get(key, 0.0) + r.x
+        assert r.total == total[key]
+
+
 def test_ordered_running_values_and_late_rows(spark, tmp_path):
     from tallyloom.core import session_settings
 
