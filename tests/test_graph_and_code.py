@@ -136,3 +136,13 @@ def test_similar_values_equal_brute_force(spark, percent):
     frame = lambda words: spark.createDataFrame([(w,) for w in [*words, None]], "w string")
     out = joins.fuzzy_top_k(frame(left), frame(right), "w", "w", percent)
     assert sorted((r.value, r["rank"], r.match, r.distance) for r in out.collect()) == sorted(wanted) and wanted
+
+
+def test_edge_lint_is_one_aggregate(spark, listed):
+    """Unknown ends and nodes without edges come from one aggregate without joins; a NULL end refers to no node."""
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",), ("c",), (None,)], "name string")
+    edges = spark.createDataFrame([("a", "b"), ("a", "x"), ("x", None), ("a", "b")], "from_step string, to_step string")
+    found = compare.edge_lint(nodes, edges)
+    assert listed(found) == sorted([("unknown-node", "x"), ("unknown-node", None), ("isolated", "c"), ("isolated", None)], key=repr)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and "Join" not in plan
