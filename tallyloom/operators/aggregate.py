@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.core import join_back, names, sort_keys
-from tallyloom.operators.ordered import _order_struct, running, sequence
+from tallyloom.core import any_of, is_true, join_back, names, order_columns, sort_keys
+from tallyloom.operators.ordered import _order_struct, row_hash, running, sequence
 
 
 @dataclass(frozen=True)
@@ -453,13 +453,47 @@ class Factor:
     empty: float = 0.0
 
 
-def weighted_score(df: DataFrame, keys, factors: Sequence[Factor], grades: Sequence[tuple[int, str]] = GRADES) -> DataFrame:
-    """Per entity: factor scores (rounded), weighted total 0-100 and grade."""
-    scored = df.groupBy(*names(keys)).agg(
+def _sums_in_order(rows: DataFrame, keys: Sequence[str], values: Sequence[str], order: Sequence[tuple[str, bool]]) -> DataFrame:
+    """Sums (keys, ``sum_`` and the value's name) of doubles added up row by row in the order, rows equal in it by their hash."""
+    at = Window.partitionBy(*keys).orderBy(*order_columns(order), row_hash(rows))
+    running_sums = F.struct(*[F.sum(v).over(at.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(f"sum_{v}") for v in values])
+    numbered = rows.select(*keys, F.row_number().over(at).alias("__n"), running_sums.alias("__sums"))
+    return numbered.groupBy(*keys).agg(F.max_by("__sums", "__n").alias("__sums")).select(*keys, "__sums.*")
+
+
+def weighted_score(df: DataFrame, keys, factors: Sequence[Factor], order, grades: Sequence[tuple[int, str]] = GRADES) -> DataFrame:
+    """Per entity: factor scores (rounded), weighted total 0-100 and grade.
+
+    A sum of doubles depends on the order of its terms, and a mean that lies on a half is rounded either way for its last bit.
+    So means count as added up in the given order, however rows are dealt to tasks. Most means are too far from a half for any order
+    to matter: they come from sums combined on the map side, and only entities with a mean close to one are added up again.
+    """
+    keys, order = names(keys), sort_keys(order, "weighted_score")
+    values = [f"__value{n}" for n in range(len(factors))]
+    rows = df.select(
+        *keys, *[F.col(c).alias(f"__order{n}") for n, (c, _) in enumerate(order)],
+        *[_column(f.value).cast("double").alias(v) for f, v in zip(factors, values)],
+    )
+    means = rows.groupBy(*keys).agg(
+        *[c for v in values for c in (F.avg(v).alias(f"mean{v}"), F.count(v).alias(f"count{v}"), F.sum(F.abs(F.col(v))).alias(f"size{v}"))]
+    )
+
+    def near_half(v: str) -> Column:
+        # two orders of n terms give sums that differ by 2 * (n - 1) * 2 ** -53 of the terms' sizes at most; twice that has room for the rest
+        percent = F.col(f"mean{v}") * 100
+        return is_true(F.abs(F.abs(percent - F.rint(percent)) - 0.5) <= F.col(f"size{v}") * (100 * 2.0**-51))
+
+    near = means.filter(any_of([near_half(v) for v in values])).select(*keys)
+    again = _sums_in_order(
+        join_back(rows, near, keys, "left_semi"), keys, values, [(f"__order{n}", desc) for n, (_, desc) in enumerate(order)]
+    )
+    sums = join_back(means, again, keys)
+    scored = sums.select(
+        *keys,
         *[
-            F.bround(F.coalesce(F.avg(_column(f.value).cast("double")), F.lit(f.empty)) * 100).cast("int").alias(f.name)
-            for f in factors
-        ]
+            F.bround(F.coalesce(F.col(f"sum_{v}") / F.col(f"count{v}"), F.col(f"mean{v}"), F.lit(f.empty)) * 100).cast("int").alias(f.name)
+            for f, v in zip(factors, values)
+        ],
     )
     total = sum((F.col(f.name) * F.lit(f.weight) for f in factors), F.lit(0.0))
     scored = scored.withColumn("score", F.bround(F.round(total, 9)).cast("int"))

@@ -341,7 +341,7 @@ def weighted_score(spark, sf):
         .when(F.col("o_orderpriority") == "3-MEDIUM", 0.7).otherwise(0.95)
     )
     return agg.weighted_score(
-        table(spark, sf, "orders"), "o_custkey", [Factor("mapping", mapping, 0.6), Factor("impact", impact, 0.4, empty=1.0)]
+        table(spark, sf, "orders"), "o_custkey", [Factor("mapping", mapping, 0.6), Factor("impact", impact, 0.4, empty=1.0)], order="o_orderkey"
     )
 
 

@@ -2,6 +2,7 @@
 
 import datetime
 import decimal
+import random
 import shutil
 
 import pytest
@@ -117,3 +118,27 @@ def test_streams_read_files_and_folders_by_name(spark, tmp_path):
     for name, rows in (("folder.parquet", 5), ("file.parquet", 5), ("f*.parquet", 10)):
         stream = flows.stream_files(spark, str(tmp_path), "id bigint", glob=name)
         assert flows.run_to_table(stream).count() == rows
+
+
+def test_means_on_a_half_do_not_depend_on_how_rows_are_dealt(spark):
+    rng = random.Random(6)
+    rows = [(None if k == 0 else k, n, rng.choice([0.1, 0.5, 0.9, None])) for k in range(400) for n in range(20)]
+    want, differ = {}, 0
+    for k in range(400):
+        terms = [v for key, _, v in rows if key == (k or None) and v is not None]
+        forth, back = (round(sum_of(t) / len(t) * 100) for t in (terms, terms[::-1]))
+        want[k or None], differ = forth, differ + (forth != back)
+    assert differ > 5  # the order matters in some
+    dealt = spark.createDataFrame(rows[::-1], "k int, n int, v double").repartition(5, "n")
+    out = agg.weighted_score(dealt, "k", [agg.Factor("f", "v", 1.0)], "n")
+    assert {r.k: r.f for r in out.collect()} == want and out.columns == ["k", "f", "score", "grade"]
+    out = agg.weighted_score(dealt.filter("v is null"), ["k"], [agg.Factor("f", "v", 1.0, empty=1.0)], "n")
+    assert {(r.f, r.grade) for r in out.collect()} == {(100, "A")}
+
+
+def sum_of(terms):
+    """Added up one after the other; sum() of Python compensates."""
+    total = 0.0
+    for t in terms:
+        total += t
+    return total
