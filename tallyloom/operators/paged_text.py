@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.core import written
+from tallyloom.core import join_back, written
 from tallyloom.functions.text import normal_line
 from tallyloom.operators import text_index
 from tallyloom.operators.ordered import longest_run, running
@@ -82,7 +82,9 @@ def sparse_pages(lines: DataFrame, doc: str) -> DataFrame:
 
 # ---------------------------------------------------------------- line parity
 
-# bytes of a piece of a document's stream, and of the pieces of a line that are compared with it
+# bytes of a document's lines, original and converted, up to which its stream is put together in one cell
+CELL = 262_144
+# bytes of a piece of a longer document's stream, and of the pieces of a line that are compared with it
 CHUNK, PIECE = 16_384, 4_096
 # chunks that share a copy of their document's filter, and places that a task collects before it gives them out
 CHUNK_GROUP, SPOTS = 64, 200_000
@@ -101,11 +103,15 @@ def _squeeze(text: Column) -> Column:
     return F.replace(text, F.lit(" "), F.lit(""))
 
 
+def _squeezed_pages(lines: DataFrame, doc: str) -> DataFrame:
+    """Normalised page texts without blanks: (doc, page_no, text)."""
+    page = _page_texts(lines, doc, F.col("line"))
+    return page.select(doc, "page_no", _squeeze(normal_line(F.array_join("a", " "))).alias("text"))
+
+
 def _stream(lines: DataFrame, doc: str) -> DataFrame:
     """Normalised page texts without blanks, placed in the byte stream of their document: (doc, start, text)."""
-    words = F.filter(F.split(F.trim(F.col("line")), r"(?U)\s+"), lambda w: w != "")
-    page = _page_texts(lines, doc, words)
-    text = page.select(doc, "page_no", F.encode(_squeeze(normal_line(F.array_join(F.flatten("a"), " "))), "UTF-8").alias("text"))
+    text = _squeezed_pages(lines, doc).select(doc, "page_no", F.encode("text", "UTF-8").alias("text"))
     text = written(text.filter(F.octet_length("text") > 0))
     # positions are worked out without carrying the texts along
     placed = running(text.select(doc, "page_no", F.octet_length("text").cast("long").alias("__len")), "sum", "__len", "__end", "page_no", doc)
@@ -191,15 +197,14 @@ def _spots(chunks: DataFrame, seeds: DataFrame, doc: str) -> DataFrame:
 
 
 def _found_in_stream(wanted: DataFrame, lines: DataFrame, doc: str) -> DataFrame:
-    """Those (doc, norm) of ``wanted`` that occur in the document's stream, blanks aside.
+    """Those (doc, line) of ``wanted`` (doc, line, norm) whose norm occurs in the document's stream, blanks aside.
 
     Streams are winnowed: of every WHOLE neighbouring bytes at least one gram is a fingerprint, chosen by these bytes alone, so
     a line that occurs brings its fingerprints along. Each line proposes places by that one of three of its own which is
     rarest in the document; the bytes there are compared piece by piece. Fingerprints that no line has stay in the task that
     finds them. Lines too short for a fingerprint are sought by grams.
     """
-    needles = wanted.select(doc, "norm", _squeeze(F.col("norm")).alias("text")).distinct()
-    needles = written(needles.withColumn("line", F.xxhash64("norm")))
+    needles = written(wanted.select(doc, "line", _squeeze(F.col("norm")).alias("text")))
     seeds = written(_seeds(needles, doc))
     chunks = written(_chunks(_stream(lines.join(needles.select(doc).distinct(), doc, "left_semi"), doc), doc))
     found = _spots(chunks, seeds, doc)
@@ -220,7 +225,52 @@ def _found_in_stream(wanted: DataFrame, lines: DataFrame, doc: str) -> DataFrame
     here = F.substring("text", (F.col("from") - F.col("chunk") * CHUNK + 1).cast("int"), F.octet_length("piece"))
     equal = asked.join(chunks, [doc, "chunk"]).filter(here == F.col("piece"))
     whole = equal.groupBy(doc, "line", "begin").agg(F.count(F.lit(1)).alias("k"), F.max("steps").alias("steps")).filter("k = steps")
-    return needles.join(whole.select(doc, "line").distinct(), [doc, "line"], "left_semi").select(doc, "norm")
+    return whole.select(doc, "line").distinct()
+
+
+def _digest(norm: str) -> Column:
+    """128 bits that stand for a line where its text is not needed."""
+    return F.unhex(F.md5(F.col(norm)))
+
+
+def _first_pages(original: DataFrame, converted: DataFrame, doc: str, *dealt_by: str) -> DataFrame:
+    """Lines of the original with their first page here and there: (doc, digest, norm, page_no, new_page).
+
+    Of the conversion only digests are shuffled. NULL documents have no conversion.
+    """
+    a = normal_lines(original).select(doc, _digest("norm").alias("digest"), "norm", "page_no")
+    b = normal_lines(converted.filter(F.col(doc).isNotNull())).select(doc, _digest("norm").alias("digest"), F.col("page_no").alias("new_page"))
+    rows = a.unionByName(b, allowMissingColumns=True)
+    if dealt_by:
+        rows = rows.repartition(*dealt_by)
+    both = rows.groupBy(doc, "digest").agg(
+        F.any_value("norm", F.lit(True)).alias("norm"), F.min("page_no").alias("page_no"), F.min("new_page").alias("new_page")
+    )
+    return both.filter(F.col("norm").isNotNull())
+
+
+def _parity(lines: DataFrame, doc: str, inside: Column) -> DataFrame:
+    state = (
+        F.when(F.col("new_page") == F.col("page_no"), "same").when(F.col("new_page").isNotNull(), "moved")
+        .when(inside, "wrapped").otherwise("missing")
+    )
+    return lines.select(doc, "norm", "page_no", state.alias("state"), "new_page")
+
+
+def _short_parity(original: DataFrame, converted: DataFrame, doc: str) -> DataFrame:
+    """Documents whose stream fits a cell: lines and streams are dealt by document, once, and meet there."""
+    lines = converted.filter(F.col(doc).isNotNull()).select(doc, "page_no", "line_no", "line").repartition(doc)
+    pages = F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda p: p["text"])
+    stream = _squeezed_pages(lines, doc).groupBy(doc).agg(F.array_join(pages, "").alias("stream"))
+    both = _first_pages(original, converted, doc, doc).join(stream, doc, "left")
+    return _parity(both, doc, F.contains("stream", _squeeze(F.col("norm"))))
+
+
+def _long_parity(original: DataFrame, converted: DataFrame, doc: str) -> DataFrame:
+    """Documents of any length: none of them is in one task."""
+    both = written(_first_pages(original, converted, doc).withColumn("line", F.xxhash64("norm")))
+    inside = _found_in_stream(both.filter(F.col("new_page").isNull()).select(doc, "line", "norm"), converted, doc)
+    return _parity(both.join(inside.withColumn("__in", F.lit(True)), [doc, "line"], "left"), doc, F.col("__in"))
 
 
 def line_parity(original: DataFrame, converted: DataFrame, doc: str) -> DataFrame:
@@ -228,18 +278,16 @@ def line_parity(original: DataFrame, converted: DataFrame, doc: str) -> DataFram
 
     ``same`` and ``moved`` lines exist in the conversion (first pages compared), ``wrapped`` ones only inside its text
     stream, ``missing`` ones nowhere. The stream is compared without blanks: whatever matches with them also matches
-    without.
+    without. Documents of up to CELL bytes of lines have their stream in one cell, longer ones in pieces.
     """
-    a = normal_lines(original).groupBy(doc, "norm").agg(F.min("page_no").alias("page_no"))
-    b = normal_lines(converted).groupBy(doc, "norm").agg(F.min("page_no").alias("new_page"))
-    both = written(a.join(b, [doc, "norm"], "left"))
-    residue = both.filter(F.col("new_page").isNull()).select(doc, "norm")
-    inside = _found_in_stream(residue, converted, doc).withColumn("__in", F.lit(True))
-    state = (
-        F.when(F.col("new_page") == F.col("page_no"), "same").when(F.col("new_page").isNotNull(), "moved")
-        .when(F.col("__in"), "wrapped").otherwise("missing")
-    )
-    return both.join(inside, [doc, "norm"], "left").select(doc, "norm", "page_no", state.alias("state"), "new_page")
+    size = F.octet_length("line").cast("long") + 1
+    sizes = original.select(doc, size.alias("n")).unionByName(converted.select(doc, size.alias("n")))
+    long = written(sizes.groupBy(doc).agg(F.sum("n").alias("n")).filter(F.col("n") > CELL).select(doc), "long")
+    if long.isEmpty():
+        return _short_parity(original, converted, doc)
+    pick = lambda lines, how: join_back(lines, long, [doc], how)
+    short = _short_parity(pick(original, "left_anti"), pick(converted, "left_anti"), doc)
+    return short.unionByName(_long_parity(pick(original, "left_semi"), pick(converted, "left_semi"), doc))
 
 
 # ---------------------------------------------------------------- groups on pages

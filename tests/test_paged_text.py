@@ -1,5 +1,6 @@
 """Paged text: small documents written by hand, with the tables they must give."""
 
+import pathlib
 import random
 
 import pytest
@@ -132,3 +133,40 @@ def test_documents_do_not_fill_each_others_filter(spark):
 def test_lines_are_normalised_once(lines):
     plan = pt.normal_lines(lines)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == text.normal_line(F.col("line"))._jc.toString().count("regexp_replace") == 4
+
+
+def test_short_documents_are_dealt_once(spark, monkeypatch):
+    rng = random.Random(7)
+    line = lambda: " ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(1, 9))) for _ in range(12))
+    given = {d: [[line() for _ in range(6)] for _ in range(4)] for d in range(30)} | {30: [["only here as a line"]]}
+    converted = {}
+    for d, pages in given.items():
+        kept = [x for page in pages for x in page if rng.random() < 0.8] + [line()]
+        wrapped = [" ".join(kept[k : k + 2]) if k % 3 else "\n".join(kept[k : k + 2]) for k in range(0, len(kept), 2)]
+        flat = "\n".join(wrapped).split("\n")
+        converted[d] = [flat[k : k + 5] for k in range(0, len(flat), 5)]
+    del converted[30]
+    rows = [(d, p, n, x) for d, pages in given.items() for p, page in enumerate(pages) for n, x in enumerate(page)]
+    rows.append((None, 0, 0, "a line of no document"))
+    a, b = spark.createDataFrame(rows, "doc int, page_no int, line_no int, line string"), frame(spark, converted)
+    want = set()
+    for d, p, _, x in rows:
+        pages = converted.get(d, [])
+        new = next((n for n, page in enumerate(pages) if x in page), None)
+        stream = "".join(y for page in pages for y in page).replace(" ", "")
+        where = "same" if new == p else "moved" if new is not None else "wrapped" if x.replace(" ", "") in stream else "missing"
+        want.add((d, x, p, where, new))
+    assert {w[3] for w in want} == {"same", "moved", "wrapped", "missing"}
+
+    def folder():
+        return sum(f.stat().st_size for f in pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")).rglob("*.parquet"))
+
+    before = folder()
+    found = pt.line_parity(a, b, "doc")
+    assert {tuple(r) for r in found.collect()} == want
+    assert folder() - before < sum(len(r[3]) for r in rows) / 5  # no text is written
+    # one exchange has the lines of the original with digests of the conversion's, one has the conversion's lines
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2
+    for limit in (0, 3500):  # all documents in pieces, and some
+        monkeypatch.setattr(pt, "CELL", limit)
+        assert {tuple(r) for r in pt.line_parity(a, b, "doc").collect()} == want
