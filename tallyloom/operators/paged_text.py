@@ -50,26 +50,34 @@ def normal_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("norm", F.explode(F.filter(F.array(normal_line(F.col("line"))), lambda n: n != "")))
 
 
+def _digest(norm: str) -> Column:
+    """128 bits that stand for a line where its text is not needed."""
+    return F.unhex(F.md5(F.col(norm)))
+
+
 def _furniture(norm: DataFrame, doc: str) -> DataFrame:
-    distinct = norm.select(doc, "page_no", "norm").distinct()
+    """Page furniture (doc, digest) from lines as digests: (doc, page_no, digest)."""
+    distinct = norm.select(doc, "page_no", "digest").distinct()
     full = distinct.groupBy(doc, "page_no").agg(F.count(F.lit(1)).alias("__k")).filter(F.col("__k") >= POPULATED_LINES)
     populated = full.groupBy(doc).agg(F.count(F.lit(1)).alias("__pages"))
     on = distinct.join(full.select(doc, "page_no"), [doc, "page_no"], "left_semi")
-    seen = on.groupBy(doc, "norm").agg(F.count(F.lit(1)).alias("__n")).join(populated, doc)
+    seen = on.groupBy(doc, "digest").agg(F.count(F.lit(1)).alias("__n")).join(populated, doc)
     least = F.greatest(F.lit(FURNITURE_MIN), F.floor(F.col("__pages") * FURNITURE_SHARE))
-    return seen.filter(F.col("__n") >= least).select(doc, "norm")
+    return seen.filter(F.col("__n") >= least).select(doc, "digest")
 
 
 def boilerplate(lines: DataFrame, doc: str) -> DataFrame:
     """Page furniture (doc, norm): lines on most of the pages that have at least three different lines."""
-    # normalising is the expensive part and its result is read three times
-    return _furniture(written(normal_lines(lines).select(doc, "page_no", "norm").distinct()), doc)
+    # normalising is the expensive part and its result is read several times
+    norm = written(normal_lines(lines).select(doc, "page_no", _digest("norm").alias("digest"), "norm"))
+    named = norm.select(doc, "digest", "norm").join(_furniture(norm, doc), [doc, "digest"])
+    return named.groupBy(doc, "digest").agg(F.any_value("norm").alias("norm")).select(doc, "norm")
 
 
-def content_lines(lines: DataFrame, doc: str) -> DataFrame:
-    """Normalised lines that are not furniture."""
-    norm = written(normal_lines(lines))
-    return norm.join(_furniture(norm, doc), [doc, "norm"], "left_anti")
+def content_lines(lines: DataFrame, doc: str, *facts: Column | str) -> DataFrame:
+    """Normalised lines that are not furniture, as digests: (doc, page_no, digest) and the facts asked for. Texts stay where they are read."""
+    norm = written(normal_lines(lines).select(doc, "page_no", _digest("norm").alias("digest"), *facts))
+    return norm.join(_furniture(norm, doc), [doc, "digest"], "left_anti")
 
 
 def sparse_pages(lines: DataFrame, doc: str) -> DataFrame:
@@ -228,11 +236,6 @@ def _found_in_stream(wanted: DataFrame, lines: DataFrame, doc: str) -> DataFrame
     return whole.select(doc, "line").distinct()
 
 
-def _digest(norm: str) -> Column:
-    """128 bits that stand for a line where its text is not needed."""
-    return F.unhex(F.md5(F.col(norm)))
-
-
 def _first_pages(original: DataFrame, converted: DataFrame, doc: str, *dealt_by: str) -> DataFrame:
     """Lines of the original with their first page here and there: (doc, digest, norm, page_no, new_page).
 
@@ -336,8 +339,10 @@ def _owned_pages(lines: DataFrame, doc: str, values: Values) -> DataFrame:
 def group_breaks(lines: DataFrame, doc: str, values: Values) -> DataFrame:
     """Last content line before each page break inside a value's run: (doc, value, page_no, mark); '' without one."""
     on = _owned_pages(lines, doc, values).filter(F.col("page_no") < F.col("last_pos"))
-    last = content_lines(lines, doc).groupBy(doc, "page_no").agg(F.max_by("norm", "line_no").alias("mark"))
-    return on.join(last, [doc, "page_no"], "left").select(doc, "value", "page_no", F.coalesce("mark", F.lit("")).alias("mark"))
+    last = content_lines(lines, doc, "line_no").groupBy(doc, "page_no").agg(F.max("line_no").alias("line_no"))
+    last = last.join(on.select(doc, "page_no"), [doc, "page_no"], "left_semi")
+    marks = normal_lines(lines.join(last, [doc, "page_no", "line_no"])).groupBy(doc, "page_no").agg(F.max("norm").alias("mark"))
+    return on.join(marks, [doc, "page_no"], "left").select(doc, "value", "page_no", F.coalesce("mark", F.lit("")).alias("mark"))
 
 
 def _amounts(text: Column, pattern: str) -> Column:
@@ -359,10 +364,11 @@ def orphan_totals(lines: DataFrame, doc: str, values: Values) -> DataFrame:
         _amounts(F.col("text"), TOTAL_AMOUNT).alias("totals"), _amounts(F.col("text"), ANY_MONEY).alias("money"),
     )
     owners = _owned_pages(lines, doc, values).groupBy(doc, "page_no").agg(F.max_by("value", F.struct("rank", "value")).alias("owner"))
-    content = content_lines(lines, doc).groupBy(doc, "page_no").agg(
-        F.count(F.lit(1)).alias("content"), F.max(F.col("norm").rlike(TOTAL_MARKER)).alias("marked")
+    content = content_lines(lines, doc, F.col("norm").rlike(TOTAL_MARKER).alias("marked")).groupBy(doc, "page_no").agg(
+        F.count(F.lit(1)).alias("content"), F.max("marked").alias("marked")
     )
-    page = (
+    # each page is read as itself and as the one before
+    page = written(
         facts.join(owners, [doc, "page_no"], "left").join(content, [doc, "page_no"], "left")
         .withColumn("claims", F.when(F.size("stated") > 0, F.col("stated")).otherwise(F.col("money")))
     )

@@ -170,3 +170,22 @@ def test_short_documents_are_dealt_once(spark, monkeypatch):
     for limit in (0, 3500):  # all documents in pieces, and some
         monkeypatch.setattr(pt, "CELL", limit)
         assert {tuple(r) for r in pt.line_parity(a, b, "doc").collect()} == want
+
+
+def test_content_is_known_without_its_text(spark):
+    rng = random.Random(8)
+    line = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400))
+    book = {d: [["Acme", "Furniture on every page"] + [line() for _ in range(4)] for _ in range(3)] + [["Total: $1.50", "Furniture on every page"]] for d in range(60)}
+    lines = frame(spark, book)
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    text = sum(len(x) for pages in book.values() for page in pages for x in page)
+    for op, want in (
+        (lambda: pt.orphan_totals(lines, "doc", VALUES), {(d, "Acme", 3) for d in book}),
+        (lambda: pt.sparse_pages(lines, "doc"), {(d, 3, 1) for d in book}),
+        (lambda: pt.group_breaks(lines, "doc", VALUES), {(d, "Acme", p, " ".join(book[d][p][-1].split())) for d in book for p in (0, 1)}),
+    ):
+        before = size()
+        assert {tuple(r) for r in op().collect()} == want
+        assert size() - before < text / 2  # no text is written
+    assert {(r.doc, r.norm) for r in pt.boilerplate(lines, "doc").collect()} == {(d, "Furniture on every page") for d in book}
