@@ -1,7 +1,7 @@
 """Comparison of paged text: tables of (document, page_no, line_no, line).
 
-All steps are keyed by document and by line content. A document may be arbitrarily long: it is never put together in
-one cell or one task.
+All steps are keyed by document and by line content. A document may be arbitrarily long: beyond a fixed size (CELL) it is never
+put together in one cell or one task.
 """
 
 from __future__ import annotations
